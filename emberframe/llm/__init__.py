@@ -1,13 +1 @@
 """Operators for large training-data pipelines. Nothing else in the library imports this package."""
-
-from pyspark import cloudpickle
-
-from emberframe.llm import common
-
-# Task functions travel by value, so executors need no copy of this repository on their path.
-cloudpickle.register_pickle_by_value(common)
-
-
-def ship(module) -> None:
-    """Send the functions of ``module`` to executors by value."""
-    cloudpickle.register_pickle_by_value(module)

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def by_value(module: str) -> None:
+    """Send functions of ``module`` to executors by value: they need no copy of this repository."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+by_value(__name__)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

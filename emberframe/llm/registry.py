@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_mixing",)
+MODULES = ("queries_mixing", "queries_sharding", "queries_urls", "queries_bpe", "queries_simhash", "queries_ctw")
 
 
 def _all(name: str) -> dict:
