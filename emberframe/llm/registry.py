@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_mixing", "queries_sharding", "queries_urls", "queries_bpe", "queries_simhash", "queries_ctw")
+MODULES = ("queries_mixing", "queries_sharding", "queries_urls", "queries_bpe", "queries_simhash", "queries_ctw", "queries_repeats", "queries_quality")
 
 
 def _all(name: str) -> dict:
