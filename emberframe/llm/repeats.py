@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.llm.common import Scratch, by_value
 
@@ -284,7 +285,7 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.put(strip_windows(bodies.drop("rows").join(hits, ["th", "n"])), "stripped")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def whole_characters(kept: pd.Series) -> pd.Series:
     return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
