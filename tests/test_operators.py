@@ -115,7 +115,7 @@ def test_average_precision_and_f1(spark):
 
 
 def test_lift_of_everything_is_one(spark):
-    p = preds(spark, [(i % 3 == 0, i / 50) for i in range(50)]).withColumn("label", F.col("label").cast("int"))
+    p = preds(spark, [(int(i % 3 == 0), i / 50) for i in range(50)])
     got = {r.percent: r for r in E.lift_curve(p, "id", [1, 10, 100]).collect()}
     assert got[1].lift is None and math.isclose(got[100].lift, 1.0) and got[10].n == 5
 
