@@ -129,20 +129,25 @@ class Attention:
                     self.w[k] = (self.w[k] - size * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def learn(labelled: DataFrame, per_class: int = 3000, longest: int = 1 << 17, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
-    """Fit to ``labelled`` (doc_id, text, label 0/1).
-
-    The fit sees a bounded sample: about ``per_class`` rows of each label at most, drawn by hash of
-    doc_id, of texts up to ``longest`` bytes (whole texts; longer ones are only scored). Sampled rows
-    are weighted back to their share. With rows of one label only, that label is returned as the
-    score of every text; without rows, 0.5.
+def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, longest: int = 1 << 17, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
+    """Fit to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) marks, outside ``held_out``.
+
+    The fit sees a bounded sample: about ``per_class`` ids of each label at most, drawn by hash of
+    doc_id, and of their texts those up to ``longest`` bytes (whole texts; longer ones are only
+    scored). The sample is drawn from the labels alone, so it is small enough to broadcast and texts
+    stay where they are. Sampled rows are weighted back to their share. Ids with two labels are left
+    out. With ids of one label only, that label is returned as the score of every text; without any,
+    0.5.
     """
-    fit = labelled.where(F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.octet_length("text") <= longest))
-    n = {r.label: r.n for r in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    once = labels.where(~held_out & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_high"))
+    once = once.where("label = _high").select(F.col("doc_id").alias("_id"), "label")
+    n = {r.label: r.n for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return float(next(iter(n))) if n else 0.5
     share = {k: min(1.0, per_class / v) for k, v in n.items()}
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) < F.when(F.col("label") == 0, int(share[0] * (1 << 30))).otherwise(int(share[1] * (1 << 30)))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30)) < F.when(F.col("label") == 0, int(share[0] * (1 << 30))).otherwise(int(share[1] * (1 << 30)))
+    drawn = F.broadcast(once.where(draw))  # about 2 * per_class rows
+    fit = docs.where(F.octet_length("text") <= longest).join(drawn, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").dropDuplicates(["doc_id"])
 
     def run(batches):
         for batch in batches:
@@ -150,7 +155,9 @@ def learn(labelled: DataFrame, per_class: int = 3000, longest: int = 1 << 17, hi
                 x, per = encode_passages([text.encode()])
                 yield pa.RecordBatch.from_arrays([pa.array([int(label)]), pa.array([int(per[0])]), pa.array([x.tobytes()])], names=["y", "per", "x"])
 
-    rows = fit.where(draw).select("text", "label").mapInArrow(run, "y long, per long, x binary").toPandas().sort_values(["y", "per", "x"])
+    rows = fit.select("text", "label").mapInArrow(run, "y long, per long, x binary").toPandas().sort_values(["y", "per", "x"])
+    if rows["y"].nunique() < 2:
+        return float(rows["y"].iloc[0]) if len(rows) else 0.5
     y, per = rows["y"].to_numpy(np.float32), rows["per"].to_numpy()
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(int(per.sum()), -1)
     weight = np.where(y == 0, 1 / share[0], 1 / share[1]).astype(np.float32)
@@ -186,10 +193,3 @@ def score(docs: DataFrame, model: Attention | float, threshold: float = 0.3, chu
 
     fields = [*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     return docs.mapInArrow(run, T.StructType(fields))
-
-
-def train_rows(docs: DataFrame, labels: DataFrame, held_out) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows outside ``held_out``; ids with two labels are left out."""
-    once = labels.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_high"))
-    once = once.where("label = _high").select(F.col("doc_id").alias("_id"), "label")
-    return docs.where(~held_out).join(once, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import table
-from emberframe.llm.quality import learn, score, train_rows
+from emberframe.llm.quality import learn, score
 
 
 def held_out(doc_id="doc_id"):
@@ -12,7 +12,7 @@ def held_out(doc_id="doc_id"):
 
 def op1_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(train_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), held_out()))
+    model = learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), held_out())
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
