@@ -62,8 +62,8 @@ def spread_lists(rows: DataFrame, index, radius: float) -> DataFrame:
     def run(batches):
         model = index.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 x = unit(part.column(2).to_pylist())
                 own = nearest(x, model.centres)
                 ask = model.probes(x, own, radius)
@@ -140,15 +140,21 @@ def link_lists(spread: DataFrame, index, cosine: float, radius: float, entries:
 
 
 def near_vectors(
-    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, seed: int = 3,
+    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, spread: float = 3.6, seed: int = 3,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings`` (vec_id, embedding).
 
     Rows link at a cosine of ``cosine`` or more, computed in doubles. Coarse lists and codebooks are
     fitted on a hashed sample of about ``fit`` distinct vectors at most; every vector is indexed.
     Equal vectors are one class: they link with each other and are compared once. Vectors that take
-    no part (see ``usable``) keep themselves. Probes and candidate distances are bounds, so no link
-    is lost to them. component_id is the smallest vec_id reachable, itself included.
+    no part (see ``usable``) keep themselves. component_id is the smallest vec_id reachable, itself
+    included.
+
+    Candidate distances are bounds, so a probed list loses no link. A list is probed if its side of
+    the bisector is within ``spread`` deviations of a link's reach: in d dimensions a neighbour at
+    the least cosine lies radius / sqrt(d) along a given direction on average, so with 3.6 about one
+    such neighbour in 5,000 beyond a plane is missed, and nearer ones hardly ever. A ``spread`` of
+    sqrt(d) or more probes every list that can hold a link.
     """
     rows = scratch.put(usable(embeddings), "vectors")
     kinds = classes(rows, scratch, 1)
@@ -157,8 +163,9 @@ def near_vectors(
     if len(drawn):
         index = embeddings.sparkSession.sparkContext.broadcast(Index.fit(drawn, per_list, total, most_lists, sub, codes, seed))
         radius = math.sqrt(2 - 2 * cosine)
-        spread = scratch.put(spread_lists(kinds, index, radius), "lists")
-        links = scratch.put(link_lists(spread, index, cosine, radius), "links")
+        reach = radius * min(1.0, spread / math.sqrt(drawn.shape[1]))
+        lists = scratch.put(spread_lists(kinds, index, reach), "lists")
+        links = scratch.put(link_lists(lists, index, cosine, radius), "links")
         scratch.drop("lists")
         group = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
         counts = links.groupBy("cid").agg(F.sum("links").alias("links"))
