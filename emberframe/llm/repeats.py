@@ -295,9 +295,9 @@ def strip_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     A character is dropped if any of its bytes is; a text of which nothing is left is empty.
     """
-    lost = repeated(docs, scratch).select(F.col("th").alias("_th"), F.col("n").alias("_n"), "kept")
+    lost = repeated(docs, scratch).select(F.col("th").alias("_th"), F.col("n").alias("_n"), F.col("kept").alias("_kept"))
     key = text_key()
     keyed = docs.withColumns({"_h": key["th"], "_l": key["n"]})
     joined = keyed.join(lost, (F.col("_h") == F.col("_th")) & (F.col("_l") == F.col("_n")), "left")
-    left = F.when(F.col("kept").isNotNull(), whole_characters("kept")).otherwise(F.col("text"))
+    left = F.when(F.col("_kept").isNotNull(), whole_characters("_kept")).otherwise(F.col("text"))
     return joined.withColumn("text", left).select(*docs.columns)

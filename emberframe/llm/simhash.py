@@ -169,28 +169,34 @@ def near_pairs(fps: DataFrame, scratch: Scratch, longest: int = 512) -> DataFram
     return pairs.union(meets.join(first, "val").where("a <> f").select("a", F.col("f").alias("b")).distinct())
 
 
+def _body():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``.
+    """(doc_id, body, fp, component, component_id) of every row of ``docs``; body is a hash of the text.
 
-    component_id is the smallest doc_id reachable over links of 2 or fewer differing bits. Rows with
-    equal fingerprints (repeated rows, null and empty texts included) are one class and never
-    expanded into pairs. A null doc_id takes part but is no component's smallest id, unless all of
-    its component's are null.
+    component_id is the smallest doc_id reachable over links of 2 or fewer differing bits, component
+    the smallest fingerprint. Rows with equal fingerprints (repeated rows, null and empty texts
+    included) are one class and never expanded into pairs. A null doc_id takes part but is no
+    component's smallest id, unless all of its component's are null.
     """
-    marked = scratch.put(fingerprints(docs.select("doc_id", "text"), words, seed).select("doc_id", "fp"), "fps")
+    rows = fingerprints(docs.select("doc_id", "text", _body().alias("body")), words, seed)
+    marked = scratch.put(rows.select("doc_id", "body", "fp"), "fps")
     classes = scratch.put(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     group = connected_components(near_pairs(classes.select("fp"), scratch), scratch)
     named = classes.join(group, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(ids, "component").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(final, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    final = named.join(ids, "component").select(F.col("fp").alias("_fp"), "component", "component_id")
+    return marked.join(final, F.col("fp") == F.col("_fp")).select("doc_id", "body", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each component: its smallest doc_id (of repeated rows, one)."""
+    """``docs`` with one row of each component: that of its smallest doc_id (nulls last), then body."""
     groups = near_duplicates(docs, scratch, words, seed)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct()
-    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi")
-    one = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key.alias("_key"), F.col("body").alias("_body")))
+    first = scratch.put(groups.groupBy("component").agg(best.alias("b")).select("b._key", "b._body"), "first")
+    kept = docs.withColumns({"_key": key, "_body": _body()}).join(first, ["_key", "_body"], "left_semi")
+    one = Window.partitionBy("_key", "_body").orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key", "_body")
