@@ -1,4 +1,4 @@
-"""Validation of predictions. Global ranks run over distinct scores, not over rows."""
+"""Validation of predictions. Global ranks run over distinct scores, in two levels, not over rows."""
 
 from __future__ import annotations
 
@@ -25,11 +25,28 @@ def pearson(a: str, b: str) -> Column:
     return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
+def running(by: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = 4096) -> DataFrame:
+    """Running sums ``cum_<value>`` over rows of distinct ``order``, in two levels.
+
+    Rows are dealt into equal-width buckets of ``order``; sums run inside each bucket, and over the
+    at most ``buckets`` bucket totals, which are joined back as offsets. No window sees all rows.
+    """
+    limits = by.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    share = F.coalesce(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    dealt = by.crossJoin(F.broadcast(limits)).withColumn("_b", F.floor(share * (buckets - 1)).cast("int")).drop("_lo", "_hi")  # one row
+    way = F.desc if descending else F.asc
+    inside = Window.partitionBy("_b").orderBy(way(order))
+    totals = dealt.groupBy("_b").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
+    upto = Window.orderBy(way("_b"))
+    offsets = totals.select("_b", *((F.sum(f"_t_{v}").over(upto) - F.col(f"_t_{v}")).alias(f"_o_{v}") for v in values))
+    summed = dealt.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values}).join(F.broadcast(offsets), "_b")
+    return summed.select(*by.columns, *((F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values))
+
+
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average rank of each row's value (ties share one), from counts per distinct value."""
-    counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(column))
-    ranks = counts.select(F.col(column).alias("_v"), (upto - (F.col("_n") - 1) / 2.0).alias(out))
+    counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), column, ["_n"])
+    ranks = counts.select(F.col(column).alias("_v"), (F.col("cum__n") - (F.col("_n") - 1) / 2.0).alias(out))
     return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 
@@ -58,13 +75,10 @@ def scale_analysis(df: DataFrame, obs: str, pred: str) -> DataFrame:
 
 
 def cumulative(pred: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, tp, fp, pos, neg) at every distinct score from the highest: the base of all curves."""
-    by = pred.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    down = Window.orderBy(F.desc("score"))
-    every = Window.partitionBy()
-    return by.select(
-        "score", F.sum("_p").over(down).alias("tp"), F.sum(F.col("_n") - F.col("_p")).over(down).alias("fp"),
-        F.sum("_p").over(every).alias("pos"), F.sum(F.col("_n") - F.col("_p")).over(every).alias("neg"))
+    """(score, own_tp, own_fp, tp, fp, pos, neg) at every distinct score from the highest: the base of all curves."""
+    by = pred.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("own_tp"), (F.count("*") - F.sum(label)).alias("own_fp"))
+    every = by.agg(F.sum("own_tp").alias("pos"), F.sum("own_fp").alias("neg"))
+    return running(by, "score", ["own_tp", "own_fp"], True).withColumnsRenamed({"cum_own_tp": "tp", "cum_own_fp": "fp"}).crossJoin(F.broadcast(every))  # one row
 
 
 def roc_curve(pred: DataFrame) -> DataFrame:
@@ -73,20 +87,19 @@ def roc_curve(pred: DataFrame) -> DataFrame:
 
 def roc_auc(pred: DataFrame) -> DataFrame:
     """Mann-Whitney with half weight for ties."""
-    c = cumulative(pred).withColumns({"_dt": F.col("tp") - F.lag("tp", 1, 0).over(Window.orderBy(F.desc("score"))), "_df": F.col("fp") - F.lag("fp", 1, 0).over(Window.orderBy(F.desc("score")))})
-    wins = F.sum(F.col("_dt") * (F.col("neg") - F.col("fp")) + F.col("_dt") * F.col("_df") / 2.0)
-    return c.agg(F.try_divide(wins, F.max(F.col("pos") * F.col("neg"))).alias("auc"))
+    wins = F.sum(F.col("own_tp") * (F.col("neg") - F.col("fp")) + F.col("own_tp") * F.col("own_fp") / 2.0)
+    return cumulative(pred).agg(F.try_divide(wins, F.max(F.col("pos") * F.col("neg"))).alias("auc"))
 
 
 def pr_curve(pred: DataFrame) -> DataFrame:
-    return cumulative(pred).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "pos").alias("recall"))
+    """(score, precision, recall, gain): gain is the recall that the score itself adds."""
+    return cumulative(pred).select(
+        "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "pos").alias("recall"), F.try_divide("own_tp", "pos").alias("gain"))
 
 
 def average_precision(pred: DataFrame) -> DataFrame:
     """Sum of precision over the recall it adds."""
-    c = pr_curve(pred)
-    gain = F.col("recall") - F.lag("recall", 1, 0.0).over(Window.orderBy(F.desc("score")))
-    return c.withColumn("_g", gain).agg(F.sum(F.col("_g") * F.col("precision")).alias("ap"))
+    return pr_curve(pred).agg(F.sum(F.col("gain") * F.col("precision")).alias("ap"))
 
 
 def max_f1(pred: DataFrame) -> DataFrame:
@@ -111,7 +124,7 @@ def lift_curve(pred: DataFrame, key: str, percents: list[int]) -> DataFrame:
     Rows are ranked inside each distinct score only; the rows above come from the cumulated counts.
     """
     by = pred.groupBy("score").agg(F.count("*").alias("_n"))
-    above = by.select(F.col("score").alias("_s"), (F.sum("_n").over(Window.orderBy(F.desc("score"))) - F.col("_n")).alias("_above"))
+    above = running(by, "score", ["_n"], True).select(F.col("score").alias("_s"), (F.col("cum__n") - F.col("_n")).alias("_above"))
     place = F.row_number().over(Window.partitionBy("score").orderBy(key)) + F.col("_above")
     ranked = pred.join(above, F.col("score") == F.col("_s")).withColumn("_place", place)
     totals = pred.agg(F.count("*").alias("_all"), F.sum("label").alias("_pos"))

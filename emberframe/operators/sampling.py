@@ -46,16 +46,15 @@ def number_from(df: DataFrame, start: int, *order: str) -> DataFrame:
     return df.withColumn("new_id", F.row_number().over(Window.orderBy(*order)) + start - 1)
 
 
-def dense_ids(df: DataFrame, *order: str) -> DataFrame:
-    """0-based ids in the order of ``order`` for tables of any size: ranges are sorted apart, then offset.
+def dense_ids(df: DataFrame, first: str, *rest: str) -> DataFrame:
+    """0-based ids in the order of ``first``, then ``rest``: ranks inside each value of ``first``, plus offsets.
 
-    The range boundaries are sampled once; the ranked table must be written before it is read twice.
+    ``first`` should have few values beside the rows (a day, a zone): their counts are summed in one task.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inside = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    offsets = sizes.select(F.col("_p").alias("_q"), (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return inside.join(F.broadcast(offsets), F.col("_p") == F.col("_q")).withColumn("id_obs", F.col("_before") + F.col("_rn") - 1).drop("_p", "_q", "_rn", "_before")
+    sizes = df.groupBy(F.col(first).alias("_f")).agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
+    return df.withColumn("_rn", inside).join(offsets, F.col(first).eqNullSafe(F.col("_f"))).withColumn("id_obs", F.col("_before") + F.col("_rn")).drop("_f", "_rn", "_before")
 
 
 def month_targets(presences: DataFrame, ratio: int) -> DataFrame:

@@ -236,5 +236,17 @@ def test_zones_from_geojson(spark, tmp_path):
 
 
 def test_dense_ids(spark):
-    rows = A.dense_ids(spark.range(1000).withColumn("k", F.col("id") * 7 % 1000), "k").collect()
-    assert sorted((r.id_obs, r.k) for r in rows) == [(i, i) for i in range(1000)]
+    frame = spark.range(1000).select((F.col("id") % 7).alias("day"), F.col("id").alias("k"))
+    rows = A.dense_ids(frame, "day", "k").collect()
+    assert [(r.day, r.k) for r in sorted(rows, key=lambda r: r.id_obs)] == sorted((i % 7, i) for i in range(1000))
+    assert sorted(r.id_obs for r in rows) == list(range(1000))
+
+
+def test_running_sums_in_two_levels(spark):
+    rows = spark.createDataFrame([(i * i / 7.0, i) for i in range(200)], "s double, v int")
+    for down in (False, True):
+        got = sorted(E.running(rows, "s", ["v"], down, 8).collect(), key=lambda r: r.s, reverse=down)
+        want = 0
+        for r in got:
+            want += r.v
+            assert r.cum_v == want
