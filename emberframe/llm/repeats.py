@@ -261,12 +261,12 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     texts = docs.select("text").where("text is not null").withColumns(text_key()).where(F.col("n") >= LENGTH)
     found = scratch.put(find_pieces(texts), "pieces")
-    again = found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    again = scratch.put(found.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "again")
     found = scratch.put(found.join(again, "key", "left_semi"), "candidates")
     scratch.drop("pieces")
     place = F.struct("th", "n", "s0")
     kinds = scratch.put(found.groupBy("key", "ph").agg(F.count("*").alias("c"), F.min(place).alias("rep")), "kinds")
-    per_core = kinds.groupBy("key").agg(F.count("*").alias("d"))
+    per_core = scratch.put(kinds.groupBy("key").agg(F.count("*").alias("d")), "cores")
     kinds = kinds.join(per_core, "key").select("key", "ph", "c", "d", "rep")
     rows = scratch.put(found.join(kinds, ["key", "ph"]).select(
         "th", "n", "key", "ph", "s0", "i0", "i1", (F.col("c") > 1).alias("whole"),
