@@ -63,13 +63,16 @@ def draw_probabilities(columns: list[str], draws: list[tuple[float, list[float]]
 
 
 def score(df: DataFrame, columns: list[str], draws: list[tuple[float, list[float]]], keep: list[str]) -> DataFrame:
-    """Mean and population deviation of the draws' probabilities, computed inside each row."""
-    p = F.array(*draw_probabilities(columns, draws))
-    n = len(draws)
-    mean = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x) / n
-    scored = df.select(*keep, p.alias("_p")).withColumn("mean_probability", mean)
-    var = F.aggregate("_p", F.lit(0.0), lambda a, x: a + (x - F.col("mean_probability")) * (x - F.col("mean_probability"))) / n
-    return scored.withColumn("std_probability", F.sqrt(var)).drop("_p")
+    """Mean and population deviation of the draws' probabilities, as plain sums inside each row.
+
+    For up to a few dozen draws; ``score_many`` takes hundreds.
+    """
+    names = [f"_p{i}" for i in range(len(draws))]
+    wide = df.select(*keep, *(p.alias(n) for n, p in zip(names, draw_probabilities(columns, draws))))
+    mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(draws)
+    off = lambda n: (F.col(n) - F.col("mean_probability")) * (F.col(n) - F.col("mean_probability"))
+    return wide.withColumn("mean_probability", mean).select(
+        *keep, "mean_probability", F.sqrt(sum((off(n) for n in names), F.lit(0.0)) / len(draws)).alias("std_probability"))
 
 
 def score_many(df: DataFrame, columns: list[str], draws: list[tuple[float, list[float]]], keep: list[str]) -> DataFrame:
