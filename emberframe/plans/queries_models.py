@@ -43,14 +43,14 @@ def w01_lookback(spark, d):
 WINS = (1, 3, 5, 10, 15, 30)
 
 
-@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN {v} END), 0) / {w}, 6) AS {v}_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN {v} END), 6) AS {v}_cumulative_max_{w}d" for v in "TP" for w in WINS) + " FROM lb GROUP BY 1")
+@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN {v} END), 0) / {w}, 9) AS {v}_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN {v} END), 9) AS {v}_cumulative_max_{w}d" for v in "TP" for w in WINS) + " FROM lb GROUP BY 1")
 def w03_window_features(spark, d):
-    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T", "P"], W.WINDOWS, 30))
+    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T", "P"], W.WINDOWS, 30), 9)
 
 
-@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(avg(CASE WHEN lag >= {30 - w} THEN T END), 6) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag >= {30 - w} THEN T END), 6) AS T_cumulative_max_{w}d" for w in WINS) + " FROM lb GROUP BY 1")
+@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(avg(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_max_{w}d" for w in WINS) + " FROM lb GROUP BY 1")
 def w04_window_features_oldest(spark, d):
-    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T"], W.WINDOWS, 30, "oldest", "skip"))
+    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T"], W.WINDOWS, 30, "oldest", "skip"), 9)
 
 
 @query(f"WITH {LB} SELECT loc, lag, round(avg(T), 6) AS chip_mean FROM lb GROUP BY 1, 2")
