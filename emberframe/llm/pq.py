@@ -56,25 +56,15 @@ def unit(blobs) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def spread_lists(rows: DataFrame, index, radius: float) -> DataFrame:
-    """(list, cid, n, v, own): every vector in its own list, and in each later list that it probes."""
+def place(rows: DataFrame, index) -> DataFrame:
+    """``rows`` (cid, n, v) with ``list``, the list of its nearest centre."""
 
     def run(batches):
-        model = index.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x = unit(part.column(2).to_pylist())
-                own = nearest(x, model.centres)
-                ask = model.probes(x, own, radius)
-                ask &= np.arange(len(model.centres)) > own[:, None]
-                ask[np.arange(len(x)), own] = True
-                row, lists = np.nonzero(ask)
-                kept = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists.astype(np.int32)), *kept.columns, pa.array(lists == own[row])], names=["list", "cid", "n", "v", "own"])
+            own = nearest(unit(batch.column(2).to_pylist()), index.value.centres) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["cid", "n", "v", "list"])
 
-    return rows.select("cid", "n", "v").mapInArrow(run, "list int, cid long, n long, v binary, own boolean")
+    return rows.select("cid", "n", "v").mapInArrow(run, "cid long, n long, v binary, list int")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,57 +80,109 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def link_lists(spread: DataFrame, index, cosine: float, radius: float, entries: int = 1024, askers: int = 4096) -> DataFrame:
+def link_lists(placed: DataFrame, index, cosine: float, radius: float, block_bytes: int = 8 << 20, part: int = 4) -> DataFrame:
     """(cid, links, root): for each vector, the rows it links to in one block, and a vector it connects to.
 
-    A list is dealt in blocks of about ``entries`` vectors of its own by ``askers`` that probe it. A
-    table of squared distances from each asker's residual to all codes gives its distance to every
-    coded entry; entries within the radius plus what their own codes miss are compared exactly. A
-    block returns links as counts and a spanning set of them, never as all pairs.
+    Lists are packed into groups of about ``block_bytes`` of vectors, long ones in several parts. A
+    vector goes once to every group that holds one of the lists it probes, with those lists' numbers,
+    however many they are; a block is one group and as many askers. A table of squared distances from
+    each asker's residual to all codes gives its distance to every coded entry; entries within the
+    radius plus what their own codes miss are compared exactly. A block folds its links into counts
+    and a spanning set of them as it goes, and never holds all pairs.
     """
-    sizes = spread.groupBy("list").agg(F.count_if("own").alias("_e"), F.count("*").alias("_a")).withColumns({
-        "_e": F.ceil(F.col("_e") / entries).cast("int"), "_a": F.ceil(F.col("_a") / askers).cast("int")})
-    sized = spread.join(F.broadcast(sizes.where("_e > 0")), "list")  # at most one row for each coarse list
+    lists, d = index.value.centres.shape
+    entries = max(256, block_bytes // (8 * d))
+    size = np.zeros(lists, np.int64)
+    for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row for each list
+        size[r.list] = r.n
+    parts = np.maximum(1, -(-size * part // entries))
+    first = np.cumsum(parts) - parts
+    per_part = np.repeat(size / parts, parts)
+    group = ((np.cumsum(per_part) - per_part) // entries).astype(np.int64)
+    holds = np.zeros((lists, int(group[-1]) + 1), np.float32)
+    holds[np.repeat(np.arange(lists), parts), group] = np.repeat(size > 0, parts)
+    blocks = max(1, math.ceil(size.sum() / entries))
+
+    @F.pandas_udf("int")
+    def group_of(own: pd.Series, pick: pd.Series) -> pd.Series:
+        at = own.to_numpy()
+        return pd.Series(group[first[at] + pick.to_numpy() % parts[at]].astype(np.int32))
+
+    def ask(batches):
+        model = index.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                x, own = unit(some.column(2).to_pylist()), some.column(3).to_numpy()
+                asks = model.probes(x, own, radius)
+                asks &= np.arange(lists) > own[:, None]  # of two lists, the earlier one's vectors ask
+                asks[np.arange(len(x)), own] = True
+                row, to = np.nonzero(asks.astype(np.float32) @ holds)
+                names = [np.flatnonzero(asks[i] & (holds[:, g] > 0)).astype(np.int32).tobytes() for i, g in zip(row, to)]
+                kept = some.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to.astype(np.int32)), *kept.columns, pa.array(names, pa.binary())], names=["g", "cid", "n", "v", "list", "lists"])
+
     pick = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    listed = sized.where("own").withColumn("e", pick % F.col("_e")).withColumn("a", each("_a")).withColumn("asks", F.lit(False))
-    asking = sized.withColumn("a", pick % F.col("_a")).withColumn("e", each("_e")).withColumn("asks", F.lit(True))
-    both = listed.unionByName(asking).select("list", "e", "a", "cid", "n", "v", "own", "asks")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    listed = placed.withColumn("g", group_of("list", pick)).withColumn("lists", F.lit(None).cast("binary")).withColumn("b", each)
+    asking = placed.mapInArrow(ask, "g int, cid long, n long, v binary, list int, lists binary").withColumn("b", pick % blocks)
+    both = listed.select("g", "b", "cid", "n", "v", "list", "lists").unionByName(asking)
 
     def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         model: Index = index.value
-        y, q = block[~block["asks"]], block[block["asks"]]
+        asks = block["lists"].notna()
+        y, q = block[~asks].sort_values("list", kind="stable"), block[asks]
         none = pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
         if not len(y) or not len(q):
             return none
-        yu, qu, centre = unit(y["v"].tolist()), unit(q["v"].tolist()), model.centres[key[0]]
-        codes, missed = model.encode(yu - centre)
-        limit = (radius + missed + 1e-9) ** 2
-        pairs = []
-        for at in range(0, len(q), 256):
-            rest, far = qu[at : at + 256] - centre, 0.0
-            for m, (cut, book) in enumerate(zip(model.cuts, model.books)):
-                table = (rest[:, cut] ** 2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * rest[:, cut] @ book.T
-                far = far + table[:, codes[:, m]]
-            i, j = np.nonzero(far <= limit[None, :])
-            exact = np.einsum("ij,ij->i", qu[at + i], yu[j])
-            pairs.append(np.stack([i[exact >= cosine] + at, j[exact >= cosine]]))
-        i, j = np.concatenate(pairs, axis=1)
-        qid, yid, own = q["cid"].to_numpy(), y["cid"].to_numpy(), q["own"].to_numpy()
-        once = np.where(own[i], qid[i] < yid[j], True)  # within a list, each pair has two askers
-        i, j = i[once], j[once]
-        if not len(i):
-            return none
-        ids, flat = np.unique(np.concatenate([qid[i], yid[j]]), return_inverse=True)
-        a, b = flat[: len(i)], flat[len(i) :]
-        links = np.bincount(a, weights=y["n"].to_numpy()[j], minlength=len(ids)) + np.bincount(b, weights=q["n"].to_numpy()[i], minlength=len(ids))
-        return pd.DataFrame({"cid": ids, "links": links.astype(np.int64), "root": ids[_roots(len(ids), a, b)]})
-
-    return both.groupBy("list", "e", "a").applyInPandas(run, "cid long, links long, root long")
+        yu, qu, ylist, qlist = unit(y["v"].tolist()), unit(q["v"].tolist()), y["list"].to_numpy(), q["list"].to_numpy()
+        qid, yid, qn, yn = q["cid"].to_numpy(), y["cid"].to_numpy(), q["n"].to_numpy(), y["n"].to_numpy()
+        ids, flat = np.unique(np.concatenate([qid, yid]), return_inverse=True)
+        qat, yat = flat[: len(q)], flat[len(q) :]
+        links, root, held, waiting = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], 0
+
+        def fold(root):
+            a, b = np.concatenate(held, axis=1)
+            return _roots(len(ids), np.r_[a, np.arange(len(ids))], np.r_[b, root])
+
+        wanted = [np.frombuffer(w, np.int32) for w in q["lists"]]
+        pair_q, pair_l = np.repeat(np.arange(len(q)), [len(w) for w in wanted]), np.concatenate(wanted)
+        order = np.argsort(pair_l, kind="stable")
+        pair_q, pair_l = pair_q[order], pair_l[order]
+        for c in np.unique(ylist):
+            (lo, hi), (begin, end) = np.searchsorted(ylist, [c, c + 1]), np.searchsorted(pair_l, [c, c + 1])
+            codes, missed = model.encode(yu[lo:hi] - model.centres[c])
+            limit, step = (radius + missed + 1e-9) ** 2, max(16, min(2048, (1 << 20) // (hi - lo)))
+            for at in range(begin, end, step):
+                mine = pair_q[at : min(at + step, end)]
+                rest, far = qu[mine] - model.centres[c], 0.0
+                for m, (cut, book) in enumerate(zip(model.cuts, model.books)):
+                    table = (rest[:, cut] ** 2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * rest[:, cut] @ book.T
+                    far = far + table[:, codes[:, m]]
+                i, j = np.nonzero(far <= limit[None, :])
+                good = np.zeros(len(i), bool)
+                for k in range(0, len(i), 1 << 15):
+                    good[k : k + (1 << 15)] = np.einsum("ij,ij->i", qu[mine[i[k : k + (1 << 15)]]], yu[lo + j[k : k + (1 << 15)]]) >= cosine
+                i, j = mine[i[good]], lo + j[good]
+                once = np.where(qlist[i] == c, qid[i] < yid[j], True)  # within a list, each pair has two askers
+                i, j = i[once], j[once]
+                np.add.at(links, qat[i], yn[j])
+                np.add.at(links, yat[j], qn[i])
+                held.append(np.stack([qat[i], yat[j]]))
+                waiting += len(i)
+                if waiting > 1 << 20:
+                    root, held, waiting = fold(root), [], 0
+        if held:
+            root = fold(root)
+        some = links > 0
+        return pd.DataFrame({"cid": ids[some], "links": links[some], "root": ids[root[some]]})
+
+    return both.groupBy("g", "b").applyInPandas(run, "cid long, links long, root long")
 
 
 def near_vectors(
-    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, spread: float = 3.6, seed: int = 3,
+    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, seed: int = 3,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings`` (vec_id, embedding).
 
@@ -150,11 +192,8 @@ def near_vectors(
     no part (see ``usable``) keep themselves. component_id is the smallest vec_id reachable, itself
     included.
 
-    Candidate distances are bounds, so a probed list loses no link. A list is probed if its side of
-    the bisector is within ``spread`` deviations of a link's reach: in d dimensions a neighbour at
-    the least cosine lies radius / sqrt(d) along a given direction on average, so with 3.6 about one
-    such neighbour in 5,000 beyond a plane is missed, and nearer ones hardly ever. A ``spread`` of
-    sqrt(d) or more probes every list that can hold a link.
+    Candidate distances are bounds, and every list is probed whose side of the bisector is within a
+    link's reach, so no link is lost, whatever the vectors' effective dimension.
     """
     rows = scratch.put(usable(embeddings), "vectors")
     kinds = classes(rows, scratch, 1)
@@ -163,8 +202,7 @@ def near_vectors(
     if len(drawn):
         index = embeddings.sparkSession.sparkContext.broadcast(Index.fit(drawn, per_list, total, most_lists, sub, codes, seed))
         radius = math.sqrt(2 - 2 * cosine)
-        reach = radius * min(1.0, spread / math.sqrt(drawn.shape[1]))
-        lists = scratch.put(spread_lists(kinds, index, reach), "lists")
+        lists = scratch.put(place(kinds, index), "lists")
         links = scratch.put(link_lists(lists, index, cosine, radius), "links")
         scratch.drop("lists")
         group = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)

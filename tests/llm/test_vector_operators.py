@@ -53,6 +53,15 @@ def test_near_vectors_equal_brute_force(spark, made, table):
     assert sorted(tuple(r) for r in tiny) == want
 
 
+def test_near_vectors_lose_no_link_at_low_rank(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(6, 4)).repeat(200, axis=0) + 0.6 * rng.normal(size=(1200, 4))) @ rng.normal(size=(4, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(rows, Scratch(spark), per_list=20).collect()}
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist()))
+
+
 def test_probes_reach_every_neighbour():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(600, 8))
