@@ -193,7 +193,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 3, seed: int
 
 def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id (nulls last), then body."""
-    groups = near_duplicates(docs, scratch, words, seed)
+    return keep_first(docs, near_duplicates(docs, scratch, words, seed), scratch)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with one row of each component of ``groups`` (doc_id, body, component), chosen as in ``keep_one``."""
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key.alias("_key"), F.col("body").alias("_body")))
     first = scratch.put(groups.groupBy("component").agg(best.alias("b")).select("b._key", "b._body"), "first")
