@@ -125,9 +125,10 @@ def search_inner(
                 part = batch.slice(at, 1024)
                 row, lists = np.nonzero(model.assign(lift(_matrix(part.column(1).to_pylist()), model.longest), slack, copies))
                 kept = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *kept.columns], names=["list", "cid", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *kept.columns], names=["list", "cid", "v", "least"])
 
-    posted = scratch.put(kinds.select("cid", "v").mapInArrow(file, "list int, cid long, v binary"), "posted")
+    least = F.coalesce(F.get("ids", F.lit(0)), F.lit((1 << 63) - 1)).alias("least")  # breaks ties before every cut
+    posted = scratch.put(kinds.select("cid", "v", least).mapInArrow(file, "list int, cid long, v binary, least long"), "posted")
     n_lists = len(index.value.centres)
     size = np.zeros(n_lists, np.int64)
     for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row for each list
@@ -169,43 +170,46 @@ def search_inner(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], names=["g", "id", "v", "units"])
 
     asking = asked.mapInArrow(ask, "g int, id long, v binary, units binary").select(
-        "g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(True).alias("asks"), "id", "v", "units", F.lit(None).cast("int").alias("unit"))
+        "g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(True).alias("asks"), "id", "v", "units", F.lit(None).cast("int").alias("unit"), F.lit(0).cast("long").alias("least"))
     held = posted.withColumn("unit", unit_of("list", "cid")).withColumn("g", to_group("unit")).select(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(False).alias("asks"), F.col("cid").alias("id"), "v", F.lit(None).cast("binary").alias("units"), "unit")
+        "g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(False).alias("asks"), F.col("cid").alias("id"), "v", F.lit(None).cast("binary").alias("units"), "unit", "least")
 
     def read(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         q, y = block[block["asks"]], block[~block["asks"]].sort_values(["unit", "id"])
         if not len(q) or not len(y):
-            return pd.DataFrame({"query_id": [], "cid": [], "score": []}).astype({"query_id": "int64", "cid": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": [], "cid": [], "least": [], "score": []}).astype({"query_id": "int64", "cid": "int64", "least": "int64", "score": "float64"})
         qv, yv, yid, yu = _matrix(q["v"].tolist()), _matrix(y["v"].tolist()), y["id"].to_numpy(), y["unit"].to_numpy()
+        yl = y["least"].to_numpy(np.int64)
         asks = [np.frombuffer(u, np.int32) for u in q["units"]]
         pair_q, pair_u = np.repeat(np.arange(len(q)), [len(a) for a in asks]), np.concatenate(asks)
         keep = k + 1
         top = np.full((len(q), keep), -np.inf)
         who = np.full((len(q), keep), -1, np.int64)
+        low = np.full((len(q), keep), np.iinfo(np.int64).max)
         for u in np.unique(yu):
             ask_, (lo, hi) = pair_q[pair_u == u], np.searchsorted(yu, [u, u + 1])
             if not len(ask_):
                 continue
             s = qv[ask_] @ yv[lo:hi].T
             cand = np.broadcast_to(yid[lo:hi], s.shape)
+            ids = np.concatenate([low[ask_], np.broadcast_to(yl[lo:hi], s.shape)], axis=1)
             s, cand = np.concatenate([top[ask_], s], axis=1), np.concatenate([who[ask_], cand], axis=1)
             # a boundary vector met in an earlier list counts once
-            order = np.argsort(-s, axis=1, kind="stable")[:, : copies * keep]
-            s, cand = np.take_along_axis(s, order, 1), np.take_along_axis(cand, order, 1)
+            order = np.lexsort((ids, -s), axis=1)[:, : copies * keep]
+            s, cand, ids = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
             again = np.zeros(s.shape, bool)
             by = np.argsort(cand, axis=1, kind="stable")
             sorted_ = np.take_along_axis(cand, by, 1)
             np.put_along_axis(again, by[:, 1:], (sorted_[:, 1:] == sorted_[:, :-1]) & (sorted_[:, 1:] >= 0), axis=1)
             s = np.where(again, -np.inf, s)
-            order = np.argsort(-s, axis=1, kind="stable")[:, :keep]
-            top[ask_], who[ask_] = np.take_along_axis(s, order, 1), np.take_along_axis(cand, order, 1)
+            order = np.lexsort((ids, -s), axis=1)[:, :keep]
+            top[ask_], who[ask_], low[ask_] = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
         i, j = np.nonzero(np.isfinite(top))
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[i], "cid": who[i, j], "score": top[i, j]})
+        return pd.DataFrame({"query_id": q["id"].to_numpy()[i], "cid": who[i, j], "least": low[i, j], "score": top[i, j]})
 
-    found = asking.unionByName(held).groupBy("g", "b").applyInPandas(read, "query_id long, cid long, score double")
-    best = found.groupBy("query_id", "cid").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "cid")
+    found = asking.unionByName(held).groupBy("g", "b").applyInPandas(read, "query_id long, cid long, least long, score double")
+    best = found.groupBy("query_id", "cid").agg(F.max("score").alias("score"), F.min("least").alias("least"))
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "least", "cid")
     short = best.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= 2 * k)
     named = short.join(kinds.select("cid", "ids"), "cid").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

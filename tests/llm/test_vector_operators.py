@@ -97,6 +97,18 @@ def test_search_recall_and_ties(spark, made, table):
     assert hit / total >= 0.9
 
 
+def test_search_ties_go_to_smaller_ids(spark):
+    x = np.array([[(n >> b) & 1 for b in range(9)] for n in range(1, 400)], float)
+    ids = np.random.default_rng(3).permutation(len(x))
+    rows = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = ann.search_inner(rows, F.col("vec_id") % 20 == 0, Scratch(spark), per_list=1000).collect()
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == ids[at])
+        assert [v for _, v in mine] == ids[np.lexsort((ids, -s))[:20]].tolist()
+
+
 def test_few_and_no_vectors(spark, table):
     few = table.where("size(embedding) = 16").orderBy("vec_id").limit(7)
     rows = ann.search_inner(few.withColumn("vec_id", F.col("vec_id") * 0 + F.monotonically_increasing_id() % 1000 * 20), F.col("vec_id") % 20 == 0, Scratch(spark)).collect()
