@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -158,7 +159,7 @@ def test_components_of_a_long_chain(spark):
 # repeated passages
 
 
-def plain_strip(texts, n):
+def plain_strip(texts, n, min_words):
     seen = collections.Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
     for t in texts:
@@ -166,15 +167,24 @@ def plain_strip(texts, n):
         for i in range(len(t) - n + 1):
             if seen[t[i : i + n]] > 1:
                 gone[i : i + n] = [True] * n
+        a = 0
+        while a < len(t):
+            b = a
+            while b < len(t) and gone[b] == gone[a]:
+                b += 1
+            full = [m for m in re.finditer(rb"\S+", t) if a <= m.start() and m.end() <= b]
+            if gone[a] and len(full) < min_words:
+                gone[a:b] = [False] * (b - a)
+            a = b
         out.append((bytes(b for b, g in zip(t, gone) if not g), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))))
     return out
 
 
-def check_repeats(spark, texts):
+def check_repeats(spark, texts, length=400, min_words=0):
     table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    got = {(r.th, r.n): r for r in repeats.repeated(table, Scratch(spark)).collect()}
+    got = {(r.th, r.n): r for r in repeats.repeated(table, Scratch(spark), length, min_words).collect()}
     keyed = table.withColumns(repeats.text_key()).collect()
-    want = dict(zip(texts, plain_strip([(t or "").encode() for t in texts], repeats.LENGTH)))
+    want = dict(zip(texts, plain_strip([(t or "").encode() for t in texts], length, min_words)))
     for r in keyed:
         kept, gone, runs = want[r.text]
         found = got.get((r.th, r.n))
@@ -183,18 +193,28 @@ def check_repeats(spark, texts):
             assert (bytes(found.kept), found.n_removed, found.n_spans) == (kept, gone, runs)
 
 
-def test_repeats_equal_brute_force(spark, rows):
-    check_repeats(spark, [r[1] for r in rows])
+@pytest.mark.parametrize("length, min_words", [(400, 0), (101, 51), (101, 0), (30, 4)])
+def test_repeats_equal_brute_force(spark, rows, length, min_words):
+    check_repeats(spark, [r[1] for r in rows], length, min_words)
 
 
-def test_repeats_in_a_hot_group(spark):
+@pytest.mark.parametrize("length, crowd", [(400, 4096), (400, 20), (101, 4096), (101, 20)])
+def test_repeats_in_a_hot_group(spark, monkeypatch, length, crowd):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     rng = random.Random(4)
     base = words(rng, 160)
     near = []
     for _ in range(150):  # many near copies share cores, so groups are split
         at = rng.randrange(len(base))
         near.append(base[:at] + rng.choice("QZ") + base[at + 1 :])
-    check_repeats(spark, [*near, base, base, "x" * 2000, "xy" * 450, words(rng, 300)])
+    check_repeats(spark, [*near, base, base, "x" * 2000, "xy" * 450, words(rng, 300)], length)
+
+
+def test_repeats_in_segments_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SEGMENT", 700)
+    rng = random.Random(12)
+    shared = words(rng, 150)
+    check_repeats(spark, [words(rng, 900) + shared + words(rng, 400), words(rng, 200) + shared, shared + " " + shared, "ab" * 1500])
 
 
 def test_repeats_of_nothing(spark, empty):
