@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.llm.common import Scratch, by_value
 from emberframe.llm.simhash import xxh64_slices
@@ -17,7 +18,8 @@ by_value(__name__)
 
 END = b"\n"  # no word holds it: it closes a text, and stands for whatever precedes its first byte
 GRAM, WORD_HASH = 0, 1
-NO_CHILD = (1 << 16) - 1  # a tree has fewer nodes than this
+ROOT = 3  # contexts of so many bytes are roots of the subtrees that one task solves whole
+HALF = math.log(0.5)
 
 
 def normal(text: str | None) -> bytes:
@@ -25,41 +27,35 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode().lower().split()) + END
 
 
-@dataclass
 class Chunk:
     """Normal forms of some texts in one buffer, each behind ``depth`` end bytes."""
 
-    data: bytes
-    bytes_: np.ndarray
-    positions: np.ndarray  # of the bytes to predict
-    first: np.ndarray  # index into positions of each text's first
-    word_start: np.ndarray
-    word_end: np.ndarray
-    words: np.ndarray  # words of each text, its end not counted
-
-    @classmethod
-    def of(cls, texts, depth: int) -> Chunk:
+    def __init__(self, texts, depth: int):
         forms = [normal(t) for t in texts]
         pad = END * depth
-        data = pad + pad.join(forms)
-        lens = np.array([len(f) for f in forms], np.int64)
-        first = np.r_[0, np.cumsum(lens)[:-1]]
-        owner = np.repeat(np.arange(len(forms)), lens)
-        positions = np.arange(lens.sum()) + depth * (owner + 1)
-        raw = np.frombuffer(data, np.uint8)
-        stop = (raw[positions] == 32) | (raw[positions] == 10)
-        end = np.flatnonzero(stop)
-        begin = np.r_[0, end[:-1] + 1] if len(end) else end
-        full = end > begin
-        words = np.bincount(owner[end[full]], minlength=len(forms))
-        return cls(data, raw, positions, first, positions[begin[full]], positions[begin[full]] + (end - begin)[full], words)
-
-    def grams(self, depth: int) -> np.ndarray:
-        """Each predicted byte behind its ``depth`` context bytes, as one number."""
-        code = np.zeros(len(self.positions), np.int64)
-        for back in range(depth, -1, -1):
-            code = code << 8 | self.bytes_[self.positions - back]
-        return code
+        self.depth, self.data = depth, pad + pad.join(forms)
+        self.raw = np.frombuffer(self.data, np.uint8)
+        self.lens = np.array([len(f) for f in forms], np.int64)
+        self.first = np.r_[0, np.cumsum(self.lens)]  # index of each text's first predicted byte
+        gap = (self.raw == 32) | (self.raw == 10)
+        self.word_start = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+        self.word_end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+        starts = self.first[:-1] + depth * np.arange(1, len(forms) + 1)
+        self.word_text = np.searchsorted(starts, self.word_start, "right") - 1
+
+    def grams(self, size: int = 1 << 20):
+        """(text, gram) of every predicted byte, about ``size`` at a time.
+
+        A gram is one number: the context bytes, the latest first, then the predicted byte.
+        """
+        for at in range(0, int(self.first[-1]), size):
+            index = np.arange(at, min(at + size, int(self.first[-1])))
+            owner = np.searchsorted(self.first, index, "right") - 1
+            place = index + self.depth * (owner + 1)
+            code = np.zeros(len(index), np.int64)
+            for back in [*range(1, self.depth + 1), 0]:
+                code = code << 8 | self.raw[place - back]
+            yield owner, code
 
     def word_hashes(self) -> np.ndarray:
         return xxh64_slices(self.data, self.word_start, self.word_end, 0).view(np.int64)
@@ -75,7 +71,8 @@ def chunks(texts, size: int):
             begin, held = end, 0
 
 
-def _summed(keys, counts):
+def summed(keys: list, counts: list):
+    """Sorted distinct keys with the sums of their counts."""
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
@@ -83,43 +80,125 @@ def _summed(keys, counts):
     return keys[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def gather(train: DataFrame, depth: int, size: int = 1 << 20, held: int = 2_000_000) -> DataFrame:
-    """(kind, key, n): counts of all byte grams and all words of ``train`` (text), over whole texts.
+class Counts:
+    """Sums by key that take in parts and merge them as they pile up."""
+
+    def __init__(self):
+        self.keys, self.counts, self.loose = [], [], 0
+
+    def add(self, keys, counts) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.loose += len(keys)
+        if len(self.keys) > 1 and self.loose > 1 << 20 and self.loose > 2 * len(self.keys[0]):
+            self.merged()
+
+    def merged(self):
+        if len(self.keys) != 1:
+            none = np.zeros(0, np.int64)
+            keys, counts = summed([none, *self.keys], [none, *self.counts])
+            self.keys, self.counts = [keys], [counts]
+        self.loose = 0
+        return self.keys[0], self.counts[0]
+
+
+def part_of(kind: int, keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """Part of each key: words by themselves, grams by the latest ``ROOT`` bytes of their context."""
+    head = keys >> 8 * (depth + 1 - min(ROOT, depth)) if kind == GRAM else keys
+    return ((head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
-    Every task sums what it reads before anything is shuffled.
+
+def lists_of(values: np.ndarray, ends: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values, kind))
+
+
+def gather(docs: DataFrame, depth: int, parts: int, block: int, size: int = 1 << 20) -> DataFrame:
+    """``docs`` (row, text, train) in blocks, with the grams and words of each block.
+
+    A task's rows form blocks of about ``block`` bytes. Result rows hold either a ``row`` of a block,
+    or, for one block, kind and part, the distinct ``keys`` in the block's whole texts and how often
+    they occur in its training texts.
     """
 
     def run(batches):
+        task, number, taken = TaskContext.get().partitionId() << 20, 0, 0
+        found = {GRAM: Counts(), WORD_HASH: Counts()}
+        shape = None
+
         def emit():
-            for kind, (keys, counts) in found.items():
-                if keys:
-                    keys, counts = _summed(keys, counts)
-                    for at in range(0, len(keys), 1 << 18):
-                        part = slice(at, at + (1 << 18))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keys[part]), kind, np.int32)), pa.array(keys[part]), pa.array(counts[part])], names=["kind", "key", "n"])
-
-        found, many = {GRAM: ([], []), WORD_HASH: ([], [])}, 0
+            for kind, counts in found.items():
+                keys, n = counts.merged()
+                if not len(keys):
+                    continue
+                part = part_of(kind, keys, depth, parts)
+                order = np.argsort(part, kind="stable")
+                there, first = np.unique(part[order], return_index=True)
+                ends = np.r_[first[1:], len(keys)]
+                m = len(there)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, task + number)), pa.nulls(m, shape), pa.array(np.full(m, kind, np.int32)), pa.array(there.astype(np.int32)),
+                     lists_of(keys[order], ends, pa.int64()), lists_of(n[order], ends, pa.int64())],
+                    names=["block", "row", "kind", "part", "keys", "n"])
+                found[kind] = Counts()
+
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            shape = batch.schema.field(0).type
+            texts, train = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), bool)
             for begin, end in chunks(texts, size):
-                chunk = Chunk.of(texts[begin:end], depth)
-                for kind, values in ((GRAM, chunk.grams(depth)), (WORD_HASH, chunk.word_hashes())):
-                    values.sort()
-                    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-                    found[kind][0].append(values[at])
-                    found[kind][1].append(np.diff(np.r_[at, len(values)]))
-                    many += len(at)
-                if many > held:
-                    small = {k: tuple([x] for x in _summed(*v)) for k, v in found.items()}
-                    many = sum(len(v[0][0]) for v in small.values())
-                    found = small
-                    if many > held // 2:
-                        yield from emit()
-                        found, many = {GRAM: ([], []), WORD_HASH: ([], [])}, 0
+                chunk, learns = Chunk(texts[begin:end], depth), train[begin:end]
+                for owner, code in chunk.grams(size):
+                    for seen in (True, False):
+                        keys, n = np.unique(code[learns[owner] == seen], return_counts=True)
+                        found[GRAM].add(keys, n * seen)
+                hashes = chunk.word_hashes()
+                for seen in (True, False):
+                    keys, n = np.unique(hashes[learns[chunk.word_text] == seen], return_counts=True)
+                    found[WORD_HASH].add(keys, n * seen)
+                m = end - begin
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, task + number)), batch.column(0).slice(begin, m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()),
+                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names=["block", "row", "kind", "part", "keys", "n"])
+                taken += len(chunk.data)
+                if taken >= block:
+                    yield from emit()
+                    number, taken = number + 1, 0
         yield from emit()
 
-    return train.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    long_list = T.ArrayType(T.LongType())
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("row", docs.schema["row"].dataType), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("keys", long_list), T.StructField("n", long_list)])
+    return docs.mapInArrow(run, schema)
+
+
+def add_up(found: DataFrame) -> DataFrame:
+    """(kind, part, keys, n): all distinct keys of each part, sorted, with their counts over all blocks.
+
+    Parts are folded block by block; a part holds no more than its own distinct keys.
+    """
+
+    def run(batches):
+        held, at = Counts(), None
+
+        def emit():
+            keys, n = held.merged()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), lists_of(keys, np.array([len(keys)]), pa.int64()), lists_of(n, np.array([len(keys)]), pa.int64())],
+                names=["kind", "part", "keys", "n"])
+
+        for batch in batches:
+            kinds, numbers, keys, n = (batch.column(i) for i in range(4))
+            for i, new in enumerate(zip(kinds.to_pylist(), numbers.to_pylist())):
+                if at is not None and new != at:
+                    yield emit()
+                    held = Counts()
+                at = new
+                held.add(keys[i].values.to_numpy(), n[i].values.to_numpy())
+        if at is not None:
+            yield emit()
+
+    dealt = found.select("kind", "part", "keys", "n").repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return dealt.mapInArrow(run, "kind int, part int, keys array<long>, n array<long>")
 
 
 def log_gamma(x):
@@ -136,179 +215,267 @@ def log_kt(a, b):
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-@dataclass
-class Tree:
-    """Frozen weighted tree: ``child[node, byte]`` (or NO_CHILD) and ``logp[node, byte]``.
+class Nodes:
+    """Decision nodes of one depth and bit: counts, weighted probability, weight of the own estimate."""
 
-    A text's context is followed to the deepest kept node; ``logp`` there is the base-10 logarithm
-    of the byte's probability, its eight binary decisions each mixed over all depths on the path.
-    """
+    def __init__(self, zero, one, below=None):
+        self.zero, self.one = zero, one
+        own = log_kt(zero, one)
+        self.log_weighted = own if below is None else np.logaddexp(HALF + own, HALF + below)
+        self.stay = np.ones_like(own) if below is None else np.exp(HALF + own - self.log_weighted)
+        self.p = (one + 0.5) / (zero + one + 1.0)
+        self.seen = zero + one > 0
 
-    child: np.ndarray
-    logp: np.ndarray
 
+def mixed(q, seen, stay, p):
+    """Probability of a one at a node, given ``q`` at its child; a child without counts leaves the node's own estimate."""
+    return np.where(seen, stay * p + (1 - stay) * q, p)
 
-def weigh(depths: np.ndarray, parents: np.ndarray, edges: np.ndarray, counts: np.ndarray, block: int = 8) -> Tree:
-    """Weights all nodes by context-tree weighting, once for each of the 255 binary decisions.
 
-    Nodes come in order of depth, the root first. At a node with kept children the weighted
-    probability is half its own estimate and half the product over its children; contexts that are
-    not kept share one further child, whose estimate is over what the kept ones leave. Decisions are
-    independent of each other and taken ``block`` at a time.
-    """
-    n, half = len(depths), math.log(0.5)
-    inner = np.zeros((n, 1), bool)
-    inner[parents[1:]] = True
-    level = [np.flatnonzero(depths == d) for d in range(int(depths.max()) + 1)]
-    logp, values = np.zeros((n, 256), np.float32), np.arange(256)
-
-    def rest(of):
-        left = of.copy()
-        np.subtract.at(left, parents[1:], of[1:])
-        return np.where(inner, left, of)
-
-    def decide(zero, one):
-        """Probability of a one at every node, for some decisions with these counts."""
-        zero_r, one_r = rest(zero), rest(one)
-        own, other = log_kt(zero, one), log_kt(zero_r, one_r)
-        below, weighted = np.zeros_like(own), np.empty_like(own)
-        for nodes in reversed(level):
-            mixed = np.logaddexp(half + own[nodes], half + other[nodes] + below[nodes])
-            weighted[nodes] = np.where(inner[nodes], mixed, own[nodes])
-            if depths[nodes[0]] > 0:
-                np.add.at(below, parents[nodes], weighted[nodes])
-        stay = np.where(inner, np.exp(half + own - weighted), 1.0)
-        p = (one + 0.5) / (zero + one + 1.0)
-        q = stay * p + (1 - stay) * (one_r + 0.5) / (zero_r + one_r + 1.0)
-        at = np.arange(n)
-        for _ in range(len(level) - 1):
-            up = depths[at] > 0
-            at = np.where(up, parents[at], at)
-            q[up] = stay[at[up]] * p[at[up]] + (1 - stay[at[up]]) * q[up]
-        return q
-
-    for bit in range(8):
-        width = 1 << (7 - bit)
-        for first in range(0, 1 << bit, block):
-            last = min(first + block, 1 << bit)
-            part = counts[:, first * 2 * width : last * 2 * width].reshape(n, last - first, 2, width).sum(-1, dtype=np.float64)
-            q = decide(part[:, :, 0], part[:, :, 1])
-            mine = values[(values >> (8 - bit) >= first) & (values >> (8 - bit) < last)]
-            q = q[:, (mine >> (8 - bit)) - first]
-            logp[:, mine] += np.log10(np.where(mine >> (7 - bit) & 1, q, 1 - q)).astype(np.float32)
-    child = np.full((n, 256), NO_CHILD, np.uint16)
-    child[parents[1:], edges[1:]] = np.arange(1, n)
-    return Tree(child, logp)
-
-
-def frequent(counted: DataFrame, column: str, most: int):
-    """Condition that keeps the highest counts of ``column``, in steps of an eighth of an octave, and at most ``most`` rows."""
-    grade = F.floor(F.log2(column) * 8).cast("int")
-    cut, held = None, 0
-    for r in counted.groupBy(grade.alias("g")).agg(F.count("*").alias("m")).orderBy(F.desc("g")).collect():
-        if held + r.m > most:
-            break
-        cut, held = r.g, held + r.m
-    return F.lit(False) if cut is None else grade >= cut
-
-
-def fit_tree(grams: DataFrame, depth: int, most: int, scratch: Scratch) -> Tree:
-    """Context tree of the gram counts (key, n).
-
-    The most frequent contexts, over all depths and ``most`` at the most, are nodes of their own;
-    rarer ones count at their longest kept suffix. A context is never more frequent than its
-    suffixes, so the kept ones form a tree. ``most`` bounds what reaches the driver and what is
-    broadcast (1.5 KB a node), at any size of the corpus.
+class Subtrees:
+    """Weighted context subtrees below all contexts of ``root`` bytes in some sorted grams with counts.
+
+    At a node the weighted probability is half its own estimate and half the product over its
+    children, for each of the binary decisions of a byte; the deepest nodes have their estimate
+    alone. ``tops`` gives what the nodes above need, ``scores`` each gram's probability.
     """
-    at = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * d) - 1).cast("long")).alias("context")) for d in range(depth + 1))))
-    spread = grams.select("n", F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("byte"), at.alias("e")).select("n", "byte", "e.*")
-    seen = scratch.put(spread.groupBy("d", "context").agg(F.sum("n").alias("m")), "contexts")
-    kept = seen.where((F.col("d") == 0) | frequent(seen.where("d > 0"), "m", most)).select("d", "context")
-    kept = scratch.put(kept, "nodes")
-    key = lambda frame: frame["d"].to_numpy().astype(np.int64) << 48 | frame["context"].to_numpy()
-    nodes = np.sort(key(kept.toPandas()))
-    if not len(nodes):
-        return weigh(np.zeros(1, int), np.zeros(1, int), np.zeros(1, int), np.zeros((1, 256), np.int64))
-    d, context = nodes >> 48, nodes & ((1 << 48) - 1)
-    shorter = np.maximum(d - 1, 0)
-    parents = np.searchsorted(nodes, shorter << 48 | context & ((1 << 8 * shorter) - 1))
-    edges = context >> 8 * shorter
-    found = spread.join(F.broadcast(kept), ["d", "context"]).groupBy("d", "context", "byte").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(nodes), 256), np.int64)
-    counts[np.searchsorted(nodes, key(found)), found["byte"].to_numpy()] = found["n"].to_numpy()
-    del found
-    return weigh(d, parents, edges, counts)
-
-
-def byte_scores(chunk: Chunk, tree: Tree, depth: int) -> np.ndarray:
-    """Base-10 log-probability of each predicted byte of ``chunk``."""
-    child, logp = tree.child.ravel(), tree.logp.ravel()
-    node, live = np.zeros(len(chunk.positions), np.int64), np.arange(len(chunk.positions))
-    for back in range(1, depth + 1):
-        step = child[node[live] << 8 | chunk.bytes_[chunk.positions[live] - back]]
-        go = step != NO_CHILD
-        live, step = live[go], step[go]
-        node[live] = step
-    return logp[node << 8 | chunk.bytes_[chunk.positions]].astype(np.float64)
-
-
-def score(docs: DataFrame, train: DataFrame, scratch: Scratch, depth: int = 5, nodes: int = 24_576, hot: int = 1 << 18, size: int = 1 << 20) -> DataFrame:
-    """(row of ``docs``) + n_tokens, n_known, train_tokens, n_bytes, base_score, score, bits_per_byte.
 
-    ``score`` is the base-10 log-probability of the whole text in its normal form (null: empty)
-    under a context tree of ``depth`` bytes and ``nodes`` nodes at most, fitted to ``train``; ``base_score`` that of a word
-    unigram with add-one smoothing. The ``hot`` most frequent words at most are looked up in
-    memory, all others by a join; words are told apart by 64-bit hashes. Existing columns of the
-    added names are replaced; an empty ``train`` gives uniform bytes and a base of 0.
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.keys, self.depth, self.root = keys, depth, min(ROOT, depth)
+        rows, counts, self.up = {depth: keys}, {depth: n.astype(np.float64)}, {}
+        for d in range(depth - 1, self.root - 1, -1):
+            shorter = rows[d + 1] >> 16 << 8 | rows[d + 1] & 255
+            rows[d], self.up[d + 1] = np.unique(shorter, return_inverse=True)
+            counts[d] = np.bincount(self.up[d + 1], weights=counts[d + 1], minlength=len(rows[d]))
+        self.rows, self.counts = rows, counts
+
+    def bit(self, b: int):
+        """(nodes, node of each row) by depth, for the decisions on bit ``b``; the nodes' codes at the root."""
+        nodes, of_row, first = {}, {}, {}
+        for d in range(self.depth, self.root - 1, -1):
+            code = self.rows[d] >> (8 - b)
+            new = np.r_[True, code[1:] != code[:-1]]
+            first[d], of_row[d] = np.flatnonzero(new), np.cumsum(new) - 1
+            one = np.where(self.rows[d] >> (7 - b) & 1, self.counts[d], 0.0)
+            ones, total = np.add.reduceat(one, first[d]), np.add.reduceat(self.counts[d], first[d])
+            below = None
+            if d < self.depth:
+                parent = of_row[d][self.up[d + 1][first[d + 1]]]
+                below = np.bincount(parent, weights=nodes[d + 1].log_weighted, minlength=len(first[d]))
+            nodes[d] = Nodes(total - ones, ones, below)
+        return nodes, of_row, code[first[self.root]]
+
+    def tops(self):
+        """(context of root - 1 bytes << 8 | decision, zeros, ones, summed ln of the weighted probabilities)."""
+        for b in range(8):
+            nodes, _, code = self.bit(b)
+            r = nodes[self.root]
+            context, decision = code >> b >> 8, (1 << b) | (code & ((1 << b) - 1))
+            at, inverse = np.unique(context << 8 | decision, return_inverse=True)
+            yield at, *(np.bincount(inverse, weights=w) for w in (r.zero, r.one, r.log_weighted))
+
+    def scores(self, top: "Top") -> np.ndarray:
+        """log10 probability of every gram's byte, all depths mixed."""
+        out, byte = np.zeros(len(self.keys), np.float64), self.keys & 255
+        for b in range(8):
+            nodes, of_row, _ = self.bit(b)
+            at, row = of_row[self.depth], np.arange(len(self.keys))
+            q, seen = nodes[self.depth].p[at], nodes[self.depth].seen[at]
+            for d in range(self.depth - 1, self.root - 1, -1):
+                row = self.up[d + 1][row]
+                at = of_row[d][row]
+                q, seen = mixed(q, seen, nodes[d].stay[at], nodes[d].p[at]), nodes[d].seen[at]
+            decision = (1 << b) | byte >> (8 - b)
+            for d in range(self.root - 1, -1, -1):
+                context = self.keys >> 8 * (self.depth + 1 - d)
+                stay, p, known = top.find(d, context << 8 | decision)
+                q, seen = mixed(q, seen, stay, p), known
+            out += np.log10(np.where(byte >> (7 - b) & 1, q, 1 - q))
+        return out
+
+
+class Top:
+    """Decision nodes of the contexts shorter than the subtrees' roots: at most 65,793 contexts at any size of the corpus."""
+
+    def __init__(self, levels):
+        self.levels = levels  # by depth: sorted codes, stay, p
+
+    @classmethod
+    def of(cls, codes, zero, one, below, depth: int) -> Top:
+        levels = []
+        for _ in range(depth + 1):
+            order = np.argsort(codes)
+            codes, zero, one, below = codes[order], zero[order], one[order], below[order]
+            nodes = Nodes(zero, one, below)
+            levels.append((codes, nodes.stay, nodes.p))
+            codes, inverse = np.unique(codes >> 16 << 8 | codes & 255, return_inverse=True)
+            zero, one, below = (np.bincount(inverse, weights=w, minlength=len(codes)) for w in (zero, one, nodes.log_weighted))
+        return cls(levels[::-1])
+
+    def find(self, depth: int, codes):
+        """(stay, p, known) of decision nodes; an unknown one has the estimate of no counts."""
+        have, stay, p = self.levels[depth]
+        if not len(have):
+            return np.ones(len(codes)), np.full(len(codes), 0.5), np.zeros(len(codes), bool)
+        at = np.minimum(np.searchsorted(have, codes), len(have) - 1)
+        known = have[at] == codes
+        return np.where(known, stay[at], 1.0), np.where(known, p[at], 0.5), known
+
+
+def fit_top(grams: DataFrame, depth: int) -> Top:
+    """The tree's top from the summed grams (keys, n) of all parts."""
+
+    def run(batches):
+        for batch in batches:
+            for keys, n in zip(batch.column(0), batch.column(1)):
+                n = n.values.to_numpy()
+                some = n > 0
+                if some.any():
+                    for columns in Subtrees(keys.values.to_numpy()[some], n[some], depth).tops():
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["code", "zero", "one", "below"])
+
+    tops = grams.select("keys", "n").mapInArrow(run, "code long, zero double, one double, below double")
+    sums = tops.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).toPandas()
+    return Top.of(*(sums[c].to_numpy() for c in ("code", "zero", "one", "below")), min(ROOT, depth) - 1)
+
+
+def values_of(found: DataFrame, sums: DataFrame, top, depth: int) -> DataFrame:
+    """(block, kind, keys, value) of every block's keys: log10 probability of a gram, training count of a word.
+
+    A part's sums come first and are solved once; then its blocks pass by, one at a time.
     """
-    added = ("n_tokens", "n_known", "train_tokens", "n_bytes", "base_score", "score", "bits_per_byte")
-    docs = docs.drop(*added)
-    counts = scratch.put(gather(train, depth), "counts")
-    words = counts.where(F.col("kind") == WORD_HASH).select("key", "n")
-    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_texts = train.count()
-    total, kinds = n_words + n_texts, distinct + (n_texts > 0)
-
-    often = words.where(frequent(words, "n", hot)).toPandas()
-    order = np.argsort(often["key"].to_numpy())
-    keys, logs = often["key"].to_numpy()[order], np.log10(often["n"].to_numpy() + 1.0)[order]
-    tree = fit_tree(counts.where(F.col("kind") == GRAM).select("key", "n"), depth, nodes, scratch)
-    model = docs.sparkSession.sparkContext.broadcast((tree.child, tree.logp, keys, logs))
-    at = docs.columns.index("text")
 
     def run(batches):
-        child, logp, keys, logs = model.value
+        model, at, keys, value = Top(top.value), None, None, None
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for begin, end in chunks(texts, size):
-                chunk = Chunk.of(texts[begin:end], depth)
-                total = np.add.reduceat(byte_scores(chunk, Tree(child, logp), depth), chunk.first)
-                h = chunk.word_hashes()
-                place = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-                hit = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                owner = np.repeat(np.arange(end - begin), chunk.words)
-                base = np.bincount(owner[hit], weights=logs[place[hit]] if len(keys) else None, minlength=end - begin)
-                known = np.bincount(owner[hit], minlength=end - begin)
-                missed = np.bincount(owner[~hit], minlength=end - begin)
-                tail = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(missed)].astype(np.int32)), pa.array(h[~hit]))
-                part = batch.slice(begin, end - begin)
-                lens = np.diff(np.r_[chunk.first, len(chunk.positions)])
-                cols = [pa.array(x) for x in (chunk.words + 1, known.astype(np.int64), lens, base.astype(np.float64), total)]
-                names = ["n_tokens", "_known", "n_bytes", "_base", "score", "_tail"]
-                keep = [i for i in range(len(batch.schema.names)) if i != at]
+            kinds, numbers, blocks = (batch.column(i).to_pylist() for i in range(3))
+            for i, (kind, part, block) in enumerate(zip(kinds, numbers, blocks)):
+                mine = batch.column(3)[i].values.to_numpy()
+                if block is None:
+                    n = batch.column(4)[i].values.to_numpy()
+                    at, keys = (kind, part), mine
+                    value = n.astype(np.float64) if kind == WORD_HASH else Subtrees(keys, n, depth).scores(model)
+                    continue
+                assert at == (kind, part)
+                got = value[np.searchsorted(keys, mine)].astype(np.float32 if kind == GRAM else np.float64)
+                whole = np.array([len(mine)])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in keep), *cols, tail], names=[*(batch.schema.names[i] for i in keep), *names])
-
-    rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*rest, "n_tokens long, _known long, n_bytes long, _base double, score double, _tail array<long>"])
-    scored = scratch.put(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("_row", F.explode("_tail").alias("key")).join(words, "key").groupBy("_row").agg(
-        F.sum(F.log10(F.col("n") + 1)).alias("_more"), F.count("*").alias("_found"))
-    end = math.log10(n_texts + 1)
-    out = scored.drop("_tail").join(tail, "_row", "left")
+                    [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), lists_of(mine, whole, pa.int64()),
+                     lists_of(got, whole, pa.float32()) if kind == GRAM else pa.nulls(1, pa.list_(pa.float32())),
+                     lists_of(got, whole, pa.float64()) if kind == WORD_HASH else pa.nulls(1, pa.list_(pa.float64()))],
+                    names=["block", "kind", "keys", "score", "count"])
+
+    first = sums.select("kind", "part", F.lit(None).cast("long").alias("block"), "keys", "n")
+    then = found.select("kind", "part", "block", "keys", F.lit(None).cast("array<long>").alias("n"))
+    dealt = first.unionByName(then).repartition("kind", "part").sortWithinPartitions("kind", "part", F.col("block").asc_nulls_first())
+    return dealt.mapInArrow(run, "block long, kind int, keys array<long>, score array<float>, count array<double>")
+
+
+class Lookup:
+    """Values of int64 keys in an open-addressing table."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32)
+        self.values = values
+        todo, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(todo):  # of those that meet at a free slot, one stays
+            free = self.at[slot] < 0
+            self.at[slot[free]] = todo[free]
+            won = free & (self.at[slot] == todo)
+            self.keys[slot[won]] = keys[todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys):
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all in the table."""
+        slot = self._slot(keys)
+        on = np.flatnonzero(self.keys[slot] != keys)
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
+            on = on[self.keys[slot[on]] != keys[on]]
+        return self.values[self.at[slot]]
+
+
+def score_blocks(rows: DataFrame, values: DataFrame, depth: int, size: int = 1 << 20) -> DataFrame:
+    """(row, n_tokens, known, n_bytes, base, score) of every text: its block's values come first, then its rows."""
+    kind_of_row = rows.schema["row"]
+    at = [f.name for f in kind_of_row.dataType.fields].index("text")
+
+    def run(batches):
+        held, tables, now = {GRAM: [], WORD_HASH: []}, {}, None
+        for batch in batches:
+            blocks, kinds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            begin = 0
+            while begin < len(blocks):
+                if blocks[begin] != now:
+                    held, tables, now = {GRAM: [], WORD_HASH: []}, {}, blocks[begin]
+                if kinds[begin] is not None:
+                    kind = kinds[begin]
+                    held[kind].append((batch.column(3)[begin].values.to_numpy(), batch.column(4 + kind)[begin].values.to_numpy()))
+                    begin += 1
+                    continue
+                end = begin
+                while end < len(blocks) and blocks[end] == now and kinds[end] is None:
+                    end += 1
+                if not tables:
+                    none = np.zeros(0, np.int64)
+                    tables = {kind: Lookup(*(np.concatenate([none, *c]) for c in ([v[j] for v in parts] for j in (0, 1)))) for kind, parts in held.items()}
+                    held = {}
+                texts = batch.column(1).slice(begin, end - begin).field(at).to_pylist()
+                for a, b in chunks(texts, size):
+                    chunk = Chunk(texts[a:b], depth)
+                    total = np.zeros(b - a)
+                    for owner, code in chunk.grams(size):
+                        total += np.bincount(owner, weights=tables[GRAM].of(code), minlength=b - a)
+                    n = tables[WORD_HASH].of(chunk.word_hashes())
+                    sums = [np.bincount(chunk.word_text, weights=w, minlength=b - a) for w in (np.ones(len(n)), n > 0, np.log10(n + 1.0))]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(1).slice(begin + a, b - a), pa.array(sums[0].astype(np.int64) + 1), pa.array(sums[1].astype(np.int64)), pa.array(chunk.lens), pa.array(sums[2]), pa.array(total)],
+                        names=["row", "n_tokens", "known", "n_bytes", "base", "score"])
+                begin = end
+
+    none = lambda kind: F.lit(None).cast(kind)
+    first = values.select("block", none(kind_of_row.dataType).alias("row"), "kind", "keys", "score", "count")
+    then = rows.select("block", "row", none("int").alias("kind"), none("array<long>").alias("keys"), none("array<float>").alias("score"), none("array<double>").alias("count"))
+    dealt = first.unionByName(then).repartition("block").sortWithinPartitions("block", F.col("kind").asc_nulls_last())
+    out = [T.StructField(k, t()) for k, t in (("n_tokens", T.LongType), ("known", T.LongType), ("n_bytes", T.LongType), ("base", T.DoubleType), ("score", T.DoubleType))]
+    return dealt.mapInArrow(run, T.StructType([kind_of_row, *out]))
+
+
+def score(docs: DataFrame, train, scratch: Scratch, depth: int = 6, block: int = 32 << 20, parts: int | None = None) -> DataFrame:
+    """``docs`` + n_tokens, n_known, train_tokens, n_bytes, base_score, score, bits_per_byte.
+
+    ``score`` is the base-10 log-probability of the whole text in its normal form (null: empty)
+    under a context tree of ``depth`` bytes, at most 6, of the rows where ``train`` holds; every
+    context that they hold is a node. ``base_score`` is that of a word unigram with add-one
+    smoothing. A context that training texts never show before a decision has no estimate: the
+    longest shown one decides. Words are told apart by 64-bit hashes. Existing columns of the added
+    names are replaced; without training rows, bytes are uniform and the base is 0.
+
+    Texts are read in blocks of about ``block`` bytes. Only a block's distinct grams travel: to the
+    part that holds their subtree, and back with their probability. ``parts`` follows the input's
+    partitions, up to 4,096.
+    """
+    added = ("n_tokens", "n_known", "train_tokens", "n_bytes", "base_score", "score", "bits_per_byte")
+    docs = docs.drop(*added)
+    learns = F.coalesce(train, F.lit(False))
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), learns.alias("train"))
+    parts = parts or min(4096, max(16, 2 * docs.rdd.getNumPartitions()))
+    n_texts = docs.where(learns).count()
+    read = scratch.put(gather(packed, depth, parts, block), "blocks")
+    rows, found = read.where("kind is null"), read.where("kind is not null")
+    sums = scratch.put(add_up(found), "sums")
+    total, distinct = sums.where(F.col("kind") == WORD_HASH).agg(
+        F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("n", lambda x: x > 0))), F.lit(0))).first()
+    total, kinds = total + n_texts, distinct + (n_texts > 0)
+    top = docs.sparkSession.sparkContext.broadcast(fit_top(sums.where(F.col("kind") == GRAM), depth).levels)
+    out = score_blocks(rows, values_of(found, sums, top, depth), depth)
+    each = math.log10(total + kinds + 1)
     return out.select(
-        *(c for c in docs.columns if c != "text"), "n_tokens",
-        (F.col("_known") + F.coalesce("_found", F.lit(0)) + F.lit(int(n_texts > 0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), "n_bytes",
-        (F.col("_base") + F.coalesce("_more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * F.lit(math.log10(total + kinds + 1))).alias("base_score"),
+        *(F.col("row").getField(c).alias(c) for c in docs.columns), "n_tokens",
+        (F.col("known") + F.lit(int(n_texts > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), "n_bytes",
+        (F.col("base") + F.lit(math.log10(n_texts + 1)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
         "score", (-F.col("score") * F.lit(math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))

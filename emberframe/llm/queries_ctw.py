@@ -9,7 +9,7 @@ from emberframe.llm.ctw import score
 def op3_ctw(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    scored = score(docs, docs.where(~held), Scratch(spark))
+    scored = score(docs, ~held, Scratch(spark))
     return scored.select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 

@@ -345,43 +345,42 @@ def plain_probability(nodes, depth, context, byte):
     def kt(n):
         return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(n[0] + n[1] + 1) - math.log(math.pi)
 
-    def split(counter, bit, prefix):
+    def split(ctx, bit, prefix):
         n = [0, 0]
-        for b, c in counter.items():
+        for b, c in nodes.get(ctx, {}).items():
             if b >> (8 - bit) == prefix:
                 n[b >> (7 - bit) & 1] += c
         return n
 
     def weighted(ctx, bit, prefix):
-        n = split(nodes[ctx], bit, prefix)
-        kids = [c for c in list(nodes) if len(c) == len(ctx) + 1 and c.endswith(ctx)] if len(ctx) < depth else []
-        if not kids:
+        n = split(ctx, bit, prefix)
+        if len(ctx) == depth:
             return kt(n)
-        return math.log(0.5) + np.logaddexp(kt(n), sum(weighted(k, bit, prefix) for k in kids) + kt([0, 0]))
+        kids = [c for c in list(nodes) if len(c) == len(ctx) + 1 and c.endswith(ctx)]
+        return math.log(0.5) + np.logaddexp(kt(n), sum(weighted(k, bit, prefix) for k in kids))
 
     p = 1.0
     for bit in range(8):
         prefix, want = byte >> (8 - bit), byte >> (7 - bit) & 1
-        path = [context[len(context) - d :] for d in range(depth + 1)]
-        path = [c for c in path if c in nodes or not c]
         q = None
-        for ctx in reversed(path):
-            n = split(nodes[ctx], bit, prefix)
+        for d in range(depth, -1, -1):
+            ctx = context[len(context) - d :]
+            n = split(ctx, bit, prefix)
             own = (n[want] + 0.5) / (sum(n) + 1)
-            kids = len(ctx) < depth and any(len(c) == len(ctx) + 1 and c.endswith(ctx) for c in list(nodes))
-            if not kids:
-                q = own
+            if d == depth or q is None:
+                q = own if sum(n) else None
                 continue
             stay = math.exp(math.log(0.5) + kt(n) - weighted(ctx, bit, prefix))
-            q = stay * own + (1 - stay) * (0.5 if q is None else q)
-        p *= q
+            q = stay * own + (1 - stay) * q
+        p *= 0.5 if q is None else q
     return p
 
 
-def test_context_tree_equals_plain_recursion(spark):
-    train, depth = ["aab ab", "abba", "b"], 2
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*train, "abab", "zz", None, ""])], "doc_id long, text string")
-    got = {r.doc_id: r for r in ctw.score(docs, docs.where("doc_id < 3"), Scratch(spark), depth=depth).collect()}
+@pytest.mark.parametrize("depth", [1, 2, 4, 5])
+def test_context_tree_equals_plain_recursion(spark, depth):
+    train = ["aab ab", "abba", "b", "abbab aab"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*train, "abab", "zz", "abc", None, ""])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ctw.score(docs, F.col("doc_id") < 4, Scratch(spark), depth=depth, block=10).collect()}
     nodes = plain_tree(train, depth)
     for r in docs.collect():
         data = b"\n" * depth + ctw.normal(r.text)
@@ -389,26 +388,36 @@ def test_context_tree_equals_plain_recursion(spark):
         assert math.isclose(got[r.doc_id].score, want, rel_tol=1e-5)
 
 
-def test_word_base_and_tail_join(spark, docs, rows, empty):
-    train = docs.where("doc_id % 3 <> 0")
-    got = ctw.score(docs.withColumn("score", F.lit("clash")), train, Scratch(spark), hot=5).collect()
+def test_tree_probabilities_sum_to_one(spark):
+    rng = random.Random(3)
+    texts = [words(rng, 60) for _ in range(5)]
+    probes = [texts[0][:40] + chr(c) for c in range(33, 127)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + probes + [texts[0][:40]])], "doc_id long, text string")
+    got = {r.doc_id: 10 ** r.score for r in ctw.score(docs, F.col("doc_id") < 5, Scratch(spark)).collect()}
+    assert sum(v for i, v in got.items() if 5 <= i < 99) <= sum(v for i, v in got.items()) and all(0 < v <= 1 for v in got.values())
+
+
+def test_word_base(spark, docs, rows, empty):
+    train = F.expr("doc_id % 3 <> 0")
+    clash = docs.withColumn("score", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("block", F.lit(2)).withColumn("kind", F.lit(3))
+    got = ctw.score(clash, train, Scratch(spark)).collect()
     counts = collections.Counter()
     n = 0
-    for r in train.collect():
+    for r in docs.where(train).collect():
         counts.update((r.text or "").encode().lower().split())
         n += 1
     total, kinds = sum(counts.values()) + n, len(counts) + 1
-    texts = collections.Counter((r.doc_id, (r.text or "")) for r in docs.collect())
-    by_id = {i: t for i, t in texts}
+    by_id = {r.doc_id: (r.text or "") for r in docs.collect()}
     assert len(got) == docs.count()
     for r in got:
         w = by_id[r.doc_id].encode().lower().split()
         base = sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in w) + math.log10((n + 1) / (total + kinds + 1))
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.n_tokens == len(w) + 1
         assert r.n_known == sum(counts[x] > 0 for x in w) + 1 and r.train_tokens == total
-    none = ctw.score(docs, empty, Scratch(spark)).collect()
+        assert (r.row, r.block, r.kind) == (1, 2, 3)
+    none = ctw.score(docs, F.lit(False), Scratch(spark)).collect()
     assert all(math.isclose(r.bits_per_byte, 8, rel_tol=1e-6) and r.base_score == 0 and r.n_known == 0 for r in none)
-    assert ctw.score(empty, docs, Scratch(spark)).count() == 0
+    assert ctw.score(empty, F.lit(True), Scratch(spark)).count() == 0
 
 
 # quality
