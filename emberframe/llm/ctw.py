@@ -108,16 +108,23 @@ def part_of(kind: int, keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
     return ((head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
 
-def lists_of(values: np.ndarray, ends: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values, kind))
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all first bytes first: sorted keys and small counts shrink to a quarter."""
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpack(blob, many: int, kind=np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = pa.decompress(blob.as_py(), many * size, codec="zstd", asbytes=True) if many else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, many).T).view(kind).ravel()
 
 
 def gather(docs: DataFrame, depth: int, parts: int, block: int, size: int = 1 << 20) -> DataFrame:
     """``docs`` (row, text, train) in blocks, with the grams and words of each block.
 
     A task's rows form blocks of about ``block`` bytes. Result rows hold either a ``row`` of a block,
-    or, for one block, kind and part, the distinct ``keys`` in the block's whole texts and how often
-    they occur in its training texts.
+    or, for one block, kind and part, the ``many`` distinct ``keys`` in the block's whole texts and how
+    often they occur in its training texts, both packed.
     """
 
     def run(batches):
@@ -133,12 +140,12 @@ def gather(docs: DataFrame, depth: int, parts: int, block: int, size: int = 1 <<
                 part = part_of(kind, keys, depth, parts)
                 order = np.argsort(part, kind="stable")
                 there, first = np.unique(part[order], return_index=True)
-                ends = np.r_[first[1:], len(keys)]
                 m = len(there)
+                mine = [(keys[i], n[i]) for i in np.split(order, first[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(m, task + number)), pa.nulls(m, shape), pa.array(np.full(m, kind, np.int32)), pa.array(there.astype(np.int32)),
-                     lists_of(keys[order], ends, pa.int64()), lists_of(n[order], ends, pa.int64())],
-                    names=["block", "row", "kind", "part", "keys", "n"])
+                     pa.array([len(k) for k, _ in mine], pa.int32()), *(pa.array([pack(x[j]) for x in mine], pa.binary()) for j in (0, 1))],
+                    names=["block", "row", "kind", "part", "many", "keys", "n"])
                 found[kind] = Counts()
 
         for batch in batches:
@@ -156,23 +163,22 @@ def gather(docs: DataFrame, depth: int, parts: int, block: int, size: int = 1 <<
                     found[WORD_HASH].add(keys, n * seen)
                 m = end - begin
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, task + number)), batch.column(0).slice(begin, m), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()),
-                     pa.nulls(m, pa.list_(pa.int64())), pa.nulls(m, pa.list_(pa.int64()))], names=["block", "row", "kind", "part", "keys", "n"])
+                    [pa.array(np.full(m, task + number)), batch.column(0).slice(begin, m), *(pa.nulls(m, pa.int32()) for _ in range(3)),
+                     pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=["block", "row", "kind", "part", "many", "keys", "n"])
                 taken += len(chunk.data)
                 if taken >= block:
                     yield from emit()
                     number, taken = number + 1, 0
         yield from emit()
 
-    long_list = T.ArrayType(T.LongType())
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("row", docs.schema["row"].dataType), T.StructField("kind", T.IntegerType()), T.StructField("part", T.IntegerType()),
-        T.StructField("keys", long_list), T.StructField("n", long_list)])
+        T.StructField("block", T.LongType()), T.StructField("row", docs.schema["row"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("kind", "part", "many")),
+        T.StructField("keys", T.BinaryType()), T.StructField("n", T.BinaryType())])
     return docs.mapInArrow(run, schema)
 
 
 def add_up(found: DataFrame) -> DataFrame:
-    """(kind, part, keys, n): all distinct keys of each part, sorted, with their counts over all blocks.
+    """(kind, part, many, keys, n, total, known): all distinct keys of each part, sorted, with their counts over all blocks.
 
     Parts are folded block by block; a part holds no more than its own distinct keys.
     """
@@ -183,22 +189,22 @@ def add_up(found: DataFrame) -> DataFrame:
         def emit():
             keys, n = held.merged()
             return pa.RecordBatch.from_arrays(
-                [pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), lists_of(keys, np.array([len(keys)]), pa.int64()), lists_of(n, np.array([len(keys)]), pa.int64())],
-                names=["kind", "part", "keys", "n"])
+                [*(pa.array([x], pa.int32()) for x in (*at, len(keys))), pa.array([pack(keys)]), pa.array([pack(n)]), pa.array([int(n.sum())]), pa.array([int((n > 0).sum())])],
+                names=["kind", "part", "many", "keys", "n", "total", "known"])
 
         for batch in batches:
-            kinds, numbers, keys, n = (batch.column(i) for i in range(4))
-            for i, new in enumerate(zip(kinds.to_pylist(), numbers.to_pylist())):
+            kinds, numbers, many = (batch.column(i).to_pylist() for i in range(3))
+            for i, new in enumerate(zip(kinds, numbers)):
                 if at is not None and new != at:
                     yield emit()
                     held = Counts()
                 at = new
-                held.add(keys[i].values.to_numpy(), n[i].values.to_numpy())
+                held.add(*(unpack(batch.column(j)[i], many[i]) for j in (3, 4)))
         if at is not None:
             yield emit()
 
-    dealt = found.select("kind", "part", "keys", "n").repartition("kind", "part").sortWithinPartitions("kind", "part")
-    return dealt.mapInArrow(run, "kind int, part int, keys array<long>, n array<long>")
+    dealt = found.select("kind", "part", "many", "keys", "n").repartition("kind", "part").sortWithinPartitions("kind", "part")
+    return dealt.mapInArrow(run, "kind int, part int, many int, keys binary, n binary, total long, known long")
 
 
 def log_gamma(x):
@@ -323,24 +329,24 @@ class Top:
 
 
 def fit_top(grams: DataFrame, depth: int) -> Top:
-    """The tree's top from the summed grams (keys, n) of all parts."""
+    """The tree's top from the summed grams (many, keys, n) of all parts."""
 
     def run(batches):
         for batch in batches:
-            for keys, n in zip(batch.column(0), batch.column(1)):
-                n = n.values.to_numpy()
+            for i, many in enumerate(batch.column(0).to_pylist()):
+                keys, n = unpack(batch.column(1)[i], many), unpack(batch.column(2)[i], many)
                 some = n > 0
                 if some.any():
-                    for columns in Subtrees(keys.values.to_numpy()[some], n[some], depth).tops():
+                    for columns in Subtrees(keys[some], n[some], depth).tops():
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["code", "zero", "one", "below"])
 
-    tops = grams.select("keys", "n").mapInArrow(run, "code long, zero double, one double, below double")
+    tops = grams.select("many", "keys", "n").mapInArrow(run, "code long, zero double, one double, below double")
     sums = tops.groupBy("code").agg(*(F.sum(c).alias(c) for c in ("zero", "one", "below"))).toPandas()
     return Top.of(*(sums[c].to_numpy() for c in ("code", "zero", "one", "below")), min(ROOT, depth) - 1)
 
 
 def values_of(found: DataFrame, sums: DataFrame, top, depth: int) -> DataFrame:
-    """(block, kind, keys, value) of every block's keys: log10 probability of a gram, training count of a word.
+    """(block, kind, many, keys, value), packed: of every block's keys, a gram's log10 probability or a word's training count.
 
     A part's sums come first and are solved once; then its blocks pass by, one at a time.
     """
@@ -348,27 +354,24 @@ def values_of(found: DataFrame, sums: DataFrame, top, depth: int) -> DataFrame:
     def run(batches):
         model, at, keys, value = Top(top.value), None, None, None
         for batch in batches:
-            kinds, numbers, blocks = (batch.column(i).to_pylist() for i in range(3))
+            kinds, numbers, blocks, many = (batch.column(i).to_pylist() for i in range(4))
             for i, (kind, part, block) in enumerate(zip(kinds, numbers, blocks)):
-                mine = batch.column(3)[i].values.to_numpy()
+                mine = unpack(batch.column(4)[i], many[i])
                 if block is None:
-                    n = batch.column(4)[i].values.to_numpy()
+                    n = unpack(batch.column(5)[i], many[i])
                     at, keys = (kind, part), mine
-                    value = n.astype(np.float64) if kind == WORD_HASH else Subtrees(keys, n, depth).scores(model)
+                    value = n.astype(np.float64) if kind == WORD_HASH else Subtrees(keys, n, depth).scores(model).astype(np.float32)
                     continue
                 assert at == (kind, part)
-                got = value[np.searchsorted(keys, mine)].astype(np.float32 if kind == GRAM else np.float64)
-                whole = np.array([len(mine)])
+                got = pack(value[np.searchsorted(keys, mine)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), lists_of(mine, whole, pa.int64()),
-                     lists_of(got, whole, pa.float32()) if kind == GRAM else pa.nulls(1, pa.list_(pa.float32())),
-                     lists_of(got, whole, pa.float64()) if kind == WORD_HASH else pa.nulls(1, pa.list_(pa.float64()))],
-                    names=["block", "kind", "keys", "score", "count"])
+                    [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([many[i]], pa.int32()), batch.column(4).slice(i, 1), pa.array([got])],
+                    names=["block", "kind", "many", "keys", "value"])
 
-    first = sums.select("kind", "part", F.lit(None).cast("long").alias("block"), "keys", "n")
-    then = found.select("kind", "part", "block", "keys", F.lit(None).cast("array<long>").alias("n"))
+    first = sums.select("kind", "part", F.lit(None).cast("long").alias("block"), "many", "keys", "n")
+    then = found.select("kind", "part", "block", "many", "keys", F.lit(None).cast("binary").alias("n"))
     dealt = first.unionByName(then).repartition("kind", "part").sortWithinPartitions("kind", "part", F.col("block").asc_nulls_first())
-    return dealt.mapInArrow(run, "block long, kind int, keys array<long>, score array<float>, count array<double>")
+    return dealt.mapInArrow(run, "block long, kind int, many int, keys binary, value binary")
 
 
 class Lookup:
@@ -407,22 +410,22 @@ def score_blocks(rows: DataFrame, values: DataFrame, depth: int, size: int = 1 <
     def run(batches):
         held, tables, now = {GRAM: [], WORD_HASH: []}, {}, None
         for batch in batches:
-            blocks, kinds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            blocks, kinds, many = (batch.column(i).to_pylist() for i in (0, 2, 3))
             begin = 0
             while begin < len(blocks):
                 if blocks[begin] != now:
                     held, tables, now = {GRAM: [], WORD_HASH: []}, {}, blocks[begin]
                 if kinds[begin] is not None:
                     kind = kinds[begin]
-                    held[kind].append((batch.column(3)[begin].values.to_numpy(), batch.column(4 + kind)[begin].values.to_numpy()))
+                    held[kind].append((unpack(batch.column(4)[begin], many[begin]), unpack(batch.column(5)[begin], many[begin], np.float32 if kind == GRAM else np.float64)))
                     begin += 1
                     continue
                 end = begin
                 while end < len(blocks) and blocks[end] == now and kinds[end] is None:
                     end += 1
                 if not tables:
-                    none = np.zeros(0, np.int64)
-                    tables = {kind: Lookup(*(np.concatenate([none, *c]) for c in ([v[j] for v in parts] for j in (0, 1)))) for kind, parts in held.items()}
+                    none = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                    tables = {kind: Lookup(*map(np.concatenate, zip(none, *parts))) for kind, parts in held.items()}
                     held = {}
                 texts = batch.column(1).slice(begin, end - begin).field(at).to_pylist()
                 for a, b in chunks(texts, size):
@@ -438,8 +441,8 @@ def score_blocks(rows: DataFrame, values: DataFrame, depth: int, size: int = 1 <
                 begin = end
 
     none = lambda kind: F.lit(None).cast(kind)
-    first = values.select("block", none(kind_of_row.dataType).alias("row"), "kind", "keys", "score", "count")
-    then = rows.select("block", "row", none("int").alias("kind"), none("array<long>").alias("keys"), none("array<float>").alias("score"), none("array<double>").alias("count"))
+    first = values.select("block", none(kind_of_row.dataType).alias("row"), "kind", "many", "keys", "value")
+    then = rows.select("block", "row", none("int").alias("kind"), none("int").alias("many"), none("binary").alias("keys"), none("binary").alias("value"))
     dealt = first.unionByName(then).repartition("block").sortWithinPartitions("block", F.col("kind").asc_nulls_last())
     out = [T.StructField(k, t()) for k, t in (("n_tokens", T.LongType), ("known", T.LongType), ("n_bytes", T.LongType), ("base", T.DoubleType), ("score", T.DoubleType))]
     return dealt.mapInArrow(run, T.StructType([kind_of_row, *out]))
@@ -463,13 +466,12 @@ def score(docs: DataFrame, train, scratch: Scratch, depth: int = 6, block: int =
     docs = docs.drop(*added)
     learns = F.coalesce(train, F.lit(False))
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), learns.alias("train"))
-    parts = parts or min(4096, max(16, 2 * docs.rdd.getNumPartitions()))
+    parts = parts or min(4096, max(16, docs.rdd.getNumPartitions()))
     n_texts = docs.where(learns).count()
     read = scratch.put(gather(packed, depth, parts, block), "blocks")
     rows, found = read.where("kind is null"), read.where("kind is not null")
     sums = scratch.put(add_up(found), "sums")
-    total, distinct = sums.where(F.col("kind") == WORD_HASH).agg(
-        F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("n", lambda x: x > 0))), F.lit(0))).first()
+    total, distinct = sums.where(F.col("kind") == WORD_HASH).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     total, kinds = total + n_texts, distinct + (n_texts > 0)
     top = docs.sparkSession.sparkContext.broadcast(fit_top(sums.where(F.col("kind") == GRAM), depth).levels)
     out = score_blocks(rows, values_of(found, sums, top, depth), depth)
