@@ -90,7 +90,7 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
 
 def search_inner(
     embeddings: DataFrame, is_query, scratch: Scratch, k: int = 20, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384,
-    slack: float = 0.1, copies: int = 4, ratio: float = 1.2, unit: int = 512, entries: int = 20_000, askers: int = 4096, seed: int = 9,
+    slack: float = 0.1, copies: int = 4, ratio: float = 1.2, unit: int = 512, entries: int = 20_000, askers: int = 1024, seed: int = 9,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row, the ``k`` rows of largest inner product found.
 
@@ -116,10 +116,11 @@ def search_inner(
         return pd.Series(np.linalg.norm(_matrix(v.tolist()), axis=1)) if len(v) else pd.Series([], dtype="float64")
 
     longest = kinds.agg(F.max(norm("v"))).first()[0]
-    index = spark.sparkContext.broadcast(Lists.fit(drawn, longest, total, per_list, most_lists, 24, seed))
+    fitted = Lists.fit(drawn, longest, total, per_list, most_lists, 24, seed)
+    index = spark.sparkContext.broadcast((fitted.centres, fitted.graph, fitted.longest))
 
     def file(batches):
-        model: Lists = index.value
+        model = Lists(*index.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -129,7 +130,7 @@ def search_inner(
 
     least = F.coalesce(F.get("ids", F.lit(0)), F.lit((1 << 63) - 1)).alias("least")  # breaks ties before every cut
     posted = scratch.put(kinds.select("cid", "v", least).mapInArrow(file, "list int, cid long, v binary, least long"), "posted")
-    n_lists = len(index.value.centres)
+    n_lists = len(fitted.centres)
     size = np.zeros(n_lists, np.int64)
     for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row for each list
         size[r.list] = r.n
@@ -139,8 +140,6 @@ def search_inner(
     group_of = np.random.default_rng(seed).permutation(int(units.sum())) % groups
 
     asked = rows.where(is_query).select("vec_id", "v")
-    n_asked = asked.count()
-    blocks = max(1, math.ceil(n_asked / askers))
 
     @F.pandas_udf("int")
     def unit_of(lists: pd.Series, cid: pd.Series) -> pd.Series:
@@ -153,7 +152,7 @@ def search_inner(
         return pd.Series(group_of[unit.to_numpy()].astype(np.int32))
 
     def ask(batches):
-        model: Lists = index.value
+        model = Lists(*index.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -170,18 +169,13 @@ def search_inner(
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_)], names=["g", "id", "v", "units"])
 
     asking = asked.mapInArrow(ask, "g int, id long, v binary, units binary").select(
-        "g", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(True).alias("asks"), "id", "v", "units", F.lit(None).cast("int").alias("unit"), F.lit(0).cast("long").alias("least"))
+        "g", F.lit(True).alias("asks"), "id", "v", "units", F.lit(None).cast("int").alias("unit"), F.lit(0).cast("long").alias("least"))
     held = posted.withColumn("unit", unit_of("list", "cid")).withColumn("g", to_group("unit")).select(
-        "g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(False).alias("asks"), F.col("cid").alias("id"), "v", F.lit(None).cast("binary").alias("units"), "unit", "least")
-
-    def read(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        q, y = block[block["asks"]], block[~block["asks"]].sort_values(["unit", "id"])
-        if not len(q) or not len(y):
-            return pd.DataFrame({"query_id": [], "cid": [], "least": [], "score": []}).astype({"query_id": "int64", "cid": "int64", "least": "int64", "score": "float64"})
-        qv, yv, yid, yu = _matrix(q["v"].tolist()), _matrix(y["v"].tolist()), y["id"].to_numpy(), y["unit"].to_numpy()
-        yl = y["least"].to_numpy(np.int64)
-        asks = [np.frombuffer(u, np.int32) for u in q["units"]]
+        "g", F.lit(False).alias("asks"), F.col("cid").alias("id"), "v", F.lit(None).cast("binary").alias("units"), "unit", "least")
+
+    def read(q, qid, asks, yv, yid, yu, yl):
         pair_q, pair_u = np.repeat(np.arange(len(q)), [len(a) for a in asks]), np.concatenate(asks)
+        qv = q
         keep = k + 1
         top = np.full((len(q), keep), -np.inf)
         who = np.full((len(q), keep), -1, np.int64)
@@ -205,9 +199,32 @@ def search_inner(
             order = np.lexsort((ids, -s), axis=1)[:, :keep]
             top[ask_], who[ask_], low[ask_] = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
         i, j = np.nonzero(np.isfinite(top))
-        return pd.DataFrame({"query_id": q["id"].to_numpy()[i], "cid": who[i, j], "least": low[i, j], "score": top[i, j]})
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid[i], who[i, j], low[i, j], top[i, j])], names=["query_id", "cid", "least", "score"])
 
-    found = asking.unionByName(held).groupBy("g", "b").applyInPandas(read, "query_id long, cid long, least long, score double")
+    def run(batches):
+        """A group's entries come first and are held; its askers then pass by, some at a time."""
+        now, parts, entry = None, [], None
+        for batch in batches:
+            g, asks = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), bool)
+            edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(g)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if g[lo] != now:
+                    now, parts, entry = g[lo], [], None
+                if not asks[lo]:
+                    parts.append(batch.slice(lo, hi - lo))
+                    continue
+                if entry is None and parts:
+                    rows = pa.Table.from_batches(parts).sort_by([("unit", "ascending"), ("id", "ascending")])
+                    entry = (_matrix(rows.column("v").to_pylist()), *(rows.column(c).to_numpy() for c in ("id", "unit", "least")))
+                    parts = []
+                for at in range(lo, hi if entry else lo, askers):
+                    some = batch.slice(at, min(askers, hi - at))
+                    yield read(_matrix(some.column("v").to_pylist()), some.column("id").to_numpy(), [np.frombuffer(u, np.int32) for u in some.column("units").to_pylist()], *entry)
+
+    dealt = asking.unionByName(held).repartition("g").sortWithinPartitions("g", "asks")
+    found = dealt.mapInArrow(run, "query_id long, cid long, least long, score double")
     best = found.groupBy("query_id", "cid").agg(F.max("score").alias("score"), F.min("least").alias("least"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "least", "cid")
     short = best.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= 2 * k)

@@ -34,6 +34,10 @@ class Index:
         cuts = [slice(i, min(i + sub, x.shape[1])) for i in range(0, x.shape[1], sub)]
         return cls(centres, [k_means(rest[:, c], codes, 5, seed) for c in cuts], cuts)
 
+    def plain(self) -> tuple:
+        """What a broadcast carries: executors need no class of this repository to read it."""
+        return self.centres, self.books, self.cuts
+
     def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, length of what the codes miss) of residuals."""
         codes = np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books)], axis=1)
@@ -61,7 +65,7 @@ def place(rows: DataFrame, index) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            own = nearest(unit(batch.column(2).to_pylist()), index.value.centres) if batch.num_rows else np.zeros(0)
+            own = nearest(unit(batch.column(2).to_pylist()), index.value[0]) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=["cid", "n", "v", "list"])
 
     return rows.select("cid", "n", "v").mapInArrow(run, "cid long, n long, v binary, list int")
@@ -80,28 +84,69 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def link_lists(placed: DataFrame, index, cosine: float, radius: float, block_bytes: int = 8 << 20, part: int = 4) -> DataFrame:
-    """(cid, links, root): for each vector, the rows it links to in one block, and a vector it connects to.
-
-    Lists are packed into groups of about ``block_bytes`` of vectors, long ones in several parts. A
-    vector goes once to every group that holds one of the lists it probes, with those lists' numbers,
-    however many they are; a block is one group and as many askers. A table of squared distances from
-    each asker's residual to all codes gives its distance to every coded entry; entries within the
-    radius plus what their own codes miss are compared exactly. A block folds its links into counts
-    and a spanning set of them as it goes, and never holds all pairs.
+class Group:
+    """The coded vectors of some lists, the links that askers find to them, and what those links join."""
+
+    def __init__(self, model: Index, cid, n, v, lists, cosine: float, radius: float):
+        order = np.argsort(lists, kind="stable")
+        self.model, self.cosine = model, cosine
+        self.cid, self.n, self.list, self.y = cid[order], n[order], lists[order], unit(v)[order]
+        self.codes, missed = model.encode(self.y - model.centres[self.list])
+        coded = model.centres[self.list] + np.concatenate([b[self.codes[:, m]] for m, b in enumerate(model.books)], axis=1)
+        # |q - coded| <= radius + missed, as a bound on q * coded; a little lower, as tables are in single precision
+        self.bound = ((1 + (coded**2).sum(1) - (radius + missed + 1e-9) ** 2) / 2 - 1e-4).astype(np.float32)
+        self.links, self.root = np.zeros(len(cid), np.int64), np.arange(len(cid))
+
+    def ask(self, cid, n, q, own, wanted):
+        """(asker, its links, a vector it links to) of askers ``q``; ``wanted`` holds the lists of each."""
+        model = self.model
+        asks = np.zeros((len(q), len(model.centres)), bool)
+        for i, w in enumerate(wanted):
+            asks[i, w] = True
+        near = (q @ model.centres.T).astype(np.float32)[:, self.list]
+        for m, (cut, book) in enumerate(zip(model.cuts, model.books)):
+            near += np.take((q[:, cut] @ book.T).astype(np.float32), self.codes[:, m], axis=1)
+        i, j = np.nonzero(near >= self.bound)
+        keep = asks[i, self.list[j]] & ((own[i] != self.list[j]) | (cid[i] < self.cid[j]))  # within a list, each pair has two askers
+        i, j = i[keep], j[keep]
+        good = np.zeros(len(i), bool)
+        for k in range(0, len(i), 1 << 15):
+            some = slice(k, k + (1 << 15))
+            good[some] = np.einsum("ij,ij->i", q[i[some]], self.y[j[some]]) >= self.cosine
+        i, j = i[good], j[good]
+        np.add.at(self.links, j, n[i])
+        found = np.bincount(i, weights=self.n[j], minlength=len(q)).astype(np.int64)
+        some, first = np.unique(i, return_index=True)
+        if len(i):
+            head = j[first][np.searchsorted(some, i)]
+            self.root = _roots(len(self.root), np.r_[head, np.arange(len(self.root))], np.r_[j, self.root])
+        return cid[some], found[some], self.cid[j[first]]
+
+    def linked(self):
+        some = self.links > 0
+        return self.cid[some], self.links[some], self.cid[self.root[some]]
+
+
+def link_lists(placed: DataFrame, index, cosine: float, radius: float, entries: int, askers: int = 512) -> DataFrame:
+    """(cid, links, root): for each vector, the rows it links to in one group, and a vector it connects to.
+
+    Lists are packed into groups of about ``entries`` vectors, long ones in several parts. A vector
+    goes once to every group that holds one of the lists it probes, with those lists' numbers,
+    however many they are. A group's own vectors come first and are held; askers then pass by,
+    ``askers`` at a time. Tables of each asker's products with all codes give its distance to every
+    coded entry; entries within the radius plus what their own codes miss are compared exactly.
+    A group folds its links into counts and a spanning set of them, and never holds all pairs.
     """
-    lists, d = index.value.centres.shape
-    entries = max(256, block_bytes // (8 * d))
+    lists = len(index.value[0])
     size = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # one row for each list
         size[r.list] = r.n
-    parts = np.maximum(1, -(-size * part // entries))
+    parts = np.maximum(1, -(-size * 4 // entries))
     first = np.cumsum(parts) - parts
     per_part = np.repeat(size / parts, parts)
     group = ((np.cumsum(per_part) - per_part) // entries).astype(np.int64)
     holds = np.zeros((lists, int(group[-1]) + 1), np.float32)
     holds[np.repeat(np.arange(lists), parts), group] = np.repeat(size > 0, parts)
-    blocks = max(1, math.ceil(size.sum() / entries))
 
     @F.pandas_udf("int")
     def group_of(own: pd.Series, pick: pd.Series) -> pd.Series:
@@ -109,13 +154,14 @@ def link_lists(placed: DataFrame, index, cosine: float, radius: float, block_byt
         return pd.Series(group[first[at] + pick.to_numpy() % parts[at]].astype(np.int32))
 
     def ask(batches):
-        model = index.value
+        model = Index(*index.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 x, own = unit(some.column(2).to_pylist()), some.column(3).to_numpy()
                 asks = model.probes(x, own, radius)
-                asks &= np.arange(lists) > own[:, None]  # of two lists, the earlier one's vectors ask
+                other = np.arange(lists)[None, :]
+                asks &= (other > own[:, None]) == ((other + own[:, None]) % 2 == 0)  # of two lists, one's vectors ask
                 asks[np.arange(len(x)), own] = True
                 row, to = np.nonzero(asks.astype(np.float32) @ holds)
                 names = [np.flatnonzero(asks[i] & (holds[:, g] > 0)).astype(np.int32).tobytes() for i, g in zip(row, to)]
@@ -124,65 +170,48 @@ def link_lists(placed: DataFrame, index, cosine: float, radius: float, block_byt
                     [pa.array(to.astype(np.int32)), *kept.columns, pa.array(names, pa.binary())], names=["g", "cid", "n", "v", "list", "lists"])
 
     pick = F.pmod(F.xxhash64("cid"), F.lit(1 << 30)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    listed = placed.withColumn("g", group_of("list", pick)).withColumn("lists", F.lit(None).cast("binary")).withColumn("b", each)
-    asking = placed.mapInArrow(ask, "g int, cid long, n long, v binary, list int, lists binary").withColumn("b", pick % blocks)
-    both = listed.select("g", "b", "cid", "n", "v", "list", "lists").unionByName(asking)
-
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        model: Index = index.value
-        asks = block["lists"].notna()
-        y, q = block[~asks].sort_values("list", kind="stable"), block[asks]
-        none = pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
-        if not len(y) or not len(q):
-            return none
-        yu, qu, ylist, qlist = unit(y["v"].tolist()), unit(q["v"].tolist()), y["list"].to_numpy(), q["list"].to_numpy()
-        qid, yid, qn, yn = q["cid"].to_numpy(), y["cid"].to_numpy(), q["n"].to_numpy(), y["n"].to_numpy()
-        ids, flat = np.unique(np.concatenate([qid, yid]), return_inverse=True)
-        qat, yat = flat[: len(q)], flat[len(q) :]
-        links, root, held, waiting = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], 0
-
-        def fold(root):
-            a, b = np.concatenate(held, axis=1)
-            return _roots(len(ids), np.r_[a, np.arange(len(ids))], np.r_[b, root])
-
-        wanted = [np.frombuffer(w, np.int32) for w in q["lists"]]
-        pair_q, pair_l = np.repeat(np.arange(len(q)), [len(w) for w in wanted]), np.concatenate(wanted)
-        order = np.argsort(pair_l, kind="stable")
-        pair_q, pair_l = pair_q[order], pair_l[order]
-        for c in np.unique(ylist):
-            (lo, hi), (begin, end) = np.searchsorted(ylist, [c, c + 1]), np.searchsorted(pair_l, [c, c + 1])
-            codes, missed = model.encode(yu[lo:hi] - model.centres[c])
-            limit, step = (radius + missed + 1e-9) ** 2, max(16, min(2048, (1 << 20) // (hi - lo)))
-            for at in range(begin, end, step):
-                mine = pair_q[at : min(at + step, end)]
-                rest, far = qu[mine] - model.centres[c], 0.0
-                for m, (cut, book) in enumerate(zip(model.cuts, model.books)):
-                    table = (rest[:, cut] ** 2).sum(1)[:, None] + (book**2).sum(1)[None, :] - 2 * rest[:, cut] @ book.T
-                    far = far + table[:, codes[:, m]]
-                i, j = np.nonzero(far <= limit[None, :])
-                good = np.zeros(len(i), bool)
-                for k in range(0, len(i), 1 << 15):
-                    good[k : k + (1 << 15)] = np.einsum("ij,ij->i", qu[mine[i[k : k + (1 << 15)]]], yu[lo + j[k : k + (1 << 15)]]) >= cosine
-                i, j = mine[i[good]], lo + j[good]
-                once = np.where(qlist[i] == c, qid[i] < yid[j], True)  # within a list, each pair has two askers
-                i, j = i[once], j[once]
-                np.add.at(links, qat[i], yn[j])
-                np.add.at(links, yat[j], qn[i])
-                held.append(np.stack([qat[i], yat[j]]))
-                waiting += len(i)
-                if waiting > 1 << 20:
-                    root, held, waiting = fold(root), [], 0
-        if held:
-            root = fold(root)
-        some = links > 0
-        return pd.DataFrame({"cid": ids[some], "links": links[some], "root": ids[root[some]]})
-
-    return both.groupBy("g", "b").applyInPandas(run, "cid long, links long, root long")
+    listed = placed.withColumn("g", group_of("list", pick)).withColumn("lists", F.lit(None).cast("binary"))
+    asking = placed.mapInArrow(ask, "g int, cid long, n long, v binary, list int, lists binary")
+    both = listed.select("g", "cid", "n", "v", "list", "lists").unionByName(asking).withColumn("asks", F.col("lists").isNotNull())
+
+    def run(batches):
+        model, now, held, made = Index(*index.value), None, [], None
+
+        def out(columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cid", "links", "root"])
+
+        def columns(batch):
+            return batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist(), batch.column(4).to_numpy()
+
+        for batch in batches:
+            g, asks = batch.column(0).to_numpy(), np.array(batch.column(6).to_pylist(), bool)
+            edges = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(g)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if g[lo] != now:
+                    if made is not None:
+                        yield out(made.linked())
+                    now, held, made = g[lo], [], None
+                if not asks[lo]:
+                    held.append(columns(batch.slice(lo, hi - lo)))
+                    continue
+                if made is None and held:
+                    cid, n, v, own = zip(*held)
+                    made = Group(model, np.concatenate(cid), np.concatenate(n), [x for part in v for x in part], np.concatenate(own), cosine, radius)
+                    held = []
+                for at in range(lo, hi if made is not None else lo, askers):
+                    some = batch.slice(at, min(askers, hi - at))
+                    cid, n, v, own = columns(some)
+                    yield out(made.ask(cid, n, unit(v), own, [np.frombuffer(w, np.int32) for w in some.column(5).to_pylist()]))
+        if made is not None:
+            yield out(made.linked())
+
+    return both.repartition("g").sortWithinPartitions("g", "asks").mapInArrow(run, "cid long, links long, root long")
 
 
 def near_vectors(
-    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, seed: int = 3,
+    embeddings: DataFrame, scratch: Scratch, cosine: float = 0.9, per_list: int = 256, most_lists: int = 4096, fit: int = 16_384, sub: int = 8, codes: int = 128, entries: int = 4096, seed: int = 3,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings`` (vec_id, embedding).
 
@@ -200,10 +229,10 @@ def near_vectors(
     drawn, total = sample(kinds, fit, seed), kinds.count()
     links = None
     if len(drawn):
-        index = embeddings.sparkSession.sparkContext.broadcast(Index.fit(drawn, per_list, total, most_lists, sub, codes, seed))
+        index = embeddings.sparkSession.sparkContext.broadcast(Index.fit(drawn, per_list, total, most_lists, sub, codes, seed).plain())
         radius = math.sqrt(2 - 2 * cosine)
         lists = scratch.put(place(kinds, index), "lists")
-        links = scratch.put(link_lists(lists, index, cosine, radius), "links")
+        links = scratch.put(link_lists(lists, index, cosine, radius, entries), "links")
         scratch.drop("lists")
         group = connected_components(links.select(F.col("cid").alias("a"), F.col("root").alias("b")), scratch)
         counts = links.groupBy("cid").agg(F.sum("links").alias("links"))

@@ -49,8 +49,8 @@ def test_near_vectors_equal_brute_force(spark, made, table):
     want = sorted(want + [(i, 0, i, True) for i, *_ in made[0] if i not in {g for g, _ in good}])
     got = pq.near_vectors(table, Scratch(spark), per_list=20)
     assert sorted(tuple(r) for r in got.collect()) == want
-    tiny = pq.near_vectors(table, Scratch(spark), per_list=2000).collect()
-    assert sorted(tuple(r) for r in tiny) == want
+    for small in ({"per_list": 2000}, {"per_list": 20, "entries": 60}, {"per_list": 200, "entries": 40}):
+        assert sorted(tuple(r) for r in pq.near_vectors(table, Scratch(spark), **small).collect()) == want
 
 
 def test_near_vectors_lose_no_link_at_low_rank(spark):
@@ -97,6 +97,13 @@ def test_search_recall_and_ties(spark, made, table):
     assert hit / total >= 0.9
 
 
+def test_search_in_small_units_and_groups(spark, table):
+    one = ann.search_inner(table, F.col("vec_id") % 20 == 0, Scratch(spark), per_list=20).collect()
+    many = ann.search_inner(table, F.col("vec_id") % 20 == 0, Scratch(spark), per_list=20, unit=16, entries=100, askers=5).collect()
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, round(r.score, 9))
+    assert sorted(map(key, one)) == sorted(map(key, many))
+
+
 def test_search_ties_go_to_smaller_ids(spark):
     x = np.array([[(n >> b) & 1 for b in range(9)] for n in range(1, 400)], float)
     ids = np.random.default_rng(3).permutation(len(x))
