@@ -103,10 +103,12 @@ class Group:
         asks = np.zeros((len(q), len(model.centres)), bool)
         for i, w in enumerate(wanted):
             asks[i, w] = True
-        near = (q @ model.centres.T).astype(np.float32)[:, self.list]
+        # a row for each entry: a looked-up row of products is one run of memory for all askers
+        near = (model.centres @ q.T).astype(np.float32)[self.list]
+        row = np.empty_like(near)
         for m, (cut, book) in enumerate(zip(model.cuts, model.books)):
-            near += np.take((q[:, cut] @ book.T).astype(np.float32), self.codes[:, m], axis=1)
-        i, j = np.nonzero(near >= self.bound)
+            near += np.take((book @ q[:, cut].T).astype(np.float32), self.codes[:, m], axis=0, out=row, mode="clip")
+        j, i = np.nonzero(near >= self.bound[:, None])
         keep = asks[i, self.list[j]] & ((own[i] != self.list[j]) | (cid[i] < self.cid[j]))  # within a list, each pair has two askers
         i, j = i[keep], j[keep]
         good = np.zeros(len(i), bool)
@@ -127,7 +129,7 @@ class Group:
         return self.cid[some], self.links[some], self.cid[self.root[some]]
 
 
-def link_lists(placed: DataFrame, index, cosine: float, radius: float, entries: int, askers: int = 512) -> DataFrame:
+def link_lists(placed: DataFrame, index, cosine: float, radius: float, entries: int, askers: int = 128) -> DataFrame:
     """(cid, links, root): for each vector, the rows it links to in one group, and a vector it connects to.
 
     Lists are packed into groups of about ``entries`` vectors, long ones in several parts. A vector
