@@ -54,22 +54,18 @@ def below(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
     return [got.get(i, (0, 0)) for i in range(len(probes))]
 
 
-def find_splitters(keyed: DataFrame, parts: int, coarse: int, tolerance: float, fan: int = 16):
-    """Keys that cut ``keyed`` into ``parts * coarse`` ranges, with the (bytes, rows) below each.
-
-    Every ``coarse``-th boundary is a shard boundary and must lie within ``tolerance`` of a shard's
-    bytes from its ideal place; the others only spread the work and may be off by a quarter of
-    their range. Each round counts exact bytes below ``fan`` probes inside every open bracket and
-    keeps the sub-bracket that holds the ideal place. Probes move on the text hash alone while that
-    suffices, so equal texts stay together; only inside a text that is itself too large do they move
-    on to document ids. A bracket that no probe can split further gives its nearer end.
+def find_splitters(keyed: DataFrame, ideal: list[float], slack: list[float], whole: float, fan: int = 16):
+    """Keys that cut ``keyed`` near the byte counts ``ideal``, each within its ``slack``, with the (bytes, rows) below.
+
+    Each round counts exact bytes below ``fan`` probes inside every open bracket and keeps the
+    sub-bracket that holds the ideal place. Probes move on the text hash alone while that suffices;
+    only inside a text of over ``whole`` bytes do they move on to document ids, so equal texts stay
+    together. A bracket that no probe can split further gives its nearer end.
     """
     end = (1 << (2 * WIDE)) - 1
     total, rows, first, last = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.min("k"), F.max("k")).first()
     first, last = (first or 0) + SIGN, (last or 0) + SIGN + 1
-    n = parts * coarse
-    ideal = [total * i / n for i in range(1, n)]
-    slack = [total / n * (tolerance * coarse if i % coarse == 0 else 0.25) for i in range(1, n)]
+    n = len(ideal) + 1
     low, high = [(0, 0, 0)] * (n - 1), [(end, total, rows)] * (n - 1)  # (key, bytes, rows)
     done: dict[int, tuple[int, int, int]] = {}
     while len(done) < n - 1:
@@ -88,7 +84,8 @@ def find_splitters(keyed: DataFrame, parts: int, coarse: int, tolerance: float,
                 probes = [p << WIDE for p in probes if a < p << WIDE < b]
             else:
                 probes = []
-            if not probes:  # inside the rows of one text
+            within = a & ((1 << WIDE) - 1) or b != end and b & ((1 << WIDE) - 1)
+            if not probes and (within or high[i][1] - low[i][1] > whole):  # inside the rows of one text
                 top = a >> WIDE << WIDE
                 c, d = max(a, top + first), min(b, top + last)
                 probes = sorted({c, d} | {c + (d - c) * j // (fan + 1) for j in range(1, fan + 1)})
@@ -115,42 +112,73 @@ def find_splitters(keyed: DataFrame, parts: int, coarse: int, tolerance: float,
     return cuts
 
 
+def fill(total: int, held: list[int]) -> list[float]:
+    """What each shard still takes of ``total``, so that with what it holds all come as near to one level as can be."""
+    order = sorted(held)
+    for n in range(len(order), 0, -1):
+        level = (total + sum(order[:n])) / n
+        if level >= order[n - 1]:
+            return [max(0.0, level - h) for h in held]
+    return [total / len(held)] * len(held)
+
+
 def shard_by_bytes(docs: DataFrame, scratch: Scratch, shards: int = 24, tolerance: float = 0.005, rows_per_task: int = 250_000) -> DataFrame:
     """Add size, shard and slot to ``docs``: shards of near-equal bytes, slots gapless from 0.
 
-    Size is the UTF-8 length of the text (null: none) plus 8. Rows are ordered by (hash of the text,
-    doc_id), cut at splitters found by ``find_splitters`` and exchanged once, by range within shard,
-    so a shard of any size is spread over many tasks and a hot text over as many as its bytes need.
-    Null ids sort first; fully equal rows are interchangeable and may stay together. An empty table
-    gives an empty result. Existing columns of the added names are replaced.
+    Size is the UTF-8 length of the text (null: none) plus 8. Equal texts of up to a shard's bytes
+    stay in one shard: those of over ``tolerance`` of a shard, at most shards / tolerance, are dealt
+    first, the largest to the emptiest shard. All others are ordered by (hash of the text, doc_id)
+    and cut at splitters found by ``find_splitters``, which fill the shards up to one level. Rows are
+    exchanged once, by range within shard, so a shard of any size is spread over many tasks. Null
+    ids sort first; fully equal rows are interchangeable and may stay together. An empty table gives
+    an empty result. Existing columns of the added names are replaced, no others are touched.
     """
     docs = docs.drop("size", "shard", "slot")
     text = F.coalesce(F.col("text"), F.lit(""))
-    keys = {
-        "size": F.octet_length(text).cast("long") + 8, "_h": F.xxhash64(text),
-        "_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-    }
-    keyed = scratch.put(docs.select(*(c.alias(n.strip("_")) for n, c in keys.items())), "keys")
-    coarse = min(64, max(4, math.ceil(keyed.count() / shards / rows_per_task)))
-    cuts = find_splitters(keyed, shards, coarse, tolerance)
-    bounds = [c[0] for c in cuts]
-    rows = [0, *(c[2] for c in cuts)]
+    keys = [
+        (F.octet_length(text).cast("long") + 8).alias("size"), F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k")]
+    keyed = scratch.put(docs.select(*keys), "keys")
+    rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    coarse = min(64, max(4, math.ceil(rows / shards / rows_per_task)))
+    sums = keyed.groupBy("h").agg(F.sum("size").alias("bytes")).where((F.col("bytes") > tolerance * total / shards) & (F.col("bytes") <= total / shards))
+    held, home = [0] * shards, {}
+    for r in sorted(sums.collect(), key=lambda r: (-r.bytes, r.h)):
+        home[r.h] = held.index(min(held))
+        held[home[r.h]] += r.bytes
+    room = fill(total - sum(held), held)
+    ideal = [sum(room[:j]) + room[j] * i / coarse for j in range(shards) for i in range(coarse)][1:]
+    slack = [tolerance * total / shards if i % coarse == 0 else room[i // coarse] / coarse / 4 for i in range(1, shards * coarse)]
+    rest = keyed.where(~F.col("h").isin(list(home))) if home else keyed
+    bounds = [c[0] for c in find_splitters(rest, ideal, slack, total / shards)]
+    large = np.array(sorted(home), np.int64)
+    homes = np.array([home[h] for h in large.tolist()], np.int64)
 
     @F.pandas_udf("long")
     def part_of(h: pd.Series, k: pd.Series) -> pd.Series:
-        high, low = (x.to_numpy(np.int64).view(np.uint64) ^ np.uint64(SIGN) for x in (h, k))
+        hash_, id_ = h.to_numpy(np.int64), k.to_numpy(np.int64)
+        high, low = (x.view(np.uint64) ^ np.uint64(SIGN) for x in (hash_, id_))
         bh, bl = _split(bounds)
         part = np.searchsorted(bh, high, "left").astype(np.int64)
         tied = np.searchsorted(bh, high, "right") > part
         for x in np.unique(high[tied]):  # boundaries inside the rows of one text, or at its start
             mine, edge = high == x, np.flatnonzero(bh == x)
             part[mine] = edge[0] + np.searchsorted(bl[edge], low[mine], "right")
-        return pd.Series(part)
-
-    dealt = docs.withColumns(keys).withColumn("_part", part_of("_h", "_k"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_h", "_k")) - 1
-    first = F.array(*(F.lit(rows[p] - rows[p // coarse * coarse]).cast("long") for p in range(shards * coarse)))
+        shard, within = part // coarse, part % coarse
+        if len(large):
+            at = np.minimum(np.searchsorted(large, hash_), len(large) - 1)
+            own = large[at] == hash_
+            mixed = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            shard, within = np.where(own, homes[at], shard), np.where(own, coarse + mixed.astype(np.int64) % coarse, within)
+        return pd.Series(shard * 2 * coarse + within)
+
+    counts = np.zeros(shards * 2 * coarse, np.int64)
+    for r in keyed.groupBy(part_of("h", "k").alias("part")).agg(F.count("*").alias("n")).collect():  # one row for each part
+        counts[r.part] = r.n
+    before = (np.cumsum(counts.reshape(shards, -1), axis=1) - counts.reshape(shards, -1)).ravel()
+    dealt = docs.select(F.struct("*").alias("row"), *keys).withColumn("part", part_of("h", "k"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("h", "k")) - 1
+    first = F.array(*(F.lit(int(x)).cast("long") for x in before))
     return dealt.select(
-        *docs.columns, "size", F.floor(F.col("_part") / coarse).cast("int").alias("shard"),
-        (within + F.element_at(first, F.col("_part").cast("int") + 1)).cast("long").alias("slot"),
+        *(F.col("row").getField(c).alias(c) for c in docs.columns), "size", F.floor(F.col("part") / (2 * coarse)).cast("int").alias("shard"),
+        (within + F.element_at(first, F.col("part").cast("int") + 1)).cast("long").alias("slot"),
     )
