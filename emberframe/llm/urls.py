@@ -67,14 +67,14 @@ def judge(pages: DataFrame, scratch: Scratch, rules, sample: int = 20_000, trees
     The longest fitting rule decides. Urls under a rule are the labelled ones: a bounded sample of
     at most about ``sample`` of them, drawn by hash, trains the trees, which decide all other urls.
     Suffix statistics (count, share of labelled urls, smoothed share of blocked ones) are taken over
-    all rows. Null and empty urls have empty host and path and are judged like any other. Without
+    all rows, the share without the row's own label. Null and empty urls have empty host and path and are judged like any other. Without
     labelled urls of both verdicts, the only verdict seen, or else allow, is given. Existing columns
     of the added names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = host_and_path(F.col("url"))
     name, said = longest_rule(rules)
-    base = pages.withColumns({"host": host, "path": path}).withColumns({"rule": name, "said": said})
+    base = pages.select(F.struct("*").alias("row"), F.col("url").alias("url")).withColumns({"host": host, "path": path}).withColumns({"rule": name, "said": said})
     block = (F.col("said") == "block").cast("int")
     suffix = F.substring_index("host", ".", -2)
     stats = scratch.put(
@@ -83,9 +83,9 @@ def judge(pages: DataFrame, scratch: Scratch, rules, sample: int = 20_000, trees
     labelled, blocked = stats.agg(F.coalesce(F.sum("_labelled"), F.lit(0)), F.coalesce(F.sum("_blocked"), F.lit(0))).first()
     ready = lexical(base).join(stats, F.col("suffix") == F.col("_suffix")).withColumns({
         "suffix_log_count": F.log1p("_n"), "suffix_share": F.col("_labelled") / F.col("_n"),
-        "suffix_block": (F.col("_blocked") + F.lit(0.5)) / (F.col("_labelled") + F.lit(1.0)),
+        "suffix_block": (F.col("_blocked") - F.coalesce(block, F.lit(0)) + F.lit(0.5)) / (F.col("_labelled") - F.col("said").isNotNull().cast("int") + F.lit(1.0)),
     })
-    out = [*pages.columns, "host", "path", "rule"]
+    out = [*(F.col("row").getField(c).alias(c) for c in pages.columns), "host", "path", "rule"]
     if 0 < blocked < labelled:
         keep = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / labelled))
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
@@ -93,7 +93,7 @@ def judge(pages: DataFrame, scratch: Scratch, rules, sample: int = 20_000, trees
         boosted = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_c", maxIter=trees, maxDepth=depth, seed=seed)
         model = boosted.setProbabilityCol("_p").setRawPredictionCol("_r").fit(scratch.put(train, "train").coalesce(2))
         score = vector_to_array("_p")[1]
-        judged = model.transform(vectors.transform(ready)).select(*out, "said", score.alias("score"))
-        return judged.select(*out, F.coalesce("said", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+        judged = model.transform(vectors.transform(ready))
+        return judged.select(*out, F.coalesce("said", F.when(score > 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
     only = "block" if labelled and blocked == labelled else "allow"
     return ready.select(*out, F.coalesce("said", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
