@@ -129,14 +129,14 @@ class Attention:
                     self.w[k] = (self.w[k] - size * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, longest: int = 1 << 17, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
+def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, bag: int = 64, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
     """Fit to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) marks, outside ``held_out``.
 
     The fit sees a bounded sample: about ``per_class`` ids of each label at most, drawn by hash of
-    doc_id, and of their texts those up to ``longest`` bytes (whole texts; longer ones are only
-    scored). The sample is drawn from the labels alone, so it is small enough to broadcast and texts
-    stay where they are. Sampled rows are weighted back to their share. Ids with two labels are left
-    out. With ids of one label only, that label is returned as the score of every text; without any,
+    doc_id, and ``bag`` passages of a text at most, spread evenly over all of it. The sample is drawn
+    from the labels alone, so it is small enough to broadcast and texts stay where they are. Sampled
+    rows are weighted back to their share. Ids with two labels are left out; of several texts of one
+    id, the smallest is taken. Scores look at all passages. With ids of one label only, that label is returned as the score of every text; without any,
     0.5.
     """
     once = labels.where(~held_out & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_high"))
@@ -147,13 +147,14 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, l
     share = {k: min(1.0, per_class / v) for k, v in n.items()}
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30)) < F.when(F.col("label") == 0, int(share[0] * (1 << 30))).otherwise(int(share[1] * (1 << 30)))
     drawn = F.broadcast(once.where(draw))  # about 2 * per_class rows
-    fit = docs.where(F.octet_length("text") <= longest).join(drawn, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").dropDuplicates(["doc_id"])
+    fit = docs.where("text is not null").join(drawn, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, per = encode_passages([text.encode()])
-                yield pa.RecordBatch.from_arrays([pa.array([int(label)]), pa.array([int(per[0])]), pa.array([x.tobytes()])], names=["y", "per", "x"])
+                x = encode_passages([text.encode()])[0]
+                x = x[np.unique(np.linspace(0, len(x) - 1, min(bag, len(x))).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(label)]), pa.array([len(x)]), pa.array([x.tobytes()])], names=["y", "per", "x"])
 
     rows = fit.select("text", "label").mapInArrow(run, "y long, per long, x binary").toPandas().sort_values(["y", "per", "x"])
     if rows["y"].nunique() < 2:
