@@ -28,13 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A table written here cuts lineage and outlives the executors that wrote it. Where the
-    setting is absent (tests), a temporary folder takes its place.
+    A table written here cuts lineage and outlives the executors that wrote it. Where the setting is
+    absent, a temporary folder takes its place in local mode, as in tests; a cluster has to name one.
     """
 
     def __init__(self, spark: SparkSession):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="emberframe-")
             spark.sparkContext.setCheckpointDir(root)
         self.spark, self.root = spark, f"{root.rstrip('/')}/emberframe-{uuid.uuid4().hex}"

@@ -262,6 +262,14 @@ def test_mixing_targets_and_copies(spark, docs, rows, empty):
     assert sorted(map(key, mixed)) == sorted(map(key, again))
     assert mixing.repeat_rows(mixing.mix(docs, Scratch(spark))).count() == sum(r.copies for r in mixed)
     assert mixing.mix(empty, Scratch(spark)).count() == 0
+    nameless = [(None, f"word {i % 2} more", "en", f"s{i % 3}", 1) for i in range(300)] + [(1, "same row here", "en", "s9", 1)] * 200
+    every = [(*r, 1, 2) for r in nameless]
+    table = spark.createDataFrame(every, SCHEMA + ", cut int, tied int").repartition(4)
+    size, total, target = plain_mix(nameless)
+    got, taken = mixing.mix(table, Scratch(spark)).collect(), collections.Counter()
+    for r in got:
+        taken[r.source] += r.size * r.copies
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target) and {(r.cut, r.tied) for r in got} == {(1, 2)}
 
 
 # sharding
@@ -283,7 +291,17 @@ def test_sharding_balances_bytes(spark, docs, empty):
     split = collections.defaultdict(set)
     for r in got:
         split[r.text].add(r.shard)
-    assert sum(len(s) > 1 for t, s in split.items() if t != "same text") <= 2
+    assert sum(len(s) > 1 for t, s in split.items() if t != "same text") == 0
+    copies = [(i, f"text {i % 70} " + "x" * (40 * (i % 70)), "en", "s", 9) for i in range(2100)]  # groups of up to most of a shard
+    copies += [(9000 + i, f"other {i} " + "y" * 280, "en", "s", 9) for i in range(3000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(copies, SCHEMA).repartition(4).withColumn("h", F.lit(5)).withColumn("part", F.lit(6)), Scratch(spark)).collect()
+    per, split = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        per[r.shard] += r.size
+        split[r.text].add(r.shard)
+    assert all(len(s) == 1 for s in split.values()) and {(r.h, r.part) for r in got} == {(5, 6)}
+    assert max(per.values()) <= 1.02 * min(per.values())
+    assert all(sorted(r.slot for r in got if r.shard == n) == list(range(sum(r.shard == n for r in got))) for n in per)
     assert sharding.shard_by_bytes(empty, Scratch(spark)).count() == 0
 
 
@@ -315,7 +333,9 @@ def test_url_rules_and_trees(spark):
     made = [f"https://{rng.choice(['', 'www.', 'm.'])}{rng.choice(['ab', 'casino-win', 'x'])}.example.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['en', 'de', 'fr', 'es'])}/{rng.randrange(3000)}{rng.choice(['', '?a=1&b=2', '#top'])}" for _ in range(200)]
     odd = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG", "http://É.ORG/x", "a://b://c/d", "http://example.org/en/1", "http://notexample.org/es/", "http://example.org/es/é?x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(made + odd * 2)], "page_id long, url string")
-    got = urls.judge(pages.withColumn("host", F.lit(1)), Scratch(spark), RULES, trees=3).collect()
+    clash = pages.withColumns({"host": F.lit(1), "depth": F.lit("own"), "suffix": F.lit("mine"), "_n": F.lit(3)})
+    got = urls.judge(clash, Scratch(spark), RULES, trees=3).collect()
+    assert {(r.depth, r.suffix, r._n) for r in got} == {("own", "mine", 3)}
     verdict = {r: v for v, r in RULES}
     assert len(got) == pages.count()
     for r in got:
@@ -326,6 +346,22 @@ def test_url_rules_and_trees(spark):
     assert urls.judge(pages.limit(0), Scratch(spark), RULES).count() == 0
 
 
+def test_trees_predict_held_out_labels(spark):
+    rng = random.Random(7)
+    bad, good = ["casino-win", "free-pills", "x-bet-24"], ["news", "library", "docs", "shop"]
+    made = []
+    for i in range(3000):
+        block = rng.random() < 0.4
+        host = f"{rng.choice(bad if block else good)}{rng.randrange(90)}.{rng.choice(['net', 'info'])}"
+        tail = f"?id={rng.randrange(10**9)}&ref={rng.randrange(99)}" if block else f"{rng.choice(['guide', 'about', 'page'])}/"
+        made.append((i, f"http://{host}/{'b' if block else 'a'}{i % 2}/{tail}", block))
+    rules = [("block", "net/b0"), ("allow", "net/a0"), ("block", "info/b0"), ("allow", "info/a0")]
+    truth = {i: block for i, _, block in made}
+    got = urls.judge(spark.createDataFrame([m[:2] for m in made], "page_id long, url string"), Scratch(spark), rules).collect()
+    unruled = [r for r in got if r.rule is None]
+    assert len(unruled) > 1000 and sum((r.verdict == "block") == truth[r.page_id] for r in unruled) / len(unruled) > 0.95
+
+
 # language model
 
 
@@ -443,6 +479,26 @@ def test_quality_learns_and_keeps_its_contract(spark, empty):
     assert quality.score(empty, model).count() == 0
 
 
+def test_forward_equals_plain_attention():
+    texts = [b"some words " * 90, b"", b"\x00\xff" * 400 + b"tail"]
+    x, per = quality.encode_passages(texts)
+    m = quality.Attention.new(x, 4, 3, 2)
+    got, at = m.forward(x, per)[0], 0
+    for n, p in zip(per, got):
+        hidden, logits = [], []
+        for row in x[at : at + n]:
+            z = [min(8, max(-8, (v - a) / b)) for v, a, b in zip(row, m.mean, m.scale)]
+            h = [math.tanh(sum(z[i] * m.w["E"][i][j] for i in range(len(z))) + m.w["e"][j]) for j in range(4)]
+            v = [math.tanh(sum(h[i] * m.w["V"][i][j] for i in range(4))) for j in range(3)]
+            u = [1 / (1 + math.exp(-sum(h[i] * m.w["U"][i][j] for i in range(4)))) for j in range(3)]
+            hidden.append(h)
+            logits.append(sum(a * b * c for a, b, c in zip(v, u, m.w["a"])))
+        weight = [math.exp(v) for v in logits]
+        bag = [sum(w * h[j] for w, h in zip(weight, hidden)) / sum(weight) for j in range(4)]
+        assert math.isclose(p, 1 / (1 + math.exp(-sum(a * b for a, b in zip(bag, m.w["c"])) - m.w["b"][0])), rel_tol=1e-4)
+        at += n
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, per, y = rng.normal(size=(9, 5)).astype(np.float64), np.array([2, 3, 1, 3]), np.array([0.0, 1.0, 1.0, 0.0])
