@@ -26,8 +26,8 @@ def level_stats(pred: DataFrame, by: list[str], value: str, thresholds: list[flo
     return got.select(*by, *(f"share_{i}" for i in range(len(thresholds) + 1)), "mean_risk", *(F.col("_q")[i].alias(n) for i, n in enumerate(("median_risk", "p90", "p95", "p99"))), "n")
 
 
-def student_two_sided(t: Column, nu: Column, most: int = 200) -> Column:
-    """P(|T| >= |t|) for an integer ``nu`` up to ``most``, by the finite trigonometric series."""
+def student_two_sided(t: Column, nu: Column) -> Column:
+    """P(|T| >= |t|) for an integer ``nu`` of 1 or more, by the finite trigonometric series of nu / 2 terms."""
     theta = F.atan(F.abs(t) / F.sqrt(nu))
     c2 = F.cos(theta) * F.cos(theta)
     even = F.aggregate(
@@ -37,7 +37,7 @@ def student_two_sided(t: Column, nu: Column, most: int = 200) -> Column:
         F.sequence(F.lit(1), F.greatest(F.floor((nu - 1) / 2).cast("int"), F.lit(1))), F.struct(F.lit(0.0).alias("s"), F.cos(theta).alias("term")),
         lambda a, i: F.struct((a["s"] + a["term"]).alias("s"), (a["term"] * c2 * (2 * i) / (2 * i + 1)).alias("term")))["s"]
     inner = F.when(nu % 2 == 0, F.sin(theta) * even).when(nu == 1, 2 * theta / math.pi).otherwise(2 / F.lit(math.pi) * (theta + F.sin(theta) * odd))
-    return F.when((nu >= 1) & (nu <= most), F.greatest(1 - inner, F.lit(0.0)))
+    return F.when(nu >= 1, F.greatest(1 - inner, F.lit(0.0)))
 
 
 def level_trends(stats: DataFrame, by: list[str], share: str, year: str, span: int = 60) -> DataFrame:

@@ -32,9 +32,9 @@ def c01_ensemble_quantiles(spark, d):
     return rounded(C.ensemble_quantiles(ensemble(spark, d), ["scenario", "variable", "day", "cell"], "value"))
 
 
-@query(f"WITH {ENS} SELECT DISTINCT member FROM ens WHERE variable = 'F' AND cell < 3 AND member IN (SELECT member FROM ens WHERE variable = 'O' AND cell < 3)")
+@query(f"WITH {ENS} SELECT DISTINCT member FROM ens WHERE variable = 'F' AND member IN (SELECT member FROM ens WHERE variable = 'O')")
 def c02_common_members(spark, d):
-    e = ensemble(spark, d).where("cell < 3")
+    e = ensemble(spark, d)
     return C.common_members(e.where("variable = 'F'"), e.where("variable = 'O'"))
 
 

@@ -216,15 +216,15 @@ def g04_clip_cells(spark, d):
     return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)]).select("ix", "iy")
 
 
-@query(f"WITH {CELLS}, {EV}, q AS (SELECT x, y FROM ev WHERE id_obs % 50 = 0) SELECT ix, iy FROM cells c WHERE NOT EXISTS (SELECT 1 FROM q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 3600)")
+@query(f"WITH {CELLS}, {EV} SELECT ix, iy FROM cells c WHERE NOT EXISTS (SELECT 1 FROM ev q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 625)")
 def g05_exclude_within(spark, d):
-    return G.exclude_within(cells(spark, d), events(spark, d).where("id_obs % 50 = 0"), 60.0).select("ix", "iy")
+    return G.exclude_within(cells(spark, d), events(spark, d), 25.0).select("ix", "iy")
 
 
-@query(f"WITH {CELLS}, {EV}, q AS (SELECT x, y FROM ev WHERE id_obs % 50 = 0) SELECT ix, iy FROM cells c WHERE x < 800 AND code % 6 > 0 AND NOT EXISTS (SELECT 1 FROM q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 2500)")
+@query(f"WITH {CELLS}, {EV} SELECT ix, iy FROM cells c WHERE x < 800 AND code % 6 > 0 AND NOT EXISTS (SELECT 1 FROM ev q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 400)")
 def g06_sampling_area(spark, d):
     c = cells(spark, d).withColumn("risk", F.col("code") % 6)
-    return G.sampling_area(c, c.where("x < 800"), events(spark, d).where("id_obs % 50 = 0"), 50.0, "risk").select("ix", "iy")
+    return G.sampling_area(c, c.where("x < 800"), events(spark, d), 20.0, "risk").select("ix", "iy")
 
 
 @query(f"WITH {EV}, {EDGES} SELECT id_obs, zone_id FROM ev JOIN edges ON least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1")
@@ -303,10 +303,10 @@ def a01_replicate_random_date(spark, d):
     return A.random_date(r, "1995-03-02", "2000-12-31", 7, "id_obs", "rep").select("id_obs", "rep", "bin", "rand_date")
 
 
-@query(f"WITH {EV}, p AS (SELECT site_id, date FROM ev WHERE id_obs % 10 = 0) SELECT id_obs FROM ev c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.site_id = c.site_id AND c.date BETWEEN p.date - 60 AND p.date + 365)")
+@query(f"WITH {EV}, p AS (SELECT o_custkey AS site_id, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderstatus = 'P') SELECT id_obs FROM ev c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.site_id = c.site_id AND c.date BETWEEN p.date - 60 AND p.date + 365)")
 def a03_exclude_period(spark, d):
-    e = events(spark, d)
-    return A.exclude_period(e, e.where("id_obs % 10 = 0"), "site_id", "date", 60, 365).select("id_obs")
+    seen = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("site_id"), F.to_date("o_orderdate").alias("date"))
+    return A.exclude_period(events(spark, d), seen, "site_id", "date", 60, 365).select("id_obs")
 
 
 @query(f"WITH {EV}, r AS (SELECT id_obs, CAST(month(date) AS INT) AS mon, row_number() OVER (PARTITION BY month(date) ORDER BY md5('42:' || id_obs), id_obs) AS rn FROM ev) SELECT mon, id_obs FROM r WHERE rn <= 20")

@@ -64,11 +64,14 @@ def with_absent_zero(grid: DataFrame, daily: DataFrame, on: list[str], value: st
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon features of a GeoJSON file as (zone_id, properties, rings)."""
-    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>"
+    """Polygon and MultiPolygon features of a GeoJSON file as (zone_id, properties, rings); a zone has the rings of all its parts."""
+    feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
     raw = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path)
     f = raw.select(F.posexplode("features").alias("pos", "f"))
-    rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
+    ring_list = "array<array<array<double>>>"
+    parsed = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json("f.geometry.coordinates", f"array<{ring_list}>"))).otherwise(
+        F.from_json("f.geometry.coordinates", ring_list))
+    rings = F.transform(parsed, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
     return f.select((F.col("pos") + 1).alias("zone_id"), F.col("f.properties").alias("properties"), rings.alias("rings"))
 
 
@@ -100,8 +103,11 @@ def read_ensemble(spark: SparkSession, root: str, skip_bad: bool = True) -> Data
 
 
 def write_once(df: DataFrame, path: str) -> None:
-    """Write unless the output is there already; the file committer makes it appear whole or not at all."""
-    df.write.mode("ignore").parquet(path)
+    """Write unless a whole output is there already; what a job that died has left is overwritten."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
 
 
 def save_model(tables: dict[str, DataFrame], path: str) -> None:

@@ -250,3 +250,39 @@ def test_running_sums_in_two_levels(spark):
         for r in got:
             want += r.v
             assert r.cum_v == want
+
+
+def test_student_p_values_of_long_series(spark):
+    from emberframe.operators.levels import student_two_sided
+
+    # two-sided tails from published tables (fixed values)
+    want = [(12.706205, 1, 0.05), (2.570582, 5, 0.05), (1.983972, 100, 0.05), (1.971896, 200, 0.05), (1.971837, 201, 0.05), (1.962339, 1000, 0.05), (2.580755, 1000, 0.01)]
+    got = spark.createDataFrame(want, "t double, nu int, p double").withColumn("q", student_two_sided(F.col("t"), F.col("nu"))).collect()
+    assert all(abs(r.p - r.q) < 1e-6 for r in got)
+
+
+def test_write_once_replaces_what_a_dead_job_left(spark, tmp_path):
+    from emberframe.sources import io
+
+    path = str(tmp_path / "out")
+    (tmp_path / "out" / "_temporary").mkdir(parents=True)
+    io.write_once(spark.range(3), path)
+    io.write_once(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_zones_of_several_parts(spark, tmp_path):
+    import json
+
+    from emberframe.operators import grid
+    from emberframe.sources import io
+
+    square = lambda x: [[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]
+    shapes = [("Polygon", [square(0)]), ("MultiPolygon", [[square(2)], [square(4)]])]
+    path = tmp_path / "z.geojson"
+    path.write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": t}, "geometry": {"type": t, "coordinates": c}} for t, c in shapes]}))
+    zones = io.read_zones(spark, str(path))
+    assert [len(r.rings) for r in zones.orderBy("zone_id").collect()] == [1, 2]
+    points = spark.createDataFrame([(i, i + 0.5, 0.5) for i in range(6)], "id_obs int, x double, y double")
+    got = grid.zone_join(points, grid.zone_edges(zones), "id_obs", 1.0).collect()
+    assert sorted((r.id_obs, r.zone_id) for r in got) == [(0, 1), (2, 2), (4, 2)]
