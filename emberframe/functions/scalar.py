@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from statistics import median
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Land-cover code -> ordinal fire risk (fixed values).
@@ -136,8 +136,12 @@ def align_features(df: DataFrame, order: list[str], keep: list[str]) -> DataFram
     return df.select(*keep, *(F.col(c).cast("double").alias(c) if c in df.columns else F.lit(0.0).alias(c) for c in order))
 
 
-def fill_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.na.fill(0, columns)
+def fill_missing(df: DataFrame, columns: list[str], fill: str = "zero", means: dict[str, float] | None = None) -> DataFrame:
+    """Missing features become 0, or with ``fill="mean"`` the column's mean: the fitted one of ``means``, else this table's."""
+    if fill == "zero":
+        return df.na.fill(0, columns)
+    means = means or df.agg(*(F.avg(c).alias(c) for c in columns)).first().asDict()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c]).cast("double")) for c in columns})
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,8 +166,3 @@ def calendar_filter(df: DataFrame, date: str, months: list[int] | None = None, y
     if months:
         out = out.where(F.month(date).isin(months))
     return out.where(F.year(date).between(*years)) if years else out
-
-
-def first_row(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalar import pct_change, season
+from emberframe.operators.ranks import exact_quantiles
 
 
 def ensemble_quantiles(df: DataFrame, by: list[str], value: str, qs=(0.25, 0.5, 0.75, 0.99)) -> DataFrame:
@@ -180,7 +181,7 @@ def season_vs_baseline(df: DataFrame, base: int, value: str = "risk") -> DataFra
 
 def robust_limits(df: DataFrame, low: float, high: float, value: str = "risk") -> DataFrame:
     per = df.groupBy("zone_id", "yr").agg(F.avg(value).alias("_m"))
-    return per.agg(F.percentile("_m", F.lit(low)).alias("lo"), F.percentile("_m", F.lit(high)).alias("hi"))
+    return exact_quantiles(per, "_m", {"lo": low, "hi": high})
 
 
 def quantile_band(df: DataFrame, quantile: str, names: tuple[str, str, str], value: str = "risk") -> DataFrame:

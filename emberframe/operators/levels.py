@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalar import season
+from emberframe.operators.ranks import exact_quantiles
 
 LEVELS = ("Low", "Moderate", "High", "Very High", "Extreme")
 
@@ -77,5 +78,5 @@ def level_evolution(stats: DataFrame, zones: DataFrame, n_levels: int) -> DataFr
 
 def extreme_days(pred: DataFrame, history: DataFrame, by: list[str], q: float = 0.95) -> DataFrame:
     """Rows above the ``q`` quantile of a historical score set, counted per group."""
-    limit = history.agg(F.percentile("score", F.lit(q)).alias("_limit"))
+    limit = exact_quantiles(history, "score", {"_limit": q})
     return pred.crossJoin(F.broadcast(limit)).groupBy(*by).agg(F.count_if(F.col("score") > F.col("_limit")).alias("n_extreme"), F.count("*").alias("n"))

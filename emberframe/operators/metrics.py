@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalar import pct_change, season
+from emberframe.operators.ranks import running
 
 SEASONS = ("Winter", "Spring", "Summer", "Fall")
 
@@ -25,24 +26,6 @@ def pearson(a: str, b: str) -> Column:
     return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
-def running(by: DataFrame, order: str, values: list[str], descending: bool = False, buckets: int = 4096) -> DataFrame:
-    """Running sums ``cum_<value>`` over rows of distinct ``order``, in two levels.
-
-    Rows are dealt into equal-width buckets of ``order``; sums run inside each bucket, and over the
-    at most ``buckets`` bucket totals, which are joined back as offsets. No window sees all rows.
-    """
-    limits = by.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    share = F.coalesce(F.try_divide(F.col(order) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    dealt = by.crossJoin(F.broadcast(limits)).withColumn("_b", F.floor(share * (buckets - 1)).cast("int")).drop("_lo", "_hi")  # one row
-    way = F.desc if descending else F.asc
-    inside = Window.partitionBy("_b").orderBy(way(order))
-    totals = dealt.groupBy("_b").agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
-    upto = Window.orderBy(way("_b"))
-    offsets = totals.select("_b", *((F.sum(f"_t_{v}").over(upto) - F.col(f"_t_{v}")).alias(f"_o_{v}") for v in values))
-    summed = dealt.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values}).join(F.broadcast(offsets), "_b")
-    return summed.select(*by.columns, *((F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values))
-
-
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
     """Average rank of each row's value (ties share one), from counts per distinct value."""
     counts = running(df.groupBy(column).agg(F.count("*").alias("_n")), column, ["_n"])
@@ -121,31 +104,45 @@ def calibration(pred: DataFrame, bins: int = 10, top: float | None = None) -> Da
 def lift_curve(pred: DataFrame, key: str, percents: list[int]) -> DataFrame:
     """Lift and captured share of positives in the top p percent, n = floor(N p / 100); NULL for n = 0.
 
-    Rows are ranked inside each distinct score only; the rows above come from the cumulated counts.
+    Counts per distinct score settle all scores but the one at which a percentage cuts; only the rows of
+    those scores, one per percentage at most, are ranked by key.
     """
-    by = pred.groupBy("score").agg(F.count("*").alias("_n"))
-    above = running(by, "score", ["_n"], True).select(F.col("score").alias("_s"), (F.col("cum__n") - F.col("_n")).alias("_above"))
-    place = F.row_number().over(Window.partitionBy("score").orderBy(key)) + F.col("_above")
-    ranked = pred.join(above, F.col("score") == F.col("_s")).withColumn("_place", place)
-    totals = pred.agg(F.count("*").alias("_all"), F.sum("label").alias("_pos"))
-    limits = pred.sparkSession.createDataFrame([(p,) for p in percents], "percent int").crossJoin(totals).withColumn("n", F.floor(F.col("_all") * F.col("percent") / 100))
-    got = [F.sum(F.when(F.col("_place") <= F.floor(F.col("_all") * p / 100), F.col("label")).otherwise(0)).alias(f"p{p}") for p in percents]
-    hits = ranked.crossJoin(F.broadcast(totals)).agg(*got).unpivot([], [f"p{p}" for p in percents], "_k", "hits")
-    hits = hits.withColumn("percent", F.regexp_replace("_k", "p", "").cast("int")).drop("_k")
-    return limits.join(hits, "percent").select(
-        "percent", "n", (F.try_divide("hits", "n") / F.try_divide("_pos", "_all")).alias("lift"), F.when(F.col("n") > 0, F.try_divide("hits", "_pos")).alias("captured"))
+    by = pred.groupBy("score").agg(F.count("*").alias("_n"), F.sum("label").alias("_y"))
+    totals = by.agg(F.sum("_n").alias("_all"), F.sum("_y").alias("_pos"))
+    summed = running(by, "score", ["_n", "_y"], True).crossJoin(F.broadcast(totals))  # one row
+    parts = []
+    for p in percents:
+        n, above = F.floor(F.col("_all") * p / 100), F.col("cum__n") - F.col("_n")
+        cut = (above < n) & (F.col("cum__n") > n)
+        parts.append(F.struct(
+            F.lit(p).alias("percent"), F.coalesce(F.max(n), F.lit(0)).alias("n"), F.max("_all").alias("_all"), F.max("_pos").alias("_pos"),
+            F.sum(F.when(F.col("cum__n") <= n, F.col("_y")).otherwise(0)).alias("_full"),
+            F.max(F.when(cut, F.col("score"))).alias("_at"), F.max(F.when(cut, n - above)).alias("_room")))
+    edges = summed.agg(F.array(*parts).alias("e")).select(F.inline("e"))
+    crossed = F.broadcast(edges.where("_at is not null").select(F.col("_at").alias("score")).distinct())  # a row per percentage at most
+    tied = pred.join(crossed, "score").groupBy("score", F.col(key).alias("_key")).agg(F.sum("label").alias("_y"), F.count("*").alias("_n"))
+    placed = running(tied, "_key", ["_n"], group=["score"])
+    partly = placed.join(F.broadcast(edges), F.col("score") == F.col("_at")).groupBy("percent").agg(
+        F.sum(F.when(F.col("cum__n") <= F.col("_room"), F.col("_y")).otherwise(0)).alias("_part"))
+    hits = F.col("_full") + F.coalesce("_part", F.lit(0))
+    return edges.join(F.broadcast(partly), "percent", "left").select(
+        "percent", "n", (F.try_divide(hits, "n") / F.try_divide("_pos", "_all")).alias("lift"), F.when(F.col("n") > 0, F.try_divide(hits, "_pos")).alias("captured"))
 
 
 def class_balance(pred: DataFrame) -> DataFrame:
     return pred.agg(F.avg("label").alias("prevalence"), F.try_divide(F.count("*") - F.sum("label"), F.sum("label")).alias("negatives_per_positive"))
 
 
-def overlap_period(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables cut to the common range of their dates."""
+def overlap_period(a: DataFrame, b: DataFrame, on_common_ids: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both tables cut to the common range of their dates, and to the ids of column ``on_common_ids`` that both then have."""
     lim = lambda d, n: d.agg(F.min("date").alias(f"lo{n}"), F.max("date").alias(f"hi{n}"))
     both = lim(a, 1).crossJoin(lim(b, 2)).select(F.greatest("lo1", "lo2").alias("_lo"), F.least("hi1", "hi2").alias("_hi"))
     cut = lambda d: d.crossJoin(F.broadcast(both)).where(F.col("date").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
-    return cut(a), cut(b)
+    a, b = cut(a), cut(b)
+    if on_common_ids:
+        only = lambda d, other: d.join(other.select(on_common_ids), on_common_ids, "left_semi")
+        a, b = only(a, b), only(b, a)
+    return a, b
 
 
 def compare_models(metrics: DataFrame, base: str, other: str) -> DataFrame:

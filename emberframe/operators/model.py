@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators.ranks import exact_quantiles
+
 # Feature families: name parts that mark them (fixed values, tried in this order).
 STATIC_FAMILIES = {
     "static_topo": ("slope", "aspect", "northness", "eastness", "nasadem", "tri"),
@@ -45,9 +47,13 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFr
     return df.withColumns({c: (F.col(c) - F.lit(s[c][0])) / F.lit(s[c][1]) for c in columns})
 
 
-def fold_draw(alpha: float, beta: list[float], attention: list[float], mean: list[float], std: list[float]) -> tuple[float, list[float]]:
-    """Scaler and attention folded into one intercept and one weight per feature."""
-    w = [a * b / s for a, b, s in zip(attention, beta, std)]
+def fold_draw(alpha: float, beta: list[float], attention: list[float], mean: list[float], std: list[float], scale: float = 1.0, use_scale: bool = False) -> tuple[float, list[float]]:
+    """Scaler and attention folded into one intercept and one weight per feature.
+
+    ``use_scale`` multiplies the attention by its fitted ``scale`` as the likelihood does; published scores leave it out.
+    """
+    k = scale if use_scale else 1.0
+    w = [k * a * b / s for a, b, s in zip(attention, beta, std)]
     return alpha - sum(x * m for x, m in zip(w, mean)), w
 
 
@@ -97,11 +103,17 @@ def score_timeseries(long: DataFrame, weights: DataFrame, attention: DataFrame,
     """Mean over draws of sigmoid(alpha + sum over lags of attention times sum over channels of x beta).
 
     ``long`` (key, lag, channel, value); ``weights`` (draw, channel, beta); ``attention`` (draw, lag,
-    tau); ``alphas`` (draw, alpha). The small tables have draws x channels and draws x lags rows.
+    tau); ``alphas`` (draw, alpha). The small tables have draws x channels and draws x lags rows: they fold
+    into one row per lag and channel with a weight per draw, so rows are not multiplied by draws.
     """
-    terms = long.join(F.broadcast(weights), "channel").join(F.broadcast(attention), ["draw", "lag"])
-    z = terms.groupBy(key, "draw").agg(F.sum(F.col("value") * F.col("beta") * F.col("tau")).alias("z")).join(F.broadcast(alphas), "draw")
-    return z.withColumn("p", 1 / (1 + F.exp(-(F.col("alpha") + F.col("z"))))).groupBy(key).agg(F.avg("p").alias("mean_probability"))
+    intercept = {r.draw: r.alpha for r in alphas.select("draw", "alpha").collect()}  # the model's draws
+    names = {f"_z{i}": k for i, k in enumerate(sorted(intercept))}
+    folded = weights.join(attention, "draw").groupBy("lag", "channel").pivot("draw", list(names.values())).agg(F.sum(F.col("beta") * F.col("tau")))
+    folded = folded.toDF("lag", "channel", *names)
+    z = long.join(F.broadcast(folded), ["lag", "channel"]).groupBy(key).agg(*(F.sum(F.col("value") * F.col(n)).alias(n) for n in names))  # lags x channels rows
+    p = [1 / (1 + F.exp(-(F.lit(float(intercept[k])) + F.col(n)))) for n, k in names.items()]
+    total, seen = (sum(c, F.lit(0.0)) for c in ((F.coalesce(q, F.lit(0.0)) for q in p), (q.isNotNull().cast("double") for q in p)))
+    return z.select(key, F.try_divide(total, seen).alias("mean_probability"))
 
 
 def bernoulli_summary(pred: DataFrame, keep: list[str]) -> DataFrame:
@@ -126,22 +138,24 @@ def draw_diagnostics(draws: DataFrame, alphas: DataFrame) -> DataFrame:
 
 def prediction_summary(pred: DataFrame, limit: float = 0.15) -> DataFrame:
     p, s = "mean_probability", "std_probability"
-    return pred.agg(
-        F.avg(p).alias("mean_p"), F.percentile(p, F.lit(0.5)).alias("median_p"), F.min(p).alias("min_p"), F.max(p).alias("max_p"),
-        F.avg(s).alias("mean_std"), F.count_if(F.col(s) > limit).alias("n_uncertain"))
+    rest = pred.agg(
+        F.avg(p).alias("mean_p"), F.min(p).alias("min_p"), F.max(p).alias("max_p"), F.avg(s).alias("mean_std"),
+        F.count_if(F.col(s) > limit).alias("n_uncertain"))
+    return rest.crossJoin(exact_quantiles(pred, p, {"median_p": 0.5})).select("mean_p", "median_p", "min_p", "max_p", "mean_std", "n_uncertain")  # one row each
 
 
-def fit_draws(train: DataFrame, columns: list[str], label: str, prior: dict[str, float], n_draws: int, seed: int = 1) -> list[tuple[float, list[float]]]:
+def fit_draws(train: DataFrame, columns: list[str], label: str, prior: dict[str, float], n_draws: int, key: str, seed: int = 1) -> list[tuple[float, list[float]]]:
     """(alpha, coefficients) per bootstrap draw of an L2-penalised logistic fit.
 
     Features are divided by their prior deviation, so one penalty stands for all Gaussian priors;
-    each draw weights rows by a Poisson count. An approximation of a posterior, not a sampler of it.
+    each draw weights rows by a Poisson count, drawn by hash of ``key``, so that any partitioning of the
+    rows fits the same model. An approximation of a posterior, not a sampler of it.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     rows = train.count()
-    scaled = train.select(label, *((F.col(c) * F.lit(prior[c])).alias(c) for c in columns)).withColumn("_id", F.monotonically_increasing_id())
+    scaled = train.select(F.col(key).alias("_id"), label, *((F.col(c) * F.lit(prior[c])).alias(c) for c in columns))
     ready = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).select("_id", "_x", F.col(label).cast("double").alias("_y")).cache()
     # Poisson(1) counts from the uniform hash of row and draw: thresholds are its distribution function.
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
@@ -160,8 +174,8 @@ def project(grid: DataFrame, climate: DataFrame, dates: DataFrame, on: list[str]
 
     Climate features are computed per coarse cell of ``on`` and only then joined to the fine grid.
     """
-    from emberframe.operators.lookback import lookback, window_features
+    from emberframe.operators.lookback import join_features, lookback, window_features
 
     asked = climate.select(*on).distinct().crossJoin(F.broadcast(dates))  # coarse cells by a short list of dates
     feats = window_features(lookback(asked, climate, on, days), [*on, "date"], variables, windows, days)
-    return score(grid.join(feats, on).na.fill(0.0, columns), columns, draws, [*key, "date"])
+    return score(join_features(grid, feats, on).na.fill(0.0, columns), columns, draws, [*key, "date"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.operators.ranks import beside, deal, offsets
+
 
 def draw_order(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
@@ -29,11 +31,22 @@ def exclude_period(candidates: DataFrame, presences: DataFrame, site: str, date:
     return candidates.join(p, clash, "left_anti")
 
 
+def dealt_by_draw(df: DataFrame, group: list, seed: int, *keys: str) -> DataFrame:
+    """``_d`` the draw, ``_b`` its first three hex digits, ``_o_n`` the group's rows in lower ``_b``."""
+    dealt = df.withColumn("_d", draw_order(seed, *keys)).withColumn("_b", F.substring("_d", 1, 3))
+    return beside(dealt, offsets(dealt, group, {"n": F.count("*")}), [*group, "_b"])
+
+
+def draw_rank(group: list, *keys: str) -> Column:
+    """Rank of a dealt row in its group; a task sorts a 4,096th of a group."""
+    return F.col("_o_n") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_d", *keys))
+
+
 def sample_per_group(df: DataFrame, group: list, n: int | str, seed: int, *keys: str) -> DataFrame:
     """``n`` rows (a number or a column) of each group without replacement."""
-    w = Window.partitionBy(*group).orderBy(draw_order(seed, *keys), *keys)
     limit = F.lit(n) if isinstance(n, int) else F.col(n)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
+    near = dealt_by_draw(df, group, seed, *keys).where(F.col("_o_n") < limit)  # buckets wholly beyond the cut go unranked
+    return near.withColumn("_rn", draw_rank(group, *keys)).where(F.col("_rn") <= limit).drop("_rn", "_d", "_b", "_o_n")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
@@ -47,14 +60,18 @@ def number_from(df: DataFrame, start: int, *order: str) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, first: str, *rest: str) -> DataFrame:
-    """0-based ids in the order of ``first``, then ``rest``: ranks inside each value of ``first``, plus offsets.
+    """0-based ids in the order of ``first``, then ``rest``: ranks inside each value of ``first`` and bucket
+    of ``rest[0]``, plus offsets.
 
     ``first`` should have few values beside the rows (a day, a zone): their counts are summed in one task.
+    A value that many rows share is split where ``rest[0]`` is numeric.
     """
-    sizes = df.groupBy(F.col(first).alias("_f")).agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_f", (F.sum("_n").over(Window.orderBy("_f")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(first).orderBy(*rest)) - 1
-    return df.withColumn("_rn", inside).join(offsets, F.col(first).eqNullSafe(F.col("_f"))).withColumn("id_obs", F.col("_before") + F.col("_rn")).drop("_f", "_rn", "_before")
+    dealt = deal(df, rest[0])
+    sizes = df.groupBy(first).agg(F.count("*").alias("_n"))
+    earlier = sizes.select(first, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(first, "_b").orderBy(*rest)) - 1
+    placed = beside(beside(dealt.withColumn("_rn", inside), offsets(dealt, [first], {"n": F.count("*")}), [first, "_b"]), earlier, [first])
+    return placed.withColumn("id_obs", F.col("_before") + F.col("_o_n") + F.col("_rn")).drop("_b", "_rn", "_before", "_o_n")
 
 
 def month_targets(presences: DataFrame, ratio: int) -> DataFrame:
@@ -78,9 +95,8 @@ def crosstab(df: DataFrame, row: Column, column: str, values: list) -> DataFrame
 def train_test_split(df: DataFrame, label: str, share: float, seed: int, key: str) -> DataFrame:
     """``is_test`` for ceil(share * n) rows of each label, drawn by hash."""
     sizes = df.groupBy(label).agg(F.ceil(F.count("*") * share).alias("_take"))
-    w = Window.partitionBy(label).orderBy(draw_order(seed, key), key)
-    ranked = df.join(F.broadcast(sizes), label)  # one row per label
-    return ranked.withColumn("is_test", F.row_number().over(w) <= F.col("_take")).drop("_take")
+    ranked = dealt_by_draw(df, [label], seed, key).join(F.broadcast(sizes), label)  # one row per label
+    return ranked.withColumn("is_test", draw_rank([label], key) <= F.col("_take")).drop("_take", "_d", "_b", "_o_n")
 
 
 def spacetime_folds(df: DataFrame, centres: list[tuple[float, float]], year_blocks: list[int]) -> DataFrame:

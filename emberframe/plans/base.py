@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,16 @@ def table(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="emberframe-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def events(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id_obs"), F.col("o_custkey").alias("site_id"), F.to_date("o_orderdate").alias("date"),

@@ -228,10 +228,14 @@ def l03_level_trends(spark, d):
     return rounded(t.drop("p_value").withColumn("projected_change", F.round("projected_change", 5)))
 
 
-@query()
+# Student's two-sided probability in closed form, for the up to five degrees of freedom that seven years leave
+PVAL = "CASE nu WHEN 1 THEN 1 - 2 * a / pi() WHEN 2 THEN 1 - sin(a) WHEN 3 THEN 1 - 2 / pi() * (a + sin(a) * cos(a)) WHEN 4 THEN 1 - sin(a) * (1 + cos(a) ** 2 / 2) WHEN 5 THEN 1 - 2 / pi() * (a + sin(a) * (cos(a) + 2 * cos(a) ** 3 / 3)) END"
+
+
+@query(f"WITH {FACT}, {LS}, h AS (SELECT zone_id, mon, yr, share_3 + share_4 AS high FROM ls), r AS (SELECT zone_id, mon, count(high) AS n, CASE WHEN var_pop(high) > 0 THEN regr_r2(high, yr) ELSE 0 END AS r2 FROM h GROUP BY 1, 2 HAVING count(high) >= 2), t AS (SELECT *, n - 2 AS nu, atan(sqrt(r2 / greatest(1 - r2, 1e-300))) AS a FROM r) SELECT zone_id, mon, n, round(r2, 6) AS r2, round(CASE WHEN n = 2 THEN 1 - ceil(r2) WHEN r2 >= 1 THEN 0 ELSE {PVAL} END, 6) AS p_value FROM t")
 def l03_trend_p_values(spark, d):
-    """Two-sided p-values; tests hold the series against numeric integration."""
-    return L.level_trends(high(spark, d), ["zone_id", "mon"], "high", "yr").select("zone_id", "mon", "n", "r2", "p_value")
+    """Two-sided p-values; tests hold long series against numeric integration."""
+    return rounded(L.level_trends(high(spark, d), ["zone_id", "mon"], "high", "yr").select("zone_id", "mon", "n", "r2", "p_value"))
 
 
 @query(f"WITH {FACT}, {LS}, h AS (SELECT zone_id, mon, yr, share_3 + share_4 AS high FROM ls), v AS (SELECT zone_id, avg(CASE WHEN yr = 1995 THEN high END) AS a, avg(CASE WHEN yr = 2000 THEN high END) AS b FROM h WHERE mon IN (7, 8) GROUP BY 1) SELECT zone_id, round(a, 6) AS base_share, round(b, 6) AS future_share, round(b - a, 6) AS increase, round((b - a) / nullif(a, 0) * 100, 5) AS increase_percent FROM v WHERE a IS NOT NULL AND b IS NOT NULL")

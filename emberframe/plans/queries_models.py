@@ -92,6 +92,10 @@ FLAT = [(a, [x * y for x, y in zip(b, t)]) for a, b, t in DRAWS]
 SCORED = "sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, [" + ", ".join(
     f"1 / (1 + exp(-({a}::DOUBLE + l_quantity * {w[0]!r}::DOUBLE + l_discount * {w[1]!r}::DOUBLE + l_tax * {w[2]!r}::DOUBLE)))" for a, w in FLAT) + "] AS p FROM lineitem)"
 KEEP = ["l_orderkey", "l_linenumber", "l_partkey"]
+MEAN, STD = [25.0, 0.05, 0.04], [15.0, 0.03, 0.02]
+SCALED_SQL = "WITH sc AS (SELECT l_orderkey, l_linenumber, l_partkey, [" + ", ".join(
+    f"1 / (1 + exp(-({a}::DOUBLE" + "".join(f" + 0.5 * {b}::DOUBLE * {t} * ({c} - {m}) / {s}" for b, t, c, m, s in zip(beta, tau, COLS, MEAN, STD)) + ")))"
+    for a, beta, tau in DRAWS) + "] AS p FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(list_avg(p), 6) AS mean_probability, round(list_stddev_pop(p), 6) AS std_probability FROM sc"
 
 
 @query("SELECT feature, round(m, 6) AS mean, round(s, 6) AS std FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS m, stddev_pop({c}) AS s FROM lineitem" for c in COLS) + ")")
@@ -127,6 +131,13 @@ def m05_score(spark, d):
     return rounded(M.score(table(spark, d, "lineitem"), COLS, FLAT, KEEP))
 
 
+@query(SCALED_SQL)
+def m05_score_use_scale(spark, d):
+    """Attention times its fitted scale, as in the likelihood."""
+    draws = [M.fold_draw(a, b, t, MEAN, STD, 0.5, use_scale=True) for a, b, t in DRAWS]
+    return rounded(M.score(table(spark, d, "lineitem"), COLS, draws, KEEP))
+
+
 @query(SCORE_SQL)
 def m05_score_many(spark, d):
     return rounded(M.score_many(table(spark, d, "lineitem"), COLS, FLAT, KEEP))
@@ -175,7 +186,7 @@ def m04_fit_draws(spark, d):
     from emberframe.operators.sampling import train_test_split
 
     p = train_test_split(predictions(spark, d), "label", 0.3, 1, "doc_id")
-    draws = M.fit_draws(p.where(~F.col("is_test")), ["score", "score2"], "label", {"score": 3.0, "score2": 1.5}, 3)
+    draws = M.fit_draws(p.where(~F.col("is_test")), ["score", "score2"], "label", {"score": 3.0, "score2": 1.5}, 3, "doc_id")
     return M.score(p.where("is_test"), ["score", "score2"], draws, ["doc_id", "label"])
 
 
@@ -245,6 +256,11 @@ def e09_average_precision(spark, d):
     return rounded(E.average_precision(predictions(spark, d)))
 
 
+@query(f"WITH {PRED}, {CUM} SELECT round(score, 9) AS score, round(tp / CAST(tp + fp AS DOUBLE), 9) AS precision, round(tp / CAST(pos AS DOUBLE), 9) AS recall, round(p / CAST(pos AS DOUBLE), 9) AS gain FROM (SELECT c.*, b.p FROM c JOIN b ON b.score = c.score)")
+def e09_pr_curve(spark, d):
+    return rounded(E.pr_curve(predictions(spark, d)), 9)
+
+
 @query(f"WITH {PRED}, {CUM}, {PRC}, f AS (SELECT score, coalesce(2 * pre * rec / nullif(pre + rec, 0), 0) AS f1 FROM pr) SELECT round(f1, 6) AS f1, round(score, 6) AS threshold FROM f ORDER BY f.f1 DESC, f.score DESC LIMIT 1")
 def e10_max_f1(spark, d):
     return rounded(E.max_f1(predictions(spark, d)))
@@ -282,6 +298,18 @@ def e14_overlap_period(spark, d):
     return agg(a, "a").unionByName(agg(b, "b"))
 
 
+COMMON = "a0 AS (SELECT * FROM pred WHERE date >= DATE '2020-06-01' AND doc_id % 3 < 2), b0 AS (SELECT * FROM pred WHERE date <= DATE '2023-06-01' AND doc_id % 3 > 0), lim AS (SELECT greatest((SELECT min(date) FROM a0), (SELECT min(date) FROM b0)) AS lo, least((SELECT max(date) FROM a0), (SELECT max(date) FROM b0)) AS hi)"
+
+
+@query(f"WITH {PRED}, {COMMON} SELECT a0.doc_id, a0.label, round(a0.score, 9) AS a_score, round(b0.score2, 9) AS b_score FROM a0 JOIN b0 ON a0.doc_id = b0.doc_id, lim WHERE a0.date BETWEEN lo AND hi AND b0.date BETWEEN lo AND hi")
+def e14_on_common_ids(spark, d):
+    """Two models tested on overlapping rows, compared on those that both have."""
+    p = predictions(spark, d)
+    a, b = E.overlap_period(p.where("date >= DATE'2020-06-01' AND doc_id % 3 < 2"), p.where("date <= DATE'2023-06-01' AND doc_id % 3 > 0"), "doc_id")
+    both = a.select("doc_id", "label", F.col("score").alias("a_score")).join(b.select("doc_id", F.col("score2").alias("b_score")), "doc_id")
+    return rounded(both, 9)
+
+
 def metric_rows(spark, d):
     out = None
     for name, x in zip("ab", pair(spark, d)):
@@ -324,9 +352,16 @@ def e18_cv_summary(spark, d):
     return rounded(E.cv_summary(f.withColumn("v", F.when(F.col("fold") == 5, F.lit(float("nan"))).otherwise(F.col("v"))), "v"))
 
 
-@query()
+FOLDS = f"""q AS (SELECT doc_id % 3 AS fold, score, sum(label) AS p, count(*) - sum(label) AS n FROM pred GROUP BY 1, 2),
+ r AS (SELECT fold, sum(n) OVER w / CAST(sum(n) OVER f AS DOUBLE) AS fpr, sum(p) OVER w / CAST(sum(p) OVER f AS DOUBLE) AS tpr FROM q WINDOW w AS (PARTITION BY fold ORDER BY score DESC), f AS (PARTITION BY fold)),
+ s AS (SELECT fold, fpr, max(tpr) AS tpr FROM (SELECT * FROM r UNION ALL SELECT DISTINCT fold, 0.0::DOUBLE, 0.0::DOUBLE FROM r) GROUP BY 1, 2),
+ e AS (SELECT *, lead(fpr) OVER (PARTITION BY fold ORDER BY fpr) AS f2, lead(tpr) OVER (PARTITION BY fold ORDER BY fpr) AS t2 FROM s),
+ y AS (SELECT fold, g, arg_max(tpr + (t2 - tpr) * (g / 99.0::DOUBLE - fpr) / (f2 - fpr), fpr) AS v FROM e, (SELECT CAST(range AS INT) AS g FROM range(100)) WHERE f2 IS NOT NULL AND round(fpr * 99, 9) <= g AND round(f2 * 99, 9) >= g GROUP BY 1, 2)"""
+
+
+@query(f"WITH {PRED}, {FOLDS} SELECT g AS grid, round(avg(v), 6) AS mean_tpr, round(stddev_pop(v), 6) AS std_tpr FROM y GROUP BY 1")
 def e19_roc_band(spark, d):
-    """Interpolated fold curves; tests check them against a plain interpolation."""
+    """Interpolated fold curves."""
     p, out = predictions(spark, d), None
     for k in range(3):
         c = E.roc_curve(p.where(F.col("doc_id") % 3 == k)).select(F.lit(k).alias("fold"), "fpr", "tpr")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalar as P
 from emberframe.operators import grid as G
 from emberframe.operators import sampling as A
-from emberframe.plans.base import CELLS, CLIM, EDGES, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, table, zones
+from emberframe.plans.base import CELLS, CLIM, EDGES, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, shared_folder, table, zones
 from emberframe.sources import io as S
 
 QUERIES: dict = {}
@@ -43,6 +43,14 @@ def s02_climate_range(spark, d):
     return rounded(c.where(F.col("day").between(F.lit("1996-01-15").cast("date"), F.lit("1996-03-10").cast("date"))))
 
 
+@query(f"WITH {CLIM} SELECT loc, day, round(T, 6) AS value FROM clim WHERE day BETWEEN DATE '1996-01-15' AND DATE '1996-03-10'")
+def s02_climate_partitions(spark, d):
+    """The daily grid written by variable, year and month, of which three folders of one variable are read."""
+    path = shared_folder(spark, "climate")
+    S.write_climate(climate(spark, d).unpivot(["loc", "day"], ["T", "P"], "variable", "value"), path)
+    return rounded(S.read_climate(spark, path, "T", "1996-01-15", "1996-03-10").select("loc", "day", "value"))
+
+
 @query(f"""WITH {CLIM}, k AS (SELECT DISTINCT site_id % 100 AS loc, date AS day FROM ({EV.removeprefix('ev AS ')})),
  j AS (SELECT k.loc, k.day, c.day AS nearest_day, c.T, row_number() OVER (PARTITION BY k.loc, k.day ORDER BY abs(date_diff('day', k.day, c.day)), c.day) AS rn FROM k JOIN clim c ON k.loc = c.loc)
  SELECT loc, day, nearest_day, round(T, 6) AS T FROM j WHERE rn = 1""")
@@ -162,6 +170,12 @@ def p16_align_and_fill(spark, d):
     return P.fill_missing(P.align_features(p, ["p_size", "absent", "p_retailprice"], ["p_partkey"]), ["p_retailprice"])
 
 
+@query("WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS v FROM part) SELECT p_partkey, round(coalesce(v, (SELECT avg(v) FROM p)), 6) AS p_retailprice FROM p")
+def p16_fill_mean(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice")).alias("p_retailprice"))
+    return rounded(P.fill_missing(p, ["p_retailprice"], "mean"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def p18_duplicate_keys(spark, d):
     return P.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -352,6 +366,13 @@ def a12_spacetime_folds(spark, d):
     return A.spacetime_folds(e, [(250.0, 250.0), (750.0, 750.0)], [1997, 1999]).groupBy("fold").agg(F.count("*").alias("n"))
 
 
+@query()
+def a12_spatial_folds(spark, d):
+    """Folds around fitted centres: no SQL form; a test checks that planted clusters become folds."""
+    e = events(spark, d).withColumn("label", (F.col("id_obs") % 40 == 0).cast("int"))
+    return A.spacetime_folds(e, A.spatial_centres(e, 3, 1), [1997]).groupBy("fold").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {CLIM} SELECT loc, day FROM clim WHERE date_diff('day', DATE '1995-01-01', day) % 100 = 0")
 def a14_thin(spark, d):
     return A.thin(climate(spark, d), "day", "1995-01-01", 100).select("loc", "day")

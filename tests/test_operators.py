@@ -13,6 +13,7 @@ from emberframe.operators import levels as L
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
 from emberframe.operators import model as M
+from emberframe.operators import ranks as R
 from emberframe.operators import sampling as A
 from emberframe.sources import io as S
 
@@ -245,7 +246,7 @@ def test_dense_ids(spark):
 def test_running_sums_in_two_levels(spark):
     rows = spark.createDataFrame([(i * i / 7.0, i) for i in range(200)], "s double, v int")
     for down in (False, True):
-        got = sorted(E.running(rows, "s", ["v"], down, 8).collect(), key=lambda r: r.s, reverse=down)
+        got = sorted(R.running(rows, "s", ["v"], down, 8).collect(), key=lambda r: r.s, reverse=down)
         want = 0
         for r in got:
             want += r.v
@@ -286,3 +287,64 @@ def test_zones_of_several_parts(spark, tmp_path):
     points = spark.createDataFrame([(i, i + 0.5, 0.5) for i in range(6)], "id_obs int, x double, y double")
     got = grid.zone_join(points, grid.zone_edges(zones), "id_obs", 1.0).collect()
     assert sorted((r.id_obs, r.zone_id) for r in got) == [(0, 1), (2, 2), (4, 2)]
+
+
+def test_skewed_values_are_dealt_evenly(spark):
+    rows = spark.range(4000).select(F.exp(F.col("id") / 100.0).alias("v")).unionByName(spark.createDataFrame([(1e300,), (None,)], "v double"))
+    sizes = [r["count"] for r in R.deal(rows, "v", 16).groupBy("_b").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 4 * min(sizes)
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_exact_quantiles_equal_percentile(spark, group):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.when(F.col("id") < 2500, 1).otherwise(2)).alias("g"),
+        F.when(F.col("id") % 11 != 0, F.pmod(F.hash("id"), F.lit(700)) / 7.0).alias("v"))
+    got = R.exact_quantiles(rows, "v", {"a": 0.0, "b": 0.13, "c": 0.5, "d": 1.0}, group)
+    want = rows.groupBy(*group).agg(*(F.percentile("v", F.lit(q)).alias(n) for n, q in (("a", 0.0), ("b", 0.13), ("c", 0.5), ("d", 1.0))))
+    plain = lambda df: sorted(tuple("" if x is None else f"{x:.9g}" for x in r) for r in df.collect())
+    assert plain(got) == plain(want)
+
+
+def test_quantile_of_nothing_is_null(spark):
+    got = R.exact_quantiles(spark.createDataFrame([(None,)], "v double"), "v", {"q": 0.5}).collect()
+    assert [r.q for r in got] == [None]
+
+
+def test_sample_per_group_of_null_groups_and_ties(spark):
+    rows = spark.createDataFrame([(None, 1)] * 5 + [(1, i) for i in range(50)] + [(2, 7)], "g int, k int")
+    got = {r.g: r["count"] for r in A.sample_per_group(rows, ["g"], 3, 1, "k").groupBy("g").count().collect()}
+    assert got == {None: 3, 1: 3, 2: 1}
+
+
+def test_lift_cuts_inside_a_tied_score(spark):
+    p = preds(spark, [(1, 0.9), (0, 0.5), (1, 0.5), (1, 0.5), (0, 0.5), (0, 0.1), (0, 0.1), (1, 0.1), (0, 0.1), (0, 0.1)])
+    got = {r.percent: r.captured for r in E.lift_curve(p, "id", [5, 10, 20, 30, 80, 100]).collect()}
+    assert got == {5: None, 10: 0.25, 20: 0.25, 30: 0.5, 80: 1.0, 100: 1.0}
+
+
+def test_attention_scale_is_optional():
+    args = (0.5, [2.0], [0.4], [1.0], [2.0])
+    assert M.fold_draw(*args, scale=3.0) == M.fold_draw(*args)
+    alpha, w = M.fold_draw(*args, scale=3.0, use_scale=True)
+    assert w == pytest.approx([1.2]) and alpha == pytest.approx(-0.7)
+
+
+def test_fill_mean_takes_fitted_means(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
+    assert [r.v for r in P.fill_missing(df, ["v"], "mean").collect()] == [1.0, 2.0, 3.0]
+    assert [r.v for r in P.fill_missing(df, ["v"], "mean", {"v": 9.0}).collect()] == [1.0, 9.0, 3.0]
+
+
+def test_planted_clusters_become_folds(spark):
+    rows = [(float(x + i % 5), float(y + i // 5), dt.date(2020, 1, 1), 1) for x, y in ((0, 0), (100, 0), (0, 100)) for i in range(20)]
+    df = spark.createDataFrame(rows, "x double, y double, date date, label int")
+    folds = A.spacetime_folds(df, A.spatial_centres(df, 3, 1), [])
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [20, 20, 20]
+
+
+def test_bootstrap_hangs_on_the_key_only(spark):
+    rows = spark.range(400).select("id", (F.pmod(F.hash("id"), F.lit(100)) / 100.0).alias("v")).withColumn("y", (F.col("v") > F.pmod(F.xxhash64("id"), F.lit(100)) / 100.0).cast("int"))
+    fit = lambda n: M.fit_draws(rows.repartition(n), ["v"], "y", {"v": 3.0}, 2, "id")
+    for (a, w), (b, u) in zip(fit(1), fit(5)):
+        assert a == pytest.approx(b, abs=1e-5) and w == pytest.approx(u, abs=1e-5)
