@@ -45,6 +45,16 @@ class Merger:
         self.calm[a[a > r]] = False
         self.calm[b[b > r]] = False
 
+    def plain(self) -> tuple:
+        """The tables as arrays, which travel without this class."""
+        return self.single, self.keys, self.ranks, self.bits, self.calm
+
+    @classmethod
+    def of(cls, plain: tuple) -> Merger:
+        merger = cls.__new__(cls)
+        merger.single, merger.keys, merger.ranks, merger.bits, merger.calm = plain
+        return merger
+
     def _slot(self, keys):
         return ((keys.astype(np.uint64) * MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -109,8 +119,8 @@ class Merger:
 def encode_texts(docs: DataFrame, vocab: str, pattern: str, text: str = "text", chunk: int = 1 << 20, cache: int = 300_000) -> DataFrame:
     """Add ids (little-endian unsigned 32-bit, as binary), n_tokens and decoded (binary) to ``docs``.
 
-    Every match of ``pattern`` is encoded by itself with the ranks in the file ``vocab``, without
-    special tokens; ``decoded`` is made from the ids. Whole texts are encoded, in groups of about
+    Every match of ``pattern`` is encoded by itself with the ranks in the file ``vocab``, which the
+    driver reads; its tables, of the vocabulary's size, are broadcast. There are no special tokens; ``decoded`` is made from the ids. Whole texts are encoded, in groups of about
     ``chunk`` characters per matrix pass; null and empty texts give no ids. A task keeps the ids of
     up to ``cache`` distinct matches and forgets them all when there are more. Existing columns of
     the added names are replaced.
@@ -119,13 +129,15 @@ def encode_texts(docs: DataFrame, vocab: str, pattern: str, text: str = "text",
     at = docs.columns.index(text)
     schema = T.StructType(docs.schema.fields + [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
 
+    ranks = read_ranks(vocab)
+    sent = docs.sparkSession.sparkContext.broadcast((Merger(ranks).plain(), {r: t for t, r in ranks.items()}))
+
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        ranks = read_ranks(vocab)
-        merger = Merger(ranks)
-        piece = dict(zip(ranks.values(), ranks.keys()))
+        plain, piece = sent.value
+        merger = Merger.of(plain)
         known: dict[str, bytes] = {}
 
         def some(texts):
