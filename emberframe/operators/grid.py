@@ -78,14 +78,28 @@ def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     return n % 2 == 1
 
 
+def touched(x: Column, y: Column, half: float, ring: list[tuple[float, float]]) -> Column:
+    """Does an edge of the polygon meet the closed square of half-width ``half`` around (x, y)?
+
+    An edge and a square are apart if their extents are along x or y, or if all corners lie on one
+    side of the edge's line.
+    """
+    hit = F.lit(False)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        boxes = x.between(min(x1, x2) - half, max(x1, x2) + half) & y.between(min(y1, y2) - half, max(y1, y2) + half)
+        across = F.abs((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)) <= half * (abs(x2 - x1) + abs(y2 - y1))
+        hit = hit | (boxes & across)
+    return hit
+
+
 def clip_cells(cells: DataFrame, ring: list[tuple[float, float]], half: float = 0.0) -> DataFrame:
-    """Cells of (x, y) centres inside a polygon; with ``half``, also those with a corner or side midpoint inside."""
-    hit = inside(F.col("x"), F.col("y"), ring)
-    if half:
-        for dx in (-half, 0.0, half):
-            for dy in (-half, 0.0, half):
-                hit = hit | inside(F.col("x") + dx, F.col("y") + dy, ring)
-    return cells.where(hit)
+    """Cells of (x, y) centres inside a polygon; with ``half``, all cells of that half-width that it touches.
+
+    A cell is touched if its centre lies inside or an edge meets it, so a polygon thinner or smaller
+    than a cell is not lost.
+    """
+    x, y = F.col("x"), F.col("y")
+    return cells.where(inside(x, y, ring) | touched(x, y, half, ring) if half else inside(x, y, ring))
 
 
 def focal_mean(cells: DataFrame, value: str, size: int = 4, min_periods: int | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Look-back windows: exploded lags, one equi-join, conditional aggregates."""
+"""Look-back windows: frames that slide over a place's days, or exploded lags where every day is wanted."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOWS = (1, 3, 5, 10, 15, 30, 60)
@@ -34,6 +34,28 @@ def window_features(long: DataFrame, key: list[str], variables: list[str], windo
     return long.groupBy(*key).agg(*out)
 
 
+def day_windows(events: DataFrame, series: DataFrame, on: list[str], variables: list[str], windows=WINDOWS, days: int = 60, anchor: str = "newest", missing: str = "zero") -> DataFrame:
+    """Rows of ``events`` (``on``, date, ...) with the features that ``window_features`` finds for their look-back.
+
+    Windows slide over the series itself, once for each place and day that is asked for, so events
+    meet one row each instead of ``days`` lags. A place's days are one task's work, a calendar at
+    most. Null places and dates have no series.
+    """
+    day, nothing = F.col("date").alias("day"), [F.lit(None).cast("double").alias(v) for v in variables]
+    asked = events.select(*on, day).distinct().select(*on, "day", *nothing, F.lit(True).alias("_asked"))
+    known = series.dropna(subset=[*on, "day"]).select(*on, "day", *(F.col(v).cast("double").alias(v) for v in variables), F.lit(False).alias("_asked"))
+    order, out = Window.partitionBy(*on).orderBy(F.unix_date("day")), []
+    for w in (w for w in windows if w <= days):
+        span = order.rangeBetween(1 - w, 0) if anchor == "newest" else order.rangeBetween(1 - days, w - days)
+        for v in variables:
+            mean = F.coalesce(F.sum(v).over(span), F.lit(0.0)) / w if missing == "zero" else F.avg(v).over(span)
+            out += [mean.alias(f"{v}_cumulative_mean_{w}d"), F.max(v).over(span).alias(f"{v}_cumulative_max_{w}d")]
+    found = asked.unionByName(known).select(*on, "day", "_asked", *out).where("_asked").drop("_asked").alias("f")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{d}")) for c, d in zip([*on, "date"], [*on, "day"])]
+    features = [c for c in found.columns if c not in (*on, "day")]
+    return events.alias("e").join(found, same, "left").select("e.*", *(F.col(f"f.{c}") for c in features))
+
+
 def chip_mean(long: DataFrame, key: list[str], value: str) -> DataFrame:
     return long.groupBy(*key).agg(F.avg(value).alias("chip_mean"))
 
@@ -58,4 +80,5 @@ def lookback_coverage(long: DataFrame, key: list[str], value: str, days: int) ->
 
 
 def join_features(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``a`` with the features of ``b``; keys that either side lacks go."""
     return a.join(b, key)

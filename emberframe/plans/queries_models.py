@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
 from emberframe.operators import model as M
@@ -29,12 +30,19 @@ def query(sql: str | None = None):
 KEYS = "k AS (SELECT id_obs, site_id % 100 AS loc, date FROM ev)"
 LB = f"{EV}, {KEYS}, {CLIM}, lb AS (SELECT k.id_obs, k.loc, k.date, i AS lag, c.T, c.P FROM k CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(30)) LEFT JOIN clim c ON c.loc = k.loc AND c.day = k.date - i)"
 
+LB60 = f"{EV}, {KEYS}, {CLIM}, lb60 AS (SELECT k.id_obs, c.T FROM k LEFT JOIN clim c ON c.loc = k.loc AND c.day <= k.date AND c.day > k.date - 60)"
+
 
 def long(spark, d, days=30):
     e = events(spark, d).select("id_obs", (F.col("site_id") % 100).alias("loc"), "date")
     return W.lookback(e, climate(spark, d), ["loc"], days)
 
 
+def features(spark, d, variables, days=30, **how):
+    e = events(spark, d).select("id_obs", (F.col("site_id") % 100).alias("loc"), "date")
+    return W.day_windows(e, climate(spark, d), ["loc"], variables, W.WINDOWS, days, **how).drop("loc", "date")
+
+
 @query(f"WITH {LB} SELECT id_obs, lag, round(T, 6) AS T FROM lb WHERE T IS NOT NULL")
 def w01_lookback(spark, d):
     return rounded(long(spark, d).where("T is not null").select("id_obs", "lag", "T"))
@@ -45,12 +53,12 @@ WINS = (1, 3, 5, 10, 15, 30)
 
 @query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN {v} END), 0) / {w}, 9) AS {v}_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN {v} END), 9) AS {v}_cumulative_max_{w}d" for v in "TP" for w in WINS) + " FROM lb GROUP BY 1")
 def w03_window_features(spark, d):
-    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T", "P"], W.WINDOWS, 30), 9)
+    return rounded(features(spark, d, ["T", "P"]), 9)
 
 
 @query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(avg(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_max_{w}d" for w in WINS) + " FROM lb GROUP BY 1")
 def w04_window_features_oldest(spark, d):
-    return rounded(W.window_features(long(spark, d), ["id_obs"], ["T"], W.WINDOWS, 30, "oldest", "skip"), 9)
+    return rounded(features(spark, d, ["T"], anchor="oldest", missing="skip"), 9)
 
 
 @query(f"WITH {LB} SELECT loc, lag, round(avg(T), 6) AS chip_mean FROM lb GROUP BY 1, 2")
@@ -81,7 +89,14 @@ def w05_short_history(spark, d):
     ev = table(spark, d, "events")
     series = ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
     keys = ev.select("user_id").distinct().withColumn("date", F.lit("2024-01-30").cast("date"))
-    return rounded(W.window_features(W.lookback(keys, series, ["user_id"], 30), ["user_id"], ["v"], W.WINDOWS, 30))
+    return rounded(W.day_windows(keys, series, ["user_id"], ["v"], W.WINDOWS, 30).drop("date"))
+
+
+@query(f"WITH {LB60}, {CELLS}, a AS (SELECT id_obs, coalesce(sum(T), 0) / 60 AS m, max(T) AS t FROM lb60 GROUP BY 1), b AS (SELECT id_obs, c.v FROM ev JOIN cells c ON c.ix = CAST(floor(ev.x / 50) AS INT) AND c.iy = CAST(floor(ev.y / 50) AS INT)) SELECT id_obs, round(m, 9) AS T_cumulative_mean_60d, round(t, 9) AS T_cumulative_max_60d, round(v, 9) AS v FROM a JOIN b USING (id_obs)")
+def w10_join_features(spark, d):
+    static = G.sample_at(G.to_cell(events(spark, d), 0.0, 0.0, 50.0, 20, 20), cells(spark, d).select("ix", "iy", "v")).where("v is not null").select("id_obs", "v")
+    dynamic = features(spark, d, ["T"], 60).select("id_obs", "T_cumulative_mean_60d", "T_cumulative_max_60d")
+    return rounded(W.join_features(dynamic, static, ["id_obs"]), 9)
 
 
 # model

@@ -230,6 +230,11 @@ def g04_clip_cells(spark, d):
     return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)]).select("ix", "iy")
 
 
+@query(f"WITH {CELLS} SELECT ix, iy FROM cells WHERE x + 25 >= 500 AND y - 25 <= least(x + 25, 1000) - 500")
+def g04_touched_cells(spark, d):
+    return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)], 25.0).select("ix", "iy")
+
+
 @query(f"WITH {CELLS}, {EV} SELECT ix, iy FROM cells c WHERE NOT EXISTS (SELECT 1 FROM ev q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 625)")
 def g05_exclude_within(spark, d):
     return G.exclude_within(cells(spark, d), events(spark, d), 25.0).select("ix", "iy")

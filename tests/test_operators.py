@@ -78,6 +78,29 @@ def test_missing_days(spark):
     assert {r.id for r in W.lookback_coverage(long, ["id"], "v", 3).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("anchor", ["newest", "oldest"])
+@pytest.mark.parametrize("missing", ["zero", "skip"])
+def test_day_windows_equal_window_features(spark, anchor, missing):
+    day = dt.date(2020, 3, 1)
+    events = spark.createDataFrame(
+        [(i, i % 4 if i % 7 else None, day + dt.timedelta(i % 5) if i % 11 else None) for i in range(40)], "id int, loc int, date date")
+    rows = [(loc, day + dt.timedelta(i), float((i * 37 + loc) % 11) if i % 3 else None) for loc in range(3) for i in range(-8, 6) if (i + loc) % 4]
+    series = spark.createDataFrame([*rows, (None, day, 5.0)], "loc int, day date, v double")
+    want = W.window_features(W.lookback(events, series, ["loc"], 6), ["id"], ["v"], (1, 3, 5, 10), 6, anchor, missing)
+    got = W.day_windows(events, series, ["loc"], ["v"], (1, 3, 5, 10), 6, anchor, missing).drop("loc", "date")
+    assert got.columns == want.columns
+    rounds = lambda df: sorted(tuple(None if x is None else round(x, 9) for x in r) for r in df.collect())
+    assert rounds(got) == rounds(want) and got.count() == 40
+
+
+def test_touched_cells(spark):
+    cells = spark.createDataFrame([(i, j, i + 0.5, j + 0.5) for i in range(6) for j in range(6)], "ix int, iy int, x double, y double")
+    cut = lambda ring: {(r.ix, r.iy) for r in G.clip_cells(cells, ring, 0.5).collect()}
+    assert cut([(2.2, 2.2), (2.3, 2.2), (2.3, 2.3)]) == {(2, 2)}  # smaller than a cell, off its centre
+    assert cut([(0.1, 3.2), (5.9, 3.2), (5.9, 3.3), (0.1, 3.3)]) == {(i, 3) for i in range(6)}  # thinner than a cell
+    assert cut([(1.1, 1.1), (4.9, 1.1), (4.9, 4.9), (1.1, 4.9)]) == {(i, j) for i in range(1, 5) for j in range(1, 5)}
+
+
 def test_chip_mode_ties_and_missing(spark):
     rows = spark.createDataFrame([(1, 5), (1, 5), (1, 2), (1, 2), (2, None)], "k int, v int")
     assert {r.k: r.chip_mode for r in W.chip_mode(rows, ["k"], "v").collect()} == {1: 2, 2: 0}
