@@ -83,6 +83,39 @@ class Lists:
         return far <= ratio * far.min(1)[:, None]
 
 
+    def reach(self, x: np.ndarray, k: int, recall: float, slack: float, copies: int, asked: int = 256, seed: int = 9) -> float:
+        """The ratio for ``search`` at which ``asked`` rows of the sample ``x`` meet that share of their ``k`` nearest in it.
+
+        Neighbours in a sample lie farther away than those in the whole table, so the share met
+        there is no smaller, as far as the sample is like the table.
+        """
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return 1.0
+        drawn = np.random.default_rng(seed).choice(len(x), min(asked, len(x)), replace=False)
+        q = x[drawn]
+        inner = q @ x.T
+        inner[np.arange(len(q)), drawn] = -np.inf
+        near = np.argpartition(-inner, k - 1, axis=1)[:, :k]
+        rows, place = np.unique(near, return_inverse=True)
+        homes = np.concatenate([self.assign(lift(x[rows[at : at + 1024]], self.longest), slack, copies) for at in range(0, len(rows), 1024)])
+        q, place = aim(q, self.longest), place.reshape(near.shape)
+        far = _distances(q, self.centres)
+        far /= np.maximum(far.min(1, keepdims=True), 1e-9 * self.longest)
+        need = [np.where(homes[p], far[i], np.inf).min(1) for i, p in enumerate(place)]
+        ratio = float(np.quantile(need, recall, method="higher"))
+        while True:  # the walk may miss lists that the distances allow
+            read = self.search(q, ratio)
+            if read.all() or np.mean([(homes[p] & r).any(1) for p, r in zip(place, read)]) >= recall:
+                return ratio
+            ratio *= 1.05
+
+
+def aim(q: np.ndarray, longest: float) -> np.ndarray:
+    """Queries at norm ``longest``, with nothing in the component that ``lift`` adds."""
+    return np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True) * longest, np.zeros((len(q), 1))], axis=1)
+
+
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
     """One more component, so that all rows have norm ``longest``: nearest then means largest inner product."""
     return np.concatenate([x, np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))[:, None]], axis=1)
@@ -90,7 +123,7 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
 
 def search_inner(
     embeddings: DataFrame, is_query, scratch: Scratch, k: int = 20, per_list: int = 64, most_lists: int = 4096, fit: int = 16_384,
-    slack: float = 0.1, copies: int = 4, ratio: float = 1.2, unit: int = 512, entries: int = 20_000, askers: int = 1024, seed: int = 9,
+    slack: float = 0.1, copies: int = 4, ratio: float = 1.2, recall: float = 0.95, unit: int = 512, entries: int = 20_000, askers: int = 1024, seed: int = 9,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row, the ``k`` rows of largest inner product found.
 
@@ -101,7 +134,8 @@ def search_inner(
     are one entry that carries its k + 1 smallest ids, which is all a query can return of it.
     Vectors that are null, zero or hold null or non-finite components take no part.
     A query reads all lists whose centre is within ``ratio`` times the distance of its nearest one,
-    and all lists, if those hold fewer than k + 1 vectors.
+    and all lists, if those hold fewer than k + 1 vectors. Where that ratio would miss more than
+    1 - ``recall`` of the neighbours inside the sample, the least one that does not takes its place.
     """
     spark = embeddings.sparkSession
     rows = scratch.put(usable(embeddings), "vectors")
@@ -117,6 +151,7 @@ def search_inner(
 
     longest = kinds.agg(F.max(norm("v"))).first()[0]
     fitted = Lists.fit(drawn, longest, total, per_list, most_lists, 24, seed)
+    ratio = max(ratio, fitted.reach(drawn, k, recall, slack, copies, seed=seed))
     index = spark.sparkContext.broadcast((fitted.centres, fitted.graph, fitted.longest))
 
     def file(batches):
@@ -157,7 +192,7 @@ def search_inner(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 q = _matrix(part.column(1).to_pylist())
-                found = model.search(np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True) * model.longest, np.zeros((len(q), 1))], axis=1), ratio)
+                found = model.search(aim(q, model.longest), ratio)
                 found[(found * size).sum(1) <= 2 * k * copies] = True
                 out: list[tuple] = []
                 for i, (qid, v) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):

@@ -104,6 +104,25 @@ def test_search_in_small_units_and_groups(spark, table):
     assert sorted(map(key, one)) == sorted(map(key, many))
 
 
+def test_reach_meets_the_recall_of_many_small_lists():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12)) * rng.uniform(0.5, 1.5, (3000, 1))
+    longest = float(np.linalg.norm(x, axis=1).max())
+    lists = ann.Lists.fit(x, longest, len(x), 8, 4096, 24, 5)
+    homes = lists.assign(ann.lift(x, longest), 0.1, 4)
+    asked = rng.choice(len(x), 200, replace=False)
+    inner = x[asked] @ x.T
+    inner[np.arange(len(asked)), asked] = -np.inf
+    near = np.argsort(-inner, axis=1)[:, :20]
+
+    def met(ratio):
+        read = lists.search(ann.aim(x[asked], longest), ratio)
+        return np.mean([(homes[n] & r).any(1).mean() for n, r in zip(near, read)])
+
+    ratio = lists.reach(x, 20, 0.95, 0.1, 4)
+    assert met(1.0) < 0.5 and met(ratio) >= 0.92 and lists.reach(x[:1], 20, 0.95, 0.1, 4) == 1.0
+
+
 def test_search_ties_go_to_smaller_ids(spark):
     x = np.array([[(n >> b) & 1 for b in range(9)] for n in range(1, 400)], float)
     ids = np.random.default_rng(3).permutation(len(x))
