@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,6 +53,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lookup(rows: DataFrame, entries: DataFrame, on: list[str], heavy: Column) -> DataFrame:
+    """Inner join of ``rows`` with ``entries``, which has one row per value of ``on``.
+
+    ``heavy`` marks the entries that over a thousandth of all rows ask for: a thousand at most, so these
+    are broadcast and their rows stay where they are. The rest is shuffled, and no key of it is hot.
+    """
+    hot = F.broadcast(entries.where(heavy))
+    rest = rows.join(F.broadcast(entries.where(heavy).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(entries.where(~heavy).hint("shuffle_merge"), on))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Smallest node id reachable from every node of ``edges`` (a long, b long).
 
