@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("queries_mixing", "queries_sharding", "queries_urls", "queries_bpe", "queries_simhash", "queries_ctw", "queries_repeats", "queries_quality", "queries_vectors", "queries_exact", "queries_divergence")
+MODULES = ("queries_mixing", "queries_sharding", "queries_urls", "queries_bpe", "queries_simhash", "queries_ctw", "queries_repeats", "queries_quality", "queries_vectors", "queries_exact", "queries_trie", "queries_divergence")
 
 
 def _all(name: str) -> dict:
