@@ -48,27 +48,6 @@ def sampling_area(cells: DataFrame, aoi: DataFrame, points: DataFrame, radius: f
     return exclude_within(inside, points, radius)
 
 
-def zone_edges(zones: DataFrame) -> DataFrame:
-    """(zone_id, x1, y1, x2, y2): one row per polygon edge of (zone_id, rings)."""
-    ring = F.explode("rings").alias("r")
-    pairs = F.expr("transform(sequence(1, size(r)), i -> struct(r[i-1].x AS x1, r[i-1].y AS y1, r[i % size(r)].x AS x2, r[i % size(r)].y AS y2))")
-    return zones.select("zone_id", ring).select("zone_id", F.explode(pairs).alias("e")).select("zone_id", "e.*")
-
-
-def zone_join(points: DataFrame, edges: DataFrame, key: str, band: float) -> DataFrame:
-    """(key, zone_id) of points inside a zone by even-odd edge crossings; holes count.
-
-    Edges are dealt into horizontal bands of height ``band`` that they cross, so a point meets only
-    the edges of its own band in an equi-join.
-    """
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    banded = edges.where("y1 <> y2").withColumn("_b", F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band))))
-    asked = points.select(key, "x", "y").withColumn("_b", F.floor(F.col("y") / band))
-    crosses = (lo <= F.col("y")) & (F.col("y") < hi) & (F.col("x") < F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    hits = asked.join(banded, "_b").where(crosses)
-    return hits.groupBy(key, "zone_id").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
-
-
 def inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Even-odd test against one fixed polygon, as a plain expression."""
     n = F.lit(0)
@@ -141,19 +120,6 @@ def zonal_stats(pred: DataFrame, zones: DataFrame, key: str, value: str) -> Data
     return rest.join(tail, "zone_id", "left").select("zone_id", "mean_risk", "max_risk", "spatial_std", "p90", "n")
 
 
-def zone_coverage(zone_cells: DataFrame, aoi: DataFrame, cell_area: float) -> DataFrame:
-    """Cells, area and share inside the area of interest for each zone of (zone_id, ix, iy)."""
-    marked = zone_cells.join(aoi.select("ix", "iy", F.lit(1).alias("_in")), ["ix", "iy"], "left")
-    return marked.groupBy("zone_id").agg(
-        F.count("*").alias("n_cells"), (F.count("*") * cell_area).alias("area"), F.count("_in").alias("n_inside"),
-        (F.count("_in") / F.count("*")).alias("share_inside"))
-
-
-def ring_area(edges: DataFrame) -> DataFrame:
-    """Shoelace area per zone over its edges; holes that turn the other way subtract."""
-    return edges.groupBy("zone_id").agg(F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2).alias("area"))
-
-
 def extent(df: DataFrame) -> DataFrame:
     return df.agg(*(f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))))
 
@@ -169,10 +135,3 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def crop(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     return df.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-
-
-def event_density(joined: DataFrame, areas: DataFrame) -> DataFrame:
-    """Points per zone, and per 100 units of its area."""
-    counts = joined.groupBy("zone_id").agg(F.count("*").alias("n_events"))
-    return areas.join(counts, "zone_id", "left").select(
-        "zone_id", F.coalesce("n_events", F.lit(0)).alias("n_events"), (F.coalesce("n_events", F.lit(0)) / F.col("area") * 100).alias("per_100"))

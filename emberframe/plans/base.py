@@ -16,15 +16,16 @@ FACT = "fact AS (SELECT s_nationkey AS zone_id, n_name AS zone_name, l_suppkey A
 PRED = "pred AS (SELECT d.doc_id, CAST(quality AS INT) AS label, CAST(n_chars AS DOUBLE) / (SELECT max(n_chars) FROM documents) AS score, CAST((d.doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS score2, CAST(DATE '2020-01-01' + CAST(d.doc_id % 1461 AS INT) AS DATE) AS date FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 SEASON = "CASE WHEN {0} IN (12, 1, 2) THEN 'Winter' WHEN {0} IN (3, 4, 5) THEN 'Spring' WHEN {0} IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END"
 
-# Zones on a 1000 x 1000 plane: a square, a triangle, a square with a hole, an L.
+# Zones on a 1000 x 1000 plane: a square, a triangle, a square with a hole that turns as its shell does, an L, and
+# two parts, of which one has a hole with an island in it.
 ZONES = [
     (1, [[(0, 0), (400, 0), (400, 400), (0, 400)]]),
     (2, [[(500, 0), (1000, 0), (1000, 500)]]),
     (3, [[(0, 500), (450, 500), (450, 1000), (0, 1000)], [(100, 600), (300, 600), (300, 800), (100, 800)]]),
     (4, [[(500, 600), (1000, 600), (1000, 700), (600, 700), (600, 1000), (500, 1000)]]),
+    (5, [[(650, 750), (750, 750), (750, 850), (650, 850)], [(800, 720), (950, 720), (950, 950), (800, 950)],
+         [(820, 740), (820, 930), (930, 930), (930, 740)], [(850, 800), (900, 800), (900, 850), (850, 850)]]),
 ]
-EDGES = "edges(zone_id, x1, y1, x2, y2) AS (VALUES " + ", ".join(
-    f"({z}, {a[0]}.0::DOUBLE, {a[1]}.0::DOUBLE, {b[0]}.0::DOUBLE, {b[1]}.0::DOUBLE)" for z, rings in ZONES for r in rings for a, b in zip(r, r[1:] + r[:1])) + ")"
 
 
 def table(spark, d: str, name: str) -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from emberframe.functions import scalar as P
 from emberframe.operators import grid as G
+from emberframe.operators import polygons as Z
 from emberframe.operators import sampling as A
-from emberframe.plans.base import CELLS, CLIM, EDGES, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, shared_folder, table, zones
+from emberframe.plans.base import CELLS, CLIM, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, shared_folder, table, zones
 from emberframe.sources import io as S
 
 QUERIES: dict = {}
@@ -246,9 +247,39 @@ def g06_sampling_area(spark, d):
     return G.sampling_area(c, c.where("x < 800"), events(spark, d), 20.0, "risk").select("ix", "iy")
 
 
-@query(f"WITH {EV}, {EDGES} SELECT id_obs, zone_id FROM ev JOIN edges ON least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1")
+# Strict inequalities: the zones written out, boundaries excluded.
+SHAPE = {
+    1: "{x} > 0 AND {x} < 400 AND {y} > 0 AND {y} < 400",
+    2: "{x} < 1000 AND {y} > 0 AND {y} < {x} - 500",
+    3: "{x} > 0 AND {x} < 450 AND {y} > 500 AND {y} < 1000 AND NOT ({x} BETWEEN 100 AND 300 AND {y} BETWEEN 600 AND 800)",
+    4: "{x} > 500 AND {x} < 1000 AND {y} > 600 AND {y} < 1000 AND NOT ({x} >= 600 AND {y} >= 700)",
+    5: "({x} > 650 AND {x} < 750 AND {y} > 750 AND {y} < 850) OR ({x} > 800 AND {x} < 950 AND {y} > 720 AND {y} < 950 AND NOT ({x} BETWEEN 820 AND 930 AND {y} BETWEEN 740 AND 930)) OR ({x} > 850 AND {x} < 900 AND {y} > 800 AND {y} < 850)",
+}
+AREAS = "areas(zone_id, area) AS (VALUES (1, 160000.0::DOUBLE), (2, 125000), (3, 185000), (4, 80000), (5, 26100))"
+
+
+def in_zones(table: str, key: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, {z} AS zone_id FROM {table} WHERE {shape.format(x='x', y='y')}" for z, shape in SHAPE.items())
+
+
+@query(f"WITH {EV} " + in_zones("ev", "id_obs"))
 def g07_zone_join(spark, d):
-    return G.zone_join(events(spark, d), G.zone_edges(zones(spark)), "id_obs", 100.0)
+    return Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0)
+
+
+DIAMONDS = "dia AS (SELECT s_suppkey AS zone_id, CAST((s_suppkey * 7907) % 1000 AS DOUBLE) AS cx, CAST((s_suppkey * 6007) % 1000 AS DOUBLE) AS cy, CAST(3 + s_suppkey % 60 AS DOUBLE) AS r FROM supplier)"
+
+
+@query(f"WITH {EV}, {DIAMONDS} SELECT zone_id, count(*) AS n_points, count(DISTINCT date) AS n_days, sum(id_obs)::BIGINT AS ids FROM ev JOIN dia ON abs(x - cx) + abs(y - cy) < r GROUP BY 1")
+def g07_zone_layer(spark, d):
+    """A layer that grows with the data: one diamond per supplier, overlapping; all events, of which many share a place."""
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("zone_id"), (F.col("s_suppkey") * 7907 % 1000).cast("double").alias("cx"), (F.col("s_suppkey") * 6007 % 1000).cast("double").alias("cy"),
+        (3 + F.col("s_suppkey") % 60).cast("double").alias("r"))
+    corner = lambda dx, dy: F.struct((F.col("cx") + dx * F.col("r")).alias("x"), (F.col("cy") + dy * F.col("r")).alias("y"))
+    layer = s.select("zone_id", F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("rings"))
+    hits = Z.within(events(spark, d).select("id_obs", "date", "x", "y"), Z.zone_tiles(Z.zone_edges(layer), 4.0))
+    return hits.groupBy("zone_id").agg(F.count("*").alias("n_points"), F.count_distinct("date").alias("n_days"), F.sum("id_obs").alias("ids"))
 
 
 @query(f"WITH {CELLS} SELECT a.ix, a.iy, round(CASE WHEN count(b.v) = 16 THEN avg(b.v) END, 6) AS focal FROM cells a JOIN cells b ON b.ix BETWEEN a.ix - 2 AND a.ix + 1 AND b.iy BETWEEN a.iy - 2 AND a.iy + 1 GROUP BY 1, 2")
@@ -281,26 +312,41 @@ def g11_prediction_grid(spark, d):
     return G.prediction_grid(cells(spark, d).withColumn("t", F.when(F.col("code") % 3 != 0, F.col("v"))), "t")
 
 
-INZ = f"inz AS (SELECT id_obs, zone_id FROM ev JOIN edges ON least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
+INZ = f"inz AS ({in_zones('ev', 'id_obs')})"
 
 
-@query(f"WITH {EV}, {EDGES}, {INZ}, s AS (SELECT o_orderkey AS id_obs, o_totalprice AS r FROM orders) SELECT zone_id, round(avg(r), 6) AS mean_risk, round(max(r), 6) AS max_risk, round(stddev_samp(r), 6) AS spatial_std, round(quantile_cont(r, 0.9), 6) AS p90, count(r) AS n FROM inz JOIN s USING (id_obs) GROUP BY 1")
+@query(f"WITH {EV}, {INZ}, s AS (SELECT o_orderkey AS id_obs, o_totalprice AS r FROM orders) SELECT zone_id, round(avg(r), 6) AS mean_risk, round(max(r), 6) AS max_risk, round(stddev_samp(r), 6) AS spatial_std, round(quantile_cont(r, 0.9), 6) AS p90, count(r) AS n FROM inz JOIN s USING (id_obs) GROUP BY 1")
 def g12_zonal_stats(spark, d):
     pred = table(spark, d, "orders").select(F.col("o_orderkey").alias("id_obs"), F.col("o_totalprice").alias("r"))
-    return rounded(G.zonal_stats(pred, G.zone_join(events(spark, d), G.zone_edges(zones(spark)), "id_obs", 100.0), "id_obs", "r"))
+    return rounded(G.zonal_stats(pred, Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0), "id_obs", "r"))
+
+
+COVERED = f"slivers AS (SELECT 100 + i AS zone_id, 60.0 * i AS x0 FROM range(16) t(i)), names AS (SELECT unnest([1, 2, 3, 4, 5]) AS zone_id UNION ALL SELECT zone_id FROM slivers), inc AS ({in_zones('cells', 'ix, iy, x')} UNION ALL SELECT ix, iy, x, zone_id FROM cells JOIN slivers ON x > x0 AND x < x0 + 8 AND y > 0 AND y < 40), cov AS (SELECT names.zone_id, count(ix) AS n_cells, count(CASE WHEN x < 800 THEN 1 END) AS n_inside FROM names LEFT JOIN inc ON inc.zone_id = names.zone_id GROUP BY 1)"
+
 
+def coverage(spark, d):
+    """Zones and 16 slivers, most of which hold the middle of no cell."""
+    box = lambda x: [[(x, 0.0), (x + 8, 0.0), (x + 8, 40.0), (x, 40.0)]]
+    slivers = spark.createDataFrame([(100 + i, box(60.0 * i)) for i in range(16)], zones(spark).schema)
+    c, layer = cells(spark, d).select("ix", "iy", "x", "y"), zones(spark).unionByName(slivers)
+    found = Z.within(c, Z.zone_tiles(Z.zone_edges(layer), 20.0))
+    return Z.zone_coverage(found, c.where("x < 800"), 2500.0, layer), c.where("x < 800")
 
-@query(f"WITH {CELLS}, {EDGES}, z AS (SELECT ix, iy, x, zone_id FROM cells JOIN edges ON least(y1, y2) <= y AND y < greatest(y1, y2) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) GROUP BY ALL HAVING count(*) % 2 = 1) SELECT zone_id, count(*) AS n_cells, count(*) * 2500.0::DOUBLE AS area, count(CASE WHEN x < 800 THEN 1 END) AS n_inside, round(count(CASE WHEN x < 800 THEN 1 END) / CAST(count(*) AS DOUBLE), 6) AS share_inside FROM z GROUP BY 1")
+
+@query(f"WITH {CELLS}, {COVERED} SELECT CAST(zone_id AS INT) AS zone_id, n_cells, n_cells * 2500.0::DOUBLE AS area, n_inside, round(n_inside / nullif(CAST(n_cells AS DOUBLE), 0), 6) AS share_inside FROM cov")
 def g13_zone_coverage(spark, d):
-    c = cells(spark, d).withColumn("cid", F.col("ix") * 100 + F.col("iy"))
-    z = G.zone_join(c, G.zone_edges(zones(spark)), "cid", 100.0).join(c.select("cid", "ix", "iy"), "cid")
-    return rounded(G.zone_coverage(z, c.where("x < 800"), 2500.0))
+    return rounded(coverage(spark, d)[0])
+
+
+@query(f"WITH {CELLS}, {COVERED} SELECT count(*) AS n_zones, count(CASE WHEN n_inside > 0 THEN 1 END) AS n_kept, count(CASE WHEN n_inside = 0 THEN 1 END) AS n_removed, round(count(CASE WHEN n_inside = 0 THEN 1 END) * 100.0 / count(*), 6) AS removed_percent, sum(n_cells) * 2500.0::DOUBLE AS area, sum(n_inside) * 2500.0::DOUBLE AS clipped_area, (SELECT count(*) FROM cells WHERE x < 800) * 2500.0::DOUBLE AS aoi_area, round((1 - sum(n_inside) / CAST(sum(n_cells) AS DOUBLE)) * 100, 6) AS reduction_percent, round(sum(n_inside) * 100.0 / (SELECT count(*) FROM cells WHERE x < 800), 6) AS coverage_percent FROM cov")
+def g13_clip_summary(spark, d):
+    return rounded(Z.clip_summary(*coverage(spark, d), 2500.0))
 
 
-@query(f"WITH {EV}, {EDGES}, {INZ}, a AS (SELECT zone_id, abs(sum(x1 * y2 - x2 * y1) / 2) AS area FROM edges GROUP BY 1) SELECT a.zone_id, count(id_obs) AS n_events, round(count(id_obs) / area * 100, 6) AS per_100 FROM a LEFT JOIN inz ON a.zone_id = inz.zone_id GROUP BY a.zone_id, area")
+@query(f"WITH {EV}, {INZ}, {AREAS} SELECT CAST(areas.zone_id AS INT) AS zone_id, area, count(id_obs) AS n_events, round(count(id_obs) / area * 100, 6) AS per_100 FROM areas LEFT JOIN inz ON areas.zone_id = inz.zone_id GROUP BY 1, area")
 def g14_area_and_g17_density(spark, d):
-    edges = G.zone_edges(zones(spark))
-    return rounded(G.event_density(G.zone_join(events(spark, d), edges, "id_obs", 100.0), G.ring_area(edges)))
+    edges = Z.zone_edges(zones(spark))
+    return rounded(Z.event_density(Z.zone_join(events(spark, d), edges, "id_obs", 20.0), Z.ring_area(edges, 20.0)))
 
 
 @query(f"WITH {EV}, {CELLS}, a AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM ev), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM cells) SELECT greatest(a.x0, b.x0) AS min_x, least(a.x1, b.x1) AS max_x, greatest(a.y0, b.y0) AS min_y, least(a.y1, b.y1) AS max_y, greatest(a.x0, b.x0) <= least(a.x1, b.x1) AND greatest(a.y0, b.y0) <= least(a.y1, b.y1) AS overlaps FROM a, b")

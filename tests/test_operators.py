@@ -13,6 +13,7 @@ from emberframe.operators import levels as L
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
 from emberframe.operators import model as M
+from emberframe.operators import polygons as Z
 from emberframe.operators import ranks as R
 from emberframe.operators import sampling as A
 from emberframe.sources import io as S
@@ -198,9 +199,9 @@ def test_zones_never_duplicate_a_point_and_holes_count(spark):
     rings = [(1, [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0)]]), (2, [[(10.0, 0.0), (20.0, 0.0), (20.0, 10.0), (10.0, 10.0)]])]
     zones = spark.createDataFrame(rings, "zone_id int, rings array<array<struct<x:double,y:double>>>")
     pts = spark.createDataFrame([(i * 21 + j, i + 0.5, j + 0.5) for i in range(21) for j in range(10)], "id int, x double, y double")
-    got = G.zone_join(pts, G.zone_edges(zones), "id", 3.0).collect()
+    got = Z.zone_join(pts, Z.zone_edges(zones), "id", 3.0).collect()
     assert len({r.id for r in got}) == len(got) == 200 - 4
-    assert {r.zone_id: r.area for r in G.ring_area(G.zone_edges(zones)).collect()}[2] == 100.0
+    assert {r.zone_id: r.area for r in Z.ring_area(Z.zone_edges(zones), 3.0).collect()}[2] == 100.0
 
 
 def test_excluded_period_is_closed(spark):
@@ -298,7 +299,6 @@ def test_write_once_replaces_what_a_dead_job_left(spark, tmp_path):
 def test_zones_of_several_parts(spark, tmp_path):
     import json
 
-    from emberframe.operators import grid
     from emberframe.sources import io
 
     square = lambda x: [[x, 0], [x + 1, 0], [x + 1, 1], [x, 1], [x, 0]]
@@ -308,7 +308,7 @@ def test_zones_of_several_parts(spark, tmp_path):
     zones = io.read_zones(spark, str(path))
     assert [len(r.rings) for r in zones.orderBy("zone_id").collect()] == [1, 2]
     points = spark.createDataFrame([(i, i + 0.5, 0.5) for i in range(6)], "id_obs int, x double, y double")
-    got = grid.zone_join(points, grid.zone_edges(zones), "id_obs", 1.0).collect()
+    got = Z.zone_join(points, Z.zone_edges(zones), "id_obs", 1.0).collect()
     assert sorted((r.id_obs, r.zone_id) for r in got) == [(0, 1), (2, 2), (4, 2)]
 
 
