@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Scratch
+from emberframe.llm.common import Scratch, lookup
 
 FEATURES = (
     "url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "query_len",
@@ -61,35 +61,43 @@ def lexical(pages: DataFrame) -> DataFrame:
     })
 
 
+def fold(seed: int):
+    """0 to 9 for each url: 0 to 3 give suffix statistics, 4 to 8 train, 9 is held out."""
+    return F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce("url", F.lit(""))), F.lit(10))
+
+
 def judge(pages: DataFrame, scratch: Scratch, rules, sample: int = 20_000, trees: int = 20, depth: int = 4, seed: int = 5) -> DataFrame:
     """Add host, path, rule, verdict and score (the trees' probability of block) to ``pages``.
 
-    The longest fitting rule decides. Urls under a rule are the labelled ones: a bounded sample of
-    at most about ``sample`` of them, drawn by hash, trains the trees, which decide all other urls.
-    Suffix statistics (count, share of labelled urls, smoothed share of blocked ones) are taken over
-    all rows, the share without the row's own label. Null and empty urls have empty host and path and are judged like any other. Without
-    labelled urls of both verdicts, the only verdict seen, or else allow, is given. Existing columns
+    The longest fitting rule decides. Urls under a rule are the labelled ones, dealt by a hash of the url (see
+    ``fold``): four tenths give the suffixes' shares of labelled and blocked urls, a bounded sample of at most about
+    ``sample`` of five tenths trains the trees, which decide all urls without a rule, and one tenth is held
+    out from both. So no feature knows the label of a url that trains or tests. Counts of a suffix are over
+    all rows. Null and empty urls have empty host and path and are judged like any other. Without
+    urls to train on of both verdicts, the only verdict seen, or else allow, is given. Existing columns
     of the added names are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = host_and_path(F.col("url"))
     name, said = longest_rule(rules)
     base = pages.select(F.struct("*").alias("row"), F.col("url").alias("url")).withColumns({"host": host, "path": path}).withColumns({"rule": name, "said": said})
-    block = (F.col("said") == "block").cast("int")
     suffix = F.substring_index("host", ".", -2)
+    told = F.when(fold(seed) < 4, F.col("said"))
     stats = scratch.put(
-        base.groupBy(suffix.alias("_suffix")).agg(F.count("*").alias("_n"), F.count("said").alias("_labelled"), F.coalesce(F.sum(block), F.lit(0)).alias("_blocked")),
+        base.groupBy(suffix.alias("suffix")).agg(
+            F.count("*").alias("_n"), F.count(told).alias("_labelled"), F.count_if(told == "block").alias("_blocked"),
+            F.count_if(F.col("said").isNotNull() & fold(seed).between(4, 8)).alias("_train"), F.count_if((F.col("said") == "block") & fold(seed).between(4, 8)).alias("_bad")),
         "suffixes")
-    labelled, blocked = stats.agg(F.coalesce(F.sum("_labelled"), F.lit(0)), F.coalesce(F.sum("_blocked"), F.lit(0))).first()
-    ready = lexical(base).join(stats, F.col("suffix") == F.col("_suffix")).withColumns({
+    rows, labelled, blocked = stats.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("_n", "_train", "_bad"))).first()
+    ready = lookup(lexical(base), stats, ["suffix"], F.col("_n") > rows / 1000).withColumns({
         "suffix_log_count": F.log1p("_n"), "suffix_share": F.col("_labelled") / F.col("_n"),
-        "suffix_block": (F.col("_blocked") - F.coalesce(block, F.lit(0)) + F.lit(0.5)) / (F.col("_labelled") - F.col("said").isNotNull().cast("int") + F.lit(1.0)),
+        "suffix_block": (F.col("_blocked") + F.lit(0.5)) / (F.col("_labelled") + F.lit(1.0)),
     })
     out = [*(F.col("row").getField(c).alias(c) for c in pages.columns), "host", "path", "rule"]
     if 0 < blocked < labelled:
         keep = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / labelled))
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="_x")
-        train = vectors.transform(ready.where(F.col("said").isNotNull() & keep).withColumn("_y", F.when(F.col("said") == "block", 1.0).otherwise(0.0))).select("_x", "_y")
+        train = vectors.transform(ready.where(F.col("said").isNotNull() & fold(seed).between(4, 8) & keep).withColumn("_y", F.when(F.col("said") == "block", 1.0).otherwise(0.0))).select("_x", "_y")
         boosted = GBTClassifier(featuresCol="_x", labelCol="_y", predictionCol="_c", maxIter=trees, maxDepth=depth, seed=seed)
         model = boosted.setProbabilityCol("_p").setRawPredictionCol("_r").fit(scratch.put(train, "train").coalesce(2))
         score = vector_to_array("_p")[1]

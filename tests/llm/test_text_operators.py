@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -362,6 +363,45 @@ def test_trees_predict_held_out_labels(spark):
     assert len(unruled) > 1000 and sum((r.verdict == "block") == truth[r.page_id] for r in unruled) / len(unruled) > 0.95
 
 
+def test_no_feature_knows_a_row_s_own_label(spark):
+    """Labels drawn by a coin, from which nothing can be learnt: held-out urls are not foretold."""
+    rng = random.Random(9)
+    made, rules = [], []
+    for host in range(60):  # a coin for each url of a suffix: only its own label, left out of the share, would tell
+        for k in range(40):
+            made.append(f"http://h{host}.net/{rng.choice('ab')}/{rng.randrange(10**6)}")
+    rules = [("block", "net/a"), ("allow", "net/b")]
+    swap = str.maketrans("ab", "qq")
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(made)], "page_id long, url string")
+    blank = pages.withColumn("url", F.translate("url", "ab", "qq"))  # what the trees may see is the same for both
+    assert len({u.translate(swap).count("q") for u in made}) == 1
+    from unittest import mock
+
+    real = urls.lexical
+    with mock.patch.object(urls, "lexical", lambda p: real(p.withColumn("url", F.regexp_replace("url", "/[ab]/", "/q/")).withColumn("path", F.regexp_replace("path", "/[ab]/", "/q/")))):
+        got = urls.judge(pages, Scratch(spark), rules).withColumn("fold", urls.fold(5)).collect()
+    assert blank.count() == len(got)
+    for folds in ((4, 5, 6, 7, 8), (9,)):
+        mine = [r for r in got if r.fold in folds]
+        right = sum((r.score > 0.5) == (r.rule == "net/a") for r in mine) / len(mine)
+        assert right < 0.75 if len(folds) > 1 else 0.35 < right < 0.65  # trees fit chance a little, held-out rows not at all
+
+
+def test_urls_of_the_pages_table(spark):
+    path = os.environ.get("TEST_URL_DIR", "/root/testdata/sf0.01")
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(f"{path}/pages.parquet").select("page_id", "url")
+    got = urls.judge(pages, Scratch(spark), RULES).withColumn("fold", urls.fold(5)).collect()
+    verdict = {r: v for v, r in RULES}
+    held = [r for r in got if r.rule and r.fold == 9]
+    right = sum(("block" if r.score > 0.5 else "allow") == verdict[r.rule] for r in held) / len(held)
+    unruled = [r for r in got if not r.rule]
+    print(len(held), right, len(unruled), sum(r.verdict == "block" for r in unruled), len({round(r.score, 4) for r in unruled}))
+    assert right > 0.7 and len({round(r.score, 6) for r in unruled}) > 10
+    assert 0 < sum(r.verdict == "block" for r in unruled) < len(unruled)
+
+
 # language model
 
 
