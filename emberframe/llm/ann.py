@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import Scratch, by_value
-from emberframe.llm.vectors import classes, k_means, sample, usable
+from emberframe.llm.vectors import classes, k_means, sample, tamed, usable
 
 by_value(__name__)
 
@@ -73,15 +73,14 @@ class Lists:
         while len(live):
             open_ = np.where(opened[live], np.inf, far[live])
             best = open_.argmin(1)
-            go = open_[np.arange(len(live)), best] <= ratio * far[live].min(1)
+            go = open_[np.arange(len(live)), best] <= ratio * np.maximum(far[live].min(1), 1e-9 * self.longest)
             live, best = live[go], best[go]
             opened[live, best] = True
             near = self.graph[best]
             step = np.linalg.norm(self.centres[near] - q[live][:, None, :], axis=2)
             np.put_along_axis(far_live := far[live], near, step, axis=1)
             far[live] = far_live
-        return far <= ratio * far.min(1)[:, None]
-
+        return far <= ratio * np.maximum(far.min(1), 1e-9 * self.longest)[:, None]
 
     def reach(self, x: np.ndarray, k: int, recall: float, slack: float, copies: int, asked: int = 256, seed: int = 9) -> float:
         """The ratio for ``search`` at which ``asked`` rows of the sample ``x`` meet that share of their ``k`` nearest in it.
@@ -104,16 +103,19 @@ class Lists:
         far /= np.maximum(far.min(1, keepdims=True), 1e-9 * self.longest)
         need = [np.where(homes[p], far[i], np.inf).min(1) for i, p in enumerate(place)]
         ratio = float(np.quantile(need, recall, method="higher"))
-        while True:  # the walk may miss lists that the distances allow
+        while ratio < 1e9:  # the walk may miss lists that the distances allow
             read = self.search(q, ratio)
             if read.all() or np.mean([(homes[p] & r).any(1) for p, r in zip(place, read)]) >= recall:
                 return ratio
             ratio *= 1.05
+        return 1e9  # every list
 
 
 def aim(q: np.ndarray, longest: float) -> np.ndarray:
     """Queries at norm ``longest``, with nothing in the component that ``lift`` adds."""
-    return np.concatenate([q / np.linalg.norm(q, axis=1, keepdims=True) * longest, np.zeros((len(q), 1))], axis=1)
+    q = tamed(q)
+    size = np.linalg.norm(q, axis=1, keepdims=True)
+    return np.concatenate([q / np.where(size > 0, size, 1) * longest, np.zeros((len(q), 1))], axis=1)
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -145,11 +147,18 @@ def search_inner(
     if not len(drawn):
         return spark.createDataFrame([], schema)
 
+    @F.pandas_udf("double")
+    def largest(v: pd.Series) -> pd.Series:
+        return pd.Series(np.abs(_matrix(v.tolist())).max(axis=1)) if len(v) else pd.Series([], dtype="float64")
+
     @F.pandas_udf("double")
     def norm(v: pd.Series) -> pd.Series:
-        return pd.Series(np.linalg.norm(_matrix(v.tolist()), axis=1)) if len(v) else pd.Series([], dtype="float64")
+        return pd.Series(np.linalg.norm(np.ldexp(_matrix(v.tolist()), -power), axis=1)) if len(v) else pd.Series([], dtype="float64")
 
-    longest = kinds.agg(F.max(norm("v"))).first()[0]
+    # distances are taken at a common scale, a power of two that only very long or short vectors need
+    most = kinds.agg(F.max(largest("v"))).first()[0]
+    power = int(np.frexp(most)[1]) if not 1e-100 < most < 1e100 else 0
+    longest, drawn = kinds.agg(F.max(norm("v"))).first()[0], np.ldexp(drawn, -power)
     fitted = Lists.fit(drawn, longest, total, per_list, most_lists, 24, seed)
     ratio = max(ratio, fitted.reach(drawn, k, recall, slack, copies, seed=seed))
     index = spark.sparkContext.broadcast((fitted.centres, fitted.graph, fitted.longest))
@@ -159,7 +168,7 @@ def search_inner(
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                row, lists = np.nonzero(model.assign(lift(_matrix(part.column(1).to_pylist()), model.longest), slack, copies))
+                row, lists = np.nonzero(model.assign(lift(np.ldexp(_matrix(part.column(1).to_pylist()), -power), model.longest), slack, copies))
                 kept = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), *kept.columns], names=["list", "cid", "v", "least"])
 
@@ -219,7 +228,9 @@ def search_inner(
             ask_, (lo, hi) = pair_q[pair_u == u], np.searchsorted(yu, [u, u + 1])
             if not len(ask_):
                 continue
-            s = qv[ask_] @ yv[lo:hi].T
+            with np.errstate(over="ignore", invalid="ignore"):
+                s = qv[ask_] @ yv[lo:hi].T
+            s = np.where(np.isnan(s), -np.inf, s)  # products of both signs beyond the doubles
             cand = np.broadcast_to(yid[lo:hi], s.shape)
             ids = np.concatenate([low[ask_], np.broadcast_to(yl[lo:hi], s.shape)], axis=1)
             s, cand = np.concatenate([top[ask_], s], axis=1), np.concatenate([who[ask_], cand], axis=1)
@@ -230,10 +241,10 @@ def search_inner(
             by = np.argsort(cand, axis=1, kind="stable")
             sorted_ = np.take_along_axis(cand, by, 1)
             np.put_along_axis(again, by[:, 1:], (sorted_[:, 1:] == sorted_[:, :-1]) & (sorted_[:, 1:] >= 0), axis=1)
-            s = np.where(again, -np.inf, s)
+            s, cand = np.where(again, -np.inf, s), np.where(again, -1, cand)
             order = np.lexsort((ids, -s), axis=1)[:, :keep]
             top[ask_], who[ask_], low[ask_] = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
-        i, j = np.nonzero(np.isfinite(top))
+        i, j = np.nonzero(who >= 0)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid[i], who[i, j], low[i, j], top[i, j])], names=["query_id", "cid", "least", "score"])
 
     def run(batches):

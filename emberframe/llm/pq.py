@@ -219,14 +219,15 @@ def near_vectors(
 
     Rows link at a cosine of ``cosine`` or more, computed in doubles. Coarse lists and codebooks are
     fitted on a hashed sample of about ``fit`` distinct vectors at most; every vector is indexed.
-    Equal vectors are one class: they link with each other and are compared once. Vectors that take
+    Equal vectors are one class: they link with each other and are compared once. Norms may be any, also
+    such whose square no double holds. Vectors that take
     no part (see ``usable``) keep themselves. component_id is the smallest vec_id reachable, itself
     included.
 
     Candidate distances are bounds, and every list is probed whose side of the bisector is within a
     link's reach, so no link is lost, whatever the vectors' effective dimension.
     """
-    rows = scratch.put(usable(embeddings), "vectors")
+    rows = scratch.put(usable(embeddings, directions=True), "vectors")
     kinds = classes(rows, scratch, 1)
     drawn, total = sample(kinds, fit, seed), kinds.count()
     links = None

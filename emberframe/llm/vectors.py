@@ -14,10 +14,20 @@ from emberframe.llm.common import Scratch, by_value
 by_value(__name__)
 
 
-def usable(embeddings: DataFrame) -> DataFrame:
+def tamed(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles, scaled by the power of two that brings them near 1."""
+    most = np.abs(x).max(axis=1, initial=0)
+    wild = (most > 1e100) | ((most < 1e-100) & (most > 0))
+    if wild.any():
+        x = x.copy()
+        x[wild] = np.ldexp(x[wild], -np.frexp(most[wild])[1][:, None])
+    return x
+
+
+def usable(embeddings: DataFrame, directions: bool = False) -> DataFrame:
     """(vec_id, v) of the rows of ``embeddings`` (vec_id, embedding) that take part.
 
-    ``v`` holds the vector as little-endian doubles. Vectors that are null, zero, or hold null or
+    ``v`` holds the vector as little-endian doubles; where only ``directions`` count, ``tamed``. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do those that have another length than most rows.
     """
     sizes = embeddings.where(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
@@ -30,6 +40,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = values.reshape(-1, d) + 0.0 if len(values) else np.zeros((0, d))
             good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = tamed(np.where(good[:, None], x, 0.0)) if directions else x
             yield pa.RecordBatch.from_arrays(
                 [ids.filter(pa.array(good)), pa.array([r.tobytes() for r in x[good]], pa.binary())], names=["vec_id", "v"])
 

@@ -135,6 +135,34 @@ def test_search_ties_go_to_smaller_ids(spark):
         assert [v for _, v in mine] == ids[np.lexsort((ids, -s))[:20]].tolist()
 
 
+def test_norms_beyond_the_doubles(spark):
+    """Vectors whose squares under- or overflow take part and spoil nobody's links."""
+    rng = np.random.default_rng(8)
+    x = [rng.normal(size=2) for _ in range(60)] + [np.array([0.0, 1.0]), np.array([0.0, 2.0])]
+    x += [np.array(v) for v in ([1e-200, 0.0], [1e200, 0.0], [-1e200, 1e200], [3e-310, 0.0], [1e308, 0.0], [0.0, 0.0])]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    far = [v / max(np.abs(v).max(), 5e-324) for v in x[:-1]]
+    u = np.array([v / np.linalg.norm(v) for v in far])
+    links = (u @ u.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(rows, Scratch(spark), per_list=10).collect()}
+    assert got == {**dict(enumerate(links.tolist())), len(x) - 1: 0}
+    pair = spark.createDataFrame([(1, [1e-200, 0.0]), (5, [0.0, 1.0]), (6, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.component_id for r in pq.near_vectors(pair, Scratch(spark)).collect()} == {1: 1, 5: 5, 6: 5}
+    for some in (rows, pair, rows.where("vec_id % 20 = 0 OR vec_id > 61"), pair.where("vec_id = 1").union(pair.where("vec_id = 1").selectExpr("vec_id + 1", "embedding"))):
+        found = ann.search_inner(some, F.lit(True), Scratch(spark), per_list=8).collect()
+        vectors = {r.vec_id: np.array(r.embedding) for r in some.collect() if any(r.embedding)}
+        with np.errstate(over="ignore", invalid="ignore"):
+            for r in found:
+                assert r.vec_id != r.query_id and math.isclose(r.score, float(vectors[r.query_id] @ vectors[r.vec_id]), rel_tol=1e-9)
+        assert {r.query_id for r in found} == set(vectors) and all(sum(r.query_id == q for r in found) == min(20, len(vectors) - 1) for q in vectors)
+
+
+def test_reach_ends_on_a_sample_of_one_place():
+    x = np.repeat([[3.0, 4.0], [0.0, 5.0]], [40, 3], axis=0)
+    lists = ann.Lists.fit(x, 5.0, len(x), 4, 64, 4, 1)
+    assert 1.0 <= lists.reach(x, 20, 0.95, 0.1, 4) <= 1e9
+
+
 def test_few_and_no_vectors(spark, table):
     few = table.where("size(embedding) = 16").orderBy("vec_id").limit(7)
     rows = ann.search_inner(few.withColumn("vec_id", F.col("vec_id") * 0 + F.monotonically_increasing_id() % 1000 * 20), F.col("vec_id") % 20 == 0, Scratch(spark)).collect()
