@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,15 @@ def encode_passages(texts: list[bytes]):
     ], axis=1).astype(np.float32), per
 
 
+def encode_texts(texts: list[bytes], most: int = 1 << 20):
+    """``encode_passages`` with arrays of about ``most`` bytes of text at a time: a long text is cut between passages."""
+    most = max(PASSAGE, most // PASSAGE * PASSAGE)
+    if sum(map(len, texts)) <= most:
+        return encode_passages(texts)
+    parts = [[encode_passages([text[at : at + most]])[0] for at in range(0, max(1, len(text)), most)] for text in texts]
+    return np.concatenate([p for ps in parts for p in ps]), np.array([sum(map(len, ps)) for ps in parts], np.int64)
+
+
 def _segments(per):
     return np.cumsum(per) - per
 
@@ -129,15 +139,15 @@ class Attention:
                     self.w[k] = (self.w[k] - size * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, bag: int = 64, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
+def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, passages: int = 60_000, hidden: int = 32, gate: int = 16, epochs: int = 20, seed: int = 11) -> Attention | float:
     """Fit to the texts of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality 0/1) marks, outside ``held_out``.
 
-    The fit sees a bounded sample: about ``per_class`` ids of each label at most, drawn by hash of
-    doc_id, and ``bag`` passages of a text at most, spread evenly over all of it. The sample is drawn
-    from the labels alone, so it is small enough to broadcast and texts stay where they are. Sampled
-    rows are weighted back to their share. Ids with two labels are left out; of several texts of one
-    id, the smallest is taken. Scores look at all passages. With ids of one label only, that label is returned as the score of every text; without any,
-    0.5.
+    The fit sees a bounded sample of labelled rows, with all their passages: of each label, ids in the order of
+    a hash, ``per_class`` at most, until their texts have half of ``passages`` together. An id drawn whose
+    text alone has more is passed over. Sampled rows are weighted back to their share. Ids with two labels are
+    left out; of several texts of one id, the smallest is taken. Scores look at all passages. With ids of one
+    label only, that label is returned as the score of every text; without any, 0.5. Other columns of
+    both tables are not read.
     """
     once = labels.where(~held_out & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_high"))
     once = once.where("label = _high").select(F.col("doc_id").alias("_id"), "label")
@@ -147,13 +157,23 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 3000, b
     share = {k: min(1.0, per_class / v) for k, v in n.items()}
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), F.lit(1 << 30)) < F.when(F.col("label") == 0, int(share[0] * (1 << 30))).otherwise(int(share[1] * (1 << 30)))
     drawn = F.broadcast(once.where(draw))  # about 2 * per_class rows
-    fit = docs.where("text is not null").join(drawn, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    texts = docs.where("text is not null").select("doc_id", "text")
+    fit = texts.join(drawn, F.col("doc_id") == F.col("_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    length = F.ceil(F.greatest(F.octet_length("text"), F.lit(1)) / PASSAGE).cast("long")
+    sizes = fit.select("doc_id", "label", length.alias("n"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("turn")).toPandas()  # about 2 * per_class rows
+    chosen = []
+    for label, rows in sizes[sizes["n"] <= passages // 2].sort_values(["turn", "doc_id"]).groupby("label"):
+        took = rows[rows["n"].cumsum() <= passages // 2]
+        chosen.append(took)
+        share[label] *= len(took) / max(1, (sizes["label"] == label).sum())
+    keep = pd.concat(chosen)["doc_id"].tolist() if chosen else []
+    spark, kind = docs.sparkSession, docs.select("doc_id").schema
+    fit = fit.join(F.broadcast(spark.createDataFrame([(i,) for i in keep], kind)), "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = encode_passages([text.encode()])[0]
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(bag, len(x))).astype(np.int64))]
+                x = encode_texts([text.encode()])[0]
                 yield pa.RecordBatch.from_arrays([pa.array([int(label)]), pa.array([len(x)]), pa.array([x.tobytes()])], names=["y", "per", "x"])
 
     rows = fit.select("text", "label").mapInArrow(run, "y long, per long, x binary").toPandas().sort_values(["y", "per", "x"])
@@ -186,7 +206,7 @@ def score(docs: DataFrame, model: Attention | float, threshold: float = 0.3, chu
                 if isinstance(model, float):
                     p = np.full(end - begin, model)
                 else:
-                    p = model.forward(*encode_passages(texts[begin:end]))[0].astype(np.float64)
+                    p = model.forward(*encode_texts(texts[begin:end]))[0].astype(np.float64)
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
