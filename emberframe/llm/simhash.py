@@ -197,10 +197,14 @@ def keep_one(docs: DataFrame, scratch: Scratch, words: int = 3, seed: int = 42)
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with one row of each component of ``groups`` (doc_id, body, component), chosen as in ``keep_one``."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key.alias("_key"), F.col("body").alias("_body")))
-    first = scratch.put(groups.groupBy("component").agg(best.alias("b")).select("b._key", "b._body"), "first")
-    kept = docs.withColumns({"_key": key, "_body": _body()}).join(first, ["_key", "_body"], "left_semi")
-    one = Window.partitionBy("_key", "_body").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one", "_key", "_body")
+    """``docs`` with one row of each component of ``groups`` (doc_id, body, component), chosen as in ``keep_one``.
+
+    Of rows of equal doc_id and text, which one stays is settled by a hash of the whole row. Columns of any name pass through.
+    """
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), key("doc_id").alias("key"), "body"))
+    first = scratch.put(groups.groupBy("component").agg(best.alias("b")).select("b.key", "b.body"), "first")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), key("doc_id").alias("key"), _body().alias("body"))
+    kept = packed.join(first, ["key", "body"], "left_semi")
+    one = Window.partitionBy("key", "body").orderBy(F.xxhash64(F.to_json("row")))
+    return kept.withColumn("turn", F.row_number().over(one)).where("turn = 1").select("row.*")
