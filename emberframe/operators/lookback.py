@@ -34,17 +34,20 @@ def window_features(long: DataFrame, key: list[str], variables: list[str], windo
     return long.groupBy(*key).agg(*out)
 
 
-def day_windows(events: DataFrame, series: DataFrame, on: list[str], variables: list[str], windows=WINDOWS, days: int = 60, anchor: str = "newest", missing: str = "zero") -> DataFrame:
+def day_windows(events: DataFrame, series: DataFrame, on: list[str], variables: list[str], windows=WINDOWS, days: int = 60, anchor: str = "newest", missing: str = "zero", chunk: int = 1024) -> DataFrame:
     """Rows of ``events`` (``on``, date, ...) with the features that ``window_features`` finds for their look-back.
 
     Windows slide over the series itself, once for each place and day that is asked for, so events
-    meet one row each instead of ``days`` lags. A place's days are one task's work, a calendar at
-    most. Null places and dates have no series.
+    meet one row each instead of ``days`` lags. A place's calendar is dealt in chunks of ``chunk`` days,
+    each with the days before it that its windows reach, so one place may have most rows. Null places
+    and dates have no series.
     """
     day, nothing = F.col("date").alias("day"), [F.lit(None).cast("double").alias(v) for v in variables]
     asked = events.select(*on, day).distinct().select(*on, "day", *nothing, F.lit(True).alias("_asked"))
     known = series.dropna(subset=[*on, "day"]).select(*on, "day", *(F.col(v).cast("double").alias(v) for v in variables), F.lit(False).alias("_asked"))
-    order, out = Window.partitionBy(*on).orderBy(F.unix_date("day")), []
+    own = lambda back: F.floor((F.unix_date("day") + back) / chunk)
+    asked, known = asked.withColumn("_chunk", own(0)), known.withColumn("_chunk", F.explode(F.sequence(own(0), own(days - 1))))
+    order, out = Window.partitionBy(*on, "_chunk").orderBy(F.unix_date("day")), []
     for w in (w for w in windows if w <= days):
         span = order.rangeBetween(1 - w, 0) if anchor == "newest" else order.rangeBetween(1 - days, w - days)
         for v in variables:
@@ -56,6 +59,59 @@ def day_windows(events: DataFrame, series: DataFrame, on: list[str], variables:
     return events.alias("e").join(found, same, "left").select("e.*", *(F.col(f"f.{c}") for c in features))
 
 
+def _chip_sums(size: int, tile: int, values: list[str]):
+    """For cogrouped cells and requests of one tile of a day: sums and counts of the part of each chip in the tile."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(cells: pa.Table, asked: pa.Table) -> pa.Table:
+        n, out = asked.num_rows, {c: asked.column(c) for c in ("day", "ix", "iy")}
+        if not n:
+            return pa.table({**out, **{f"{name}_{v}": pa.array([], pa.float64()) for v in values for name in ("sum", "n")}})
+        x0, y0 = (asked.column(c)[0].as_py() * tile for c in ("tx", "ty"))
+        ix, iy = (asked.column(c).to_numpy() for c in ("ix", "iy"))
+        lo_x, hi_x, lo_y, hi_y = (np.clip(v, 0, tile) for v in (ix - size // 2 - x0, ix + size - size // 2 - x0, iy - size // 2 - y0, iy + size - size // 2 - y0))
+        col, row = (cells.column(c).to_numpy() for c in ("ix", "iy"))
+        for v in values:
+            found = cells.column(v).to_numpy(zero_copy_only=False).astype(float)
+            good = ~np.isnan(found)
+            for name, what in (("sum", found), ("n", np.ones(len(found)))):
+                area = np.zeros((tile + 1, tile + 1))
+                np.add.at(area, (row[good] - y0 + 1, col[good] - x0 + 1), what[good])
+                area = area.cumsum(0).cumsum(1)
+                out[f"{name}_{v}"] = pa.array(area[hi_y, hi_x] - area[lo_y, hi_x] - area[hi_y, lo_x] + area[lo_y, lo_x])
+        return pa.table(out)
+
+    return run
+
+
+def chip_series(events: DataFrame, grid: DataFrame, values: list[str], size: int = 32, days: int = 60, tile: int = 128) -> DataFrame:
+    """(events columns, lag, values): mean of each value over the ``size`` by ``size`` chip around an event's cell, on each day back.
+
+    ``events`` (ix, iy, date, ...), ``grid`` (day, ix, iy, values), both numbered from 0. Cells without a value
+    do not count, chips end at the border, a chip without any value is NULL, and so is one of an
+    event without place or date. The grid is cut into tiles of ``tile`` cells a side; each tile of a
+    day becomes one summed-area table, from which a chip needs four entries, or those of the four tiles it
+    touches. Chips are asked for once for each (day, cell), so a tile has no more of them than cells
+    nearby, and no event meets the cells of its chip.
+    """
+    known = grid.select(
+        "day", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), *(F.col(v).cast("double").alias(v) for v in values))
+    t = lambda c: F.floor(F.col(c) / tile)
+    known = known.dropna(subset=["day", "ix", "iy"]).where("ix >= 0 AND iy >= 0").withColumns({"tx": t("ix"), "ty": t("iy")})
+    lags = events.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("_day", F.date_sub("date", F.col("lag")))
+    places = lags.select(F.col("_day").alias("day"), F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).dropna().distinct()
+    span = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - size // 2, F.lit(0)) / tile), F.floor((F.col(c) + size - size // 2 - 1) / tile)))
+    asked = places.where("ix >= 0 AND iy >= 0").withColumn("tx", span("ix")).withColumn("ty", span("iy"))
+    key, sums = ["day", "tx", "ty"], [f"{n}_{v}" for v in values for n in ("sum", "n")]
+    schema = "day date, ix long, iy long, " + ", ".join(f"{c} double" for c in sums)
+    parts = known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_chip_sums(size, tile, values), schema)
+    whole = parts.groupBy("day", "ix", "iy").agg(*(F.sum(c).alias(c) for c in sums))
+    means = whole.select(F.col("day").alias("_day"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *(F.when(F.col(f"n_{v}") > 0.5, F.col(f"sum_{v}") / F.col(f"n_{v}")).alias(v) for v in values))
+    same = (lags["_day"] == means["_day"]) & (lags["ix"] == means["_ix"]) & (lags["iy"] == means["_iy"])
+    return lags.join(means, same, "left").select(*(lags[c] for c in events.columns), "lag", *(means[v] for v in values))
+
+
 def chip_mean(long: DataFrame, key: list[str], value: str) -> DataFrame:
     return long.groupBy(*key).agg(F.avg(value).alias("chip_mean"))
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators.lookback import WINDOWS, day_windows, join_features
 from emberframe.operators.ranks import exact_quantiles
+from emberframe.sources.io import write_once
 
 # Feature families: name parts that mark them (fixed values, tried in this order).
 STATIC_FAMILIES = {
@@ -169,13 +172,48 @@ def fit_draws(train: DataFrame, columns: list[str], label: str, prior: dict[str,
     return out
 
 
-def project(grid: DataFrame, climate: DataFrame, dates: DataFrame, on: list[str], key: list[str], variables: list[str], columns: list[str], draws, windows=(1, 3, 5), days: int = 5) -> DataFrame:
-    """Score every grid row on every (member, date) of ``dates`` in one plan: look-back, features, score.
+def projection_dates(climate: DataFrame, months: list[int] | None = None, day: int = 15) -> DataFrame:
+    """(date): the given day of every month that ``climate`` has days of, of ``months`` only if given."""
+    start = climate.where(F.col("day").isNotNull()).select(F.trunc("day", "month").alias("start")).distinct()
+    wanted = start if months is None else start.where(F.month("start").isin(months))
+    return wanted.select(F.date_add("start", day - 1).alias("date"))
 
-    Climate features are computed per coarse cell of ``on`` and only then joined to the fine grid.
+
+def project(
+    grid: DataFrame, climate: DataFrame, dates: DataFrame, on: list[str], key: list[str], variables: list[str], columns: list[str], draws,
+    members: list[str] | None = None, windows=WINDOWS, days: int = 60,
+) -> DataFrame:
+    """(key, members, date, mean and deviation of probability): every grid row on every date, for every member that ``climate`` has.
+
+    One pass slides over each (member, coarse cell)'s days and feeds all dates; features are per coarse
+    cell of ``on`` and only then meet the fine grid, where missing ones count as 0. ``dates`` is a
+    calendar's months at most.
     """
-    from emberframe.operators.lookback import join_features, lookback, window_features
+    by = [*(members or []), *on]
+    used = [w for w in windows if any(c.endswith(f"_{w}d") for c in columns)]
+    asked = climate.select(*by).distinct().crossJoin(F.broadcast(dates.select("date")))
+    feats = day_windows(asked, climate, by, variables, used, days)
+    ready = join_features(grid, feats, on)
+    return score(ready.na.fill(0.0, columns), columns, draws, [*key, *(members or []), "date"])
+
+
+def zone_projection(pred: DataFrame, by: list[str]) -> DataFrame:
+    """Mean, maximum and deviation over space, and mean uncertainty, of ``project`` per zone, month and ``by``."""
+    p = "mean_probability"
+    return pred.groupBy("zone_id", *by, F.year("date").alias("year"), F.month("date").alias("month")).agg(
+        F.avg(p).alias("mean_risk"), F.max(p).alias("max_risk"), F.stddev(p).alias("spatial_std"), F.avg("std_probability").alias("prediction_uncertainty"))
 
-    asked = climate.select(*on).distinct().crossJoin(F.broadcast(dates))  # coarse cells by a short list of dates
-    feats = window_features(lookback(asked, climate, on, days), [*on, "date"], variables, windows, days)
-    return score(join_features(grid, feats, on).na.fill(0.0, columns), columns, draws, [*key, "date"])
+
+def write_members(df: DataFrame, members: DataFrame, path: str) -> list[str]:
+    """Write ``df`` in a folder for each row of ``members`` (scenario, member, ...), skipping those that are whole; returns what it wrote.
+
+    ``members`` are a few dozen names; each is one job, so a run that stops goes on where it was. Read
+    back at ``path``, the names are columns again.
+    """
+    wrote = []
+    for row in sorted(members.distinct().collect()):
+        mine = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in row.asDict().items()))
+        at = "/".join([path, *(f"{c}={v}" for c, v in row.asDict().items())])
+        if write_once(df.where(mine).drop(*members.columns), at):
+            wrote.append(at)
+    return wrote

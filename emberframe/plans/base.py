@@ -42,6 +42,11 @@ def shared_folder(spark, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def events(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("id_obs"), F.col("o_custkey").alias("site_id"), F.to_date("o_orderdate").alias("date"),

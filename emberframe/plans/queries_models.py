@@ -9,7 +9,7 @@ from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
 from emberframe.operators import model as M
-from emberframe.plans.base import CELLS, CLIM, EV, PRED, SEASON, cells, climate, events, predictions, rounded, table
+from emberframe.plans.base import CELLS, CLIM, EV, PRED, SEASON, cells, climate, events, predictions, remove, rounded, shared_folder, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,34 @@ def w02_chip_mean(spark, d):
     return rounded(W.chip_mean(long(spark, d), ["loc", "lag"], "T"))
 
 
+GRID = "grid AS (SELECT CAST(l_shipdate AS DATE) AS day, CAST((l_partkey * 7) % 200 AS BIGINT) AS ix, CAST((l_suppkey * 13) % 200 AS BIGINT) AS iy, avg(l_quantity) AS T, avg(l_discount) AS P FROM lineitem GROUP BY ALL), spots AS (SELECT id_obs, date, CAST(floor(x / 5) AS BIGINT) AS ix, CAST(floor(y / 5) AS BIGINT) AS iy FROM ev)"
+
+
+def spots(spark, d):
+    return G.to_cell(events(spark, d), 0, 0, 5, 200, 200).select("id_obs", "date", "ix", "iy")
+
+
+def grid_days(spark, d):
+    return table(spark, d, "lineitem").groupBy(
+        F.to_date("l_shipdate").alias("day"), (F.col("l_partkey") * 7 % 200).alias("ix"), (F.col("l_suppkey") * 13 % 200).alias("iy")).agg(
+        F.avg("l_quantity").alias("T"), F.avg("l_discount").alias("P"))
+
+
+CHIPS = f"{EV}, {GRID}, m AS (SELECT id_obs, CAST(s.date - g.day AS INT) AS lag, avg(T) AS T, avg(P) AS P FROM spots s JOIN grid g ON g.day <= s.date AND g.day > s.date - 60 AND g.ix BETWEEN s.ix - 16 AND s.ix + 15 AND g.iy BETWEEN s.iy - 16 AND s.iy + 15 GROUP BY ALL)"
+
+
+@query(f"WITH {CHIPS} SELECT id_obs, lag, round(T, 6) AS T, round(P, 6) AS P FROM m")
+def w02_chip_series(spark, d):
+    """Means of two variables over the 32 by 32 chip of every event on each of 60 days."""
+    return rounded(W.chip_series(spots(spark, d).select("id_obs", "date", "ix", "iy"), grid_days(spark, d), ["T", "P"]).where("T is not null OR P is not null").select("id_obs", "lag", "T", "P"))
+
+
+@query(f"WITH {CHIPS} SELECT s.id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN T END), 0) / {w}, 6) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN T END), 6) AS T_cumulative_max_{w}d" for w in (1, 3, 5, 10, 15, 30, 60)) + " FROM spots s LEFT JOIN m ON m.id_obs = s.id_obs GROUP BY 1")
+def w03_chip_features(spark, d):
+    """Window features of the chips' series: what the model is trained on."""
+    return rounded(W.window_features(W.chip_series(spots(spark, d), grid_days(spark, d), ["T"]), ["id_obs"], ["T"]))
+
+
 @query(f"WITH {CELLS}, c AS (SELECT ix // 4 AS bx, iy // 4 AS \"by\", code % 4 AS m FROM cells), n AS (SELECT bx, \"by\", m, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY bx, \"by\" ORDER BY n DESC, m) AS rn FROM n) SELECT bx, \"by\", m AS chip_mode FROM r WHERE rn = 1")
 def w07_chip_mode(spark, d):
     c = cells(spark, d).select(F.expr("ix div 4").cast("int").alias("bx"), F.expr("iy div 4").cast("int").alias("by"), (F.col("code") % 4).alias("m"))
@@ -205,15 +233,48 @@ def m04_fit_draws(spark, d):
     return M.score(p.where("is_test"), ["score", "score2"], draws, ["doc_id", "label"])
 
 
-PROJ_W = [(-1.0, [0.02, 0.01, 0.01]), (-0.5, [0.01, 0.02, -0.01])]
-PROJ_COLS = ["T_cumulative_mean_3d", "P_cumulative_max_5d", "v"]
+PROJ_W = [(-1.0, [0.02, 0.01, 0.03, 0.01]), (-0.5, [0.01, 0.015, 0.02, -0.01])]
+PROJ_COLS = ["T_cumulative_mean_30d", "T_cumulative_max_60d", "P_cumulative_mean_60d", "v"]
+MEMBERS = ["scenario", "member"]
+PROJ = """cm AS (SELECT l_returnflag AS scenario, l_suppkey % 3 AS member, l_partkey % 20 AS loc, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS T, avg(l_extendedprice) / 1000 AS P FROM lineitem GROUP BY ALL),
+ dates AS (SELECT DISTINCT CAST(date_trunc('month', day) AS DATE) + 14 AS date FROM cm), k AS (SELECT * FROM (SELECT DISTINCT scenario, member, loc FROM cm), dates),
+ f AS (SELECT k.scenario, k.member, k.loc, k.date, coalesce(sum(CASE WHEN k.date - c.day < 30 THEN T END), 0) / 30 AS a, coalesce(max(T), 0) AS b, coalesce(sum(P), 0) / 60 AS c
+  FROM k LEFT JOIN cm c ON c.scenario = k.scenario AND c.member = k.member AND c.loc = k.loc AND c.day <= k.date AND c.day > k.date - 60 GROUP BY ALL),
+ g AS (SELECT p_partkey AS cell_id, p_partkey % 20 AS loc, p_retailprice / 1000 AS v, CAST(p_size % 10 AS INT) AS zone_id FROM part),
+ s AS (SELECT cell_id, zone_id, scenario, member, date, [""" + ", ".join(
+    f"1 / (1 + exp(-({a}::DOUBLE + a * {w[0]}::DOUBLE + b * {w[1]}::DOUBLE + c * {w[2]}::DOUBLE + v * {w[3]}::DOUBLE)))" for a, w in PROJ_W) + "] AS p FROM g JOIN f ON g.loc = f.loc)"
+
+
+def member_climate(spark, d):
+    return table(spark, d, "lineitem").groupBy(
+        F.col("l_returnflag").alias("scenario"), (F.col("l_suppkey") % 3).alias("member"), (F.col("l_partkey") % 20).alias("loc"), F.to_date("l_shipdate").alias("day")).agg(
+        F.avg("l_quantity").alias("T"), (F.avg("l_extendedprice") / 1000).alias("P"))
+
+
+def projected(spark, d):
+    grid = table(spark, d, "part").select(
+        F.col("p_partkey").alias("cell_id"), (F.col("p_partkey") % 20).alias("loc"), (F.col("p_retailprice") / 1000).alias("v"), (F.col("p_size") % 10).cast("int").alias("zone_id"))
+    c = member_climate(spark, d)
+    return M.project(grid, c, M.projection_dates(c), ["loc"], ["cell_id", "zone_id"], ["T", "P"], PROJ_COLS, PROJ_W, MEMBERS)
 
 
-@query(f"WITH {CLIM}, g AS (SELECT p_partkey AS cell_id, p_partkey % 100 AS loc, p_retailprice / 1000 AS v FROM part), k AS (SELECT DISTINCT loc, dt FROM clim, (VALUES (DATE '1997-07-15'), (DATE '1998-08-15')) t(dt)), f AS (SELECT k.loc, k.dt AS date, coalesce(sum(CASE WHEN k.dt - c.day < 3 THEN T END), 0) / 3 AS a, coalesce(max(P), 0) AS b FROM k LEFT JOIN clim c ON c.loc = k.loc AND c.day <= k.dt AND c.day > k.dt - 5 GROUP BY 1, 2), s AS (SELECT cell_id, date, [" + ", ".join(f"1 / (1 + exp(-({a}::DOUBLE + a * {w[0]}::DOUBLE + b * {w[1]}::DOUBLE + v * {w[2]}::DOUBLE)))" for a, w in PROJ_W) + "] AS p FROM g JOIN f ON g.loc = f.loc) SELECT cell_id, date, round(list_avg(p), 6) AS mean_probability, round(list_stddev_pop(p), 6) AS std_probability FROM s")
+@query(f"WITH {PROJ} SELECT zone_id, scenario, member, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, round(avg(list_avg(p)), 6) AS mean_risk, round(max(list_avg(p)), 6) AS max_risk, round(stddev_samp(list_avg(p)), 6) AS spatial_std, round(avg(list_stddev_pop(p)), 6) AS prediction_uncertainty FROM s GROUP BY ALL")
 def m11_projection(spark, d):
-    grid = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), (F.col("p_partkey") % 100).alias("loc"), (F.col("p_retailprice") / 1000).alias("v"))
-    dates = spark.createDataFrame([("1997-07-15",), ("1998-08-15",)], "date string").select(F.col("date").cast("date"))
-    return rounded(M.project(grid, climate(spark, d), dates, ["loc"], ["cell_id"], ["T", "P"], PROJ_COLS, PROJ_W))
+    """Zones by month over all members, years and months that the data have; look-backs of 60 days."""
+    return rounded(M.zone_projection(projected(spark, d), MEMBERS))
+
+
+@query(f"WITH {PROJ} SELECT scenario, CAST(member AS INT) AS member, date, count(*) AS n_cells, round(sum(list_avg(p)), 4) AS total FROM s GROUP BY ALL")
+def m11_projection_files(spark, d):
+    """The same by cell, in a folder a member; one loses its mark of success, as if the job had died, and is made again alone."""
+    path, pred = shared_folder(spark, "projection"), projected(spark, d)
+    names = member_climate(spark, d).select(*MEMBERS).distinct()
+    first = M.write_members(pred, names, path)
+    remove(spark, f"{first[0]}/_SUCCESS")
+    if M.write_members(pred, names, path) != first[:1]:
+        raise RuntimeError("a whole member was written again")
+    read = spark.read.parquet(path).groupBy("scenario", "member", "date").agg(F.count("*").alias("n_cells"), F.sum("mean_probability").alias("total"))
+    return rounded(read, 4)
 
 
 # validation

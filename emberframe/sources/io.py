@@ -102,12 +102,17 @@ def read_ensemble(spark: SparkSession, root: str, skip_bad: bool = True) -> Data
     return reader.parquet(root).withColumns({"member": ensemble_id(name), "model": model_id(name)})
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write unless a whole output is there already; what a job that died has left is overwritten."""
-    spark = df.sparkSession
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_once(df: DataFrame, path: str) -> bool:
+    """Write unless a whole output is there already, and say whether it did; what a job that died has left is overwritten."""
+    if exists(df.sparkSession, f"{path}/_SUCCESS"):
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True
 
 
 def save_model(tables: dict[str, DataFrame], path: str) -> None:
