@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalar import season
-from emberframe.operators.ranks import exact_quantiles
+from emberframe.operators.ranks import beside, exact_quantiles
 
 LEVELS = ("Low", "Moderate", "High", "Very High", "Extreme")
 
@@ -22,9 +22,9 @@ def level_stats(pred: DataFrame, by: list[str], value: str, thresholds: list[flo
     """Share of each level and mean, median, p90, p95, p99 and count per group."""
     level = warning_level(F.col(value), thresholds)
     shares = [(F.count_if(level == i) / F.count(value)).alias(f"share_{i}") for i in range(len(thresholds) + 1)]
-    q = F.percentile(value, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99))))
-    got = pred.groupBy(*by).agg(*shares, F.avg(value).alias("mean_risk"), q.alias("_q"), F.count(value).alias("n"))
-    return got.select(*by, *(f"share_{i}" for i in range(len(thresholds) + 1)), "mean_risk", *(F.col("_q")[i].alias(n) for i, n in enumerate(("median_risk", "p90", "p95", "p99"))), "n")
+    tail = exact_quantiles(pred, value, {"median_risk": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, by)
+    got = beside(pred.groupBy(*by).agg(*shares, F.avg(value).alias("mean_risk"), F.count(value).alias("n")), tail, by, "left")
+    return got.select(*by, *(f"share_{i}" for i in range(len(thresholds) + 1)), "mean_risk", "median_risk", "p90", "p95", "p99", "n")
 
 
 def student_two_sided(t: Column, nu: Column) -> Column:

@@ -104,29 +104,29 @@ def calibration(pred: DataFrame, bins: int = 10, top: float | None = None) -> Da
 def lift_curve(pred: DataFrame, key: str, percents: list[int]) -> DataFrame:
     """Lift and captured share of positives in the top p percent, n = floor(N p / 100); NULL for n = 0.
 
-    Counts per distinct score settle all scores but the one at which a percentage cuts; only the rows of
-    those scores, one per percentage at most, are ranked by key.
+    Counts per distinct score settle all scores but the one at which a percentage cuts. A score's row has
+    the percentages whose n falls on it, a row per percentage in all; only the rows of scores that one cuts
+    are ranked by key.
     """
     by = pred.groupBy("score").agg(F.count("*").alias("_n"), F.sum("label").alias("_y"))
-    totals = by.agg(F.sum("_n").alias("_all"), F.sum("_y").alias("_pos"))
-    summed = running(by, "score", ["_n", "_y"], True).crossJoin(F.broadcast(totals))  # one row
-    parts = []
-    for p in percents:
-        n, above = F.floor(F.col("_all") * p / 100), F.col("cum__n") - F.col("_n")
-        cut = (above < n) & (F.col("cum__n") > n)
-        parts.append(F.struct(
-            F.lit(p).alias("percent"), F.coalesce(F.max(n), F.lit(0)).alias("n"), F.max("_all").alias("_all"), F.max("_pos").alias("_pos"),
-            F.sum(F.when(F.col("cum__n") <= n, F.col("_y")).otherwise(0)).alias("_full"),
-            F.max(F.when(cut, F.col("score"))).alias("_at"), F.max(F.when(cut, n - above)).alias("_room")))
-    edges = summed.agg(F.array(*parts).alias("e")).select(F.inline("e"))
-    crossed = F.broadcast(edges.where("_at is not null").select(F.col("_at").alias("score")).distinct())  # a row per percentage at most
-    tied = pred.join(crossed, "score").groupBy("score", F.col(key).alias("_key")).agg(F.sum("label").alias("_y"), F.count("*").alias("_n"))
-    placed = running(tied, "_key", ["_n"], group=["score"])
-    partly = placed.join(F.broadcast(edges), F.col("score") == F.col("_at")).groupBy("percent").agg(
-        F.sum(F.when(F.col("cum__n") <= F.col("_room"), F.col("_y")).otherwise(0)).alias("_part"))
-    hits = F.col("_full") + F.coalesce("_part", F.lit(0))
-    return edges.join(F.broadcast(partly), "percent", "left").select(
-        "percent", "n", (F.try_divide(hits, "n") / F.try_divide("_pos", "_all")).alias("lift"), F.when(F.col("n") > 0, F.try_divide(hits, "_pos")).alias("captured"))
+    totals = F.broadcast(by.agg(F.sum("_n").alias("_all"), F.sum("_y").alias("_pos")))  # one row
+    wanted = lambda p: F.floor(F.col("_all") * p / 100)
+    above = F.col("cum__n") - F.col("_n")
+    here = F.filter(F.array(*map(F.lit, percents)), lambda p: (wanted(p) > above) & (wanted(p) <= F.col("cum__n")))
+    summed = running(by, "score", ["_n", "_y"], True).crossJoin(totals)
+    edges = summed.select(
+        "score", (F.col("cum__y") - F.col("_y")).alias("_above_y"), "_y", (F.col("cum__n")).alias("_upto"), above.alias("_above"), "_all", F.explode(here).alias("percent"))
+    edges = edges.select(
+        "percent", "score", (wanted(F.col("percent")) - F.col("_above")).alias("_room"),
+        F.when(wanted(F.col("percent")) == F.col("_upto"), F.col("_y")).alias("_whole"), "_above_y")
+    cut = F.broadcast(edges.where("_whole is null").select("score", "percent", "_room"))  # a row per percentage at most
+    tied = pred.join(F.broadcast(edges.where("_whole is null").select("score").distinct()), "score")
+    placed = running(tied.groupBy("score", F.col(key).alias("_key")).agg(F.sum("label").alias("_y"), F.count("*").alias("_n")), "_key", ["_n"], group=["score"])
+    partly = placed.join(cut, "score").groupBy("percent").agg(F.sum(F.when(F.col("cum__n") <= F.col("_room"), F.col("_y")).otherwise(0)).alias("_part"))
+    every = pred.sparkSession.createDataFrame([(p,) for p in percents], "percent int").crossJoin(totals)
+    hits = F.col("_above_y") + F.coalesce("_whole", "_part", F.lit(0))
+    return every.join(F.broadcast(edges), "percent", "left").join(F.broadcast(partly), "percent", "left").select(
+        "percent", wanted(F.col("percent")).alias("n"), (F.try_divide(hits, wanted(F.col("percent"))) / F.try_divide("_pos", "_all")).alias("lift"), F.try_divide(hits, "_pos").alias("captured"))
 
 
 def class_balance(pred: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.operators.ranks import beside, deal, offsets
+from emberframe.operators.ranks import beside, numbered, offsets
 
 
 def draw_order(seed: int, *keys: str) -> Column:
@@ -34,7 +34,7 @@ def exclude_period(candidates: DataFrame, presences: DataFrame, site: str, date:
 def dealt_by_draw(df: DataFrame, group: list, seed: int, *keys: str) -> DataFrame:
     """``_d`` the draw, ``_b`` its first three hex digits, ``_o_n`` the group's rows in lower ``_b``."""
     dealt = df.withColumn("_d", draw_order(seed, *keys)).withColumn("_b", F.substring("_d", 1, 3))
-    return beside(dealt, offsets(dealt, group, {"n": F.count("*")}), [*group, "_b"])
+    return beside(dealt, offsets(dealt, group, "_b", {"n": F.count("*")}), [*group, "_b"])
 
 
 def draw_rank(group: list, *keys: str) -> Column:
@@ -49,29 +49,47 @@ def sample_per_group(df: DataFrame, group: list, n: int | str, seed: int, *keys:
     return near.withColumn("_rn", draw_rank(group, *keys)).where(F.col("_rn") <= limit).drop("_rn", "_d", "_b", "_o_n")
 
 
+def _cut(counts: DataFrame, bucket: str, n: Column) -> DataFrame:
+    """One row (_cut, _before): the bucket in which the ``n``-th row falls, and the rows in lower ones; nulls if there are fewer."""
+    upto = F.sum("_n").over(Window.orderBy(bucket))  # 65,536 rows at most
+    return counts.withColumn("_upto", upto).agg(F.min(F.when(F.col("_upto") >= n, F.struct(F.col(bucket).alias("at"), (F.col("_upto") - F.col("_n")).alias("before")))).alias("_cut"))
+
+
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """``n`` rows without replacement: a distributed top-n."""
-    return df.orderBy(draw_order(seed, *keys), *keys).limit(n)
+    """``n`` rows without replacement, or all there are: those of the ``n`` smallest draws, ties by ``keys``.
+
+    The draw of the n-th row is found in two histograms, of its first 16 bits and of the next 16 where those
+    agree; rows with smaller bits are taken as they are, and only rows that share all 32 with it
+    are ranked. So no task sees the sample.
+    """
+    draw = draw_order(seed, *keys)
+    bits = F.conv(F.substring(draw, 1, 8), 16, 10).cast("long")
+    dealt = df.withColumns({"_d": draw, "_p": bits}).withColumn("_q", F.shiftright("_p", 16))
+    high = F.broadcast(_cut(dealt.groupBy("_q").agg(F.count("*").alias("_n")), "_q", F.lit(n)))  # one row
+    inside = dealt.crossJoin(high).where(F.col("_q") == F.col("_cut.at")).groupBy("_p", F.col("_cut.before").alias("_low")).agg(F.count("*").alias("_n"))
+    low = inside.groupBy("_low").agg(F.collect_list(F.struct("_p", "_n")).alias("_all"))  # one row of 65,536 counts at most
+    low = _cut(low.select("_low", F.inline("_all")), "_p", F.lit(n) - F.col("_low")).crossJoin(high.select(F.col("_cut.before").alias("_low")))
+    told = dealt.crossJoin(F.broadcast(low)).withColumns({"_at": F.col("_cut.at"), "_room": F.lit(n) - F.col("_low") - F.col("_cut.before")}).drop("_cut", "_low")
+    sure = told.where(F.col("_at").isNull() | (F.col("_p") < F.col("_at"))).select(*df.columns)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_d", *keys))
+    edge = told.where(F.col("_p") == F.col("_at")).withColumn("_rn", rank).where(F.col("_rn") <= F.col("_room")).select(*df.columns)
+    return sure.unionByName(edge)
 
 
 def number_from(df: DataFrame, start: int, *order: str) -> DataFrame:
-    """Dense ids from ``start``. The rows must be a bounded sample, as they meet in one task."""
-    return df.withColumn("new_id", F.row_number().over(Window.orderBy(*order)) + start - 1)
+    """Dense ids from ``start`` in the order of some columns; no task sees all rows."""
+    return numbered(df, list(order), "new_id").withColumn("new_id", F.col("new_id") + (start - 1))
 
 
 def dense_ids(df: DataFrame, first: str, *rest: str) -> DataFrame:
-    """0-based ids in the order of ``first``, then ``rest``: ranks inside each value of ``first`` and bucket
-    of ``rest[0]``, plus offsets.
+    """0-based ids in the order of ``first``, then ``rest``: numbers inside each value of ``first``, plus the rows of earlier ones.
 
     ``first`` should have few values beside the rows (a day, a zone): their counts are summed in one task.
-    A value that many rows share is split where ``rest[0]`` is numeric.
     """
-    dealt = deal(df, rest[0])
     sizes = df.groupBy(first).agg(F.count("*").alias("_n"))
     earlier = sizes.select(first, (F.sum("_n").over(Window.orderBy(first)) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(first, "_b").orderBy(*rest)) - 1
-    placed = beside(beside(dealt.withColumn("_rn", inside), offsets(dealt, [first], {"n": F.count("*")}), [first, "_b"]), earlier, [first])
-    return placed.withColumn("id_obs", F.col("_before") + F.col("_o_n") + F.col("_rn")).drop("_b", "_rn", "_before", "_o_n")
+    placed = beside(numbered(df, list(rest), "_rn", [first]), earlier, [first])
+    return placed.withColumn("id_obs", F.col("_before") + F.col("_rn") - 1).drop("_rn", "_before")
 
 
 def month_targets(presences: DataFrame, ratio: int) -> DataFrame:

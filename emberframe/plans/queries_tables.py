@@ -385,6 +385,15 @@ def a05_sample_cells(spark, d):
     return A.number_from(A.sample_rows(table(spark, d, "orders").select("o_orderkey"), 300, 5, "o_orderkey"), 1000, "o_orderkey")
 
 
+@query("WITH c AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'P' ORDER BY md5('5:' || o_orderkey), o_orderkey LIMIT (SELECT 2 * count(*) FROM orders WHERE o_orderstatus = 'P')) SELECT o_orderkey, (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'P') + row_number() OVER (ORDER BY o_custkey, o_orderkey) AS new_id FROM c")
+def a05_sample_absences(spark, d):
+    """Twice as many absences as presences, numbered from the largest presence on."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    seen = o.where("o_orderstatus = 'P'").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("top")).first()
+    drawn = A.sample_rows(o.where("o_orderstatus <> 'P'"), 2 * seen.n, 5, "o_orderkey")
+    return A.number_from(drawn, (seen.top or 0) + 1, "o_custkey", "o_orderkey").select("o_orderkey", "new_id")
+
+
 @query(f"""WITH {EV}, p AS (SELECT * FROM ev WHERE id_obs % 40 = 0), a AS (SELECT * FROM ev WHERE id_obs % 40 <> 0),
  t AS (SELECT month(date) AS mon, CAST(round_even(count(*) / CAST((SELECT count(*) FROM p) AS DOUBLE) * 5 * (SELECT count(*) FROM p), 0) AS BIGINT) AS target FROM p GROUP BY 1),
  r AS (SELECT id_obs, month(date) AS mon, row_number() OVER (PARTITION BY month(date) ORDER BY md5('42:' || id_obs), id_obs) AS rn FROM a)

@@ -270,7 +270,7 @@ def test_dense_ids(spark):
 def test_running_sums_in_two_levels(spark):
     rows = spark.createDataFrame([(i * i / 7.0, i) for i in range(200)], "s double, v int")
     for down in (False, True):
-        got = sorted(R.running(rows, "s", ["v"], down, 8).collect(), key=lambda r: r.s, reverse=down)
+        got = sorted(R.running(rows, "s", ["v"], down).collect(), key=lambda r: r.s, reverse=down)
         want = 0
         for r in got:
             want += r.v
@@ -312,10 +312,37 @@ def test_zones_of_several_parts(spark, tmp_path):
     assert sorted((r.id_obs, r.zone_id) for r in got) == [(0, 1), (2, 2), (4, 2)]
 
 
-def test_skewed_values_are_dealt_evenly(spark):
-    rows = spark.range(4000).select(F.exp(F.col("id") / 100.0).alias("v")).unionByName(spark.createDataFrame([(1e300,), (None,)], "v double"))
-    sizes = [r["count"] for r in R.deal(rows, "v", 16).groupBy("_b").count().collect()]
-    assert len(sizes) == 16 and max(sizes) < 4 * min(sizes)
+def test_places_rise_with_values_and_split_them(spark):
+    rows = spark.range(4000).select(F.exp(F.col("id") / 100.0).alias("v")).unionByName(spark.createDataFrame([(1e300,), (None,), (float("nan"),), (-5.0,), (0.0,), (-0.0,), (5e-324,), (float("inf"),)], "v double"))
+    got = R.places(rows, "v").orderBy("v").collect()
+    assert all(a._f <= b._f and a._c <= b._c for a, b in zip(got, got[1:]))
+    assert max(r["count"] for r in R.places(rows, "v").groupBy("_f").count().collect()) <= 3
+    close = R.places(spark.range(100_000).select((F.lit(0.5) + F.col("id") * 1e-9).alias("v")), "v")  # all within a ten-thousandth
+    assert close.select("_c").distinct().count() <= 2 and close.groupBy("_f").count().agg(F.max("count")).first()[0] <= 3
+    text = R.places(spark.createDataFrame([("",), ("a",), ("ab",), ("abcdefgh",), ("b",), ("é",), (None,), ("Z",)], "v string"), "v").orderBy("v").collect()
+    assert all(a._f <= b._f for a, b in zip(text, text[1:])) and len({r._f for r in text}) == 8
+    days = R.places(spark.sql("SELECT date_add(DATE'1969-12-20', CAST(id AS INT)) AS v FROM range(30)"), "v").orderBy("v").collect()
+    assert len({r._f for r in days}) == 30 and all(a._f < b._f for a, b in zip(days, days[1:]))
+
+
+def test_no_job_runs_while_a_curve_is_built(spark):
+    p = preds(spark, [(i % 2, i / 7.0) for i in range(50)])
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    frames = [E.spearman(p, "score", "score"), E.roc_auc(p), E.average_precision(p), E.max_f1(p), E.lift_curve(p, "id", [5, 50]), R.exact_quantiles(p, "score", {"q": 0.5})]
+    assert len(tracker.getJobIdsForGroup(None)) == before and all(f.count() for f in frames)
+
+
+def test_samples_and_numbers(spark):
+    rows = spark.range(5000).select("id", F.lit("x").alias("_n"))
+    draws = sorted((r.d, r.id) for r in rows.select("id", A.draw_order(4, "id").alias("d")).collect())
+    for n in (0, 1, 777, 5000, 9000):
+        got = A.sample_rows(rows.repartition(7), n, 4, "id")
+        assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == sorted(i for _, i in draws[:n])
+    same = spark.range(40).select((F.col("id") % 4).alias("k"), "id")  # rows of equal draws
+    assert A.sample_rows(same, 13, 4, "k").count() == 13 and A.sample_rows(same.limit(0), 3, 4, "k").isEmpty()
+    got = A.number_from(A.sample_rows(rows, 777, 4, "id"), 1000, "id").orderBy("id").collect()
+    assert [r.new_id for r in got] == list(range(1000, 1777))
 
 
 @pytest.mark.parametrize("group", [[], ["g"]])
