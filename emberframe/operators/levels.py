@@ -27,18 +27,39 @@ def level_stats(pred: DataFrame, by: list[str], value: str, thresholds: list[flo
     return got.select(*by, *(f"share_{i}" for i in range(len(thresholds) + 1)), "mean_risk", "median_risk", "p90", "p95", "p99", "n")
 
 
+def _beta_fraction(x: Column, a: Column, b: Column, terms: Column) -> Column:
+    """The continued fraction of the incomplete beta function, from its last term up; it settles where x < (a + 1) / (a + b + 2)."""
+    m = lambda i: F.floor(i / 2)
+    even = lambda i: m(i) * (b - m(i)) * x / ((a + 2 * m(i) - 1) * (a + 2 * m(i)))
+    odd = lambda i: -(a + m(i)) * (a + b + m(i)) * x / ((a + 2 * m(i)) * (a + 2 * m(i) + 1))
+    return F.aggregate(F.sequence(terms, F.lit(1)), F.lit(1.0), lambda v, i: 1 + F.when(i % 2 == 0, even(i)).otherwise(odd(i)) / v)
+
+
+# Series of gamma(z + 1/2) / gamma(z) / sqrt(z) in 1 / z (fixed values).
+HALF_GAMMA = (1.0, -1 / 8, 1 / 128, 5 / 1024, -21 / 32768, -399 / 262144, 869 / 4194304, 39325 / 33554432)
+
+
+def _beta_half(a: Column) -> Column:
+    """B(a, 1/2): gamma(a + 1/2) / gamma(a) by its series at a + 16, brought down by the recurrence."""
+    z = a + 16
+    series = sum((F.lit(c) / F.pow(z, F.lit(float(k))) for k, c in enumerate(HALF_GAMMA)), F.lit(0.0))
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(1.0), lambda v, i: v * (a + i) / (a + i + 0.5))
+    return math.sqrt(math.pi) / (F.sqrt(z) * series * down)
+
+
 def student_two_sided(t: Column, nu: Column) -> Column:
-    """P(|T| >= |t|) for an integer ``nu`` of 1 or more, by the finite trigonometric series of nu / 2 terms."""
-    theta = F.atan(F.abs(t) / F.sqrt(nu))
-    c2 = F.cos(theta) * F.cos(theta)
-    even = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor(nu / 2).cast("int"), F.lit(1))), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("term")),
-        lambda a, i: F.struct((a["s"] + a["term"]).alias("s"), (a["term"] * c2 * (2 * i - 1) / (2 * i)).alias("term")))["s"]
-    odd = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.floor((nu - 1) / 2).cast("int"), F.lit(1))), F.struct(F.lit(0.0).alias("s"), F.cos(theta).alias("term")),
-        lambda a, i: F.struct((a["s"] + a["term"]).alias("s"), (a["term"] * c2 * (2 * i) / (2 * i + 1)).alias("term")))["s"]
-    inner = F.when(nu % 2 == 0, F.sin(theta) * even).when(nu == 1, 2 * theta / math.pi).otherwise(2 / F.lit(math.pi) * (theta + F.sin(theta) * odd))
-    return F.when(nu >= 1, F.greatest(1 - inner, F.lit(0.0)))
+    """P(|T| >= |t|) for ``nu`` of 1 or more: the incomplete beta function of nu / (nu + t * t), in full relative precision.
+
+    A small probability is the fraction itself, not what is left of 1, so it is right down to the smallest doubles.
+    """
+    t, nu = F.abs(t), nu.cast("double")
+    a, half = nu / 2, F.lit(0.5)
+    x, y = nu / (nu + t * t), t * t / (nu + t * t)
+    front = F.exp(-a * F.log1p(t * t / nu)) * t / F.sqrt(nu + t * t) / _beta_half(a)
+    terms = (40 + 4 * F.ceil(F.sqrt(nu))).cast("int")
+    tail = front / (a * _beta_fraction(x, a, half, terms))
+    rest = 1 - front / (half * _beta_fraction(y, half, a, terms))
+    return F.when(nu >= 1, F.when(x < (a + 1) / (a + 2.5), tail).otherwise(F.greatest(rest, F.lit(0.0))))
 
 
 def level_trends(stats: DataFrame, by: list[str], share: str, year: str, span: int = 60) -> DataFrame:

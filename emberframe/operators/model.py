@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import random
+import sys
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from emberframe.operators.lookback import WINDOWS, day_windows, join_features
 from emberframe.operators.ranks import exact_quantiles
 from emberframe.sources.io import write_once
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this repository
+
 # Feature families: name parts that mark them (fixed values, tried in this order).
 STATIC_FAMILIES = {
     "static_topo": ("slope", "aspect", "northness", "eastness", "nasadem", "tri"),
@@ -147,29 +150,82 @@ def prediction_summary(pred: DataFrame, limit: float = 0.15) -> DataFrame:
     return rest.crossJoin(exact_quantiles(pred, p, {"median_p": 0.5})).select("mean_p", "median_p", "min_p", "max_p", "mean_std", "n_uncertain")  # one row each
 
 
-def fit_draws(train: DataFrame, columns: list[str], label: str, prior: dict[str, float], n_draws: int, key: str, seed: int = 1) -> list[tuple[float, list[float]]]:
-    """(alpha, coefficients) per bootstrap draw of an L2-penalised logistic fit.
+# Distribution function of Poisson(1) at 0 to 6 (fixed values): a uniform draw's count is how many of them it exceeds.
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+
+
+def poisson_counts(keys, draw: int, seed: int):
+    """Poisson(1) counts of rows by their keys' hashes (int64): the same on any partitioning."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) + np.uint64((seed * 1_000_003 + draw + 1) * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+    return np.searchsorted(np.array(POISSON), u, side="left").astype(float)
+
 
-    Features are divided by their prior deviation, so one penalty stands for all Gaussian priors;
-    each draw weights rows by a Poisson count, drawn by hash of ``key``, so that any partitioning of the
-    rows fits the same model. An approximation of a posterior, not a sampler of it.
+def _newton_sums(seed: int, betas, bootstrap: bool):
+    """For batches (key, label, columns): each draw's loss, gradient and curvature, summed over the task."""
+    import numpy as np
+    import pyarrow as pa
+
+    draws, k = betas.shape
+
+    def run(batches):
+        total = np.zeros((draws, 1 + k + k * k))
+        for batch in batches:
+            keys, y, *x = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack([np.ones(len(y)), *x]) if len(y) else np.zeros((0, k))
+            for d in range(draws):
+                w, z = poisson_counts(keys, d, seed) if bootstrap else np.ones(len(y)), x @ betas[d]
+                p = 1 / (1 + np.exp(-z))
+                total[d, 0] += w @ (np.logaddexp(0, z) - y * z)
+                total[d, 1 : 1 + k] += x.T @ (w * (p - y))
+                total[d, 1 + k :] += (x.T @ (x * (w * p * (1 - p))[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(list(total))], names=["draw", "sums"])
+
+    return run
+
+
+def fit_draws(
+    train: DataFrame, columns: list[str], label: str, prior: dict[str, float], n_draws: int, key: str, seed: int = 1, alpha_prior: float | None = 2.0, rounds: int = 50, bootstrap: bool = True,
+) -> list[tuple[float, list[float]]]:
+    """(alpha, coefficients) per bootstrap draw of the logistic model with Gaussian priors, at its mode.
+
+    A draw weights rows by Poisson counts, drawn by hash of ``key`` (``bootstrap=False``: by 1), and adds half of (coefficient / prior
+    deviation) squared to the loss; ``alpha_prior`` is the intercept's deviation, None leaves it free. All draws
+    go through one pass of the rows per Newton round: a task sums each draw's gradient and curvature, which
+    are added up by draw and solved on the driver, a matrix of columns by columns each. A step that
+    raises a draw's loss is halved. Rows with a null count in no draw. An approximation of a posterior, not a
+    sampler of it.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = train.count()
-    scaled = train.select(F.col(key).alias("_id"), label, *((F.col(c) * F.lit(prior[c])).alias(c) for c in columns))
-    ready = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).select("_id", "_x", F.col(label).cast("double").alias("_y")).cache()
-    # Poisson(1) counts from the uniform hash of row and draw: thresholds are its distribution function.
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    out, rng = [], random.Random(seed)
-    for _ in range(n_draws):
-        u = F.pmod(F.xxhash64("_id", F.lit(rng.randrange(1 << 30))), F.lit(1 << 30)) / float(1 << 30)
-        weighted = ready.withColumn("_w", sum(((u > s).cast("double") for s in steps), F.lit(0.0))).where("_w > 0")
-        fit = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / rows, standardization=False, maxIter=30).fit(weighted)
-        out.append((float(fit.intercept), [float(w) * prior[c] for w, c in zip(fit.coefficients, columns)]))
-    ready.unpersist()
-    return out
+    import numpy as np
+
+    ready = train.select(F.xxhash64(key).alias("_id"), F.col(label).cast("double").alias("_y"), *(F.col(c).cast("double").alias(c) for c in columns)).dropna().persist()
+    k = len(columns) + 1
+    shrink = np.array([0.0 if alpha_prior is None else alpha_prior**-2, *(prior[c] ** -2 for c in columns)])
+    kept, step, loss = np.zeros((n_draws, k)), np.zeros((n_draws, k)), np.full(n_draws, np.inf)
+    try:
+        for _ in range(rounds):
+            now = kept + step
+            sums = ready.mapInArrow(_newton_sums(seed, now, bootstrap), "draw long, sums array<double>").select("draw", F.posexplode("sums").alias("at", "s"))
+            total = np.zeros((n_draws, 1 + k + k * k))
+            for r in sums.groupBy("draw", "at").agg(F.sum("s").alias("s")).collect():  # draws x columns squared
+                total[r.draw, r.at] = r.s
+            found = total[:, 0] + 0.5 * (now**2 * shrink).sum(1)
+            better = found <= loss + 1e-12 * np.abs(found)
+            kept, loss = np.where(better[:, None], now, kept), np.where(better, found, loss)
+            slope = total[:, 1 : 1 + k] + now * shrink
+            curve = total[:, 1 + k :].reshape(n_draws, k, k) + np.diag(shrink)
+            newton = np.stack([-np.linalg.lstsq(c, g, rcond=None)[0] for c, g in zip(curve, slope)])
+            step = np.where(better[:, None], newton, step / 2)
+            if np.abs(step).max() <= 1e-10 * (1 + np.abs(kept).max()):
+                break
+    finally:
+        ready.unpersist()
+    return [(float(b[0]), [float(v) for v in b[1:]]) for b in kept]
 
 
 def projection_dates(climate: DataFrame, months: list[int] | None = None, day: int = 15) -> DataFrame:

@@ -233,6 +233,42 @@ def m04_fit_draws(spark, d):
     return M.score(p.where("is_test"), ["score", "score2"], draws, ["doc_id", "label"])
 
 
+# Newton's method on the same loss, in plain SQL: the gradient and curvature of three coefficients, solved by Cramer's rule.
+MODE = f"""WITH RECURSIVE {PRED}, d AS (SELECT label AS y, score AS a, score2 AS b FROM pred),
+ it(k, w0, w1, w2) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT k + 1, w0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+   w1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+   w2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+   SELECT k, w0, w1, w2, sum(p - y) + w0 / 4 AS g0, sum((p - y) * a) + w1 / 9 AS g1, sum((p - y) * b) + w2 / 2.25 AS g2,
+    sum(q) + 0.25 AS h00, sum(q * a) AS h01, sum(q * b) AS h02, sum(q * a * a) + 1 / 9.0::DOUBLE AS h11, sum(q * a * b) AS h12, sum(q * b * b) + 1 / 2.25::DOUBLE AS h22
+   FROM (SELECT *, p * (1 - p) AS q FROM (SELECT it.*, d.*, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM it, d WHERE k < 20)) GROUP BY k, w0, w1, w2)))
+ SELECT u.term, round(u.value, 6) AS value FROM it, LATERAL (SELECT unnest(['alpha', 'score', 'score2']) AS term, unnest([w0, w1, w2]) AS value) u WHERE k = 20"""
+
+
+@query(MODE)
+def m04_fit_mode(spark, d):
+    """Coefficients at the mode, without a bootstrap."""
+    names = ["score", "score2"]
+    alpha, beta = M.fit_draws(predictions(spark, d), names, "label", {"score": 3.0, "score2": 1.5}, 1, "doc_id", bootstrap=False)[0]
+    return rounded(spark.createDataFrame(list(zip(["alpha", *names], [alpha, *beta])), "term string, value double"))
+
+
+SPAN = "['1d', 'short', 'short', 'medium', 'medium', '30d', '60d'][1 + p_partkey % 7]"
+
+
+@query(f"WITH n AS (SELECT ['T_cumulative_mean_', 'P_cumulative_max_', 'slope_', 'landcover_'][1 + p_size % 4] || [1, 3, 5, 10, 15, 30, 60][1 + p_partkey % 7] || 'd' AS name, CASE p_size % 4 WHEN 0 THEN 'temp_' || {SPAN} WHEN 1 THEN 'precip_' || {SPAN} WHEN 2 THEN 'static_topo' ELSE 'static_veg' END AS grp FROM part) SELECT name, grp, count(*) AS n FROM n GROUP BY 1, 2")
+def m03_feature_families(spark, d):
+    """Features of temperature, rain and two static families, named in the data."""
+    at = lambda items, i: F.get(F.array(*map(F.lit, items)), i.cast("int"))
+    name = F.concat(
+        at(["T_cumulative_mean_", "P_cumulative_max_", "slope_", "landcover_"], F.col("p_size") % 4), at([1, 3, 5, 10, 15, 30, 60], F.col("p_partkey") % 7).cast("string"), F.lit("d"))
+    p = table(spark, d, "part").select(name.alias("name"))
+    groups = M.feature_groups([r.name for r in p.distinct().collect()])  # 28 names
+    grp = F.create_map(*(F.lit(x) for kv in groups.items() for x in kv))
+    return p.groupBy("name", F.try_element_at(grp, F.col("name")).alias("grp")).agg(F.count("*").alias("n"))
+
+
 PROJ_W = [(-1.0, [0.02, 0.01, 0.03, 0.01]), (-0.5, [0.01, 0.015, 0.02, -0.01])]
 PROJ_COLS = ["T_cumulative_mean_30d", "T_cumulative_max_60d", "P_cumulative_mean_60d", "v"]
 MEMBERS = ["scenario", "member"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions import scalar as P
 from emberframe.operators import grid as G
+from emberframe.operators import lookback as W
 from emberframe.operators import polygons as Z
 from emberframe.operators import sampling as A
 from emberframe.plans.base import CELLS, CLIM, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, shared_folder, table, zones
@@ -52,6 +53,17 @@ def s02_climate_partitions(spark, d):
     return rounded(S.read_climate(spark, path, "T", "1996-01-15", "1996-03-10").select("loc", "day", "value"))
 
 
+@query(f"WITH {EV}, {CLIM}, p AS (SELECT id_obs, site_id % 100 AS loc, date FROM ev JOIN orders ON o_orderkey = id_obs WHERE o_orderstatus = 'P' AND year(date) = 1995) SELECT id_obs, round(coalesce(sum(T), 0) / 60, 6) AS T_cumulative_mean_60d, round(max(T), 6) AS T_cumulative_max_60d FROM p LEFT JOIN clim c ON c.loc = p.loc AND c.day <= p.date AND c.day > p.date - 60 GROUP BY 1")
+def s02_event_months(spark, d):
+    """Look-backs of the presences of one year, from the months of the partitioned grid that they touch."""
+    path = shared_folder(spark, "climate")
+    S.write_climate(climate(spark, d).unpivot(["loc", "day"], ["T", "P"], "variable", "value"), path)
+    seen = table(spark, d, "orders").where("o_orderstatus = 'P' AND year(o_orderdate) = 1995").select(
+        F.col("o_orderkey").alias("id_obs"), (F.col("o_custkey") % 100).alias("loc"), F.to_date("o_orderdate").alias("date"))
+    near = S.read_climate_for(spark, path, "T", seen).select("loc", "day", F.col("value").alias("T"))
+    return rounded(W.day_windows(seen, near, ["loc"], ["T"], (60,), 60).drop("loc", "date"))
+
+
 @query(f"""WITH {CLIM}, k AS (SELECT DISTINCT site_id % 100 AS loc, date AS day FROM ({EV.removeprefix('ev AS ')})),
  j AS (SELECT k.loc, k.day, c.day AS nearest_day, c.T, row_number() OVER (PARTITION BY k.loc, k.day ORDER BY abs(date_diff('day', k.day, c.day)), c.day) AS rn FROM k JOIN clim c ON k.loc = c.loc)
  SELECT loc, day, nearest_day, round(T, 6) AS T FROM j WHERE rn = 1""")
@@ -88,6 +100,19 @@ def s06_union_scenarios(spark, d):
     return rounded(S.union_scenarios({"low": part("A"), "high": part("R")}).groupBy("scenario").agg(F.count("*").alias("n"), F.sum("v").alias("total")), 4)
 
 
+@query("WITH f AS (SELECT ['modelA_x_r1_v1', 'modelB_y_r1_v1', 'modelA_x_r2_v1', 'modelC_z_r1_v2'][1 + l_linenumber % 4] AS member, l_quantity AS v FROM lineitem) SELECT member, string_split(member, '_')[1] || '_' || string_split(member, '_')[2] AS model, count(*) AS n, round(sum(v), 4) AS total FROM f WHERE member <> 'modelC_z_r1_v2' GROUP BY 1, 2")
+def s07_ensemble_files(spark, d):
+    """One file a member under two folders, one of them broken on disk: it is skipped, the others are read with the ids in their names."""
+    path = shared_folder(spark, "ensemble")
+    members = ["modelA_x_r1_v1", "modelB_y_r1_v1", "modelA_x_r2_v1", "modelC_z_r1_v2"]
+    rows = table(spark, d, "lineitem").select((F.col("l_linenumber") % 4).alias("k"), F.col("l_quantity").alias("v"))
+    for k, name in enumerate(members):
+        S.write_file(rows.where(F.col("k") == k).select("v"), f"{path}/part{k % 2}/tas_day_{name}_1995.parquet")
+    S.cut_file(spark, f"{path}/part1/tas_day_{members[3]}_1995.parquet", 100)
+    read = S.read_ensemble(spark, path)
+    return rounded(read.groupBy("member", "model").agg(F.count("*").alias("n"), F.sum("v").alias("total")), 4)
+
+
 # scalar functions
 
 

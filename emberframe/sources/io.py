@@ -31,6 +31,24 @@ def read_climate(spark: SparkSession, path: str, variable: str, day_lo: str, day
         & month.between(F.year(lo) * 12 + F.month(lo), F.year(hi) * 12 + F.month(hi)))
 
 
+def touched_months(events: DataFrame, date: str = "date", days: int = 60) -> DataFrame:
+    """(year, month) of every month in which a look-back of ``days`` from an event has a day; a calendar's months at most."""
+    first = F.trunc(F.date_sub(date, days - 1), "month")
+    start = events.select(date).where(F.col(date).isNotNull()).distinct().select(F.explode(F.sequence(first, F.trunc(date, "month"), F.expr("INTERVAL 1 MONTH"))).alias("_start"))
+    return start.select(F.year("_start").alias("year"), F.month("_start").alias("month")).distinct().where(F.col("month").between(1, 12))
+
+
+def read_climate_for(spark: SparkSession, path: str, variable: str, events: DataFrame, date: str = "date", days: int = 60) -> DataFrame:
+    """Daily grid of one variable, of the months that the events' look-backs touch: other folders are not opened.
+
+    The months are found while the query runs, from the events, and prune the partitions (variable, year, month);
+    as one number each, since year and month by themselves would keep every pairing of the two.
+    """
+    months = F.broadcast(touched_months(events, date, days).select((F.col("year") * 12 + F.col("month")).alias("_at")))  # a calendar's months
+    grid = spark.read.parquet(path).where(F.col("variable") == variable)
+    return grid.join(months, grid["year"] * 12 + grid["month"] == months["_at"], "left_semi")
+
+
 def write_climate(df: DataFrame, path: str) -> None:
     df.withColumn("year", F.year("day")).withColumn("month", F.month("day")).write.mode("overwrite").partitionBy("variable", "year", "month").parquet(path)
 
@@ -102,9 +120,36 @@ def read_ensemble(spark: SparkSession, root: str, skip_bad: bool = True) -> Data
     return reader.parquet(root).withColumns({"member": ensemble_id(name), "model": model_id(name)})
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_file(df: DataFrame, path: str) -> None:
+    """Write a small table as one file of the given name: through a folder beside it, then by a rename."""
+    df.coalesce(1).write.mode("overwrite").parquet(f"{path}.tmp")
+    (folder, fs), (to, _) = _at(df.sparkSession, f"{path}.tmp"), _at(df.sparkSession, path)
+    part = next(s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    fs.delete(to, True)
+    if not fs.rename(part, to):
+        raise OSError(f"cannot rename to {path}")
+    fs.delete(folder, True)
+
+
+def cut_file(spark: SparkSession, path: str, size: int) -> None:
+    """Leave only the first bytes of a file, as a broken copy does."""
+    at, fs = _at(spark, path)
+    with_bytes = fs.open(at)
+    data = bytes(with_bytes.readNBytes(size))
+    with_bytes.close()
+    out = fs.create(at, True)
+    out.write(data)
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _at(spark, path)
+    return fs.exists(at)
 
 
 def write_once(df: DataFrame, path: str) -> bool:
