@@ -28,17 +28,17 @@ def query(sql: str | None = None):
 # look-back windows
 
 KEYS = "k AS (SELECT id_obs, site_id % 100 AS loc, date FROM ev)"
-LB = f"{EV}, {KEYS}, {CLIM}, lb AS (SELECT k.id_obs, k.loc, k.date, i AS lag, c.T, c.P FROM k CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(30)) LEFT JOIN clim c ON c.loc = k.loc AND c.day = k.date - i)"
+LB = f"{EV}, {KEYS}, {CLIM}, lb AS (SELECT k.id_obs, k.loc, k.date, i AS lag, c.T, c.P FROM k CROSS JOIN (SELECT CAST(range AS INT) AS i FROM range(60)) LEFT JOIN clim c ON c.loc = k.loc AND c.day = k.date - i)"
 
 LB60 = f"{EV}, {KEYS}, {CLIM}, lb60 AS (SELECT k.id_obs, c.T FROM k LEFT JOIN clim c ON c.loc = k.loc AND c.day <= k.date AND c.day > k.date - 60)"
 
 
-def long(spark, d, days=30):
+def long(spark, d, days=60):
     e = events(spark, d).select("id_obs", (F.col("site_id") % 100).alias("loc"), "date")
     return W.lookback(e, climate(spark, d), ["loc"], days)
 
 
-def features(spark, d, variables, days=30, **how):
+def features(spark, d, variables, days=60, **how):
     e = events(spark, d).select("id_obs", (F.col("site_id") % 100).alias("loc"), "date")
     return W.day_windows(e, climate(spark, d), ["loc"], variables, W.WINDOWS, days, **how).drop("loc", "date")
 
@@ -48,7 +48,7 @@ def w01_lookback(spark, d):
     return rounded(long(spark, d).where("T is not null").select("id_obs", "lag", "T"))
 
 
-WINS = (1, 3, 5, 10, 15, 30)
+WINS = (1, 3, 5, 10, 15, 30, 60)
 
 
 @query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN {v} END), 0) / {w}, 9) AS {v}_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN {v} END), 9) AS {v}_cumulative_max_{w}d" for v in "TP" for w in WINS) + " FROM lb GROUP BY 1")
@@ -56,7 +56,7 @@ def w03_window_features(spark, d):
     return rounded(features(spark, d, ["T", "P"]), 9)
 
 
-@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(avg(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag >= {30 - w} THEN T END), 9) AS T_cumulative_max_{w}d" for w in WINS) + " FROM lb GROUP BY 1")
+@query(f"WITH {LB} SELECT id_obs, " + ", ".join(f"round(avg(CASE WHEN lag >= {60 - w} THEN T END), 9) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag >= {60 - w} THEN T END), 9) AS T_cumulative_max_{w}d" for w in WINS) + " FROM lb GROUP BY 1")
 def w04_window_features_oldest(spark, d):
     return rounded(features(spark, d, ["T"], anchor="oldest", missing="skip"), 9)
 
@@ -100,16 +100,16 @@ def w07_chip_mode(spark, d):
     return W.chip_mode(c, ["bx", "by"], "m")
 
 
-@query(f"WITH {LB}, s AS (SELECT id_obs, lag, 'loc' AS channel, CAST(loc AS DOUBLE) AS value FROM lb WHERE lag < 3 UNION ALL SELECT id_obs, lag, 'T', T FROM lb WHERE lag < 3) SELECT channel, lag, count(*) AS n, round(sum(value), 3) AS total FROM s GROUP BY 1, 2")
+@query(f"WITH {LB}, s AS (SELECT id_obs, lag, 'loc' AS channel, CAST(loc AS DOUBLE) AS value FROM lb UNION ALL SELECT id_obs, lag, 'T', T FROM lb) SELECT channel, lag, count(*) AS n, round(sum(value), 3) AS total FROM s GROUP BY 1, 2")
 def w08_time_channel_long(spark, d):
-    lb = long(spark, d, 3)
+    lb = long(spark, d)
     static = events(spark, d).select("id_obs", (F.col("site_id") % 100).cast("double").alias("loc"))
-    return rounded(W.time_channel_long(static, lb, "id_obs", ["T"], 3).groupBy("channel", "lag").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 3)
+    return rounded(W.time_channel_long(static, lb, "id_obs", ["T"], 60).groupBy("channel", "lag").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 3)
 
 
-@query(f"WITH {LB} SELECT id_obs, count(T) AS n_days FROM lb GROUP BY 1 HAVING count(T) < 30")
+@query(f"WITH {LB} SELECT id_obs, count(T) AS n_days FROM lb GROUP BY 1 HAVING count(T) < 60")
 def w09_lookback_coverage(spark, d):
-    return W.lookback_coverage(long(spark, d), ["id_obs"], "T", 30)
+    return W.lookback_coverage(long(spark, d), ["id_obs"], "T", 60)
 
 
 @query("WITH u AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY 1, 2), k AS (SELECT DISTINCT user_id FROM events) SELECT k.user_id, " + ", ".join(f"round(coalesce(sum(CASE WHEN day > DATE '2024-01-30' - {w} THEN v END), 0) / {w}, 6) AS v_cumulative_mean_{w}d, round(max(CASE WHEN day > DATE '2024-01-30' - {w} THEN v END), 6) AS v_cumulative_max_{w}d" for w in (1, 3, 5, 10, 15, 30)) + " FROM k LEFT JOIN u ON u.user_id = k.user_id AND day > DATE '2023-12-31' AND day <= DATE '2024-01-30' GROUP BY 1")

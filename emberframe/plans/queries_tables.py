@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import scalar as P
 from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
+from emberframe.operators import model as M
 from emberframe.operators import polygons as Z
 from emberframe.operators import sampling as A
 from emberframe.plans.base import CELLS, CLIM, EV, FACT, PRED, cells, climate, events, fact, predictions, rounded, shared_folder, table, zones
@@ -113,6 +114,59 @@ def s07_ensemble_files(spark, d):
     return rounded(read.groupBy("member", "model").agg(F.count("*").alias("n"), F.sum("v").alias("total")), 4)
 
 
+@query("SELECT CAST(year(l_shipdate) AS INT) AS yr, make_date(CAST(year(l_shipdate) AS INT), 1, 1) AS day, count(*) AS n, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY 1, 2")
+def s03_daily_files(spark, d):
+    """One file a year, named by its first day; the day is read from the name."""
+    path, li = shared_folder(spark, "daily"), table(spark, d, "lineitem").select(F.year("l_shipdate").alias("yr"), F.col("l_quantity").alias("value"))
+    for r in li.select("yr").distinct().collect():  # seven years
+        S.write_file(li.where(F.col("yr") == r.yr), f"{path}/strikes_{r.yr}0101_v2.parquet")
+    read = S.read_daily_files(spark, path)
+    return rounded(read.groupBy("yr", "day").agg(F.count("*").alias("n"), F.sum("value").alias("total")), 4)
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS INT) AS zone_id, s_name AS name, 2.0::DOUBLE * (3 + s_suppkey % 60) * (3 + s_suppkey % 60) + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS area FROM supplier")
+def s04_zone_layer(spark, d):
+    """A GeoJSON layer of one diamond a supplier, some with a second part, written as a file, read and measured."""
+    s = table(spark, d, "supplier").withColumns({"r": (3 + F.col("s_suppkey") % 60).cast("double"), "cx": F.col("s_suppkey").cast("double")})
+    point = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    c, r = F.col("cx"), F.col("r")
+    ring = F.array(point(c + r, F.lit(0)), point(c, r), point(c - r, F.lit(0)), point(c, -r), point(c + r, F.lit(0)))
+    far = F.array(point(c, F.lit(500)), point(c + 1, F.lit(500)), point(c + 1, F.lit(501)), point(c, F.lit(501)))
+    two = F.col("s_suppkey") % 4 == 0
+    shape = F.when(two, F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring), F.array(far)).alias("coordinates")))).otherwise(
+        F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))))
+    feature = F.concat(F.lit('{"type": "Feature", "properties": '), F.to_json(F.struct(F.col("s_name").alias("name"))), F.lit(', "geometry": '), shape, F.lit("}"))
+    one = s.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", feature.alias("f")))), lambda e: e["f"]), ",\n").alias("all"))
+    path = shared_folder(spark, "layer")  # a layer file is one document
+    one.select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "all", F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+    layer = S.read_zones(spark, path)
+    return layer.select("zone_id", F.col("properties")["name"].alias("name")).join(Z.ring_area(Z.zone_edges(layer), 8.0), "zone_id")
+
+
+@query(f"WITH {EV} SELECT CAST(year(date) AS INT) AS yr, count(*) AS n, count(CASE WHEN id_obs % 7 <> 0 THEN 1 END) AS n_known, round(sum(CASE WHEN id_obs % 7 <> 0 THEN x END), 4) AS total_x, min(date) AS first_day FROM ev GROUP BY 1")
+def s05_event_files(spark, d):
+    """Events written and read back, as Parquet and then as CSV; a NaN is missing from then on."""
+    path = shared_folder(spark, "events")
+    e = events(spark, d).select("id_obs", "date", F.when(F.col("id_obs") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x")).alias("x"))
+    S.write_events(e, f"{path}/parquet")
+    S.write_csv(S.read_events(spark, f"{path}/parquet"), f"{path}/csv")
+    read = S.read_csv(spark, f"{path}/csv", "id_obs long, date date, x double")
+    return rounded(read.groupBy(F.year("date").alias("yr")).agg(
+        F.count("*").alias("n"), F.count("x").alias("n_known"), F.sum("x").alias("total_x"), F.min("date").alias("first_day")), 4)
+
+
+@query("WITH m AS (SELECT l_returnflag, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM lineitem GROUP BY 1) SELECT l_returnflag, CAST(l_linenumber AS INT) AS line, count(*) AS n, round(sum((l_quantity - mean) / std * (0.1 * l_linenumber)), 4) AS total FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1, 2")
+def s10_model_tables(spark, d):
+    """A scaler and weights saved as one model, loaded and applied."""
+    li, path = table(spark, d, "lineitem"), shared_folder(spark, "model")
+    weights = li.select(F.col("l_linenumber").alias("draw")).distinct().withColumn("beta", F.col("draw") * 0.1)
+    S.save_model({"scaler": M.fit_scaler(li, ["l_quantity"], ["l_returnflag"]), "weights": weights}, path)
+    model = S.load_model(spark, path, ["scaler", "weights"])
+    scored = li.join(model["scaler"], "l_returnflag").join(model["weights"], F.col("l_linenumber") == F.col("draw"))
+    return rounded(scored.groupBy("l_returnflag", F.col("l_linenumber").cast("int").alias("line")).agg(
+        F.count("*").alias("n"), F.sum((F.col("l_quantity") - F.col("mean")) / F.col("std") * F.col("beta")).alias("total")), 4)
+
+
 # scalar functions
 
 
