@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EV = "ev AS (SELECT o_orderkey AS id_obs, o_custkey AS site_id, CAST(o_orderdate AS DATE) AS date, CAST((o_orderkey * 7919) % 1000 AS DOUBLE) AS x, CAST((o_orderkey * 104729) % 1000 AS DOUBLE) AS y FROM orders)"
-CELLS = "cells AS (SELECT CAST(p_partkey % 20 AS INT) AS ix, CAST((p_partkey // 20) % 20 AS INT) AS iy, avg(p_retailprice) AS v, max(p_size) AS code, (CAST(p_partkey % 20 AS INT) + 0.5::DOUBLE) * 50 AS x, (CAST((p_partkey // 20) % 20 AS INT) + 0.5::DOUBLE) * 50 AS y FROM part GROUP BY ALL)"
+# One cell of side 10 a part: the grid is 100 cells wide and as high as the table is long.
+CELLS = "cells AS (SELECT CAST(p_partkey % 100 AS INT) AS ix, CAST(p_partkey // 100 AS INT) AS iy, avg(p_retailprice) AS v, max(p_size) AS code, (CAST(p_partkey % 100 AS INT) + 0.5::DOUBLE) * 10 AS x, (CAST(p_partkey // 100 AS INT) + 0.5::DOUBLE) * 10 AS y FROM part GROUP BY ALL)"
 CLIM = "clim AS (SELECT l_suppkey AS loc, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS T, avg(l_extendedprice) / 1000 AS P FROM lineitem GROUP BY 1, 2)"
 ENS = "ens AS (SELECT l_returnflag AS scenario, l_linestatus AS variable, l_suppkey AS member, l_partkey % 20 AS cell, CAST(l_shipdate AS DATE) AS day, l_quantity AS value FROM lineitem)"
 FACT = "fact AS (SELECT s_nationkey AS zone_id, n_name AS zone_name, l_suppkey AS member, l_returnflag AS scenario, CAST(year(l_shipdate) AS INT) AS yr, CAST(month(l_shipdate) AS INT) AS mon, l_discount AS risk FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
@@ -54,9 +55,9 @@ def events(spark, d) -> DataFrame:
 
 
 def cells(spark, d) -> DataFrame:
-    ix, iy = (F.col("p_partkey") % 20).cast("int"), (F.expr("p_partkey div 20") % 20).cast("int")
+    ix, iy = (F.col("p_partkey") % 100).cast("int"), F.expr("p_partkey div 100").cast("int")
     got = table(spark, d, "part").groupBy(ix.alias("ix"), iy.alias("iy")).agg(F.avg("p_retailprice").alias("v"), F.max("p_size").alias("code"))
-    return got.withColumns({"x": (F.col("ix") + 0.5) * 50, "y": (F.col("iy") + 0.5) * 50})
+    return got.withColumns({"x": (F.col("ix") + 0.5) * 10, "y": (F.col("iy") + 0.5) * 10})
 
 
 def climate(spark, d) -> DataFrame:

@@ -120,9 +120,9 @@ def w05_short_history(spark, d):
     return rounded(W.day_windows(keys, series, ["user_id"], ["v"], W.WINDOWS, 30).drop("date"))
 
 
-@query(f"WITH {LB60}, {CELLS}, a AS (SELECT id_obs, coalesce(sum(T), 0) / 60 AS m, max(T) AS t FROM lb60 GROUP BY 1), b AS (SELECT id_obs, c.v FROM ev JOIN cells c ON c.ix = CAST(floor(ev.x / 50) AS INT) AND c.iy = CAST(floor(ev.y / 50) AS INT)) SELECT id_obs, round(m, 9) AS T_cumulative_mean_60d, round(t, 9) AS T_cumulative_max_60d, round(v, 9) AS v FROM a JOIN b USING (id_obs)")
+@query(f"WITH {LB60}, {CELLS}, a AS (SELECT id_obs, coalesce(sum(T), 0) / 60 AS m, max(T) AS t FROM lb60 GROUP BY 1), b AS (SELECT id_obs, c.v FROM ev JOIN cells c ON c.ix = CAST(floor(ev.x / 10) AS INT) AND c.iy = CAST(floor(ev.y / 10) AS INT)) SELECT id_obs, round(m, 9) AS T_cumulative_mean_60d, round(t, 9) AS T_cumulative_max_60d, round(v, 9) AS v FROM a JOIN b USING (id_obs)")
 def w10_join_features(spark, d):
-    static = G.sample_at(G.to_cell(events(spark, d), 0.0, 0.0, 50.0, 20, 20), cells(spark, d).select("ix", "iy", "v")).where("v is not null").select("id_obs", "v")
+    static = G.sample_at(G.to_cell(events(spark, d), 0.0, 0.0, 10.0, 100, 100), cells(spark, d).select("ix", "iy", "v")).where("v is not null").select("id_obs", "v")
     dynamic = features(spark, d, ["T"], 60).select("id_obs", "T_cumulative_mean_60d", "T_cumulative_max_60d")
     return rounded(W.join_features(dynamic, static, ["id_obs"]), 9)
 

@@ -285,11 +285,11 @@ def g01_to_cell(spark, d):
     return G.to_cell(events(spark, d), 0, 0, 50, 20, 20).select("id_obs", "ix", "iy")
 
 
-PTS = "pts AS (SELECT *, CAST(least(floor(x / 50), 19) AS INT) AS ix, CAST(least(floor(y / 50), 19) AS INT) AS iy FROM ev)"
+PTS = "pts AS (SELECT *, CAST(least(floor(x / 10), 99) AS INT) AS ix, CAST(least(floor(y / 10), 99) AS INT) AS iy FROM ev)"
 
 
 def located(spark, d):
-    return G.to_cell(events(spark, d), 0, 0, 50, 20, 20)
+    return G.to_cell(events(spark, d), 0, 0, 10, 100, 100)
 
 
 @query(f"WITH {EV}, {PTS}, {CELLS} SELECT p.id_obs, count(*) AS n_cells, round(avg(c.v), 6) AS chip_mean FROM pts p JOIN cells c ON c.ix BETWEEN p.ix - 2 AND p.ix + 1 AND c.iy BETWEEN p.iy - 2 AND p.iy + 1 GROUP BY 1")
@@ -310,9 +310,9 @@ def g04_clip_cells(spark, d):
     return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)]).select("ix", "iy")
 
 
-@query(f"WITH {CELLS} SELECT ix, iy FROM cells WHERE x + 25 >= 500 AND y - 25 <= least(x + 25, 1000) - 500")
+@query(f"WITH {CELLS} SELECT ix, iy FROM cells WHERE x + 5 >= 500 AND x - 5 <= 1000 AND y - 5 <= least(x + 5, 1000) - 500")
 def g04_touched_cells(spark, d):
-    return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)], 25.0).select("ix", "iy")
+    return G.clip_cells(cells(spark, d), [(500.0, 0.0), (1000.0, 0.0), (1000.0, 500.0)], 5.0).select("ix", "iy")
 
 
 @query(f"WITH {CELLS}, {EV} SELECT ix, iy FROM cells c WHERE NOT EXISTS (SELECT 1 FROM ev q WHERE (q.x - c.x) * (q.x - c.x) + (q.y - c.y) * (q.y - c.y) <= 625)")
@@ -400,26 +400,26 @@ def g12_zonal_stats(spark, d):
     return rounded(G.zonal_stats(pred, Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0), "id_obs", "r"))
 
 
-COVERED = f"slivers AS (SELECT 100 + i AS zone_id, 60.0 * i AS x0 FROM range(16) t(i)), names AS (SELECT unnest([1, 2, 3, 4, 5]) AS zone_id UNION ALL SELECT zone_id FROM slivers), inc AS ({in_zones('cells', 'ix, iy, x')} UNION ALL SELECT ix, iy, x, zone_id FROM cells JOIN slivers ON x > x0 AND x < x0 + 8 AND y > 0 AND y < 40), cov AS (SELECT names.zone_id, count(ix) AS n_cells, count(CASE WHEN x < 800 THEN 1 END) AS n_inside FROM names LEFT JOIN inc ON inc.zone_id = names.zone_id GROUP BY 1)"
+COVERED = f"slivers AS (SELECT 100 + i AS zone_id, 60.0 * i AS x0, CASE WHEN i % 2 = 0 THEN 8 ELSE 4 END AS w FROM range(16) t(i)), names AS (SELECT unnest([1, 2, 3, 4, 5]) AS zone_id UNION ALL SELECT zone_id FROM slivers), inc AS ({in_zones('cells', 'ix, iy, x')} UNION ALL SELECT ix, iy, x, zone_id FROM cells JOIN slivers ON x > x0 AND x < x0 + w AND y > 0 AND y < 40), cov AS (SELECT names.zone_id, count(ix) AS n_cells, count(CASE WHEN x < 800 THEN 1 END) AS n_inside FROM names LEFT JOIN inc ON inc.zone_id = names.zone_id GROUP BY 1)"
 
 
 def coverage(spark, d):
-    """Zones and 16 slivers, most of which hold the middle of no cell."""
-    box = lambda x: [[(x, 0.0), (x + 8, 0.0), (x + 8, 40.0), (x, 40.0)]]
-    slivers = spark.createDataFrame([(100 + i, box(60.0 * i)) for i in range(16)], zones(spark).schema)
+    """Zones and 16 slivers, half of which hold the middle of no cell."""
+    box = lambda x, w: [[(x, 0.0), (x + w, 0.0), (x + w, 40.0), (x, 40.0)]]
+    slivers = spark.createDataFrame([(100 + i, box(60.0 * i, 8.0 if i % 2 == 0 else 4.0)) for i in range(16)], zones(spark).schema)
     c, layer = cells(spark, d).select("ix", "iy", "x", "y"), zones(spark).unionByName(slivers)
     found = Z.within(c, Z.zone_tiles(Z.zone_edges(layer), 20.0))
-    return Z.zone_coverage(found, c.where("x < 800"), 2500.0, layer), c.where("x < 800")
+    return Z.zone_coverage(found, c.where("x < 800"), 100.0, layer), c.where("x < 800")
 
 
-@query(f"WITH {CELLS}, {COVERED} SELECT CAST(zone_id AS INT) AS zone_id, n_cells, n_cells * 2500.0::DOUBLE AS area, n_inside, round(n_inside / nullif(CAST(n_cells AS DOUBLE), 0), 6) AS share_inside FROM cov")
+@query(f"WITH {CELLS}, {COVERED} SELECT CAST(zone_id AS INT) AS zone_id, n_cells, n_cells * 100.0::DOUBLE AS area, n_inside, round(n_inside / nullif(CAST(n_cells AS DOUBLE), 0), 6) AS share_inside FROM cov")
 def g13_zone_coverage(spark, d):
     return rounded(coverage(spark, d)[0])
 
 
-@query(f"WITH {CELLS}, {COVERED} SELECT count(*) AS n_zones, count(CASE WHEN n_inside > 0 THEN 1 END) AS n_kept, count(CASE WHEN n_inside = 0 THEN 1 END) AS n_removed, round(count(CASE WHEN n_inside = 0 THEN 1 END) * 100.0 / count(*), 6) AS removed_percent, sum(n_cells) * 2500.0::DOUBLE AS area, sum(n_inside) * 2500.0::DOUBLE AS clipped_area, (SELECT count(*) FROM cells WHERE x < 800) * 2500.0::DOUBLE AS aoi_area, round((1 - sum(n_inside) / CAST(sum(n_cells) AS DOUBLE)) * 100, 6) AS reduction_percent, round(sum(n_inside) * 100.0 / (SELECT count(*) FROM cells WHERE x < 800), 6) AS coverage_percent FROM cov")
+@query(f"WITH {CELLS}, {COVERED} SELECT count(*) AS n_zones, count(CASE WHEN n_inside > 0 THEN 1 END) AS n_kept, count(CASE WHEN n_inside = 0 THEN 1 END) AS n_removed, round(count(CASE WHEN n_inside = 0 THEN 1 END) * 100.0 / count(*), 6) AS removed_percent, sum(n_cells) * 100.0::DOUBLE AS area, sum(n_inside) * 100.0::DOUBLE AS clipped_area, (SELECT count(*) FROM cells WHERE x < 800) * 100.0::DOUBLE AS aoi_area, round((1 - sum(n_inside) / CAST(sum(n_cells) AS DOUBLE)) * 100, 6) AS reduction_percent, round(sum(n_inside) * 100.0 / (SELECT count(*) FROM cells WHERE x < 800), 6) AS coverage_percent FROM cov")
 def g13_clip_summary(spark, d):
-    return rounded(Z.clip_summary(*coverage(spark, d), 2500.0))
+    return rounded(Z.clip_summary(*coverage(spark, d), 100.0))
 
 
 @query(f"WITH {EV}, {INZ}, {AREAS} SELECT CAST(areas.zone_id AS INT) AS zone_id, area, count(id_obs) AS n_events, round(count(id_obs) / area * 100, 6) AS per_100 FROM areas LEFT JOIN inz ON areas.zone_id = inz.zone_id GROUP BY 1, area")
