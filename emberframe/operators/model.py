@@ -266,10 +266,10 @@ def write_members(df: DataFrame, members: DataFrame, path: str) -> list[str]:
     ``members`` are a few dozen names; each is one job, so a run that stops goes on where it was. Read
     back at ``path``, the names are columns again.
     """
-    wrote = []
-    for row in sorted(members.distinct().collect()):
+    wrote, folder = [], df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for row in sorted(members.distinct().collect(), key=str):
         mine = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(v)) for c, v in row.asDict().items()))
-        at = "/".join([path, *(f"{c}={v}" for c, v in row.asDict().items())])
+        at = "/".join([path, *(folder(c, None if v is None else str(v)) for c, v in row.asDict().items())])
         if write_once(df.where(mine).drop(*members.columns), at):
             wrote.append(at)
     return wrote

@@ -91,6 +91,9 @@ def test_members_are_written_once(spark, tmp_path):
     (tmp_path / "out" / "scenario=a" / "member=1" / "_SUCCESS").unlink()
     again = M.write_members(df.withColumn("id", F.col("id") + 1000), df.select("scenario", "member"), path)
     assert [p.split("out/")[1] for p in again] == ["scenario=a/member=1"]
+    odd = spark.createDataFrame([("a/b=c", 1), (None, 2)], "scenario string, v int")
+    assert len(M.write_members(odd, odd.select("scenario"), str(tmp_path / "odd"))) == 2
+    assert {(r.scenario, r.v) for r in spark.read.parquet(str(tmp_path / "odd")).collect()} == {("a/b=c", 1), (None, 2)}
     rows = spark.read.parquet(path).collect()
     assert len(rows) == 60 and all((r.id >= 1000) == (r.scenario == "a" and r.member == 1) for r in rows)
 
