@@ -18,7 +18,7 @@ def zone_edges(zones: DataFrame) -> DataFrame:
 
 
 class ZoneTiles(NamedTuple):
-    """Tiles of a polygon layer; tables of the layer's size, worth writing once where they serve several joins."""
+    """Tiles of a polygon layer: tables of the layer's size, not of the points'."""
 
     whole: DataFrame  #: (zone_id, big_row, big_col): large tiles wholly inside a zone
     small: DataFrame  #: (zone_id, row, col, run): small tiles inside a zone (run is NULL) or met by its edges
@@ -26,7 +26,7 @@ class ZoneTiles(NamedTuple):
     tile: float
 
 
-def zone_tiles(edges: DataFrame, tile: float) -> ZoneTiles:
+def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTiles:
     """Index of ``edges`` (zone_id, x1, y1, x2, y2) over squares of side ``tile``, ``GROUP`` of them making a large one's side.
 
     In each row of tiles, edges deal the columns into runs of tiles that they meet and gaps that they do
@@ -34,7 +34,11 @@ def zone_tiles(edges: DataFrame, tile: float) -> ZoneTiles:
     middle. Gaps become inside tiles: a large one where all its small ones are, which a join with a large
     zone mostly needs, small ones otherwise. So a point meets edges only in the run of its own tile: what
     lies to the right of the run is known.
+
+    With a ``path``, the tables are written there and read back: runs are then found once, and joins
+    know the index's size, so a small one is broadcast and points stay where they are.
     """
+    keep = (lambda df, name: df) if path is None else (lambda df, name: _kept(df, f"{path}/{name}"))
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     edge = F.struct("x1", "y1", "x2", "y2")
     e = edges.select("zone_id", edge.alias("e"), "x1", "y1", "x2", "y2", lo.alias("lo"), hi.alias("hi"))
@@ -57,6 +61,7 @@ def zone_tiles(edges: DataFrame, tile: float) -> ZoneTiles:
     row = Window.partitionBy("zone_id", "row")
     later = F.sum("crosses").over(row) - F.sum("crosses").over(row.orderBy("run"))
     runs = runs.withColumns({"inside_right": later % 2 == 1, "next": F.lead("a").over(row.orderBy("run"))})
+    runs = keep(runs, "runs")
     met = runs.select("zone_id", "row", F.explode(F.sequence("a", "b")).alias("col"), "run")
 
     big = lambda c: F.floor(F.col(c) / GROUP)
@@ -69,7 +74,12 @@ def zone_tiles(edges: DataFrame, tile: float) -> ZoneTiles:
     whole = blocks.where(F.col("full") == GROUP).select("zone_id", "big_row", "big_col")
     rest = blocks.where(F.col("full") < GROUP).select("zone_id", F.inline("parts"))
     rest = rest.select("zone_id", "row", F.explode(F.sequence("a", "b")).alias("col"), F.lit(None).cast("bigint").alias("run"))
-    return ZoneTiles(whole, met.unionByName(rest), runs.select("zone_id", "row", "run", "inside_right", "edges"), tile)
+    return ZoneTiles(keep(whole, "whole"), keep(met.unionByName(rest), "small"), runs.select("zone_id", "row", "run", "inside_right", "edges"), tile)
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _side(e: Column, x: Column, y: Column) -> Column:
@@ -109,12 +119,12 @@ def within(points: DataFrame, tiles: ZoneTiles) -> DataFrame:
     return near.unionByName(deep)
 
 
-def zone_join(points: DataFrame, edges: DataFrame, key: str, tile: float) -> DataFrame:
-    """(key, zone_id) of the points inside a zone, one row per row of ``points`` and zone."""
-    return within(points.select(key, "x", "y"), zone_tiles(edges, tile)).select(key, "zone_id")
+def zone_join(points: DataFrame, edges: DataFrame, key: str, tile: float, path: str | None = None) -> DataFrame:
+    """(key, zone_id) of the points inside a zone, one row per row of ``points`` and zone; ``path`` as in ``zone_tiles``."""
+    return within(points.select(key, "x", "y"), zone_tiles(edges, tile, path)).select(key, "zone_id")
 
 
-def ring_depths(edges: DataFrame, tile: float) -> DataFrame:
+def ring_depths(edges: DataFrame, tile: float, path: str | None = None) -> DataFrame:
     """(zone_id, ring, depth): how many other rings of the zone each ring lies in.
 
     Rings of a valid polygon do not cross, so one lies in another as soon as one of its corners or
@@ -123,15 +133,15 @@ def ring_depths(edges: DataFrame, tile: float) -> DataFrame:
     rings = edges.select(F.struct("zone_id", "ring").alias("zone_id"), "x1", "y1", "x2", "y2")
     ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))
     probes = edges.select(F.col("zone_id").alias("zone"), "ring", F.inline(ends)).select("zone", "ring", "x", "y")
-    hits = within(probes, zone_tiles(rings, tile)).where((F.col("zone") == F.col("zone_id.zone_id")) & (F.col("ring") != F.col("zone_id.ring")))
+    hits = within(probes, zone_tiles(rings, tile, path)).where((F.col("zone") == F.col("zone_id.zone_id")) & (F.col("ring") != F.col("zone_id.ring")))
     depth = hits.groupBy(F.col("zone").alias("zone_id"), "ring").agg(F.count_distinct("zone_id.ring").alias("depth"))
     return edges.select("zone_id", "ring").distinct().join(depth, ["zone_id", "ring"], "left").na.fill(0, ["depth"])
 
 
-def ring_area(edges: DataFrame, tile: float) -> DataFrame:
+def ring_area(edges: DataFrame, tile: float, path: str | None = None) -> DataFrame:
     """(zone_id, area): rings by shoelace, those at odd depth are holes and subtract, whichever way they turn."""
     turn = F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2
-    sizes = edges.groupBy("zone_id", "ring").agg(turn.alias("size")).join(ring_depths(edges, tile), ["zone_id", "ring"])
+    sizes = edges.groupBy("zone_id", "ring").agg(turn.alias("size")).join(ring_depths(edges, tile, path), ["zone_id", "ring"])
     return sizes.groupBy("zone_id").agg(F.sum(F.when(F.col("depth") % 2 == 0, F.col("size")).otherwise(-F.col("size"))).alias("area"))
 
 

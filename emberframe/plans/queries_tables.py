@@ -343,7 +343,7 @@ def in_zones(table: str, key: str) -> str:
 
 @query(f"WITH {EV} " + in_zones("ev", "id_obs"))
 def g07_zone_join(spark, d):
-    return Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0)
+    return Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0, shared_folder(spark, "tiles"))
 
 
 DIAMONDS = "dia AS (SELECT s_suppkey AS zone_id, CAST((s_suppkey * 7907) % 1000 AS DOUBLE) AS cx, CAST((s_suppkey * 6007) % 1000 AS DOUBLE) AS cy, CAST(3 + s_suppkey % 60 AS DOUBLE) AS r FROM supplier)"
@@ -357,7 +357,7 @@ def g07_zone_layer(spark, d):
         (3 + F.col("s_suppkey") % 60).cast("double").alias("r"))
     corner = lambda dx, dy: F.struct((F.col("cx") + dx * F.col("r")).alias("x"), (F.col("cy") + dy * F.col("r")).alias("y"))
     layer = s.select("zone_id", F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("rings"))
-    hits = Z.within(events(spark, d).select("id_obs", "date", "x", "y"), Z.zone_tiles(Z.zone_edges(layer), 4.0))
+    hits = Z.within(events(spark, d).select("id_obs", "date", "x", "y"), Z.zone_tiles(Z.zone_edges(layer), 4.0, shared_folder(spark, "tiles")))
     return hits.groupBy("zone_id").agg(F.count("*").alias("n_points"), F.count_distinct("date").alias("n_days"), F.sum("id_obs").alias("ids"))
 
 
@@ -397,7 +397,7 @@ INZ = f"inz AS ({in_zones('ev', 'id_obs')})"
 @query(f"WITH {EV}, {INZ}, s AS (SELECT o_orderkey AS id_obs, o_totalprice AS r FROM orders) SELECT zone_id, round(avg(r), 6) AS mean_risk, round(max(r), 6) AS max_risk, round(stddev_samp(r), 6) AS spatial_std, round(quantile_cont(r, 0.9), 6) AS p90, count(r) AS n FROM inz JOIN s USING (id_obs) GROUP BY 1")
 def g12_zonal_stats(spark, d):
     pred = table(spark, d, "orders").select(F.col("o_orderkey").alias("id_obs"), F.col("o_totalprice").alias("r"))
-    return rounded(G.zonal_stats(pred, Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0), "id_obs", "r"))
+    return rounded(G.zonal_stats(pred, Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0, shared_folder(spark, "tiles")), "id_obs", "r"))
 
 
 COVERED = f"slivers AS (SELECT 100 + i AS zone_id, 60.0 * i AS x0, CASE WHEN i % 2 = 0 THEN 8 ELSE 4 END AS w FROM range(16) t(i)), names AS (SELECT unnest([1, 2, 3, 4, 5]) AS zone_id UNION ALL SELECT zone_id FROM slivers), inc AS ({in_zones('cells', 'ix, iy, x')} UNION ALL SELECT ix, iy, x, zone_id FROM cells JOIN slivers ON x > x0 AND x < x0 + w AND y > 0 AND y < 40), cov AS (SELECT names.zone_id, count(ix) AS n_cells, count(CASE WHEN x < 800 THEN 1 END) AS n_inside FROM names LEFT JOIN inc ON inc.zone_id = names.zone_id GROUP BY 1)"
@@ -408,7 +408,7 @@ def coverage(spark, d):
     box = lambda x, w: [[(x, 0.0), (x + w, 0.0), (x + w, 40.0), (x, 40.0)]]
     slivers = spark.createDataFrame([(100 + i, box(60.0 * i, 8.0 if i % 2 == 0 else 4.0)) for i in range(16)], zones(spark).schema)
     c, layer = cells(spark, d).select("ix", "iy", "x", "y"), zones(spark).unionByName(slivers)
-    found = Z.within(c, Z.zone_tiles(Z.zone_edges(layer), 20.0))
+    found = Z.within(c, Z.zone_tiles(Z.zone_edges(layer), 20.0, shared_folder(spark, "tiles")))
     return Z.zone_coverage(found, c.where("x < 800"), 100.0, layer), c.where("x < 800")
 
 
@@ -425,7 +425,7 @@ def g13_clip_summary(spark, d):
 @query(f"WITH {EV}, {INZ}, {AREAS} SELECT CAST(areas.zone_id AS INT) AS zone_id, area, count(id_obs) AS n_events, round(count(id_obs) / area * 100, 6) AS per_100 FROM areas LEFT JOIN inz ON areas.zone_id = inz.zone_id GROUP BY 1, area")
 def g14_area_and_g17_density(spark, d):
     edges = Z.zone_edges(zones(spark))
-    return rounded(Z.event_density(Z.zone_join(events(spark, d), edges, "id_obs", 20.0), Z.ring_area(edges, 20.0)))
+    return rounded(Z.event_density(Z.zone_join(events(spark, d), edges, "id_obs", 20.0, shared_folder(spark, "tiles")), Z.ring_area(edges, 20.0, shared_folder(spark, "rings"))))
 
 
 @query(f"WITH {EV}, {CELLS}, a AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM ev), b AS (SELECT min(x) x0, max(x) x1, min(y) y0, max(y) y1 FROM cells) SELECT greatest(a.x0, b.x0) AS min_x, least(a.x1, b.x1) AS max_x, greatest(a.y0, b.y0) AS min_y, least(a.y1, b.y1) AS max_y, greatest(a.x0, b.x0) <= least(a.x1, b.x1) AND greatest(a.y0, b.y0) <= least(a.y1, b.y1) AS overlaps FROM a, b")
