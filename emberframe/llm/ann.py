@@ -218,32 +218,41 @@ def search_inner(
         "g", F.lit(False).alias("asks"), F.col("cid").alias("id"), "v", F.lit(None).cast("binary").alias("units"), "unit", "least")
 
     def read(q, qid, asks, yv, yid, yu, yl):
+        """The best k + 1 entries of each asker, unit by unit: only entries that reach its last place so far are sorted in."""
         pair_q, pair_u = np.repeat(np.arange(len(q)), [len(a) for a in asks]), np.concatenate(asks)
-        qv = q
-        keep = k + 1
+        by_unit = np.argsort(pair_u, kind="stable")
+        pair_q, pair_u, keep = pair_q[by_unit], pair_u[by_unit], k + 1
         top = np.full((len(q), keep), -np.inf)
         who = np.full((len(q), keep), -1, np.int64)
         low = np.full((len(q), keep), np.iinfo(np.int64).max)
         for u in np.unique(yu):
-            ask_, (lo, hi) = pair_q[pair_u == u], np.searchsorted(yu, [u, u + 1])
+            from_, to = np.searchsorted(pair_u, [u, u + 1])
+            lo, hi = np.searchsorted(yu, [u, u + 1])
+            ask_ = pair_q[from_:to]
             if not len(ask_):
                 continue
             with np.errstate(over="ignore", invalid="ignore"):
-                s = qv[ask_] @ yv[lo:hi].T
+                s = q[ask_] @ yv[lo:hi].T
             s = np.where(np.isnan(s), -np.inf, s)  # products of both signs beyond the doubles
-            cand = np.broadcast_to(yid[lo:hi], s.shape)
-            ids = np.concatenate([low[ask_], np.broadcast_to(yl[lo:hi], s.shape)], axis=1)
-            s, cand = np.concatenate([top[ask_], s], axis=1), np.concatenate([who[ask_], cand], axis=1)
-            # a boundary vector met in an earlier list counts once
-            order = np.lexsort((ids, -s), axis=1)[:, : copies * keep]
-            s, cand, ids = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
-            again = np.zeros(s.shape, bool)
-            by = np.argsort(cand, axis=1, kind="stable")
-            sorted_ = np.take_along_axis(cand, by, 1)
-            np.put_along_axis(again, by[:, 1:], (sorted_[:, 1:] == sorted_[:, :-1]) & (sorted_[:, 1:] >= 0), axis=1)
-            s, cand = np.where(again, -np.inf, s), np.where(again, -1, cand)
-            order = np.lexsort((ids, -s), axis=1)[:, :keep]
-            top[ask_], who[ask_], low[ask_] = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
+            least = top[ask_, -1]
+            if hi - lo > keep:
+                least = np.maximum(least, np.partition(s, hi - lo - keep, axis=1)[:, hi - lo - keep])
+            i, j = np.nonzero(s >= least[:, None])
+            if not len(i):
+                continue
+            again = (who[ask_[i]] == yid[lo + j][:, None]).any(1)  # a boundary vector met in an earlier list counts once
+            i, j = i[~again], j[~again]
+            some, start, n = np.unique(i, return_index=True, return_counts=True)
+            if not len(some):
+                continue
+            at = (np.repeat(np.arange(len(some)), n), np.arange(len(i)) - np.repeat(start, n))
+            rows = ask_[some]
+            wide = (len(some), int(n.max()))
+            new_s, new_who, new_low = np.full(wide, -np.inf), np.full(wide, -1, np.int64), np.full(wide, np.iinfo(np.int64).max)
+            new_s[at], new_who[at], new_low[at] = s[i, j], yid[lo + j], yl[lo + j]
+            s, cand, ids = (np.concatenate(x, axis=1) for x in ((top[rows], new_s), (who[rows], new_who), (low[rows], new_low)))
+            order = np.lexsort((cand < 0, ids, -s), axis=1)[:, :keep]
+            top[rows], who[rows], low[rows] = (np.take_along_axis(m, order, 1) for m in (s, cand, ids))
         i, j = np.nonzero(who >= 0)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (qid[i], who[i, j], low[i, j], top[i, j])], names=["query_id", "cid", "least", "score"])
 
