@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.llm.common import Scratch, by_value
 
@@ -130,13 +131,15 @@ def shard_by_bytes(docs: DataFrame, scratch: Scratch, shards: int = 24, toleranc
     first, the largest to the emptiest shard. All others are ordered by (hash of the text, doc_id)
     and cut at splitters found by ``find_splitters``, which fill the shards up to one level. Rows are
     exchanged once, by range within shard, so a shard of any size is spread over many tasks. Null
-    ids sort first; fully equal rows are interchangeable and may stay together. An empty table gives
+    ids sort first, ids that are no whole numbers by their hash; fully equal rows are interchangeable and may stay together. An empty table gives
     an empty result. Existing columns of the added names are replaced, no others are touched.
     """
     docs = docs.drop("size", "shard", "slot")
     text = F.coalesce(F.col("text"), F.lit(""))
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    number = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     keys = [
-        (F.octet_length(text).cast("long") + 8).alias("size"), F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k")]
+        (F.octet_length(text).cast("long") + 8).alias("size"), F.xxhash64(text).alias("h"), F.coalesce(number, F.lit(-(1 << 63))).alias("k")]
     keyed = scratch.put(docs.select(*keys), "keys")
     rows, total = keyed.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     coarse = min(64, max(4, math.ceil(rows / shards / rows_per_task)))

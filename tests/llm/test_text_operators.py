@@ -306,6 +306,16 @@ def test_sharding_balances_bytes(spark, docs, empty):
     assert sharding.shard_by_bytes(empty, Scratch(spark)).count() == 0
 
 
+def test_sharding_takes_text_ids(spark):
+    rows = [(f"id-{i}" if i else None, f"text {i % 70} " * (i % 9)) for i in range(400)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), Scratch(spark), shards=4).collect()
+    assert sorted((r.doc_id or "", r.text) for r in got) == sorted((i or "", t) for i, t in rows)
+    for k in range(4):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got)))
+    sizes = [sum(r.size for r in got if r.shard == k) for k in range(4)]
+    assert max(sizes) - min(sizes) < 400
+
+
 def test_counts_below_probes(spark, docs):
     keyed = docs.select(F.xxhash64("text").alias("h"), F.coalesce("doc_id", F.lit(0)).alias("k"), F.lit(5).cast("long").alias("size"))
     rows = [((r.h + (1 << 63)) << 64 | (r.k + (1 << 63)), r.size) for r in keyed.collect()]
