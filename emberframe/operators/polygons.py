@@ -35,10 +35,9 @@ def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTi
     zone mostly needs, small ones otherwise. So a point meets edges only in the run of its own tile: what
     lies to the right of the run is known.
 
-    With a ``path``, the tables are written there and read back: runs are then found once, and joins
+    With a ``path``, the runs are written there and read back: they are then found once, and joins
     know the index's size, so a small one is broadcast and points stay where they are.
     """
-    keep = (lambda df, name: df) if path is None else (lambda df, name: _kept(df, f"{path}/{name}"))
     lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
     edge = F.struct("x1", "y1", "x2", "y2")
     e = edges.select("zone_id", edge.alias("e"), "x1", "y1", "x2", "y2", lo.alias("lo"), hi.alias("hi"))
@@ -61,7 +60,7 @@ def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTi
     row = Window.partitionBy("zone_id", "row")
     later = F.sum("crosses").over(row) - F.sum("crosses").over(row.orderBy("run"))
     runs = runs.withColumns({"inside_right": later % 2 == 1, "next": F.lead("a").over(row.orderBy("run"))})
-    runs = keep(runs, "runs")
+    runs = runs if path is None else _kept(runs, path)
     met = runs.select("zone_id", "row", F.explode(F.sequence("a", "b")).alias("col"), "run")
 
     big = lambda c: F.floor(F.col(c) / GROUP)
@@ -74,7 +73,7 @@ def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTi
     whole = blocks.where(F.col("full") == GROUP).select("zone_id", "big_row", "big_col")
     rest = blocks.where(F.col("full") < GROUP).select("zone_id", F.inline("parts"))
     rest = rest.select("zone_id", "row", F.explode(F.sequence("a", "b")).alias("col"), F.lit(None).cast("bigint").alias("run"))
-    return ZoneTiles(keep(whole, "whole"), keep(met.unionByName(rest), "small"), runs.select("zone_id", "row", "run", "inside_right", "edges"), tile)
+    return ZoneTiles(whole, met.unionByName(rest), runs.select("zone_id", "row", "run", "inside_right", "edges"), tile)
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
