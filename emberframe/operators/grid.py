@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators.polygons import kept
 from emberframe.operators.ranks import exact_quantiles
 
 
@@ -112,9 +113,14 @@ def prediction_grid(cells: DataFrame, template: str) -> DataFrame:
     return cells.where(F.col(template).isNotNull()).select("ix", "iy")
 
 
-def zonal_stats(pred: DataFrame, zones: DataFrame, key: str, value: str) -> DataFrame:
-    """Statistics per zone; the quantile is counted in buckets, since one zone may hold most rows."""
-    joined = pred.join(zones, key)
+def zonal_stats(pred: DataFrame, zones: DataFrame, key: str, value: str, path: str | None = None) -> DataFrame:
+    """Statistics per zone; the quantile is counted in buckets, since one zone may hold most rows.
+
+    Three branches read the joined rows. With a ``path``, zone and value of each are written there, so the
+    join and what ``zones`` comes from run once.
+    """
+    joined = pred.join(zones, key).select("zone_id", value)
+    joined = joined if path is None else kept(joined, path)
     rest = joined.groupBy("zone_id").agg(F.avg(value).alias("mean_risk"), F.max(value).alias("max_risk"), F.stddev(value).alias("spatial_std"), F.count(value).alias("n"))
     tail = exact_quantiles(joined, value, {"p90": 0.9}, ["zone_id"])
     return rest.join(tail, "zone_id", "left").select("zone_id", "mean_risk", "max_risk", "spatial_std", "p90", "n")

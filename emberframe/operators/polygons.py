@@ -60,7 +60,7 @@ def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTi
     row = Window.partitionBy("zone_id", "row")
     later = F.sum("crosses").over(row) - F.sum("crosses").over(row.orderBy("run"))
     runs = runs.withColumns({"inside_right": later % 2 == 1, "next": F.lead("a").over(row.orderBy("run"))})
-    runs = runs if path is None else _kept(runs, path)
+    runs = runs if path is None else kept(runs, path)
     met = runs.select("zone_id", "row", F.explode(F.sequence("a", "b")).alias("col"), "run")
 
     big = lambda c: F.floor(F.col(c) / GROUP)
@@ -76,7 +76,8 @@ def zone_tiles(edges: DataFrame, tile: float, path: str | None = None) -> ZoneTi
     return ZoneTiles(whole, met.unionByName(rest), runs.select("zone_id", "row", "run", "inside_right", "edges"), tile)
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written at ``path`` and read back: several branches of a plan then find it made, and know its size."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -170,10 +171,10 @@ def clip_summary(coverage: DataFrame, aoi: DataFrame, cell_area: float) -> DataF
     A zone goes if none of its cells lies in the area. Areas are in cells: before and after clipping, the
     share lost, and how much of the area of interest the clipped zones cover.
     """
-    kept = F.count_if(F.col("n_inside") > 0)
+    stay = F.count_if(F.col("n_inside") > 0)
     zones = coverage.agg(
-        F.count("*").alias("n_zones"), kept.alias("n_kept"), (F.count("*") - kept).alias("n_removed"),
-        (F.try_divide(F.count("*") - kept, F.count("*")) * 100).alias("removed_percent"),
+        F.count("*").alias("n_zones"), stay.alias("n_kept"), (F.count("*") - stay).alias("n_removed"),
+        (F.try_divide(F.count("*") - stay, F.count("*")) * 100).alias("removed_percent"),
         (F.coalesce(F.sum("n_cells"), F.lit(0)) * cell_area).alias("area"), (F.coalesce(F.sum("n_inside"), F.lit(0)) * cell_area).alias("clipped_area"))
     whole = aoi.agg((F.count("*") * cell_area).alias("aoi_area"))
     return zones.crossJoin(F.broadcast(whole)).select(  # one row each

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,16 +53,18 @@ def before_places(dealt: DataFrame, group: list[str], values: dict[str, Column],
     return beside(fine, coarse, [*group, "_c"]).select(*group, "_f", *((F.col(f"_o_{n}") + F.col(f"_a_{n}")).alias(f"_o_{n}") for n in values))
 
 
-def running(by: DataFrame, order: str, values: list[str], descending: bool = False, group: list[str] | None = None) -> DataFrame:
+def running(by: DataFrame, order: str, values: list[str], descending: bool = False, group: list[str] | None = None, narrow: bool = False) -> DataFrame:
     """Running sums ``cum_<value>`` per group over rows of distinct ``order``.
 
     Sums run inside each fine place, and over the totals of fine and coarse ones; one join brings them together.
+    ``narrow`` says that a group has one coarse place only, so fine ones are summed alone.
     """
     group = group or []
     dealt = places(by, order)
     inside = Window.partitionBy(*group, "_f").orderBy(F.desc(order) if descending else F.asc(order))
     summed = dealt.withColumns({f"_i_{v}": F.sum(v).over(inside) for v in values})
-    summed = beside(summed, before_places(dealt, group, {v: F.sum(v) for v in values}, descending), [*group, "_f"])
+    before = (partial(offsets, bucket="_f") if narrow else before_places)(dealt, group, values={v: F.sum(v) for v in values}, descending=descending)
+    summed = beside(summed, before, [*group, "_f"])
     return summed.select(*by.columns, *((F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values))
 
 
@@ -94,7 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: dict[str, float], group:
     hits = counts.select(*group, "_bin", (F.col("_upto") - F.col("_n")).alias("_before"), F.explode(here).alias("_r"))
     near = beside(rows, hits.select(*group, "_bin").distinct(), [*group, "_bin"], "left_semi") if group else rows.join(F.broadcast(hits.select("_bin").distinct()), "_bin", "left_semi")  # two places a share
     values = near.groupBy(*group, "_bin", "_v").agg(F.count("*").alias("_n"))
-    ranked = beside(running(values, "_v", ["_n"], group=[*group, "_bin"]), hits, [*group, "_bin"])
+    ranked = beside(running(values, "_v", ["_n"], group=[*group, "_bin"], narrow=True), hits, [*group, "_bin"])
     rank = F.col("_r.rank") - F.col("_before")
     found = ranked.where((rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n")))
     pick = lambda n, end: F.max(F.when((F.col("_r.name") == n) & (F.col("_r.end") == end), F.col("_v")))

@@ -397,7 +397,8 @@ INZ = f"inz AS ({in_zones('ev', 'id_obs')})"
 @query(f"WITH {EV}, {INZ}, s AS (SELECT o_orderkey AS id_obs, o_totalprice AS r FROM orders) SELECT zone_id, round(avg(r), 6) AS mean_risk, round(max(r), 6) AS max_risk, round(stddev_samp(r), 6) AS spatial_std, round(quantile_cont(r, 0.9), 6) AS p90, count(r) AS n FROM inz JOIN s USING (id_obs) GROUP BY 1")
 def g12_zonal_stats(spark, d):
     pred = table(spark, d, "orders").select(F.col("o_orderkey").alias("id_obs"), F.col("o_totalprice").alias("r"))
-    return rounded(G.zonal_stats(pred, Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0, shared_folder(spark, "tiles")), "id_obs", "r"))
+    inside = Z.zone_join(events(spark, d), Z.zone_edges(zones(spark)), "id_obs", 20.0, shared_folder(spark, "tiles"))
+    return rounded(G.zonal_stats(pred, inside, "id_obs", "r", shared_folder(spark, "zonal")))
 
 
 COVERED = f"slivers AS (SELECT 100 + i AS zone_id, 60.0 * i AS x0, CASE WHEN i % 2 = 0 THEN 8 ELSE 4 END AS w FROM range(16) t(i)), names AS (SELECT unnest([1, 2, 3, 4, 5]) AS zone_id UNION ALL SELECT zone_id FROM slivers), inc AS ({in_zones('cells', 'ix, iy, x')} UNION ALL SELECT ix, iy, x, zone_id FROM cells JOIN slivers ON x > x0 AND x < x0 + w AND y > 0 AND y < 40), cov AS (SELECT names.zone_id, count(ix) AS n_cells, count(CASE WHEN x < 800 THEN 1 END) AS n_inside FROM names LEFT JOIN inc ON inc.zone_id = names.zone_id GROUP BY 1)"
