@@ -16,11 +16,19 @@ def to_cell(df: DataFrame, x0: float, y0: float, res: float, nx: int, ny: int, x
 
 
 def chip(events: DataFrame, cells: DataFrame, size: int) -> DataFrame:
-    """Cells of the ``size`` by ``size`` window [i - size/2, i + size/2) around each event's cell."""
+    """Cells of the ``size`` by ``size`` window [i - size/2, i + size/2) around each event's cell.
+
+    A chip is put together once for each cell that has events; they meet it as one row and unfold it last. Spark
+    takes unfolded rows for as few as they come from, and a chip for one cell, so the joins are told not to broadcast.
+    """
     offs = F.sequence(F.lit(-(size // 2)), F.lit(size - size // 2 - 1))
-    grown = events.withColumn("_dx", F.explode(offs)).withColumn("_dy", F.explode(offs))
-    grown = grown.withColumn("cx", F.col("ix") + F.col("_dx")).withColumn("cy", F.col("iy") + F.col("_dy")).drop("_dx", "_dy", "ix", "iy")
-    return grown.join(cells.withColumnsRenamed({"ix": "cx", "iy": "cy"}), ["cx", "cy"])
+    spread = events.select("ix", "iy").dropna().distinct().withColumn("_dx", F.explode(offs)).withColumn("_dy", F.explode(offs))
+    spread = spread.select("ix", "iy", (F.col("ix") + F.col("_dx")).alias("cx"), (F.col("iy") + F.col("_dy")).alias("cy"))
+    found = spread.hint("merge").join(cells.withColumnsRenamed({"ix": "cx", "iy": "cy"}), ["cx", "cy"])
+    values = [c for c in cells.columns if c not in ("ix", "iy")]
+    chips = found.groupBy("ix", "iy").agg(F.collect_list(F.struct("cx", "cy", *values)).alias("_chip"))
+    own = [c for c in events.columns if c not in ("ix", "iy")]
+    return events.join(chips.hint("merge"), ["ix", "iy"]).select(*own, F.inline("_chip")).select("cx", "cy", *own, *values)
 
 
 def regrid(fine: DataFrame, coarse: DataFrame, factor: int) -> DataFrame:
