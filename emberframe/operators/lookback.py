@@ -8,10 +8,33 @@ from pyspark.sql import functions as F
 WINDOWS = (1, 3, 5, 10, 15, 30, 60)
 
 
-def lookback(events: DataFrame, series: DataFrame, on: list[str], days: int = 60) -> DataFrame:
-    """(events columns, lag, series columns): lag 0 is the event's day; missing days stay as NULL rows."""
-    lags = events.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("day", F.date_sub("date", F.col("lag")))
-    return lags.join(series, [*on, "day"], "left")
+def lookback(events: DataFrame, series: DataFrame, on: list[str], days: int = 60, chunk: int = 1024) -> DataFrame:
+    """(events columns, lag, series columns): lag 0 is the event's day; missing days stay as NULL rows.
+
+    The days of a window are gathered once for each place and day that is asked for, by a frame that slides over
+    the series of these places, in chunks of a calendar as in ``day_windows``. Events meet them as one row and
+    unfold them last, so no row is multiplied by lags before a join. Spark takes a row of many lags for one of
+    a single lag, so the join is told not to broadcast.
+    """
+    day, values = F.col("date").alias("day"), [c for c in series.columns if c not in (*on, "day")]
+    asked = events.select(*on, day).dropna().distinct()
+    known = series.dropna(subset=[*on, "day"]).join(asked.select(*on).distinct(), on, "left_semi")
+    known = known.select(*on, "day", F.struct("day", *values).alias("_at"))
+    own = lambda back: F.floor((F.unix_date("day") + back) / chunk)
+    both = asked.withColumn("_at", F.lit(None).cast(known.schema["_at"].dataType)).withColumn("_chunk", own(0)).unionByName(
+        known.withColumn("_chunk", F.explode(F.sequence(own(0), own(days - 1)))))
+    span = Window.partitionBy(*on, "_chunk").orderBy(F.unix_date("day")).rangeBetween(1 - days, 0)
+    near = both.withColumn("_near", F.collect_list("_at").over(span)).where("_at is null")
+    row = lambda lag, at: F.struct(lag.cast("int").alias("lag"), *(at(v).alias(v) for v in values))
+    seen = F.transform("_near", lambda s: row(F.datediff("day", s["day"]), lambda v: s[v]))
+    every = F.sequence(F.lit(0), F.lit(days - 1))
+    kinds = dict(series.dtypes)
+    none = lambda lags: F.transform(lags, lambda i: row(i, lambda v: F.lit(None).cast(kinds[v])))
+    found = near.withColumn("_seen", seen).select(
+        *on, F.col("day").alias("date"), F.concat("_seen", none(F.array_except(every, F.col("_seen.lag")))).alias("_lags"))
+    rest = [c for c in events.columns if c not in on]
+    out = events.join(found.hint("merge"), [*on, "date"], "left").select(*on, *rest, F.inline(F.coalesce("_lags", none(every))))
+    return out.select(*on, F.date_sub("date", F.col("lag")).alias("day"), *rest, "lag", *values)
 
 
 def position(anchor: str, days: int) -> Column:
@@ -85,31 +108,34 @@ def _chip_sums(size: int, tile: int, values: list[str]):
     return run
 
 
-def chip_series(events: DataFrame, grid: DataFrame, values: list[str], size: int = 32, days: int = 60, tile: int = 128) -> DataFrame:
-    """(events columns, lag, values): mean of each value over the ``size`` by ``size`` chip around an event's cell, on each day back.
+def chip_means(events: DataFrame, grid: DataFrame, values: list[str], size: int = 32, days: int = 60, tile: int = 128) -> DataFrame:
+    """(day, ix, iy, values): mean of each value over the ``size`` by ``size`` chip around a cell, where the look-back of an event asks for it.
 
     ``events`` (ix, iy, date, ...), ``grid`` (day, ix, iy, values), both numbered from 0. Cells without a value
-    do not count, chips end at the border, a chip without any value is NULL, and so is one of an
-    event without place or date. The grid is cut into tiles of ``tile`` cells a side; each tile of a
-    day becomes one summed-area table, from which a chip needs four entries, or those of the four tiles it
-    touches. Chips are asked for once for each (day, cell), so a tile has no more of them than cells
-    nearby, and no event meets the cells of its chip.
+    do not count, chips end at the border, and a chip without any value is NULL. The grid is cut into
+    tiles of ``tile`` cells a side; each tile of a day becomes one summed-area table, from which a chip needs four
+    entries, or those of the four tiles it touches. Chips are asked for once for each (day, cell), so a tile has no
+    more of them than cells nearby, and no event meets the cells of its chip.
     """
     known = grid.select(
         "day", F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), *(F.col(v).cast("double").alias(v) for v in values))
     t = lambda c: F.floor(F.col(c) / tile)
     known = known.dropna(subset=["day", "ix", "iy"]).where("ix >= 0 AND iy >= 0").withColumns({"tx": t("ix"), "ty": t("iy")})
-    lags = events.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(days - 1)))).withColumn("_day", F.date_sub("date", F.col("lag")))
-    places = lags.select(F.col("_day").alias("day"), F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy")).dropna().distinct()
+    spots = events.select(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"), "date").dropna().where("ix >= 0 AND iy >= 0").distinct()
+    places = spots.select("ix", "iy", F.explode(F.sequence(F.date_sub("date", days - 1), F.col("date"), F.expr("INTERVAL 1 DAY"))).alias("day")).distinct()
     span = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - size // 2, F.lit(0)) / tile), F.floor((F.col(c) + size - size // 2 - 1) / tile)))
-    asked = places.where("ix >= 0 AND iy >= 0").withColumn("tx", span("ix")).withColumn("ty", span("iy"))
+    asked = places.select("day", "ix", "iy").withColumn("tx", span("ix")).withColumn("ty", span("iy"))
     key, sums = ["day", "tx", "ty"], [f"{n}_{v}" for v in values for n in ("sum", "n")]
     schema = "day date, ix long, iy long, " + ", ".join(f"{c} double" for c in sums)
     parts = known.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_chip_sums(size, tile, values), schema)
     whole = parts.groupBy("day", "ix", "iy").agg(*(F.sum(c).alias(c) for c in sums))
-    means = whole.select(F.col("day").alias("_day"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *(F.when(F.col(f"n_{v}") > 0.5, F.col(f"sum_{v}") / F.col(f"n_{v}")).alias(v) for v in values))
-    same = (lags["_day"] == means["_day"]) & (lags["ix"] == means["_ix"]) & (lags["iy"] == means["_iy"])
-    return lags.join(means, same, "left").select(*(lags[c] for c in events.columns), "lag", *(means[v] for v in values))
+    return whole.select("day", "ix", "iy", *(F.when(F.col(f"n_{v}") > 0.5, F.col(f"sum_{v}") / F.col(f"n_{v}")).alias(v) for v in values))
+
+
+def chip_series(events: DataFrame, grid: DataFrame, values: list[str], size: int = 32, days: int = 60, tile: int = 128) -> DataFrame:
+    """(events columns, lag, values): ``chip_means`` around an event's cell on each day back; an event without place or date has NULLs."""
+    means = chip_means(events, grid, values, size, days, tile)
+    return lookback(events, means, ["ix", "iy"], days).select(*events.columns, "lag", *values)
 
 
 def chip_mean(long: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -91,7 +91,8 @@ def w02_chip_series(spark, d):
 @query(f"WITH {CHIPS} SELECT s.id_obs, " + ", ".join(f"round(coalesce(sum(CASE WHEN lag < {w} THEN T END), 0) / {w}, 6) AS T_cumulative_mean_{w}d, round(max(CASE WHEN lag < {w} THEN T END), 6) AS T_cumulative_max_{w}d" for w in (1, 3, 5, 10, 15, 30, 60)) + " FROM spots s LEFT JOIN m ON m.id_obs = s.id_obs GROUP BY 1")
 def w03_chip_features(spark, d):
     """Window features of the chips' series: what the model is trained on."""
-    return rounded(W.window_features(W.chip_series(spots(spark, d), grid_days(spark, d), ["T"]), ["id_obs"], ["T"]))
+    s = spots(spark, d)
+    return rounded(W.day_windows(s, W.chip_means(s, grid_days(spark, d), ["T"]), ["ix", "iy"], ["T"]).drop("date", "ix", "iy"))
 
 
 @query(f"WITH {CELLS}, c AS (SELECT ix // 4 AS bx, iy // 4 AS \"by\", code % 4 AS m FROM cells), n AS (SELECT bx, \"by\", m, count(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY bx, \"by\" ORDER BY n DESC, m) AS rn FROM n) SELECT bx, \"by\", m AS chip_mode FROM r WHERE rn = 1")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import grid as G
+from emberframe.operators import lookback as W
 
 DAY = dt.date(2020, 3, 1)
 
@@ -34,3 +35,19 @@ def test_chip_offsets_are_not_broadcast(spark, events, tmp_path):
     got = G.chip(events.select("id", "ix", "iy"), spark.read.parquet(str(tmp_path / "cells")), 4)
     assert not [b for b in broadcasts(got) if "Generate" in b or "collect_list" in b]
     assert got.columns == ["cx", "cy", "id", "v"] and got.count() == sum((min(i % 3 + 2, 4)) * (i % 2 + 2) for i in range(50))
+
+
+def test_lags_are_not_broadcast(spark, events, tmp_path):
+    spark.range(40000).select((F.col("id") % 3).cast("int").alias("ix"), F.date_sub(F.lit(DAY), (F.col("id") / 3).cast("int")).alias("day"), F.rand(1).alias("T")).write.parquet(str(tmp_path / "series"))
+    got = W.lookback(events, spark.read.parquet(str(tmp_path / "series")), ["ix"], 60).where("T is not null")
+    assert not [b for b in broadcasts(got) if "Generate" in b or "collect_list" in b]
+    assert got.count() == 3000
+
+
+def test_lookback_keeps_repeated_days_and_types(spark):
+    e = spark.createDataFrame([(1, 1, DAY), (2, None, DAY), (3, 1, None)], "id int, loc int, date date")
+    s = spark.createDataFrame([(1, DAY, 1, "a"), (1, DAY, 2, "b"), (1, DAY - dt.timedelta(2), None, "c"), (1, DAY - dt.timedelta(3), 9, "d")], "loc int, day date, n int, s string")
+    got = W.lookback(e, s, ["loc"], 3)
+    assert dict(got.dtypes) == {"loc": "int", "day": "date", "id": "int", "date": "date", "lag": "int", "n": "int", "s": "string"}
+    rows = sorted((r.id, r.lag, r.n or 0, r.s or "") for r in got.collect())
+    assert rows == [(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 0, ""), (1, 2, 0, "c"), *((i, k, 0, "") for i in (2, 3) for k in range(3))]
