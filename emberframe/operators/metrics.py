@@ -22,8 +22,9 @@ def count_by_period(pred: DataFrame, period: str, label: str = "label", score: s
 
 
 def pearson(a: str, b: str) -> Column:
-    """Correlation; NULL where either side is constant."""
-    return F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    """Correlation; NULL where either side is constant: merged partial means can give such a side a deviation of some 1e-16."""
+    varies = lambda c: (F.min(c) < F.max(c)) & (F.stddev_pop(c) > 0)
+    return F.when(varies(a) & varies(b), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def average_rank(df: DataFrame, column: str, out: str) -> DataFrame:

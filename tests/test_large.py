@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
+from emberframe.operators import metrics as E
 
 DAY = dt.date(2020, 3, 1)
 
@@ -51,3 +52,8 @@ def test_lookback_keeps_repeated_days_and_types(spark):
     assert dict(got.dtypes) == {"loc": "int", "day": "date", "id": "int", "date": "date", "lag": "int", "n": "int", "s": "string"}
     rows = sorted((r.id, r.lag, r.n or 0, r.s or "") for r in got.collect())
     assert rows == [(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 0, ""), (1, 2, 0, "c"), *((i, k, 0, "") for i in (2, 3) for k in range(3))]
+
+
+def test_a_constant_side_has_no_correlation(spark):
+    rows = spark.range(0, 98, 1, 2).select(F.rand(1).alias("a"), F.lit(1.0).alias("one"))  # 1 / 49 * 49 is below 1
+    assert rows.agg(E.pearson("a", "one").alias("r")).first().r is None
