@@ -139,8 +139,8 @@ def s04_zone_layer(spark, d):
     one = s.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", feature.alias("f")))), lambda e: e["f"]), ",\n").alias("all"))
     path = shared_folder(spark, "layer")  # a layer file is one document
     one.select(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), "all", F.lit("]}")).alias("value")).coalesce(1).write.text(path)
-    layer = S.read_zones(spark, path)
-    return layer.select("zone_id", F.col("properties")["name"].alias("name")).join(Z.ring_area(Z.zone_edges(layer), 8.0), "zone_id")
+    layer = Z.kept(S.read_zones(spark, path), shared_folder(spark, "zones"))  # parsed once for all branches
+    return layer.select("zone_id", F.col("properties")["name"].alias("name")).join(Z.ring_area(Z.zone_edges(layer), 8.0, shared_folder(spark, "rings")), "zone_id")
 
 
 @query(f"WITH {EV} SELECT CAST(year(date) AS INT) AS yr, count(*) AS n, count(CASE WHEN id_obs % 7 <> 0 THEN 1 END) AS n_known, round(sum(CASE WHEN id_obs % 7 <> 0 THEN x END), 4) AS total_x, min(date) AS first_day FROM ev GROUP BY 1")
@@ -357,8 +357,7 @@ def g07_zone_layer(spark, d):
         (3 + F.col("s_suppkey") % 60).cast("double").alias("r"))
     corner = lambda dx, dy: F.struct((F.col("cx") + dx * F.col("r")).alias("x"), (F.col("cy") + dy * F.col("r")).alias("y"))
     layer = s.select("zone_id", F.array(F.array(corner(1, 0), corner(0, 1), corner(-1, 0), corner(0, -1))).alias("rings"))
-    hits = Z.within(events(spark, d).select("id_obs", "date", "x", "y"), Z.zone_tiles(Z.zone_edges(layer), 4.0, shared_folder(spark, "tiles")))
-    return hits.groupBy("zone_id").agg(F.count("*").alias("n_points"), F.count_distinct("date").alias("n_days"), F.sum("id_obs").alias("ids"))
+    return Z.zone_days(events(spark, d), layer, "id_obs", 4.0, shared_folder(spark, "tiles"))
 
 
 @query(f"WITH {CELLS} SELECT a.ix, a.iy, round(CASE WHEN count(b.v) = 16 THEN avg(b.v) END, 6) AS focal FROM cells a JOIN cells b ON b.ix BETWEEN a.ix - 2 AND a.ix + 1 AND b.iy BETWEEN a.iy - 2 AND a.iy + 1 GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
+from emberframe.operators import polygons as Z
 
 DAY = dt.date(2020, 3, 1)
 
@@ -57,3 +58,12 @@ def test_lookback_keeps_repeated_days_and_types(spark):
 def test_a_constant_side_has_no_correlation(spark):
     rows = spark.range(0, 98, 1, 2).select(F.rand(1).alias("a"), F.lit(1.0).alias("one"))  # 1 / 49 * 49 is below 1
     assert rows.agg(E.pearson("a", "one").alias("r")).first().r is None
+
+
+def test_zone_days_follow_places_and_shapes(spark):
+    ring = lambda x: [[(x, 0.0), (x + 9.0, 0.0), (x + 9.0, 9.0), (x, 9.0)]]
+    layer = spark.createDataFrame([(i, ring(5.0 * (i % 3))) for i in range(30)], "zone_id int, rings array<array<struct<x:double,y:double>>>")
+    points = [(i, DAY + dt.timedelta(i % 7), float(i % 20), float(i % 3) + 1) for i in range(400)] + [(900, DAY, None, 1.0)]
+    got = Z.zone_days(spark.createDataFrame(points, "id long, date date, x double, y double"), layer, "id", 4.0)
+    inside = lambda z: [p for p in points if p[2] is not None and 5 * (z % 3) < p[2] < 5 * (z % 3) + 9]
+    assert sorted(map(tuple, got.collect())) == [(z, len(inside(z)), len({p[1] for p in inside(z)}), sum(p[0] for p in inside(z))) for z in range(30)]
