@@ -31,8 +31,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest doc_id.
 
-    Near duplicates share five-word shingles to a similarity of 0.8 or more. No SimHash radius of
-    bounded cost holds all of them, so candidates come from prefix lists, which lose none. Null and
+    SimHash fingerprints of the sets of five-word shingles, within 2 bits by multi-index hashing, give the first
+    links; an exact check keeps those of similarity 0.8 or more. No SimHash radius of bounded cost holds all such
+    pairs, so texts that are not linked yet also meet in prefix lists, which lose none. Null and
     empty texts are one group. A null doc_id stays only if its group has no other; of rows equal in doc_id and
     text, one stays.
     """

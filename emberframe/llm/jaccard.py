@@ -1,4 +1,4 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles, found by prefix lists."""
+"""Near-duplicate texts: SimHash links that the Jaccard similarity confirms, completed by prefix lists of rare shingles."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import Scratch, by_value, connected_components
-from emberframe.llm.simhash import _body, xxh64_slices
+from emberframe.llm.simhash import _body, majority, near_pairs, xxh64_slices
 
 by_value(__name__)
 
@@ -83,7 +83,7 @@ def _shingle_counts(docs: DataFrame, words: int, seed: int, blocks: int = 64) ->
 
 
 def _marked(docs: DataFrame, counts, words: int, seed: int) -> DataFrame:
-    """(doc_id, body, cid, n, prefix, fp): the set's hash, its size, its rarest shingles and its parity fingerprint.
+    """(doc_id, body, cid, n, prefix, fp, sim): the set's hash, size, rarest shingles, parity fingerprint and SimHash.
 
     Sets of similarity 0.8 or more share a shingle, and most of what they share, among the
     n - ceil(0.8 n) + 1 that come first in any one order of all shingles.
@@ -92,25 +92,30 @@ def _marked(docs: DataFrame, counts, words: int, seed: int) -> DataFrame:
     def run(batches):
         seen = counts.value
         for batch in batches:
-            cids, sizes, prefixes, prints = [], [], [], []
+            cids, sizes, prefixes, prints, sims = [], [], [], [], []
             for s in shingle_sets(batch.column(1), words, seed):
                 first = np.lexsort((s, seen[(s % np.uint64(BUCKETS)).astype(np.int64)]))[: len(s) - -(-4 * len(s) // 5) + 1]
                 cids.append(_cid(s))
                 sizes.append(len(s))
                 prefixes.append(s[first].view(np.int64))
                 prints.append(_parity(s))
+                sims.append(majority(s, np.array([len(s)]))[0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, prints))],
-                names=["doc_id", "body", "cid", "n", "prefix", "fp"])
+                [batch.column(0), batch.column(2), pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()),
+                 *(pa.array(x, pa.list_(pa.int64())) for x in (prefixes, prints)), pa.array(np.array(sims, np.uint64).view(np.int64))],
+                names=["doc_id", "body", "cid", "n", "prefix", "fp", "sim"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", _body().alias("body")).mapInArrow(
-        run, "doc_id long, body long, cid long, n long, prefix array<long>, fp array<long>")
+        run, "doc_id long, body long, cid long, n long, prefix array<long>, fp array<long>, sim long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those of similarity 0.8 or more, counted over the whole sets."""
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of ``pairs`` (a, b), those of similarity 0.8 or more, counted over the whole sets.
+
+    The texts asked for are written first, so that Spark knows their number before it would shuffle all texts.
+    """
     cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    bodies = classes.join(cids, "cid", "left_semi").select("body")
+    bodies = scratch.put(classes.join(cids, "cid", "left_semi").select("body"), f"bodies-{name}")
 
     def run(batches):
         for batch in batches:
@@ -141,30 +146,83 @@ def _fit(x, y):
     return (9 * most >= 4 * (na + nb)) & (9 * apart <= na + nb)
 
 
-def _possible(pairs: DataFrame, others: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(a, b) of (a, b, na, nb, m) that may be similar; ``m`` counts shingles that both prefixes hold.
 
     What two sets share lies in both prefixes or behind the one that ends first. Shingles of lists
     that were not counted here (``others``) are taken as shared.
     """
-    beyond = others.groupBy("cid").agg(F.sum("m").alias("o"))
     got = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("m").alias("m"))
-    for side in "ab":
-        got = got.join(beyond.select(F.col("cid").alias(side), F.col("o").alias(f"o{side}")), side, "left").fillna(0, [f"o{side}"])
-    most = F.col("m") + F.least("oa", "ob") + F.greatest(_behind(F.col("na")), _behind(F.col("nb")))
+    most = F.col("m") + F.greatest(_behind(F.col("na")), _behind(F.col("nb")))
+    if others is not None:
+        beyond = others.groupBy("cid").agg(F.sum("m").alias("o"))
+        for side in "ab":
+            got = got.join(beyond.select(F.col("cid").alias(side), F.col("o").alias(f"o{side}")), side, "left").fillna(0, [f"o{side}"])
+        most = most + F.least("oa", "ob")
     return got.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def simhash_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets of ``classes`` (cid, sim) that connect all whose SimHash differs in 2 or fewer bits.
+
+    Sets of one fingerprint are paired with the smallest of them, and these with those of the fingerprints nearby.
+    """
+    first = scratch.put(classes.groupBy("sim").agg(F.min("cid").alias("first")), "sims")
+    same = classes.join(first, "sim").select(F.col("first").alias("a"), F.col("cid").alias("b"))
+    near = near_pairs(first.select(F.col("sim").alias("fp")), scratch)
+    near = near.join(first.select(F.col("sim").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("sim").alias("b"), F.col("first").alias("y")), "b")
+    return same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))).where("a <> b").distinct()
+
+
+def _narrowed(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """Of ``rows`` (tok, m, cid, n, fp, comp), those that a similar pair of two components may share, with ``k``.
+
+    ``k`` counts a set's shingles that are left. A list inside one component goes, and of the others each set that has
+    too few such shingles for the sizes met there. So a pair that is similar keeps all lists that it shares, and every
+    round can only find more to drop.
+    """
+    for _ in range(rounds):
+        lists = rows.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min("n").alias("least"), F.max("n").alias("most")).where("l <> h")
+        rows = rows.drop("k", "least", "most").join(lists.select("tok", "least", "most"), "tok")
+        rows = rows.join(rows.groupBy("cid").agg(F.sum("m").alias("k")), "cid")
+        # what the pair shares at most, behind this set or, unrounded, behind the largest of the list
+        own = 9 * (F.col("k") + _behind(F.col("n"))) >= 4 * (F.col("n") + F.col("least"))
+        rows = rows.where(own | (45 * F.col("k") + 16 * F.col("most") - 9 >= 20 * F.col("n")))
+    return rows.select("tok", "m", "cid", "n", "k", "fp", "comp")
+
+
 def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words: int, seed: int, longest: int = 8, draws=(2, 16)) -> DataFrame:
-    """Edges (a, b) that connect all sets of ``classes`` (cid, n, prefix, fp, body) of similarity 0.8 or more.
-
-    Sets meet in the lists of their prefix shingles; equal lists count once, with their number.
-    Lists of ``longest`` sets or fewer give all their pairs. For longer ones, every set is first
-    verified against a few that come first in its lists in hashed orders (``draws`` by turn); then
-    only pairs of still different components meet, in blocks. So no connection is lost, and a large
-    group of near copies gives few pairs. Pairs that cannot be
-    similar by their sizes and the shingles that others have in their prefixes never leave the join.
+    """Edges (a, b) that connect all sets of ``classes`` (cid, n, prefix, fp, sim, body) of similarity 0.8 or more.
+
+    Pairs whose SimHash fingerprints are near are verified first. From then on only sets of different components
+    meet: no SimHash radius of bounded cost holds every similar pair, and the lists of prefix shingles lose none.
+    Equal lists count once, with their number. Lists of ``longest`` sets or fewer give all their pairs. For longer
+    ones, every set is verified against a few of its lists (``draws`` by turn): the one with the fewest shingles of its
+    own, which is the middle of a group of near copies, and some that come first in hashed orders. What is
+    left after that is met in blocks, all but a list's largest component with the whole list. So no connection is lost, and a large group of near copies gives few pairs:
+    it is linked through its middle, and sets too far from it to be similar to any are told by their own shingles
+    (``_narrowed``).
     """
+    edges = []
+
+    def verify(pairs, name):
+        edges.append(scratch.put(_verified(scratch.put(pairs, f"pairs-{name}"), classes, docs, words, seed, scratch, name), f"edges-{name}"))
+
+    def with_components(rows, name):
+        group = scratch.put(connected_components(reduce(DataFrame.union, edges), scratch, f"cc-{name}"), f"components-{name}")
+        return rows.join(group, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid")).drop("node", "component")
+
+    def apart(name):  # pairs of short lists are all verified by now, so what is left shares none of these lists
+        return scratch.put(_narrowed(with_components(long_, name)), f"apart-{name}")
+
+    def pairs_of(rows, on, deal=lambda x, y: (x, y), once=F.col("a") < F.col("b")):
+        x = rows.withColumnsRenamed({"cid": "a", "n": "na", "k": "ka", "fp": "fa", "comp": "ca"})
+        y = rows.drop("m").withColumnsRenamed({"cid": "b", "n": "nb", "k": "kb", "fp": "fb", "comp": "cb"})
+        x, y = deal(x, y)
+        fits = _fit(*(tuple(map(F.col, c)) for c in (("na", "ka", "fa"), ("nb", "kb", "fb"))))
+        return x.join(y, on).where(once & (F.col("ca") != F.col("cb")) & fits).select("a", "b", "na", "nb", "m")
+
+    verify(simhash_pairs(classes, scratch), "simhash")
     entries = classes.select("cid", "n", "fp", F.explode("prefix").alias("tok"))
     lists = entries.groupBy("tok").agg(
         F.count("*").alias("c"), F.expr("bit_xor(xxhash64(cid))").alias("s"), F.expr("bit_xor(xxhash64(1, cid))").alias("t")).where("c > 1")
@@ -174,44 +232,37 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words:
     members = scratch.put(met.join(often, "cid").select("tok", "c", "m", "cid", "n", "k", "fp"), "members")
     scratch.drop("met")
     short, long_ = members.where(F.col("c") <= longest), members.where(F.col("c") > longest)
-    edges = []
-
-    def verify(pairs, name):
-        edges.append(scratch.put(_verified(scratch.put(pairs, f"pairs-{name}"), classes, docs, words, seed), f"edges-{name}"))
-
-    def in_components(name):
-        group = scratch.put(connected_components(reduce(DataFrame.union, edges), scratch, f"cc-{name}"), f"components-{name}")
-        known = members.where(F.col("c") > longest).join(group, F.col("cid") == F.col("node"), "left")
-        known = known.select("tok", "c", "m", "cid", "n", "k", "fp", F.coalesce("component", "cid").alias("comp"))
-        split = known.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("tok")
-        return scratch.put(known.join(split, "tok", "left_semi"), f"apart-{name}")
-
-    def pairs_of(rows, on, apart=None):
-        x = rows.withColumnsRenamed({"cid": "a", "n": "na", "k": "ka", "fp": "fa", "comp": "ca"})
-        y = rows.drop("m").withColumnsRenamed({"cid": "b", "n": "nb", "k": "kb", "fp": "fb", "comp": "cb"})
-        if apart is not None:
-            x, y = apart(x, y)
-        both = x.join(y, on).where((F.col("a") < F.col("b")) & _fit(*(tuple(map(F.col, c)) for c in (("na", "ka", "fa"), ("nb", "kb", "fb")))))
-        return (both if apart is None else both.where("ca <> cb")).select("a", "b", "na", "nb", "m")
-
-    verify(_possible(pairs_of(short.select("tok", "cid", "n", "k", "fp", "m"), ["tok"]), long_), "short")
-    if long_.isEmpty():
-        return edges[0]
-    rest = in_components("short")
+    verify(_possible(pairs_of(with_components(short, "simhash").drop("c"), ["tok"]), long_), "short")
+    rest = apart("short")
     for turn, many in enumerate(draws):
-        drawn = lambda j: F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(j), "cid").alias("h"), "cid", "comp", "n", "k", "fp"))  # noqa: B023,E731
-        first = rest.groupBy("tok").agg(F.array(*(drawn(j) for j in range(many))).alias("f"))
+        if rest.isEmpty():
+            return reduce(DataFrame.union, edges)
+        own = F.col("n") - _behind(F.col("n")) - F.col("k")
+        drawn = lambda j: F.min(F.struct(
+            (F.lit(0) if j else own).alias("own"), F.xxhash64(F.lit(turn), F.lit(j), "cid").alias("h"), "cid", "comp", "n", "k", "fp"))  # noqa: B023
+        first = rest.groupBy("tok").agg(F.array(*(drawn(j).cast(
+            "struct<own:long,h:long,cid:long,comp:long,n:long,k:long,fp:array<long>>") for j in range(many))).alias("f"))
         near = F.filter("f", lambda f: (f["comp"] != F.col("comp")) & _fit((F.col("n"), F.col("k"), F.col("fp")), (f["n"], f["k"], f["fp"])))
         beside = rest.join(first, "tok").select("cid", F.transform(near, lambda f: f["cid"]).alias("o"))
         beside = beside.groupBy("cid").agg(F.slice(F.array_distinct(F.flatten(F.collect_list("o"))), 1, many).alias("o")).select("cid", F.explode("o").alias("o"))
         verify(beside.select(F.least("cid", "o").alias("a"), F.greatest("cid", "o").alias("b")).distinct(), f"turn-{turn}")
-        rest = in_components(f"turn-{turn}")
+        rest = apart(f"turn-{turn}")
+    if rest.isEmpty():
+        return reduce(DataFrame.union, edges)
+
+    # a pair of two components has a set outside the list's largest one: only such sets go into every block
+    largest = rest.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(
+        F.max(F.struct("c", "comp"))["comp"].alias("main"), F.ceil(F.sum("c") / 128).cast("int").alias("parts"))
+    rest = rest.join(largest, "tok").withColumn("minor", F.col("comp") != F.col("main")).drop("main")
 
     def blocks(x, y):
-        return x.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts"), y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        dealt = x.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+        every = y.where("minor").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return dealt.drop("parts"), every.drop("parts", "minor")
 
-    rest = rest.withColumn("parts", F.ceil(F.col("c") / 128).cast("int")).drop("c")
-    verify(_possible(pairs_of(rest, ["tok", "part"], blocks), members.join(rest.select("tok").distinct(), "tok", "left_anti")), "long")
+    met = pairs_of(rest, ["tok", "part"], blocks, (F.col("a") < F.col("b")) | ~F.col("minor"))
+    turned = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
+    verify(_possible(met.select(*(turned(p, q).alias(p) for p, q in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))), "m")), "long")
     return reduce(DataFrame.union, edges)
 
 
@@ -226,7 +277,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, seed: int
     counts = docs.sparkSession.sparkContext.broadcast(_shingle_counts(docs, words, seed))
     marked = scratch.put(_marked(docs, counts, words, seed), "marked")
     classes = scratch.put(marked.groupBy("cid").agg(
-        F.min("doc_id").alias("least"), F.min("body").alias("body"), *(F.first(c).alias(c) for c in ("n", "prefix", "fp"))), "sets")
+        F.min("doc_id").alias("least"), F.min("body").alias("body"), *(F.first(c).alias(c) for c in ("n", "prefix", "fp", "sim"))), "sets")
     group = connected_components(similar_pairs(classes, docs, scratch, words, seed, longest), scratch)
     named = classes.join(group, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))

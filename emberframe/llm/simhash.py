@@ -69,6 +69,20 @@ def xxh64_slices(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int) -
     return out
 
 
+def majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of ``sizes`` hashes each: a bit is 1 if set in over half of a run; an empty run has 0."""
+    out, some = np.zeros(len(sizes), np.uint64), np.flatnonzero(sizes)
+    if len(some):
+        at = np.r_[0, np.cumsum(sizes[some])[:-1]]
+        counts = np.zeros((len(some), 64), np.int64)
+        for byte in range(8):  # a byte at a time bounds the unpacked bits
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, byte : byte + 1], axis=1, bitorder="little")
+            counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+        ones = (2 * counts > sizes[some][:, None]).astype(np.uint8)
+        out[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def simhash(texts: list[str | None], words: int, seed: int) -> np.ndarray:
     """64-bit fingerprints: a bit is 1 if set in over half the shingle hashes; no words: 0."""
     parts, starts, ends, sizes, base = [], [], [], [], 0
@@ -86,18 +100,9 @@ def simhash(texts: list[str | None], words: int, seed: int) -> np.ndarray:
             sizes.append(0)
         parts.append(joined)
         base += len(joined)
-    sizes, out = np.array(sizes, np.int64), np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        h = xxh64_slices(b"".join(parts), np.concatenate(starts), np.concatenate(ends), seed)
-        at = np.r_[0, np.cumsum(sizes[some])[:-1]]
-        counts = np.zeros((len(some), 64), np.int64)
-        for byte in range(8):  # a byte at a time bounds the unpacked bits
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, byte : byte + 1], axis=1, bitorder="little")
-            counts[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        ones = (2 * counts > sizes[some][:, None]).astype(np.uint8)
-        out[some] = np.packbits(ones, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+    sizes = np.array(sizes, np.int64)
+    h = xxh64_slices(b"".join(parts), np.concatenate(starts), np.concatenate(ends), seed) if starts else np.zeros(0, np.uint64)
+    return majority(h, sizes)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, text: str = "text", chunk: int = 1 << 21) -> DataFrame:

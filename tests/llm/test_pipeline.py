@@ -173,3 +173,38 @@ def test_near_copies_equal_brute_force(spark, longest):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(low))
     kept = {r.doc_id for r in p.simhash_near_dedup(spark, docs, DATA).collect()}
     assert kept == set(low) and len(kept) < len(texts)
+
+
+def test_simhash_links_come_first_and_spread_groups_stay_small(spark):
+    import random
+
+    from emberframe.llm import jaccard
+    from emberframe.llm.common import Scratch
+
+    rng, word = random.Random(9), lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(150)]
+
+    def edited(many):
+        new = list(base)
+        for at in rng.sample(range(5, 145), many):
+            new[at] = word()
+        return " ".join(new)
+
+    texts = [" ".join(base)] + [edited(many) for many in (1, 2, 3, 4, 4, 5) for _ in range(60)]
+    pair = [f"p{i}" for i in range(400)]
+    texts += [" ".join(pair), " ".join([*pair, "end"])]
+    scratch, put, seen = Scratch(spark), Scratch.put, {}
+
+    def watched(df, name):
+        seen[name] = put(scratch, df, name)
+        return seen[name]
+
+    scratch.put = watched
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, scratch).collect()}
+    assert got == dict(enumerate(components(texts)))
+    assert seen["edges-simhash"].count() > 0 and got[len(texts) - 1] == len(texts) - 2
+    linked = {x for r in seen["edges-simhash"].collect() for x in r}
+    sets = {r.doc_id: r.cid for r in seen["marked"].collect()}
+    assert {sets[len(texts) - 2], sets[len(texts) - 1]} <= linked
+    assert sum(seen[n].count() for n in seen if n.startswith("pairs-")) < 8 * len(texts)
