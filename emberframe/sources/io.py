@@ -56,15 +56,16 @@ def write_climate(df: DataFrame, path: str) -> None:
 def asof_nearest_day(keys: DataFrame, series: DataFrame, by: str = "loc") -> DataFrame:
     """For each (by, day) of ``keys``, the row of ``series`` at the nearest day; ties go to the earlier day.
 
-    Each side of the series is reached by one sorted pass over the union of both tables.
+    Each side of the series is reached by one sorted pass over the union of both tables, the later one by a pass back
+    from the last day, as a frame that reaches ahead is read anew for every row. Places that are not asked for leave first.
     """
-    known = series.select(by, "day", F.struct(*[c for c in series.columns if c != by]).alias("at"), F.lit(None).cast("struct<q:int>").alias("q"))
-    asked = keys.select(by, "day").distinct().select(by, "day", F.lit(None).cast(known.schema["at"].dataType).alias("at"), F.struct(F.lit(1).alias("q")).alias("q"))
-    w = Window.partitionBy(by).orderBy("day")
-    both = known.unionByName(asked).withColumns({
-        "before": F.last("at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)),
-    }).where("q is not null")
+    asked = keys.select(by, "day").distinct()
+    known = series.join(asked.select(by).distinct(), by, "left_semi")
+    known = known.select(by, "day", F.struct(*[c for c in series.columns if c != by]).alias("at"), F.lit(None).cast("struct<q:int>").alias("q"))
+    asked = asked.select(by, "day", F.lit(None).cast(known.schema["at"].dataType).alias("at"), F.struct(F.lit(1).alias("q")).alias("q"))
+    w = Window.partitionBy(by)
+    seen = lambda order: F.last("at", ignorenulls=True).over(w.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    both = known.unionByName(asked).withColumns({"before": seen(F.asc("day")), "after": seen(F.desc("day"))}).where("q is not null")
     gap = lambda c: F.abs(F.datediff(F.col(f"{c}.day"), "day"))
     near = F.when(F.col("before").isNull(), F.col("after")).when(F.col("after").isNull() | (gap("before") <= gap("after")), F.col("before")).otherwise(F.col("after"))
     return both.select(by, "day", near.alias("at")).select(by, "day", *(F.col(f"at.{c}").alias("nearest_day" if c == "day" else c) for c in series.columns if c != by))

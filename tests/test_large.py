@@ -9,6 +9,7 @@ from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
 from emberframe.operators import polygons as Z
+from emberframe.sources import io as S
 
 DAY = dt.date(2020, 3, 1)
 
@@ -67,3 +68,12 @@ def test_zone_days_follow_places_and_shapes(spark):
     got = Z.zone_days(spark.createDataFrame(points, "id long, date date, x double, y double"), layer, "id", 4.0)
     inside = lambda z: [p for p in points if p[2] is not None and 5 * (z % 3) < p[2] < 5 * (z % 3) + 9]
     assert sorted(map(tuple, got.collect())) == [(z, len(inside(z)), len({p[1] for p in inside(z)}), sum(p[0] for p in inside(z))) for z in range(30)]
+
+
+def test_asof_reads_no_frame_ahead_of_a_row(spark):
+    day = lambda i: DAY + dt.timedelta(i)
+    series = spark.createDataFrame([(1, day(0), 1.0), (1, day(4), 2.0), (1, day(9), 3.0), (7, day(1), 9.0)], "loc int, day date, v double")
+    keys = spark.createDataFrame([(1, day(-3)), (1, day(2)), (1, day(3)), (1, day(9)), (1, day(30)), (2, day(0))], "loc int, day date")
+    got = S.asof_nearest_day(keys, series)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(((r.loc, (r.day - DAY).days, r.v) for r in got.collect())) == [(1, -3, 1.0), (1, 2, 1.0), (1, 3, 2.0), (1, 9, 3.0), (1, 30, 3.0), (2, 0, None)]
