@@ -235,21 +235,37 @@ def projection_dates(climate: DataFrame, months: list[int] | None = None, day: i
     return wanted.select(F.date_add("start", day - 1).alias("date"))
 
 
-def project(
-    grid: DataFrame, climate: DataFrame, dates: DataFrame, on: list[str], key: list[str], variables: list[str], columns: list[str], draws,
-    members: list[str] | None = None, windows=WINDOWS, days: int = 60,
+def member_features(
+    climate: DataFrame, dates: DataFrame, on: list[str], variables: list[str], columns: list[str], members: list[str] | None = None, windows=WINDOWS, days: int = 60,
 ) -> DataFrame:
-    """(key, members, date, mean and deviation of probability): every grid row on every date, for every member that ``climate`` has.
+    """(members, ``on``, date, features): look-backs on every date of each coarse cell that a member of ``climate`` has.
 
-    One pass slides over each (member, coarse cell)'s days and feeds all dates; features are per coarse
-    cell of ``on`` and only then meet the fine grid, where missing ones count as 0. ``dates`` is a
-    calendar's months at most.
+    One pass slides over each (member, coarse cell)'s days and feeds all dates. ``dates`` is a calendar's months at most.
     """
     by = [*(members or []), *on]
     used = [w for w in windows if any(c.endswith(f"_{w}d") for c in columns)]
     asked = climate.select(*by).distinct().crossJoin(F.broadcast(dates.select("date")))
-    feats = day_windows(asked, climate, by, variables, used, days)
-    ready = join_features(grid, feats, on)
+    return day_windows(asked, climate, by, variables, used, days)
+
+
+def project(
+    grid: DataFrame, climate: DataFrame | None, dates: DataFrame | None, on: list[str], key: list[str], variables: list[str], columns: list[str], draws,
+    members: list[str] | None = None, windows=WINDOWS, days: int = 60, feats: DataFrame | None = None, spread: int = 16,
+) -> DataFrame:
+    """(key, members, date, mean and deviation of probability): every grid row on every date, for every member that ``climate`` has.
+
+    Features are per coarse cell of ``on`` and only then meet the fine grid, where missing ones count as 0;
+    ``feats`` are those of ``member_features``, if they are at hand. Every grid row becomes as many as members have dates, so
+    the fine rows of a coarse cell are dealt by hash over ``spread`` parts, which each hold its features, and few
+    coarse cells keep all cores busy.
+    """
+    if feats is None:
+        feats = member_features(climate, dates, on, variables, columns, members, windows, days)
+    session = grid.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    fine = grid.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(spread)).cast("int")).repartition(tasks, *on, "_part")
+    coarse = feats.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).repartition(tasks, *on, "_part")
+    ready = join_features(fine, coarse.hint("merge"), [*on, "_part"])
     return score(ready.na.fill(0.0, columns), columns, draws, [*key, *(members or []), "date"])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberframe.operators import grid as G
 from emberframe.operators import lookback as W
 from emberframe.operators import metrics as E
+from emberframe.operators import model as M
 from emberframe.operators import polygons as Z
 from emberframe.sources import io as S
 
@@ -77,3 +78,15 @@ def test_asof_reads_no_frame_ahead_of_a_row(spark):
     got = S.asof_nearest_day(keys, series)
     assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted(((r.loc, (r.day - DAY).days, r.v) for r in got.collect())) == [(1, -3, 1.0), (1, 2, 1.0), (1, 3, 2.0), (1, 9, 3.0), (1, 30, 3.0), (2, 0, None)]
+
+
+def test_projection_of_one_coarse_cell_is_spread(spark):
+    grid = spark.range(400).select(F.col("id").alias("cell"), (F.col("id") - F.col("id") + 1).alias("loc"), (F.col("id") / 400).alias("v"))
+    climate = spark.createDataFrame([(m, 1, DAY + dt.timedelta(i), float(i)) for m in (1, 2) for i in range(60)], "member int, loc long, day date, T double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.project(grid, climate, M.projection_dates(climate), ["loc"], ["cell"], ["T"], ["T_cumulative_mean_30d", "v"], [(0.0, [0.01, 1.0])], ["member"])
+        assert got.count() == 400 * 2 * 2 and got.distinct().count() == got.count()
+        assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
