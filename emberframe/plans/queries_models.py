@@ -288,24 +288,30 @@ def member_climate(spark, d):
         F.avg("l_quantity").alias("T"), (F.avg("l_extendedprice") / 1000).alias("P"))
 
 
-def projected(spark, d):
+def projected_features(spark, d):
+    c = member_climate(spark, d)
+    return M.member_features(c, M.projection_dates(c), ["loc"], ["T", "P"], PROJ_COLS, MEMBERS)
+
+
+def projected(spark, d, feats):
     grid = table(spark, d, "part").select(
         F.col("p_partkey").alias("cell_id"), (F.col("p_partkey") % 20).alias("loc"), (F.col("p_retailprice") / 1000).alias("v"), (F.col("p_size") % 10).cast("int").alias("zone_id"))
-    c = member_climate(spark, d)
-    return M.project(grid, c, M.projection_dates(c), ["loc"], ["cell_id", "zone_id"], ["T", "P"], PROJ_COLS, PROJ_W, MEMBERS)
+    return M.project(grid, None, None, ["loc"], ["cell_id", "zone_id"], ["T", "P"], PROJ_COLS, PROJ_W, MEMBERS, feats=feats)
 
 
 @query(f"WITH {PROJ} SELECT zone_id, scenario, member, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, round(avg(list_avg(p)), 6) AS mean_risk, round(max(list_avg(p)), 6) AS max_risk, round(stddev_samp(list_avg(p)), 6) AS spatial_std, round(avg(list_stddev_pop(p)), 6) AS prediction_uncertainty FROM s GROUP BY ALL")
 def m11_projection(spark, d):
     """Zones by month over all members, years and months that the data have; look-backs of 60 days."""
-    return rounded(M.zone_projection(projected(spark, d), MEMBERS))
+    return rounded(M.zone_projection(projected(spark, d, projected_features(spark, d)), MEMBERS))
 
 
 @query(f"WITH {PROJ} SELECT scenario, CAST(member AS INT) AS member, date, count(*) AS n_cells, round(sum(list_avg(p)), 4) AS total FROM s GROUP BY ALL")
 def m11_projection_files(spark, d):
     """The same by cell, in a folder a member; one loses its mark of success, as if the job had died, and is made again alone."""
-    path, pred = shared_folder(spark, "projection"), projected(spark, d)
-    names = member_climate(spark, d).select(*MEMBERS).distinct()
+    path, at = shared_folder(spark, "projection"), shared_folder(spark, "features")
+    projected_features(spark, d).write.parquet(at)  # once for all members
+    feats = spark.read.parquet(at)
+    pred, names = projected(spark, d, feats), feats.select(*MEMBERS).distinct()
     first = M.write_members(pred, names, path)
     remove(spark, f"{first[0]}/_SUCCESS")
     if M.write_members(pred, names, path) != first[:1]:
