@@ -90,3 +90,22 @@ def test_projection_of_one_coarse_cell_is_spread(spark):
         assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_climate_folders_are_dealt_before_they_are_written(spark, tmp_path):
+    rows = spark.range(0, 2400, 1, 8).select(
+        F.lit("T").alias("variable"), F.col("id").alias("loc"), F.date_add(F.lit(DAY), (F.col("id") % 90).cast("int")).alias("day"), F.rand(1).alias("value"))
+    S.write_climate(rows, str(tmp_path / "c"))
+    folders = list((tmp_path / "c").glob("variable=T/year=2020/month=*"))
+    assert len(folders) == 3 and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)  # not a file of each task
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2400
+
+
+def test_features_at_hand_are_not_made_again(spark):
+    grid = spark.createDataFrame([(i, i % 2, i / 9) for i in range(9)], "cell long, loc int, v double")
+    climate = spark.createDataFrame([(m, k, DAY + dt.timedelta(i), float(i)) for m in (1, 2) for k in (0, 1) for i in range(40)], "member int, loc int, day date, T double")
+    names, dates = ["T_cumulative_mean_30d", "v"], M.projection_dates(climate)
+    feats = M.member_features(climate, dates, ["loc"], ["T"], names, ["member"])
+    rest = (["loc"], ["cell"], ["T"], names, [(0.0, [0.01, 1.0])], ["member"])
+    given, made = M.project(grid, None, None, *rest, feats=feats), M.project(grid, climate, dates, *rest)
+    assert sorted(map(tuple, given.collect())) == sorted(map(tuple, made.collect())) and given.count() == 36
