@@ -174,25 +174,28 @@ def simhash_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return same.union(near.select(F.least("x", "y"), F.greatest("x", "y"))).where("a <> b").distinct()
 
 
-def _narrowed(rows: DataFrame, rounds: int = 2) -> DataFrame:
+def _narrowed(rows: DataFrame, scratch: Scratch, name: str, rounds: int = 2) -> DataFrame:
     """Of ``rows`` (tok, m, cid, n, fp, comp), those that a similar pair of two components may share, with ``k``.
 
     ``k`` counts a set's shingles that are left. A list inside one component goes, and of the others each set that has
     too few such shingles for the sizes met there. So a pair that is similar keeps all lists that it shares, and every
-    round can only find more to drop.
+    round can only find more to drop. Each is written, so that its plan does not hold the rounds before.
     """
-    for _ in range(rounds):
+    for turn in range(rounds):
         lists = rows.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min("n").alias("least"), F.max("n").alias("most")).where("l <> h")
-        rows = rows.drop("k", "least", "most").join(lists.select("tok", "least", "most"), "tok")
+        rows = rows.drop("k").join(lists.select("tok", "least", "most"), "tok")
         rows = rows.join(rows.groupBy("cid").agg(F.sum("m").alias("k")), "cid")
         # what the pair shares at most, behind this set or, unrounded, behind the largest of the list
         own = 9 * (F.col("k") + _behind(F.col("n"))) >= 4 * (F.col("n") + F.col("least"))
         rows = rows.where(own | (45 * F.col("k") + 16 * F.col("most") - 9 >= 20 * F.col("n")))
-    return rows.select("tok", "m", "cid", "n", "k", "fp", "comp")
+        rows = scratch.put(rows.select("tok", "m", "cid", "n", "k", "fp", "comp"), f"{name}-{turn}")
+        if turn:
+            scratch.drop(f"{name}-{turn - 1}")
+    return rows
 
 
-def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words: int, seed: int, longest: int = 8, draws=(2, 16)) -> DataFrame:
-    """Edges (a, b) that connect all sets of ``classes`` (cid, n, prefix, fp, sim, body) of similarity 0.8 or more.
+def similar_components(classes: DataFrame, docs: DataFrame, scratch: Scratch, words: int, seed: int, longest: int = 8, draws=(2, 16)) -> DataFrame:
+    """(node, component) of all sets of ``classes`` (cid, n, prefix, fp, sim, body) that links of similarity 0.8 or more connect.
 
     Pairs whose SimHash fingerprints are near are verified first. From then on only sets of different components
     meet: no SimHash radius of bounded cost holds every similar pair, and the lists of prefix shingles lose none.
@@ -201,19 +204,24 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words:
     own, which is the middle of a group of near copies, and some that come first in hashed orders. What is
     left after that is met in blocks, all but a list's largest component with the whole list. So no connection is lost, and a large group of near copies gives few pairs:
     it is linked through its middle, and sets too far from it to be similar to any are told by their own shingles
-    (``_narrowed``).
+    (``_narrowed``). Components of before go on as stars, to which new edges are added.
     """
-    edges = []
+    group = None
 
     def verify(pairs, name):
-        edges.append(scratch.put(_verified(scratch.put(pairs, f"pairs-{name}"), classes, docs, words, seed, scratch, name), f"edges-{name}"))
-
-    def with_components(rows, name):
-        group = scratch.put(connected_components(reduce(DataFrame.union, edges), scratch, f"cc-{name}"), f"components-{name}")
+        nonlocal group
+        edges = scratch.put(_verified(scratch.put(pairs, f"pairs-{name}"), classes, docs, words, seed, scratch, name), f"edges-{name}")
+        if group is not None:
+            if edges.isEmpty():
+                return
+            edges = group.select(F.col("node").alias("a"), F.col("component").alias("b")).union(edges)
+        group = scratch.put(connected_components(edges, scratch, f"cc-{name}"), f"components-{name}")
+
+    def with_components(rows):
         return rows.join(group, F.col("cid") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cid")).drop("node", "component")
 
     def apart(name):  # pairs of short lists are all verified by now, so what is left shares none of these lists
-        return scratch.put(_narrowed(with_components(long_, name)), f"apart-{name}")
+        return _narrowed(with_components(long_), scratch, f"apart-{name}")
 
     def pairs_of(rows, on, deal=lambda x, y: (x, y), once=F.col("a") < F.col("b")):
         x = rows.withColumnsRenamed({"cid": "a", "n": "na", "k": "ka", "fp": "fa", "comp": "ca"})
@@ -232,11 +240,11 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words:
     members = scratch.put(met.join(often, "cid").select("tok", "c", "m", "cid", "n", "k", "fp"), "members")
     scratch.drop("met")
     short, long_ = members.where(F.col("c") <= longest), members.where(F.col("c") > longest)
-    verify(_possible(pairs_of(with_components(short, "simhash").drop("c"), ["tok"]), long_), "short")
+    verify(_possible(pairs_of(with_components(short).drop("c"), ["tok"]), long_), "short")
     rest = apart("short")
     for turn, many in enumerate(draws):
         if rest.isEmpty():
-            return reduce(DataFrame.union, edges)
+            return group
         own = F.col("n") - _behind(F.col("n")) - F.col("k")
         drawn = lambda j: F.min(F.struct(
             (F.lit(0) if j else own).alias("own"), F.xxhash64(F.lit(turn), F.lit(j), "cid").alias("h"), "cid", "comp", "n", "k", "fp"))  # noqa: B023
@@ -248,7 +256,7 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words:
         verify(beside.select(F.least("cid", "o").alias("a"), F.greatest("cid", "o").alias("b")).distinct(), f"turn-{turn}")
         rest = apart(f"turn-{turn}")
     if rest.isEmpty():
-        return reduce(DataFrame.union, edges)
+        return group
 
     # a pair of two components has a set outside the list's largest one: only such sets go into every block
     largest = rest.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(
@@ -263,7 +271,7 @@ def similar_pairs(classes: DataFrame, docs: DataFrame, scratch: Scratch, words:
     met = pairs_of(rest, ["tok", "part"], blocks, (F.col("a") < F.col("b")) | ~F.col("minor"))
     turned = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
     verify(_possible(met.select(*(turned(p, q).alias(p) for p, q in (("a", "b"), ("b", "a"), ("na", "nb"), ("nb", "na"))), "m")), "long")
-    return reduce(DataFrame.union, edges)
+    return group
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, seed: int = 42, longest: int = 8) -> DataFrame:
@@ -278,8 +286,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, words: int = 5, seed: int
     marked = scratch.put(_marked(docs, counts, words, seed), "marked")
     classes = scratch.put(marked.groupBy("cid").agg(
         F.min("doc_id").alias("least"), F.min("body").alias("body"), *(F.first(c).alias(c) for c in ("n", "prefix", "fp", "sim"))), "sets")
-    group = connected_components(similar_pairs(classes, docs, scratch, words, seed, longest), scratch)
+    group = similar_components(classes, docs, scratch, words, seed, longest)
     named = classes.join(group, F.col("cid") == F.col("node"), "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
+    named = scratch.put(named, "named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(ids, "component").select("cid", "component", "component_id")
     return marked.join(final, "cid").select("doc_id", "body", "component", "component_id")

@@ -208,3 +208,26 @@ def test_simhash_links_come_first_and_spread_groups_stay_small(spark):
     sets = {r.doc_id: r.cid for r in seen["marked"].collect()}
     assert {sets[len(texts) - 2], sets[len(texts) - 1]} <= linked
     assert sum(seen[n].count() for n in seen if n.startswith("pairs-")) < 8 * len(texts)
+
+
+def test_near_duplicates_find_components_once_for_new_edges(spark, monkeypatch):
+    import random
+
+    from emberframe.llm import jaccard
+    from emberframe.llm.common import Scratch
+
+    rng, written, put = random.Random(4), [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: written.append(name) or put(self, df, name))
+    texts, passage = [], " ".join(f"p{i}" for i in range(12))
+    for k in range(24):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts.append(" ".join(base) + " " + passage)
+        for at in rng.sample(range(10, 110), k % 4):
+            texts.append(" ".join([*base[:at], "new", *base[at + 1 :]]) + " " + passage)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, Scratch(spark)).collect()}
+    assert got == dict(enumerate(components(texts)))
+    # one set of tables for each turn that found new edges, none for all edges once more at the end
+    groups = [n for n in written if n.startswith("components-")]
+    assert len(groups) <= 2 and len([n for n in written if n.startswith("cc-")]) <= 2 * len(groups)
+    assert "cc-0" not in written and len(written) <= 30

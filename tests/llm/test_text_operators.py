@@ -157,6 +157,19 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(301)) and got[1001] == 1000 and 5000 not in got
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    written, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name: written.append(name) or put(self, df, name))
+    scratch = Scratch(spark)
+    stars = spark.createDataFrame([(0, 5), (9, 0), (20, 3), (3, 21), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in connected_components(stars, scratch, "stars").collect()}
+    assert got == {0: 0, 5: 0, 9: 0, 3: 3, 20: 3, 21: 3} and written == ["stars-0"]
+    for k, edges in enumerate(([(1, 2), (2, 3)], [(1, 3), (2, 3)], [(5, 1), (6, 1), (6, 2)])):
+        frame, low = spark.createDataFrame(edges, "a long, b long"), min(map(min, edges))
+        assert {tuple(r) for r in connected_components(frame, scratch, f"no-star-{k}").collect()} == {(n, low) for e in edges for n in e}
+    assert connected_components(stars.limit(0), scratch, "none").count() == 0 and "none-1" not in written
+
+
 # repeated passages
 
 
