@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm import bpe, ctw, mixing, quality, repeats, sharding, simhash, urls
 from emberframe.llm.common import Scratch, connected_components
+from emberframe.llm.queries_repeats import op9_repeats
 from emberframe.llm.queries_urls import RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -242,6 +243,18 @@ def test_strip_repeats_keeps_rows_and_columns(spark, docs):
     assert out.where("text is null").count() == docs.where("text is null").count()
 
 
+def test_op9_goes_by_400_bytes_not_by_words(spark, tmp_path):
+    rng = random.Random(21)
+    short, enough, copy = (" ".join(f"w{rng.randrange(10**4):04}" for _ in range(90))[:n] for n in (399, 400, 500))
+    assert len(short.split()) > 50
+    texts = [f"a{short}b", f"c{short}d", f"e{enough}f", f"g{enough}h", copy, copy, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in op9_repeats(spark, str(tmp_path)).collect())
+    left = [f"a{short}b", f"c{short}d", "ef", "gh", "", "", "", ""]
+    gone = [(401, 0, 0), (401, 0, 0), (402, 400, 1), (402, 400, 1), (500, 500, 1), (500, 500, 1), (0, 0, 0), (0, 0, 0)]
+    assert got == [(i, *g, hashlib.sha256(t.encode()).hexdigest(), t) for i, (g, t) in enumerate(zip(gone, left))]
+
+
 # mixing
 
 
